@@ -1,0 +1 @@
+"""Empty on purpose: deliveries are judged as complete daily batches, so there is no streaming operator."""
