@@ -52,7 +52,7 @@ def tenths_text(numerator: Column, denominator: Column | int) -> Column:
 def clock(minutes: Column) -> Column:
     """Minutes since midnight as ``HH:MM``."""
     hour, minute = int_div(minutes, 60), minutes % 60
-    return F.concat_ws(":", F.lpad(hour.cast("string"), 2, "0"), F.lpad(minute.cast("string"), 2, "0"))
+    return F.concat(F.lpad(hour.cast("string"), 2, "0"), F.lit(":"), F.lpad(minute.cast("string"), 2, "0"))
 
 
 def calendar_context(day: Column) -> dict[str, Column]:

@@ -4,15 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-BROADCAST_BYTES = 10 * 1024 * 1024
+BROADCAST_BYTES = 32 * 1024 * 1024
 HOT_ROWS = 1_000_000
 MAX_HOT_KEYS = 10_000
 
 
-def plan_bytes(df: DataFrame) -> int | None:
-    """Catalyst's size estimate of a plan; an aggregate counts as large as its input."""
+def input_bytes(df: DataFrame) -> int | None:
+    """Bytes of the stored inputs a plan reads; None where the plan cannot be inspected.
+
+    Catalyst's own estimate multiplies the sides of every join. Facts are unique on their keys, made by
+    aggregation and unique-key joins, so their inputs bound them.
+    """
     try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
     except AttributeError:
         return None
 
@@ -28,22 +33,23 @@ def lookup(
 ) -> DataFrame:
     """``rows`` joined to ``facts``, which must be unique on ``keys``.
 
-    Facts whose estimated size is under ``broadcast_bytes`` are broadcast. Otherwise both sides are
+    Facts that come from less than ``broadcast_bytes`` of input are broadcast. Otherwise both sides are
     shuffled, and a key with more than ``hot_rows`` rows is spread over as many salts as it needs: its
-    one facts row is repeated per salt. At most ``MAX_HOT_KEYS`` keys can be hot, because the threshold
-    grows with the row total, so the broadcast list of hot keys is bounded.
+    one facts row is repeated per salt. The hottest ``MAX_HOT_KEYS`` keys are treated so, which bounds
+    the broadcast list; any further key holds less than that fraction of the rows and joins unsalted.
 
     ``key_counts`` (keys plus ``n``) saves the count when the caller has it already.
     """
-    size = plan_bytes(facts)
+    size = input_bytes(facts)
     if size is not None and size <= broadcast_bytes:
         return rows.join(F.broadcast(facts), keys, how)
 
     counts = key_counts if key_counts is not None else rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n")).scalar()
-    threshold = F.greatest(F.lit(hot_rows), F.ceil(total / F.lit(MAX_HOT_KEYS)))
     hot = F.broadcast(
-        counts.filter(F.col("n") > threshold).select(*keys, F.ceil(F.col("n") / threshold).cast("int").alias("_fan"))
+        counts.filter(F.col("n") > hot_rows)
+        .orderBy(F.desc("n"), *keys)
+        .limit(MAX_HOT_KEYS)
+        .select(*keys, F.ceil(F.col("n") / F.lit(hot_rows)).cast("int").alias("_fan"))
     )
     # copies of a row hash alike, so the partition they are read in takes part in the salt
     spread = F.pmod(F.xxhash64(*rows.columns, F.spark_partition_id()), F.col("_fan")).cast("int")

@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
-from dqwatch.operators.detectors import DEFAULT_LIMITS, Limits
+from dqwatch.operators.detectors import DEFAULT_LIMITS, Limits, pattern_findings
 from dqwatch.operators.expectations import delivery_days, pattern_facts
 from dqwatch.operators.listings import in_scope
 from dqwatch.plans.findings import all_findings
@@ -63,7 +63,8 @@ def analyze(
     issues = source_issues(
         manifest, findings, facts, delivery_days(manifest), limits, by_pattern if keep else None
     )
-    lines = source_lines(issues, findings, facts, **options)
+    missing = findings if keep else pattern_findings(by_pattern, ("missing",), limits)
+    lines = source_lines(issues, missing, facts, **options)
     return Analysis(findings, issues, lines, (by_pattern, findings) if keep else ())
 
 

@@ -201,26 +201,22 @@ def ranked_findings(findings: DataFrame, k: int = LISTED_MESSAGES) -> DataFrame:
 
 
 def missing_entities_text(findings: DataFrame, k: int = LISTED_ENTITIES) -> DataFrame:
-    """Entities with missing files per source-day: the first ``k`` by name and how many more there are."""
-    entities = (
+    """The first ``k`` entities with missing files per source-day, with dots when there are more."""
+    order = Window.partitionBy(*HEAD).orderBy("entity")
+    first = (
         findings.filter((F.col("detector") == "missing") & F.col("entity").isNotNull())
         .select(*HEAD, "entity")
         .distinct()
-    )
-    total = entities.groupBy(*HEAD).agg(F.count(F.lit(1)).alias("n_entities"))
-    order = Window.partitionBy(*HEAD).orderBy("entity")
-    first = (
-        entities.withColumn("rank", F.row_number().over(order))
-        .filter(F.col("rank") <= k)
+        .withColumn("rank", F.row_number().over(order))
+        .filter(F.col("rank") <= k + 1)
         .groupBy(*HEAD)
-        .agg(F.array_join(F.sort_array(F.collect_list("entity")), ", ").alias("entities"))
+        .agg(F.sort_array(F.collect_list("entity")).alias("entities"))
     )
-    more = F.col("n_entities") - k
     text = F.concat(
-        F.col("entities"),
-        F.when(more > 0, F.concat(F.lit(" and "), more.cast("string"), F.lit(" more"))).otherwise(""),
+        F.array_join(F.slice("entities", 1, k), ", "),
+        F.when(F.size("entities") > k, F.lit("...")).otherwise(F.lit("")),
     )
-    return first.join(total, HEAD).select(*HEAD, text.alias("missing_entities"))
+    return first.select(*HEAD, text.alias("missing_entities"))
 
 
 def _counted(n: Column, one: str, many: str | None = None) -> Column:
@@ -278,13 +274,14 @@ def _clauses() -> dict[str, Column]:
 
 def source_lines(
     issues: DataFrame,
-    findings: DataFrame,
+    missing: DataFrame,
     facts: DataFrame,
     **options: int,
 ) -> DataFrame:
     """Name, criticality, summary line and action of every source-day.
 
     The most severe issue leads, ties go by detector priority; further issues follow after a dash.
+    ``missing`` may be all findings or only those of the missing detector.
     """
     described = facts.select(
         "source_id",
@@ -293,7 +290,7 @@ def source_lines(
         F.array_max("windows.end_min").alias("window_end"),
     )
     rows = lookup(issues, described, ["source_id"], **options)
-    rows = rows.join(missing_entities_text(findings), HEAD, "left")
+    rows = rows.join(missing_entities_text(missing), HEAD, "left")
     clauses = _clauses()
     action_key = {"late": F.when(F.col("n_late") > 0, F.lit(ACTIONS["late"])).otherwise(F.lit(ACTIONS["early"]))}
     issue_list = F.array_compact(

@@ -322,7 +322,7 @@ crit AS (
 ),
 ment AS (
   SELECT snapshot_day, source_id,
-    array_to_string(list_sort(list(entity))[1:15], ', ') || CASE WHEN count(*) > 15 THEN ' and ' || CAST(count(*) - 15 AS VARCHAR) || ' more' ELSE '' END AS entities
+    array_to_string(list_sort(list(entity))[1:15], ', ') || CASE WHEN count(*) > 15 THEN '...' ELSE '' END AS entities
   FROM (SELECT DISTINCT snapshot_day, source_id, entity FROM findings WHERE detector = 'missing' AND entity IS NOT NULL) GROUP BY ALL
 ),
 clause AS (
