@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from dqwatch.functions import naming, numbers
 from dqwatch.operators import (
@@ -95,6 +95,13 @@ def _missing_expected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return missing.withColumn("expected_filename", name)
 
 
+def _named(**functions: Callable[[Column], Column]) -> Query:
+    """Filename functions over every file of today."""
+    return lambda s, d: _today(s, d).select(
+        "filename", *[function(F.col("filename")).alias(column) for column, function in functions.items()]
+    )
+
+
 def _detector(name: str) -> Query:
     return lambda s, d: plan_findings.detector_findings(derived.derive_manifest(s, d), _facts(s, d), name)
 
@@ -159,9 +166,7 @@ def _adhoc_both(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _queries() -> dict[str, Query]:
-    name = F.col("filename")
     day_source = ["snapshot_day", "source_id"]
-    blocked = F.coalesce(F.col("is_duplicated"), F.lit(False)) & (F.col("status") == "stopped")
     sized = [*day_source, "filename", "rows", "uploaded_at", "status"]
     return {
         "manifest": derived.derive_manifest,
@@ -176,18 +181,12 @@ def _queries() -> dict[str, Query]:
         "status_pivot": lambda s, d: summary.status_pivot(_today(s, d)),
         "status_counts": lambda s, d: summary.status_counts(_today(s, d)),
         "today_listing": lambda s, d: listings.received(_today(s, d)),
-        "base_pattern_literal": lambda s, d: _today(s, d).select(
-            "filename",
-            naming.strip_hash(name).alias("without_hash"),
-            naming.base_pattern(name).alias("base_pattern"),
-        ),
-        "base_pattern_normalized": lambda s, d: _today(s, d).select(
-            "filename", naming.normalized_pattern(name).alias("pattern")
-        ),
+        "base_pattern_literal": _named(without_hash=naming.strip_hash, base_pattern=naming.base_pattern),
+        "base_pattern_normalized": _named(pattern=naming.normalized_pattern),
         "distinct_patterns": lambda s, d: patterns.distinct_patterns(_manifest(s, d)),
-        "entity_e1": lambda s, d: _today(s, d).select("filename", naming.entity_e1(name).alias("entity")),
-        "entity_e2": lambda s, d: _today(s, d).select("filename", naming.entity_e2(name).alias("entity")),
-        "entity_e3": lambda s, d: _today(s, d).select("filename", naming.entity_e3(name).alias("entity")),
+        "entity_e1": _named(entity=naming.entity_e1),
+        "entity_e2": _named(entity=naming.entity_e2),
+        "entity_e3": _named(entity=naming.entity_e3),
         "entity_known": lambda s, d: expectations.pattern_facts(_manifest(s, d), _facts(s, d)).select(
             *day_source, "pattern", "entity"
         ),
@@ -247,7 +246,9 @@ def _queries() -> dict[str, Query]:
             *day_source, "filename", "rows", "from_period"
         ),
         "total_records": lambda s, d: summary.total_records(_today(s, d)),
-        "affected_share": lambda s, d: summary.affected_share(_today(s, d), blocked),
+        "affected_share": lambda s, d: summary.affected_share(
+            _today(s, d), F.col("is_duplicated") & (F.col("status") == "stopped")
+        ),
         "findings": lambda s, d: _analysis(s, d).findings,
         "ranked_findings": lambda s, d: synthesis.ranked_findings(_analysis(s, d).findings).select(
             *day_source, "detector", "message", "severity", "rank"

@@ -6,8 +6,9 @@ from pyspark.sql import Column, functions as F
 
 # Filename regular expressions.
 HASH_PREFIX = r"^[^_]+_"
-FIRST_UNDERSCORE_DATE = r"(?s)^(.*?)_\d{4}_\d{2}_\d{2}"
-FIRST_ANY_DATE = r"(?s)^(.*?)_?(\d{4}_\d{2}_\d{2}|\d{4}-\d{2}-\d{2}|\d{8})"
+# the tail is taken along and put back, so that only the first date goes
+UNDERSCORE_DATE_AND_TAIL = r"(?s)_\d{4}_\d{2}_\d{2}(.*)"
+ANY_DATE_AND_TAIL = r"(?s)_?(?:\d{4}_\d{2}_\d{2}|\d{4}-\d{2}-\d{2}|\d{8})(.*)"
 ENTITY_BEFORE_KEYWORD = r"_([A-Za-z0-9]+)_(?:payments|report|accounting)"
 ENTITY_BEFORE_DATE_OR_KEYWORD = r"([A-Za-z_]+)(?:_\d{4}_\d{2}_\d{2}|payments|report)"
 ENTITY_BEFORE_DATE = r"([A-Za-z0-9_]+)(?:_\d{4}_\d{2}_\d{2})"
@@ -17,7 +18,7 @@ FILE_DATES = [
     (r"(\d{8})", "yyyyMMdd"),
 ]
 EXPECTED_NAME_PREFIX = r"^(?:\[hash\]|\*)_"
-EXPECTED_NAME_DATE = r"(?s)^(.*?)_?(?:YYYY_MM_DD|YYYY-MM-DD|YYYYMMDD)"
+EXPECTED_NAME_DATE = r"(?s)_?(?:YYYY_MM_DD|YYYY-MM-DD|YYYYMMDD)(.*)"
 
 
 def strip_hash(name: Column) -> Column:
@@ -27,12 +28,12 @@ def strip_hash(name: Column) -> Column:
 
 def base_pattern(name: Column) -> Column:
     """Name without hash prefix and without its first ``_YYYY_MM_DD``."""
-    return F.regexp_replace(strip_hash(name), FIRST_UNDERSCORE_DATE, "$1")
+    return F.regexp_replace(strip_hash(name), UNDERSCORE_DATE_AND_TAIL, "$1")
 
 
 def normalized_pattern(name: Column) -> Column:
     """Name without hash prefix and without its first date, in any of the three date forms."""
-    return F.regexp_replace(strip_hash(name), FIRST_ANY_DATE, "$1")
+    return F.regexp_replace(strip_hash(name), ANY_DATE_AND_TAIL, "$1")
 
 
 def entity_e1(name: Column) -> Column:

@@ -181,18 +181,17 @@ def empty_finding(limits: Limits) -> Column:
     )
 
 
-def _upload_day() -> Column:
-    return F.to_date("uploaded_at")
-
-
 def is_previous_period() -> Column:
     """The date in the filename lies before the upload day by more than the documented lag."""
-    old = naming.days_old(_upload_day(), naming.file_date(F.col("filename")))
-    return F.coalesce(old > F.col("lag_days"), F.lit(False))
+    return F.coalesce(F.col("days_old") > F.col("lag_days"), F.lit(False))
 
 
-def late_finding(limits: Limits) -> Column:
-    """Upload against the documented window or time, else against last week's uploads plus seven days."""
+def with_timing(files: DataFrame) -> DataFrame:
+    """File age and the distance of the upload from its expected window, in microseconds.
+
+    The window is the documented one, else the documented usual time, else last week's uploads of the
+    pattern seven days on.
+    """
     day, at = F.col("snapshot_day").cast("timestamp"), F.col("uploaded_at")
     week = F.make_dt_interval(days=F.lit(7))
 
@@ -200,14 +199,28 @@ def late_finding(limits: Limits) -> Column:
         return day + F.make_dt_interval(mins=F.col(minutes))
 
     opens = F.coalesce(on_day("window_start"), on_day("usual_minute"))
-    documented = opens.isNotNull()
-    start = F.coalesce(opens, F.col("first_upload_last") + week)
-    end = F.coalesce(on_day("window_end"), on_day("usual_minute"), F.col("last_upload_last") + week)
+    return (
+        files.withColumn("days_old", naming.days_old(F.to_date(at), naming.file_date(F.col("filename"))))
+        .withColumn("has_schedule", opens.isNotNull())
+        .withColumn("due_from", F.coalesce(opens, F.col("first_upload_last") + week))
+        .withColumn(
+            "due_to",
+            F.coalesce(on_day("window_end"), on_day("usual_minute"), F.col("last_upload_last") + week),
+        )
+        .withColumn("late_by", F.unix_micros(at) - F.unix_micros("due_to"))
+        .withColumn("early_by", F.unix_micros("due_from") - F.unix_micros(at))
+        .withColumn(
+            "early_by_last", F.unix_micros("due_from") - F.unix_micros(F.col("first_upload_last") + week)
+        )
+    )
+
+
+def late_finding(limits: Limits) -> Column:
+    """Upload more than the limit after or before its expected window; see :func:`with_timing`."""
+    day, at = F.col("snapshot_day").cast("timestamp"), F.col("uploaded_at")
+    start, end, late_by, early_by = F.col("due_from"), F.col("due_to"), F.col("late_by"), F.col("early_by")
     limit = limits.late_hours * MICROS_PER_HOUR
-    late_by = F.unix_micros(at) - F.unix_micros(end)
-    early_by = F.unix_micros(start) - F.unix_micros(at)
-    early_before = F.unix_micros(start) - F.unix_micros(F.col("first_upload_last") + week) > limit
-    schedule_change = documented & ~F.coalesce(early_before, F.lit(False))
+    schedule_change = F.col("has_schedule") & ~F.coalesce(F.col("early_by_last") > limit, F.lit(False))
     tracked = ~F.col("may_arrive_anytime") & ~is_previous_period()
 
     def build(kind: str, severity: Column | int, by: Column, expected: Column, text: Column) -> Column:
@@ -251,7 +264,7 @@ def late_finding(limits: Limits) -> Column:
 
 def previous_finding(limits: Limits) -> Column:
     """A file from an earlier period, informational at source level."""
-    old = naming.days_old(_upload_day(), naming.file_date(F.col("filename")))
+    old = F.col("days_old")
     kind = (
         F.when(old <= limits.recent_days, "recent_backfill")
         .when(old > limits.historical_days, "historical_backfill")
@@ -285,8 +298,13 @@ EXPRESSIONS = {
 
 
 def _emit(rows: DataFrame, detectors: tuple[str, ...], limits: Limits) -> DataFrame:
+    # exploding and then dropping NULLs keeps the expressions in generated code
     found = F.array(*[EXPRESSIONS[d](limits) for d in detectors])
-    return rows.select(*HEAD, F.inline(F.array_compact(found)))
+    return (
+        rows.select(*HEAD, F.explode(found).alias("found"))
+        .filter(F.col("found").isNotNull())
+        .select(*HEAD, "found.*")
+    )
 
 
 def pattern_findings(
@@ -321,7 +339,8 @@ def file_findings(
         "may_arrive_anytime",
     )
     counts = delivered.select(*KEYS, F.col("n_today").alias("n"))
-    return _emit(lookup(files, facts, KEYS, "inner", key_counts=counts, **options), detectors, limits)
+    known = with_timing(lookup(files, facts, KEYS, "inner", key_counts=counts, **options))
+    return _emit(known, detectors, limits)
 
 
 def range_findings(manifest: DataFrame, facts: DataFrame, **options: int) -> DataFrame:

@@ -16,7 +16,7 @@ def input_bytes(df: DataFrame) -> int | None:
     aggregation and unique-key joins, so their inputs bound them.
     """
     try:
-        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        leaves = df._jdf.queryExecution().analyzed().collectLeaves()
         return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
     except AttributeError:
         return None

@@ -19,6 +19,7 @@ from dqwatch.sources.cv_files import cv_facts, first_sources
 class Analysis:
     """The tables of one analysis. Everything is lazy; ``release`` drops what was kept between uses."""
 
+    by_pattern: DataFrame
     findings: DataFrame
     issues: DataFrame
     lines: DataFrame
@@ -41,13 +42,13 @@ def analyze(
     scope: str = "current",
     limits: Limits = DEFAULT_LIMITS,
     max_sources: int | None = None,
-    keep: bool = False,
+    keep: bool = True,
     **options: int,
 ) -> Analysis:
     """Detect, roll up and describe.
 
-    ``keep`` persists the pattern table and the findings, which several outputs read; lost blocks are
-    recomputed from their lineage. ``max_sources`` restricts the run to the first profiles.
+    ``keep`` persists the two tables that several outputs read: the pattern table and the one row per
+    source-day. Blocks lost with an executor are recomputed from their lineage. ``max_sources`` restricts the run to the first profiles.
     """
     if max_sources is not None:
         cv_docs = first_sources(cv_docs, max_sources)
@@ -58,14 +59,13 @@ def analyze(
     if keep:
         by_pattern = by_pattern.persist()
     findings = all_findings(manifest, facts, "all", limits, by_pattern, **options)
-    if keep:
-        findings = findings.persist()
     issues = source_issues(
         manifest, findings, facts, delivery_days(manifest), limits, by_pattern if keep else None
     )
-    missing = findings if keep else pattern_findings(by_pattern, ("missing",), limits)
-    lines = source_lines(issues, missing, facts, **options)
-    return Analysis(findings, issues, lines, (by_pattern, findings) if keep else ())
+    if keep:
+        issues = issues.persist()
+    lines = source_lines(issues, pattern_findings(by_pattern, ("missing",), limits), facts, **options)
+    return Analysis(by_pattern, findings, issues, lines, (by_pattern, issues) if keep else ())
 
 
 def run_report(
@@ -74,7 +74,7 @@ def run_report(
     as_of: str = "00:00",
     max_sources: int | None = None,
     scope: str = "current",
-    keep: bool = False,
+    keep: bool = True,
 ) -> DataFrame:
     """Ordered report lines for every day and source of the manifest; ``as_of`` is the header's UTC clock."""
     return ordered_report(analyze(manifest, cv_docs, scope, max_sources=max_sources, keep=keep).report(as_of))

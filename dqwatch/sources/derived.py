@@ -24,8 +24,20 @@ COLUMNS = [
 ]
 
 
+EVENTS = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE"
+
+
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pin_utc(spark).read.parquet(f"{sf_dir}/events.parquet")
+    return pin_utc(spark).read.schema(EVENTS).parquet(f"{sf_dir}/events.parquet")
+
+
+def _dealt_out(rows: DataFrame, key: str) -> DataFrame:
+    """Rows of a table stored as fewer splits than there are cores, dealt out by key.
+
+    A large table has many splits and is left as it is.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores, key) if rows.rdd.getNumPartitions() < cores else rows
 
 
 def _group() -> Column:
@@ -78,8 +90,7 @@ def derive_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     minutes = F.lit(8 * 60) + e % 20 + late
     return (
-        _events(spark, sf_dir)
-        .select("event_id", "ts", "user_id", "event_type", "value")
+        _dealt_out(_events(spark, sf_dir), "event_id")
         .withColumn("g", _group())
         .withColumn("k", g % 3)
         .withColumn("snapshot_day", F.to_date("ts"))
