@@ -24,7 +24,7 @@ from dqwatch.operators import (
 )
 from dqwatch.plans import findings as plan_findings
 from dqwatch.plans import synthesis
-from dqwatch.plans.pipeline import Analysis, analyze
+from dqwatch.plans.analysis import Analysis, analyze
 from dqwatch.sources import cv_files, derived, manifest_json
 from dqwatch.sqlview import ManifestTools
 from oracle_queries import ORACLES

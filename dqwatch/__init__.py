@@ -1,7 +1,7 @@
 """dqwatch: data-quality checks over daily file deliveries, as Spark DataFrame plans."""
 
 from dqwatch.plans.findings import all_findings
-from dqwatch.plans.pipeline import run_report, single_source_report
+from dqwatch.plans.analysis import run_report, single_source_report
 from dqwatch.operators.summary import quality_rates, quality_summary, source_summary
 from dqwatch.sources.cv_files import cv_facts, read_cvs
 from dqwatch.sources.manifest_json import read_manifest

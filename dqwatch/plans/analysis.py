@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -15,15 +15,50 @@ from dqwatch.plans.synthesis import source_issues, source_lines, source_report
 from dqwatch.sources.cv_files import cv_facts, first_sources
 
 
-@dataclass(frozen=True)
 class Analysis:
-    """The tables of one analysis. Everything is lazy; ``release`` drops what was kept between uses."""
+    """The tables of one analysis, each built when it is asked for.
 
-    by_pattern: DataFrame
-    findings: DataFrame
-    issues: DataFrame
-    lines: DataFrame
-    kept: tuple[DataFrame, ...] = ()
+    ``keep`` persists the two tables that several outputs read: the pattern table and the one row per
+    source-day. Blocks lost with an executor are recomputed from their lineage; ``release`` drops them.
+    """
+
+    def __init__(
+        self, manifest: DataFrame, cv_docs: DataFrame, limits: Limits, keep: bool, options: dict[str, int]
+    ):
+        self._manifest = manifest
+        self._facts = cv_facts(cv_docs)
+        self._limits = limits
+        self._keep = keep
+        self._options = options
+        self._kept: list[DataFrame] = []
+
+    def _shared(self, table: DataFrame) -> DataFrame:
+        if self._keep:
+            self._kept.append(table.persist())
+        return table
+
+    @cached_property
+    def by_pattern(self) -> DataFrame:
+        return self._shared(pattern_facts(self._manifest, self._facts, **self._options))
+
+    @cached_property
+    def findings(self) -> DataFrame:
+        return all_findings(
+            self._manifest, self._facts, "all", self._limits, self.by_pattern, **self._options
+        )
+
+    @cached_property
+    def issues(self) -> DataFrame:
+        days = delivery_days(self._manifest)
+        stored = self.by_pattern if self._keep else None
+        return self._shared(
+            source_issues(self._manifest, self.findings, self._facts, days, self._limits, stored)
+        )
+
+    @cached_property
+    def lines(self) -> DataFrame:
+        missing = pattern_findings(self.by_pattern, ("missing",), self._limits)
+        return source_lines(self.issues, missing, self._facts, **self._options)
 
     def report(self, clock: str = "00:00") -> DataFrame:
         return executive_report(self.lines, clock)
@@ -32,7 +67,7 @@ class Analysis:
         return source_report(self.lines, self.findings)
 
     def release(self) -> None:
-        for table in self.kept:
+        for table in self._kept:
             table.unpersist()
 
 
@@ -45,27 +80,11 @@ def analyze(
     keep: bool = True,
     **options: int,
 ) -> Analysis:
-    """Detect, roll up and describe.
-
-    ``keep`` persists the two tables that several outputs read: the pattern table and the one row per
-    source-day. Blocks lost with an executor are recomputed from their lineage. ``max_sources`` restricts the run to the first profiles.
-    """
+    """Detect, roll up and describe; ``max_sources`` restricts the run to the first profiles."""
     if max_sources is not None:
         cv_docs = first_sources(cv_docs, max_sources)
         manifest = manifest.join(cv_docs.select("source_id"), "source_id", "left_semi")
-    manifest = in_scope(manifest, scope)
-    facts = cv_facts(cv_docs)
-    by_pattern = pattern_facts(manifest, facts, **options)
-    if keep:
-        by_pattern = by_pattern.persist()
-    findings = all_findings(manifest, facts, "all", limits, by_pattern, **options)
-    issues = source_issues(
-        manifest, findings, facts, delivery_days(manifest), limits, by_pattern if keep else None
-    )
-    if keep:
-        issues = issues.persist()
-    lines = source_lines(issues, pattern_findings(by_pattern, ("missing",), limits), facts, **options)
-    return Analysis(by_pattern, findings, issues, lines, (by_pattern, issues) if keep else ())
+    return Analysis(in_scope(manifest, scope), cv_docs, limits, keep, options)
 
 
 def run_report(

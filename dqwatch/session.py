@@ -23,6 +23,8 @@ def local_session(cpus: int | str = 8, app: str = "dqwatch", **conf: str) -> Spa
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        # recording the call site of every column function doubles the time to build a plan
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.memory", "8g")
     )
     for key, value in conf.items():

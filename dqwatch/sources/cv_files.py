@@ -53,10 +53,12 @@ def name_cvs(files: DataFrame, extract_names: bool = True) -> DataFrame:
 
 def read_cvs(spark: SparkSession, folder: str, extract_names: bool = True) -> DataFrame:
     """Discover ``<source_id>_native.md`` in a folder; raises when the folder or the files are absent."""
+    # as binary files, because a text scan gives no row for a file without content
     files = (
-        spark.read.option("pathGlobFilter", f"*{CV_SUFFIX}")
-        .text(folder, wholetext=True)
-        .select(F.col("_metadata.file_name").alias("file_name"), F.col("value").alias("text"))
+        spark.read.format("binaryFile")
+        .option("pathGlobFilter", f"*{CV_SUFFIX}")
+        .load(folder)
+        .select(F.element_at(F.split("path", "/"), -1).alias("file_name"), F.decode("content", "UTF-8").alias("text"))
     )
     if not files.inputFiles():
         raise ValueError(f"No CV files (*{CV_SUFFIX}) found in {folder}")
