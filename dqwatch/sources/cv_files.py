@@ -53,18 +53,27 @@ def name_cvs(files: DataFrame, extract_names: bool = True) -> DataFrame:
 
 def read_cvs(spark: SparkSession, folder: str, extract_names: bool = True) -> DataFrame:
     """Discover ``<source_id>_native.md`` in a folder; raises when the folder or the files are absent."""
-    # as binary files, because a text scan gives no row for a file without content
     files = (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", f"*{CV_SUFFIX}")
-        .load(folder)
-        .select(F.element_at(F.split("path", "/"), -1).alias("file_name"), F.decode("content", "UTF-8").alias("text"))
+        spark.read.option("pathGlobFilter", f"*{CV_SUFFIX}")
+        .text(folder, wholetext=True)
+        .select(F.col("_metadata.file_name").alias("file_name"), F.col("value").alias("text"))
     )
-    if not files.inputFiles():
+    blank = _files_without_content(spark, folder)
+    if not blank and not files.inputFiles():
         raise ValueError(f"No CV files (*{CV_SUFFIX}) found in {folder}")
+    if blank:
+        names = F.explode(F.array(*[F.lit(name) for name in blank]))
+        files = files.unionByName(spark.range(1).select(names.alias("file_name"), F.lit("").alias("text")))
     return name_cvs(files, extract_names)
 
 
+def _files_without_content(spark: SparkSession, folder: str) -> list[str]:
+    """Names of zero-byte profiles, which a file scan leaves out."""
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/*{CV_SUFFIX}")
+    found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern)
+    return sorted(status.getPath().getName() for status in found or [] if status.getLen() == 0)
+
+
 def first_sources(cv_docs: DataFrame, n: int | None) -> DataFrame:
     """The first ``n`` sources in file order, all of them when ``n`` is None."""
     if n is None:

@@ -183,7 +183,7 @@ def test_preview(spark):
     assert preview(spark.range(0)) == NO_ROWS
     assert preview(spark.range(2)).splitlines() == ["| id |", "| --- |", "| 0 |", "| 1 |"]
     text = preview(spark.range(105)).splitlines()
-    assert text[0] == "Query returned 105 rows. Showing first 100:" and text[-1] == "... (5 more rows)" and len(text) == 105
+    assert text[0] == "Query returned 105 rows. Showing first 100:" and text[-1] == "... (5 more rows)" and len(text) == 106
 
 
 def test_upload_times_are_utc(spark):
