@@ -121,7 +121,7 @@ def _previous(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _volume_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     now, before = F.col("volume_today"), F.col("volume_last")
-    stats = patterns.pattern_stats(_manifest(spark, sf_dir).withColumn("expected_name", F.lit(None).cast("string")))
+    stats = patterns.pattern_stats(_manifest(spark, sf_dir))
     return stats.filter((F.col("ok_today") > 0) & (F.col("ok_last") > 0) & (before > 0)).select(
         "snapshot_day",
         "source_id",

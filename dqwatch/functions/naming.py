@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 # Filename regular expressions.
-HASH_PREFIX = r"^[^_]+_"
 # the tail is taken along and put back, so that only the first date goes
 UNDERSCORE_DATE_AND_TAIL = r"(?s)_\d{4}_\d{2}_\d{2}(.*)"
 ANY_DATE_AND_TAIL = r"(?s)_?(?:\d{4}_\d{2}_\d{2}|\d{4}-\d{2}-\d{2}|\d{8})(.*)"
@@ -23,7 +22,8 @@ EXPECTED_NAME_DATE = r"(?s)_?(?:YYYY_MM_DD|YYYY-MM-DD|YYYYMMDD)(.*)"
 
 def strip_hash(name: Column) -> Column:
     """Drop everything up to the first underscore; a name that starts with one is left alone."""
-    return F.regexp_replace(name, HASH_PREFIX, "")
+    first = F.instr(name, "_")
+    return F.when(first > 1, F.substr(name, first + 1)).otherwise(name)
 
 
 def base_pattern(name: Column) -> Column:
@@ -55,9 +55,13 @@ def known_entity(name: Column, entities: Column) -> Column:
     return F.array_max(ranked)["e"]
 
 
-def entity_of(name: Column, entities: Column) -> Column:
-    """Documented entity if one occurs in the name, else the token before the report keyword."""
-    return F.coalesce(known_entity(name, entities), F.nullif(entity_e1(name), F.lit("")))
+def entity_of(pattern: Column, entities: Column) -> Column:
+    """Documented entity if the pattern contains one, else the token before the report keyword.
+
+    The pattern has lost the separator after the hash, which the token expression asks for.
+    """
+    token = entity_e1(F.concat(F.lit("_"), pattern))
+    return F.coalesce(known_entity(pattern, entities), F.nullif(token, F.lit("")))
 
 
 def file_date(name: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from dqwatch.functions.naming import entity_e3
 from dqwatch.functions.numbers import hours_between, pct_change
 from dqwatch.operators.lookup import lookup
-from dqwatch.operators.patterns import files_against_baseline, last
+from dqwatch.operators.patterns import FILE_IDENTITY, files_against_baseline, last
 from dqwatch.schema import COMPARABLE_STATUSES
 
 HOURS_LIMIT = 4
@@ -161,5 +161,11 @@ def filled_last_week_empty_today(
     kept = stats.filter((F.col("n") > 0) & ((F.col("n_today") == 0) | (F.col("n_today_empty") > 0)))
     baseline = manifest.filter(~is_today & (rows > rows_limit))
     return lookup(
-        baseline, kept.drop("n"), keys, "inner", key_counts=stats.select(*keys, "n"), **options
+        baseline,
+        kept.drop("n"),
+        keys,
+        "inner",
+        key_counts=stats.select(*keys, "n"),
+        salt_on=FILE_IDENTITY,
+        **options,
     ).select(*keys, "uploaded_at", rows.alias("lastweek_rows"), "n_today", "n_today_empty")

@@ -13,9 +13,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from dqwatch.functions import naming
 from dqwatch.functions.numbers import MICROS_PER_HOUR, clock, tenths_text, thousands
-from dqwatch.operators.expectations import outside_ranges, source_volumes
+from dqwatch.operators.expectations import outside_ranges, pattern_volumes
 from dqwatch.operators.lookup import lookup
-from dqwatch.operators.patterns import KEYS, with_pattern
+from dqwatch.operators.patterns import FILE_IDENTITY, KEYS, with_pattern
 from dqwatch.schema import FINDING
 
 HEAD = ["snapshot_day", "source_id"]
@@ -339,11 +339,11 @@ def file_findings(
         "may_arrive_anytime",
     )
     counts = delivered.select(*KEYS, F.col("n_today").alias("n"))
-    known = with_timing(lookup(files, facts, KEYS, "inner", key_counts=counts, **options))
+    known = with_timing(lookup(files, facts, KEYS, "inner", counts, FILE_IDENTITY, **options))
     return _emit(known, detectors, limits)
 
 
-def range_findings(manifest: DataFrame, facts: DataFrame, **options: int) -> DataFrame:
+def range_findings(facts_by_pattern: DataFrame, facts: DataFrame, **options: int) -> DataFrame:
     """Source-day volumes outside a documented range, as volume findings."""
     bound = F.when(F.col("is_above"), F.col("hi")).otherwise(F.col("lo"))
     sign = F.when(F.col("is_above"), "> ").otherwise("< ")
@@ -364,7 +364,7 @@ def range_findings(manifest: DataFrame, facts: DataFrame, **options: int) -> Dat
         metric=F.col("volume"),
         baseline=bound,
     )
-    out = outside_ranges(source_volumes(manifest), facts, **options)
+    out = outside_ranges(pattern_volumes(facts_by_pattern), facts, **options)
     return out.select(*HEAD, F.inline(F.array(found)))
 
 

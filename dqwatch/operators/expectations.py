@@ -12,8 +12,7 @@ from dqwatch.schema import COMPARABLE_STATUSES
 
 def delivery_days(manifest: DataFrame) -> Column:
     """The snapshot days that have a manifest, as one array; it grows with the calendar only."""
-    days = manifest.filter(F.col("from_period") == "today").agg(F.collect_set("snapshot_day"))
-    return days.scalar()
+    return manifest.select("snapshot_day").distinct().agg(F.collect_set("snapshot_day")).scalar()
 
 
 def scheduled(day: Column, not_expected_on: Column) -> Column:
@@ -57,18 +56,14 @@ def pattern_facts(manifest: DataFrame, facts: DataFrame, **options: int) -> Data
     documented pattern without any delivery gets its row there.
     """
     due = expected_deliveries(facts, delivery_days(manifest))
-    with_due = (
-        with_pattern(manifest)
-        .withColumn("expected_name", F.lit(None).cast("string"))
-        .unionByName(
-            due.withColumn("from_period", F.lit("expected")).withColumn("filename", F.col("expected_name")),
-            allowMissingColumns=True,
-        )
+    with_due = with_pattern(manifest).unionByName(
+        due.drop("expected_name").withColumn("from_period", F.lit("expected")), allowMissingColumns=True
     )
     stats = pattern_stats(with_due, mode="given")
     documented = facts.select(
         "source_id",
         "entities",
+        "expected_files",
         F.array_min("windows.start_min").alias("window_start"),
         F.array_max("windows.end_min").alias("window_end"),
         F.get("usual_minutes", F.lit(0)).alias("usual_minute"),
@@ -78,18 +73,22 @@ def pattern_facts(manifest: DataFrame, facts: DataFrame, **options: int) -> Data
         "lag_days",
     )
     joined = lookup(stats, documented, ["source_id"], **options)
-    entity = entity_of(F.col("example"), F.col("entities"))
+    entity = entity_of(F.col("pattern"), F.col("entities"))
+    documented_as = F.filter("expected_files", lambda f: f["pattern"] == F.col("pattern"))
 
     def listed(column: str) -> Column:
         return F.coalesce(F.array_contains(F.col(column), F.col("entity")), F.lit(False))
 
     return (
         joined.withColumn("entity", entity)
+        .withColumn(
+            "expected_name", F.when(F.col("n_today") == 0, F.get(documented_as, F.lit(0))["expected_name"])
+        )
         .withColumn("is_scheduled", scheduled(F.col("snapshot_day"), F.col("not_expected_on")))
         .withColumn("may_be_empty", listed("regularly_empty"))
         .withColumn("may_arrive_anytime", listed("variable_arrival"))
         .withColumn("lag_days", F.coalesce("lag_days", F.lit(0)))
-        .drop("entities", "not_expected_on", "regularly_empty", "variable_arrival")
+        .drop("entities", "expected_files", "not_expected_on", "regularly_empty", "variable_arrival")
     )
 
 
@@ -102,6 +101,15 @@ def source_volumes(manifest: DataFrame) -> DataFrame:
     )
 
 
+def pattern_volumes(by_pattern: DataFrame) -> DataFrame:
+    """Comparable records per source-day, from the pattern table."""
+    return (
+        by_pattern.filter(F.col("ok_today") > 0)
+        .groupBy("snapshot_day", "source_id")
+        .agg(F.sum("volume_today").alias("volume"))
+    )
+
+
 def outside_ranges(volumes: DataFrame, facts: DataFrame, **options: int) -> DataFrame:
     """Source-days whose volume leaves a documented range, one row per range left."""
     ranged = lookup(volumes, facts.select("source_id", "ranges"), ["source_id"], "inner", **options)

@@ -28,6 +28,7 @@ def lookup(
     keys: list[str],
     how: str = "left",
     key_counts: DataFrame | None = None,
+    salt_on: list[str] | None = None,
     broadcast_bytes: int = BROADCAST_BYTES,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
@@ -38,7 +39,8 @@ def lookup(
     one facts row is repeated per salt. The hottest ``MAX_HOT_KEYS`` keys are treated so, which bounds
     the broadcast list; any further key holds less than that fraction of the rows and joins unsalted.
 
-    ``key_counts`` (keys plus ``n``) saves the count when the caller has it already.
+    ``key_counts`` (keys plus ``n``) saves the count when the caller has it already; ``salt_on`` names the
+    columns that tell the rows of a key apart, all columns by default.
     """
     size = input_bytes(facts)
     if size is not None and size <= broadcast_bytes:
@@ -52,7 +54,7 @@ def lookup(
         .select(*keys, F.ceil(F.col("n") / F.lit(hot_rows)).cast("int").alias("_fan"))
     )
     # copies of a row hash alike, so the partition they are read in takes part in the salt
-    spread = F.pmod(F.xxhash64(*rows.columns, F.spark_partition_id()), F.col("_fan")).cast("int")
+    spread = F.pmod(F.xxhash64(*(salt_on or rows.columns), F.spark_partition_id()), F.col("_fan")).cast("int")
     salted_rows = rows.join(hot, keys, "left").withColumn("_salt", F.coalesce(spread, F.lit(0))).drop("_fan")
     salted_facts = (
         facts.join(hot, keys, "left")

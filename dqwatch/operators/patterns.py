@@ -15,6 +15,7 @@ from dqwatch.operators.lookup import lookup
 from dqwatch.schema import COMPARABLE_STATUSES
 
 KEYS = ["snapshot_day", "source_id", "pattern"]
+FILE_IDENTITY = ["filename", "uploaded_at"]
 PATTERN_MODES = {
     "normalized": normalized_pattern,
     "literal": base_pattern,
@@ -30,7 +31,10 @@ def with_pattern(manifest: DataFrame, mode: str = "normalized") -> DataFrame:
 
 
 def pattern_stats(manifest: DataFrame, mode: str = "normalized") -> DataFrame:
-    """Counts, volumes and arrival range per pattern, for today and for last week."""
+    """Counts, volumes and arrival range per pattern, for today and for last week.
+
+    All measures are numbers or times, so Spark aggregates by hashing; a text measure would make it sort.
+    """
     is_today, is_last = F.col("from_period") == "today", F.col("from_period") == "last_weekday"
     ok, rows = F.col("status").isin(COMPARABLE_STATUSES), F.col("rows")
 
@@ -48,8 +52,6 @@ def pattern_stats(manifest: DataFrame, mode: str = "normalized") -> DataFrame:
             F.max(F.when(is_last, rows)).alias("max_rows_last"),
             F.min(F.when(is_last, F.col("uploaded_at"))).alias("first_upload_last"),
             F.max(F.when(is_last, F.col("uploaded_at"))).alias("last_upload_last"),
-            F.min("filename").alias("example"),
-            F.min(F.when(F.col("from_period") == "expected", F.col("filename"))).alias("expected_name"),
         )
     )
 
@@ -80,6 +82,7 @@ def files_against_baseline(
         KEYS,
         how,
         key_counts=stats.select(*KEYS, "n"),
+        salt_on=FILE_IDENTITY,
         **options,
     )
 

@@ -6,7 +6,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, functions as F
 
-from dqwatch.operators.detectors import DEFAULT_LIMITS, Limits, pattern_findings
+from dqwatch.operators.detectors import DEFAULT_LIMITS, Limits, pattern_findings, range_findings
 from dqwatch.operators.expectations import delivery_days, pattern_facts
 from dqwatch.operators.listings import in_scope
 from dqwatch.plans.findings import all_findings
@@ -49,10 +49,19 @@ class Analysis:
 
     @cached_property
     def issues(self) -> DataFrame:
-        days = delivery_days(self._manifest)
-        stored = self.by_pattern if self._keep else None
+        volumes = pattern_findings(self.by_pattern, ("volume",), self._limits).unionByName(
+            range_findings(self.by_pattern, self._facts, **self._options)
+        )
         return self._shared(
-            source_issues(self._manifest, self.findings, self._facts, days, self._limits, stored)
+            source_issues(
+                self._manifest,
+                self.findings,
+                self._facts,
+                delivery_days(self.by_pattern if self._keep else self._manifest),
+                self._limits,
+                self.by_pattern if self._keep else None,
+                volumes,
+            )
         )
 
     @cached_property

@@ -33,7 +33,7 @@ def all_findings(
     by_pattern = by_pattern if by_pattern is not None else pattern_facts(manifest, facts, **options)
     return (
         pattern_findings(by_pattern, limits=limits)
-        .unionByName(range_findings(manifest, facts, **options))
+        .unionByName(range_findings(by_pattern, facts, **options))
         .unionByName(file_findings(manifest, by_pattern, limits=limits, **options))
     )
 
@@ -53,7 +53,7 @@ def detector_findings(
     by_pattern = pattern_facts(manifest, facts, **options)
     if detector in PATTERN_DETECTORS:
         found = pattern_findings(by_pattern, (detector,), limits)
-        return found.unionByName(range_findings(manifest, facts, **options)) if detector == "volume" else found
+        return found.unionByName(range_findings(by_pattern, facts, **options)) if detector == "volume" else found
     return file_findings(manifest, by_pattern, (detector,), limits, **options)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from dqwatch.functions.numbers import records_text
+from dqwatch.functions.numbers import records_text, thousands
 from dqwatch.operators.detectors import DEFAULT_LIMITS, HEAD, Limits, window_text
 from dqwatch.operators.expectations import source_calendar
 from dqwatch.operators.lookup import lookup
@@ -81,28 +81,29 @@ def _flags(limits: Limits) -> dict[str, Column]:
 def issue_counts(findings: DataFrame, limits: Limits = DEFAULT_LIMITS) -> DataFrame:
     """Findings folded per source-day and issue key; a late pattern that is missing counts as missing.
 
-    The key is the error shape for failures and the pattern otherwise, so equal errors meet in one row.
+    Only numbers are folded, so the aggregation hashes. The key is the error shape for failures and the pattern otherwise, so equal errors meet in one row.
     """
     key = F.when(
         F.col("kind") == "failure", F.concat(F.lit("error "), F.coalesce("error_text", F.lit("")))
     ).otherwise(F.concat(F.lit("pattern "), F.coalesce("pattern", F.lit(""))))
-    gap = F.abs(F.col("metric") - F.col("baseline"))
-
-    def leading(detector: str, score: Column) -> Column:
-        ranked = F.struct("severity", score.alias("score"), "message")
-        return F.max(F.when(F.col("detector") == detector, ranked))
-
     flags = _flags(limits)
     per_key = findings.groupBy(*HEAD, key.alias("issue_key")).agg(
         *[F.count_if(flag).alias(name) for name, flag in flags.items()],
-        leading("volume", gap).alias("top_volume"),
-        leading("empty", F.col("baseline")).alias("top_empty"),
-        leading("late", F.col("metric")).alias("top_late"),
+        F.max(F.when(F.col("detector") == "empty", F.col("baseline"))).alias("most_rows_before"),
+        F.max(F.when(F.col("kind") == "late", F.col("metric"))).alias("most_hours_late"),
+        F.max(F.when(F.col("kind") == "early", F.col("metric"))).alias("most_hours_early"),
     )
     superseded = F.col("n_missing") > 0
     for name in ["n_late", "n_very_late"]:
         per_key = per_key.withColumn(name, F.when(superseded, 0).otherwise(F.col(name)))
-    return per_key.withColumn("top_late", F.when(~superseded, F.col("top_late")))
+    return per_key.withColumn("most_hours_late", F.when(~superseded, F.col("most_hours_late")))
+
+
+def leading_volumes(volume_findings: DataFrame) -> DataFrame:
+    """Volume findings as candidates for the one that the summary line shows."""
+    gap = F.abs(F.col("metric") - F.col("baseline"))
+    found = volume_findings.filter(F.col("detector") == "volume")
+    return found.select(*HEAD, F.struct("severity", gap.alias("gap"), "message").alias("top_volume"))
 
 
 def source_issues(
@@ -112,12 +113,14 @@ def source_issues(
     days: Column | None = None,
     limits: Limits = DEFAULT_LIMITS,
     by_pattern: DataFrame | None = None,
+    volumes: DataFrame | None = None,
 ) -> DataFrame:
     """One row per source and day with all counts, severities and totals.
 
     Sources without findings, and documented sources without files, get their row as well: totals,
     findings and the documented calendar are stacked and folded once, nothing is joined away.
-    ``by_pattern`` takes a stored ``pattern_facts`` table, which spares reading the manifest again.
+    ``by_pattern`` takes a stored ``pattern_facts`` table, which spares reading the manifest again, and
+    ``volumes`` the volume findings alone, which spares going through all findings for them.
     """
     if by_pattern is not None:
         totals = by_pattern.select(*HEAD, F.col("rows_today").alias("rows"), F.col("n_today").alias("n"))
@@ -126,7 +129,9 @@ def source_issues(
     totals = totals.groupBy(*HEAD).agg(
         F.sum("rows").cast("bigint").alias("total_rows"), F.sum("n").cast("bigint").alias("n_files")
     )
-    stacked = totals.unionByName(issue_counts(findings, limits), allowMissingColumns=True)
+    stacked = totals.unionByName(issue_counts(findings, limits), allowMissingColumns=True).unionByName(
+        leading_volumes(findings if volumes is None else volumes), allowMissingColumns=True
+    )
     if facts is not None:
         stacked = stacked.unionByName(source_calendar(facts.select("source_id"), days), allowMissingColumns=True)
     per_error = F.when(F.col("n_failure") > 0, F.struct("n_failure", F.substring("issue_key", 7, 2000).alias("text")))
@@ -136,8 +141,7 @@ def source_issues(
         *[F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in COUNTS],
         F.max(per_error).alias("top_error"),
         F.max("top_volume").alias("top_volume"),
-        F.max("top_empty").alias("top_empty"),
-        F.max("top_late").alias("top_late"),
+        *[F.max(c).alias(c) for c in ["most_rows_before", "most_hours_late", "most_hours_early"]],
     )
     return folded.select("*", *_severities(limits)).withColumn(
         "severity", F.greatest(*[F.col(f"{d}_severity") for d in DETECTORS])
@@ -260,18 +264,26 @@ def _clauses() -> dict[str, Column]:
         ),
         "empty": F.concat(
             _counted(c("n_empty"), " file unexpectedly empty", " files unexpectedly empty"),
-            F.lit(", e.g. "),
-            c("top_empty.message"),
+            F.lit(" (last week up to "),
+            thousands(c("most_rows_before").cast("bigint")),
+            F.lit(" records)"),
         ),
-        "late": F.concat(
-            c("top_late.message"),
-            F.when(
-                c("n_late") > 1, F.concat(F.lit("; "), c("n_late").cast("string"), F.lit(" files uploaded >4 hours late"))
-            ).otherwise(""),
+        "late": F.concat_ws(
+            ", ",
+            _hours(c("n_late"), " uploaded >4 hours late", c("most_hours_late")),
+            _hours(c("n_schedule_change"), " delivered early", c("most_hours_early")),
         ),
     }
 
 
+def _hours(n: Column, what: str, hours: Column) -> Column:
+    """``3 files uploaded >4 hours late (up to 9 hours)``; NULL for no files."""
+    most = F.floor(hours).cast("string")
+    return F.when(
+        n > 0, F.concat(_counted(n, " file", " files"), F.lit(f"{what} (up to "), most, F.lit(" hours)"))
+    )
+
+
 def source_lines(
     issues: DataFrame,
     missing: DataFrame,

@@ -153,7 +153,7 @@ st AS (
     CAST(sum(rows) FILTER (from_period = 'today' AND status IN ('processed', 'empty')) AS BIGINT) AS volume_today,
     CAST(sum(rows) FILTER (from_period = 'last_weekday' AND status IN ('processed', 'empty')) AS BIGINT) AS volume_last,
     max(rows) FILTER (from_period = 'last_weekday') AS max_rows_last,
-    min(filename) AS example, min(expected_name) AS expected_name
+    min(expected_name) AS expected_name
   FROM (SELECT snapshot_day, source_id, pattern, from_period, status, rows, filename, NULL AS expected_name FROM mp
         UNION ALL
         SELECT snapshot_day, source_id, pattern, 'expected', NULL, NULL, expected_name, expected_name FROM due)
@@ -161,11 +161,11 @@ st AS (
 ),
 known AS (
   SELECT st.source_id, st.snapshot_day, st.pattern, max(struct_pack(n := length(c.entity), v := c.entity)).v AS v
-  FROM st JOIN cent c ON c.source_id = st.source_id AND contains(st.example, c.entity) GROUP BY ALL
+  FROM st JOIN cent c ON c.source_id = st.source_id AND contains(st.pattern, c.entity) GROUP BY ALL
 ),
 pf AS (
   SELECT st.*,
-    coalesce(known.v, nullif(regexp_extract(st.example, '_([A-Za-z0-9]+)_(?:payments|report|accounting)', 1), '')) AS entity,
+    coalesce(known.v, nullif(regexp_extract('_' || st.pattern, '_([A-Za-z0-9]+)_(?:payments|report|accounting)', 1), '')) AS entity,
     w.start_min AS window_start, w.end_min AS window_end, coalesce(lag_t.lag_days, 0) AS lag_days,
     off.source_id IS NULL AS is_scheduled
   FROM st LEFT JOIN known USING (snapshot_day, source_id, pattern)
@@ -291,8 +291,7 @@ per_source AS (
     count(*) FILTER (kind = 'late') AS n_late,
     count(*) FILTER (kind = 'early' AND severity > 0) AS n_change,
     arg_max(message, struct_pack(a := severity, b := abs(metric - baseline), c := message)) FILTER (detector = 'volume') AS top_volume,
-    arg_max(message, struct_pack(a := severity, b := baseline, c := message)) FILTER (detector = 'empty') AS top_empty,
-    arg_max(message, struct_pack(a := severity, b := metric, c := message)) FILTER (detector = 'late') AS top_late
+    max(baseline) FILTER (detector = 'empty') AS most_before, max(metric) FILTER (kind = 'late') AS most_late, max(metric) FILTER (kind = 'early') AS most_early
   FROM findings GROUP BY ALL
 ),
 errors AS (
@@ -336,8 +335,10 @@ clause AS (
       CASE WHEN n_stopped > 0 THEN CAST(n_stopped AS VARCHAR) || ' stopped' END,
       CASE WHEN n_deleted > 0 THEN CAST(n_deleted AS VARCHAR) || ' deleted' END) AS c_dup,
     top_volume || CASE WHEN n_volume = 2 THEN '; 1 more volume variation' WHEN n_volume > 2 THEN '; ' || CAST(n_volume - 1 AS VARCHAR) || ' more volume variations' ELSE '' END AS c_volume,
-    CAST(n_empty AS VARCHAR) || CASE WHEN n_empty = 1 THEN ' file' ELSE ' files' END || ' unexpectedly empty, e.g. ' || top_empty AS c_empty,
-    top_late || CASE WHEN n_late > 1 THEN '; ' || CAST(n_late AS VARCHAR) || ' files uploaded >4 hours late' ELSE '' END AS c_late
+    CAST(n_empty AS VARCHAR) || CASE WHEN n_empty = 1 THEN ' file' ELSE ' files' END || ' unexpectedly empty (last week up to ' || format('{:,}', CAST(most_before AS BIGINT)) || ' records)' AS c_empty,
+    concat_ws(', ',
+      CASE WHEN n_late > 0 THEN CAST(n_late AS VARCHAR) || CASE WHEN n_late = 1 THEN ' file' ELSE ' files' END || ' uploaded >4 hours late (up to ' || CAST(CAST(floor(most_late) AS BIGINT) AS VARCHAR) || ' hours)' END,
+      CASE WHEN n_change > 0 THEN CAST(n_change AS VARCHAR) || CASE WHEN n_change = 1 THEN ' file' ELSE ' files' END || ' delivered early (up to ' || CAST(CAST(floor(most_early) AS BIGINT) AS VARCHAR) || ' hours)' END) AS c_late
   FROM crit c LEFT JOIN cvn n USING (source_id) LEFT JOIN ment e USING (snapshot_day, source_id)
 ),
 parts AS (

@@ -66,7 +66,7 @@ def test_severity_table(hand_made, manifest_of):
 
 def test_missing_pattern_supersedes_late(hand_made):
     row = issue_counts(hand_made.filter("source_id = 'r'")).first()
-    assert (row.n_missing, row.n_late, row.top_late) == (1, 0, None)
+    assert (row.n_missing, row.n_late, row.most_hours_late) == (1, 0, None)
 
 
 def test_ranking_and_details_are_bounded_and_counted(stored):
