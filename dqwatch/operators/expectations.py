@@ -72,7 +72,9 @@ def pattern_facts(manifest: DataFrame, facts: DataFrame, **options: int) -> Data
         "variable_arrival",
         "lag_days",
     )
-    joined = lookup(stats, documented, ["source_id"], **options)
+    # a source has at most as many patterns as files, and its files are counted without their names
+    per_source = manifest.groupBy("source_id").agg(F.count(F.lit(1)).alias("n"))
+    joined = lookup(stats, documented, ["source_id"], key_counts=per_source, salt_on=["pattern"], **options)
     entity = entity_of(F.col("pattern"), F.col("entities"))
     documented_as = F.filter("expected_files", lambda f: f["pattern"] == F.col("pattern"))
 
