@@ -18,8 +18,8 @@ from dqwatch.sources.cv_files import cv_facts, first_sources
 class Analysis:
     """The tables of one analysis, each built when it is asked for.
 
-    ``keep`` persists the two tables that several outputs read: the pattern table and the one row per
-    source-day. Blocks lost with an executor are recomputed from their lineage; ``release`` drops them.
+    ``keep`` persists what several outputs read: the pattern table, the one row per source-day and, for
+    the source reports, the findings. Blocks lost with an executor are recomputed from their lineage; ``release`` drops them.
     """
 
     def __init__(
@@ -73,7 +73,8 @@ class Analysis:
         return executive_report(self.lines, clock)
 
     def source_reports(self) -> DataFrame:
-        return source_report(self.lines, self.findings)
+        # the findings are read for the counts, for the ranking and for the totals of the details
+        return source_report(self.lines, self._shared(self.findings))
 
     def release(self) -> None:
         for table in self._kept:
