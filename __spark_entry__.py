@@ -7,10 +7,14 @@ timestamps without zone, so that both engines return the same types.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+sys.path.insert(0, str(Path(__file__).resolve().parent))
+
 from dqwatch.functions import naming, numbers
 from dqwatch.operators import (
     comparison,

@@ -528,7 +528,7 @@ ORACLES: dict[str, str] = {
     "affected_share": f"""{WITH_FILES} SELECT {DAY}, source_id, count(*) AS n_files, count(*) FILTER (is_duplicated AND status = 'stopped') AS n_affected,
         count(*) FILTER (is_duplicated AND status = 'stopped') * 100.0 / count(*) AS affected_pct FROM t GROUP BY ALL""",
     "findings": f"{WITH_FACTS} SELECT {DAY}, source_id, {FINDING_COLUMNS} FROM findings",
-    "ranked_findings": f"""{WITH_FACTS} SELECT {DAY}, source_id, detector, message, severity, rank FROM (
+    "ranked_findings": f"""{WITH_FACTS} SELECT {DAY}, source_id, detector, message, severity, CAST(rank AS INTEGER) AS rank FROM (
         SELECT *, row_number() OVER (PARTITION BY snapshot_day, source_id, detector ORDER BY severity DESC,
           CASE WHEN detector IN ('late', 'previous') THEN metric ELSE abs(coalesce(metric, 0) - coalesce(baseline, 0)) END DESC, message, filename NULLS FIRST) AS rank
         FROM findings) WHERE rank <= 20""",
@@ -559,7 +559,33 @@ ORACLES: dict[str, str] = {
         SELECT h.snapshot_day, h.section, 1, '', CASE WHEN h.section = 2 THEN '• No attention required at this time.' ELSE '• No issues required at this time.' END
         FROM heads h ANTI JOIN bullets b USING (snapshot_day, section) WHERE h.section > 0
       ) SELECT {DAY}, section, position, source_id, line FROM (SELECT * FROM bullets UNION ALL SELECT * FROM heads UNION ALL SELECT * FROM blanks)""",
-    "cv_names": f"{WITH_DOCS} SELECT source_id, source_name, length(text) AS n_chars FROM cvn",
+    "source_report": f"""{WITH_ISSUES}, ranked AS (
+        SELECT *, row_number() OVER (PARTITION BY snapshot_day, source_id, detector ORDER BY severity DESC,
+          CASE WHEN detector IN ('late', 'previous') THEN metric ELSE abs(coalesce(metric, 0) - coalesce(baseline, 0)) END DESC, message, filename NULLS FIRST) AS rank
+        FROM findings
+      ), texts AS (
+        SELECT snapshot_day, source_id, detector, string_agg(message, '; ' ORDER BY rank) FILTER (rank <= 20) ||
+          CASE WHEN count(*) > 20 THEN '; and ' || CAST(count(*) - 20 AS VARCHAR) || ' more' ELSE '' END AS text
+        FROM ranked GROUP BY ALL
+      ), wide AS (
+        SELECT snapshot_day, source_id, max(text) FILTER (detector = 'missing') AS a, max(text) FILTER (detector = 'duplicated_failed') AS b,
+          max(text) FILTER (detector = 'volume') AS c, max(text) FILTER (detector = 'late') AS d, max(text) FILTER (detector = 'empty') AS e, max(text) FILTER (detector = 'previous') AS f
+        FROM texts GROUP BY ALL
+      ), parted AS (
+        SELECT x.*, strftime(snapshot_day, '%Y-%m-%d') AS processing_date, '`[' || format('{{:,}}', total_rows) || '] records`' AS records, a, b, c, d, e, f,
+          concat_ws(chr(10), '**Missing Files**: ' || a, '**Failed/Duplicate Files**: ' || b, '**Volume Variations**: ' || c, '**Late/Early Uploads**: ' || d,
+            '**Empty Files**: ' || e, '**Previous Period Files**: ' || f) AS body
+        FROM lines x LEFT JOIN wide USING (snapshot_day, source_id)
+      ) SELECT {DAY}, source_id, source_name, processing_date, criticality_level, summary_line,
+          coalesce(a, '') AS missing_files_details, coalesce(b, '') AS failed_duplicate_details, coalesce(c, '') AS volume_variation_details,
+          coalesce(d, '') AS late_early_upload_details, coalesce(e, '') AS empty_file_details, coalesce(f, '') AS previous_period_details,
+          CASE WHEN severity = 0 THEN records ELSE '' END AS total_records, recommended_action,
+          concat_ws(chr(10), '## Source: ' || source_name || ' (id: ' || source_id || ')', '**Date**: ' || processing_date, '**Criticality Level**: ' || criticality_level,
+            '', '### Summary Line', summary_line, '', '### Detailed Findings', CASE WHEN body = '' THEN 'All files received and processed normally.' ELSE body END,
+            CASE WHEN severity = 0 THEN chr(10) || '### Total Records' || chr(10) || records END,
+            CASE WHEN severity > 0 THEN chr(10) || '### Recommended Action' || chr(10) || recommended_action END) AS full_report
+      FROM parted""",
+    "cv_names": f"{WITH_DOCS} SELECT source_id, source_name, CAST(length(text) AS INTEGER) AS n_chars FROM cvn",
     "cv_generic_names": f"{WITH_DOCS} SELECT source_id, 'Source_' || source_id AS source_name FROM docs",
     "cv_windows": f"{WITH_DOCS} SELECT source_id, start_min, end_min FROM windows",
     "cv_usual_times": f"{WITH_DOCS} SELECT source_id, minute FROM usual",
