@@ -14,9 +14,12 @@ from __future__ import annotations
 
 import hashlib
 import json
+import struct
 import unicodedata
+from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,59 +28,128 @@ from dqwatch.llm.common import map_columns, read
 #: Code points that the vocabulary's normaliser takes for white space (Unicode's property White_Space).
 _SPACE = "\t-\r \x85\xa0  -     　"
 _RUN = regex.compile(rf"[^{_SPACE}]+")
-_NONE = 1 << 40
-#: Encoded runs that a worker keeps, and the longest of them.
-KEPT_RUNS, KEPT_LENGTH = 200_000, 64
+_SEPARATORS = regex.compile("[\x1c-\x1f]")
+#: Above every rank.
+NO_RANK = 1 << 40
+#: Words merged side by side, and their longest in bytes; longer ones are merged one by one.
+MANY_WORDS, MANY_LENGTH = 8192, 48
+#: Characters of text whose runs are encoded together.
+CHUNK_CHARS = 2_000_000
+#: Encoded runs that a worker keeps in each of its two tables, and the longest of them.
+KEPT_RUNS, KEPT_LENGTH = 300_000, 64
+
+
+class Merges:
+    """Pairs of ids with their rank and the id that they merge to, in a hash table that whole arrays look up."""
+
+    def __init__(self, triples: list[tuple[int, int, int]]) -> None:
+        self.ranks = {(a, b): rank for rank, (a, b, _) in enumerate(triples)}
+        self.result = np.array([m for _, _, m in triples] or [0], dtype=np.int64)
+        self.bits = max(4, (4 * len(triples)).bit_length())
+        self.keys = np.full(1 << self.bits, -1, dtype=np.int64)
+        self.rank_at = np.full(1 << self.bits, NO_RANK, dtype=np.int64)
+        keys = np.array([a << 32 | b for a, b, _ in triples], dtype=np.int64)
+        for rank, (slot, key) in enumerate(zip(self._slots(keys).tolist(), keys.tolist(), strict=True)):
+            while self.keys[slot] >= 0:
+                slot = (slot + 1) & (len(self.keys) - 1)
+            self.keys[slot], self.rank_at[slot] = key, rank
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def lookup(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of each pair; ``NO_RANK`` for pairs that don't merge and for ids below 0."""
+        keys = np.where((left < 0) | (right < 0), -2, left << 32 | right)
+        slots = self._slots(keys)
+        out = np.where(self.keys[slots] == keys, self.rank_at[slots], NO_RANK)
+        open_ = np.flatnonzero((self.keys[slots] != keys) & (self.keys[slots] >= 0))
+        while open_.size:  # linear probing
+            slots[open_] = (slots[open_] + 1) & (len(self.keys) - 1)
+            there = self.keys[slots[open_]]
+            same = there == keys[open_]
+            out[open_[same]] = self.rank_at[slots[open_[same]]]
+            open_ = open_[~same & (there >= 0)]
+        return out
 
 
-def merge_word(symbols: list[str], ranks: dict[tuple[str, str], int]) -> list[str]:
-    """Pieces of a word after all merges, lowest rank first, leftmost among equals."""
-    n = len(symbols)
+def merge_word(ids: list[int], merges: Merges) -> list[int]:
+    """Ids of a word after all merges, lowest rank first, leftmost among equals."""
+    n, result, get = len(ids), merges.result, merges.ranks.get
     if n < 2:
-        return symbols
-    size = 1 << (n - 2).bit_length() if n > 2 else 1
+        return ids
+    size = 1 << (n - 1).bit_length()
     shift = size.bit_length()
     # a node holds rank and place as one number, so that the minimum is the leftmost of the lowest
-    tree = [_NONE << shift] * (2 * size)
-    get = ranks.get
+    tree = [NO_RANK << shift] * (2 * size)
     for i in range(n - 1):
-        tree[size + i] = get((symbols[i], symbols[i + 1]), _NONE) << shift | i
+        tree[size + i] = get((ids[i], ids[i + 1]), NO_RANK) << shift | i
     for i in range(size - 1, 0, -1):
-        a, b = tree[2 * i], tree[2 * i + 1]
-        tree[i] = a if a <= b else b
-    following, previous = list(range(1, n + 1)), list(range(-1, n - 1))
-    mask = (1 << shift) - 1
+        tree[i] = min(tree[2 * i], tree[2 * i + 1])
+    following, previous = list(range(1, n + 1)), list(range(-1, n))
 
     def put(at: int, rank: int) -> None:
         i = size + at
         tree[i] = rank << shift | at
         i >>= 1
         while i:
-            a, b = tree[2 * i], tree[2 * i + 1]
-            low = a if a <= b else b
-            if tree[i] == low:
-                break
-            tree[i] = low
+            tree[i] = min(tree[2 * i], tree[2 * i + 1])
             i >>= 1
 
-    alive = [True] * n
-    while tree[1] >> shift < _NONE:
-        left = tree[1] & mask
+    while (root := tree[1]) >> shift < NO_RANK:
+        left = root & ((1 << shift) - 1)
         right = following[left]
-        symbols[left] += symbols[right]
-        alive[right] = False
-        after = following[left] = following[right]
-        if right < n - 1:
-            put(right, _NONE)
-        if after < n:
-            previous[after] = left
-            put(left, get((symbols[left], symbols[after]), _NONE))
-        else:
-            put(left, _NONE)
-        before = previous[left]
+        after, before = following[right], previous[left]
+        ids[left], ids[right] = int(result[root >> shift]), -1
+        following[left], previous[after] = after, left
+        put(right, NO_RANK)
+        put(left, get((ids[left], ids[after]), NO_RANK) if after < n else NO_RANK)
         if before >= 0:
-            put(before, get((symbols[before], symbols[left]), _NONE))
-    return [s for s, x in zip(symbols, alive, strict=True) if x]
+            put(before, get((ids[before], ids[left]), NO_RANK))
+    return [i for i in ids if i >= 0]
+
+
+def merge_words(ids: np.ndarray, merges: Merges) -> np.ndarray:
+    """The same for many words at once: a row of ids per word, filled up with -1; each row has a tree of its own."""
+    words, n = ids.shape
+    size = 1 << max(1, n - 1).bit_length()
+    shift = size.bit_length()
+    none = NO_RANK << shift
+    ids = np.concatenate([ids, np.full((words, 1), -1, dtype=np.int64)], axis=1)  # -1 behind the last one
+    tree = np.full((words, 2 * size), none, dtype=np.int64)
+    tree[:, size : size + n] = merges.lookup(ids[:, :-1].ravel(), ids[:, 1:].ravel()).reshape(words, n) << shift
+    tree[:, size : size + n] |= np.arange(n)
+    level = size // 2
+    while level:
+        tree[:, level : 2 * level] = np.minimum(tree[:, 2 * level : 4 * level : 2], tree[:, 2 * level + 1 : 4 * level : 2])
+        level //= 2
+    following = np.tile(np.arange(1, n + 2), (words, 1))
+    previous = np.tile(np.arange(-1, n), (words, 1))
+    following[:, n] = n
+
+    def put(rows: np.ndarray, at: np.ndarray, ranks: np.ndarray | int) -> None:
+        node = size + at
+        tree[rows, node] = ranks << shift | at
+        for _ in range(shift - 1):
+            node = node >> 1
+            tree[rows, node] = np.minimum(tree[rows, 2 * node], tree[rows, 2 * node + 1])
+
+    rows = np.arange(words)
+    while True:
+        root = tree[rows, 1]
+        live = root < none
+        rows, root = rows[live], root[live]
+        if not rows.size:
+            return ids[:, :n]
+        left = root & ((1 << shift) - 1)
+        right = following[rows, left]
+        after, before = following[rows, right], previous[rows, left]
+        new = merges.result[root >> shift]
+        ids[rows, left], ids[rows, right] = new, -1
+        following[rows, left], previous[rows, after] = after, left
+        put(rows, right, NO_RANK)
+        put(rows, left, merges.lookup(new, ids[rows, after]))
+        some = before >= 0
+        put(rows[some], before[some], merges.lookup(ids[rows[some], before[some]], new[some]))
 
 
 class WordBpe:
@@ -87,19 +159,20 @@ class WordBpe:
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         model = spec["model"]
-        self.vocab: dict[str, int] = model["vocab"]
-        self.suffix = model.get("end_of_word_suffix") or ""
-        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
-        self.ranks = {pair: rank for rank, pair in enumerate(merges)}
+        vocab: dict[str, int] = model["vocab"]
+        suffix = model.get("end_of_word_suffix") or ""
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        self.merges = Merges([(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs])
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        pattern = split["pattern"]["Regex"].replace(r"[^\s", rf"[^{_SPACE}")
-        self.pieces = regex.compile(pattern)
-        added = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.added = added
-        self.special = regex.compile("|".join(map(regex.escape, sorted(added, key=len, reverse=True)))) if added else None
-        self.names = {i: s for s, i in {**self.vocab, **added}.items()}
-        self.byte_names = self._byte_names()
-        self.kept: dict[str, tuple[bytes, str]] = {}
+        self.pieces = regex.compile(split["pattern"]["Regex"].replace(r"[^\s", rf"[^{_SPACE}"))
+        self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.special = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) or "(?!)")
+        self.names = {i: s for s, i in {**vocab, **self.added}.items()}
+        byte_names = self._byte_names()
+        self.inner = np.array([vocab[x] for x in byte_names], dtype=np.int64)
+        self.last = np.array([vocab[x + suffix] for x in byte_names], dtype=np.int64)
+        self.young: dict[str, tuple[bytes, str]] = {}
+        self.old: dict[str, tuple[bytes, str]] = {}
 
     @staticmethod
     def _byte_names() -> list[str]:
@@ -108,55 +181,106 @@ class WordBpe:
         hidden = [b for b in range(256) if b not in shown]
         return [chr(b) if b in shown else chr(256 + hidden.index(b)) for b in range(256)]
 
-    def _encode_run(self, run: str) -> tuple[bytes, str]:
-        ids: list[int] = []
-        for piece in self.pieces.findall(run):
-            symbols = [self.byte_names[b] for b in piece.encode("utf-8")]
-            symbols[-1] += self.suffix
-            ids += [self.vocab[s] for s in merge_word(symbols, self.ranks) if s in self.vocab]
-        return b"".join(i.to_bytes(4, "little") for i in ids), self.decode(ids)
+    def _ids(self, word: bytes) -> np.ndarray:
+        ids = self.inner[np.frombuffer(word, dtype=np.uint8)]
+        ids[-1] = self.last[word[-1]]
+        return ids
+
+    def encode_words(self, words: list[str]) -> list[list[int]]:
+        """Ids of each word; short ones by size class many at once, long ones one by one."""
+        data = [w.encode("utf-8") for w in words]
+        out: list[list[int]] = [[] for _ in words]
+        lengths = np.array([len(d) for d in data])
+        low = 0
+        for high in (4, 8, 12, 16, 24, 32, MANY_LENGTH):
+            every = np.flatnonzero((lengths > low) & (lengths <= high))
+            low = high
+            for at in range(0, len(every), MANY_WORDS):
+                chosen = every[at : at + MANY_WORDS]
+                size = lengths[chosen]
+                flat = self.inner[np.frombuffer(b"".join([data[i] for i in chosen.tolist()]), dtype=np.uint8)]
+                ends = np.cumsum(size)
+                flat[ends - 1] = self.last[np.array([data[i][-1] for i in chosen.tolist()])]
+                ids = np.full((len(chosen), high), -1, dtype=np.int64)
+                ids[np.arange(high) < size[:, None]] = flat
+                merged = merge_words(ids, self.merges)
+                flat, counts = merged[merged >= 0].tolist(), (merged >= 0).sum(axis=1).tolist()
+                place = 0
+                for i, n in zip(chosen.tolist(), counts, strict=True):
+                    out[i] = flat[place : place + n]
+                    place += n
+        for i in np.flatnonzero(lengths > MANY_LENGTH).tolist():
+            out[i] = merge_word(self._ids(data[i]).tolist(), self.merges)
+        return out
 
     def decode(self, ids: list[int]) -> str:
         """The pieces' names joined by spaces: the file names no decoder, and ids without a name are left out."""
-        return " ".join(self.names[i] for i in ids if i in self.names)
-
-    def normalised(self, text: str) -> str:
-        text = unicodedata.normalize("NFC", text)
-        # letter by letter: no final sigma
-        return text.replace("Σ", "σ").lower()
-
-    def _encode_plain(self, text: str, out: list[bytes], names: list[str]) -> None:
-        kept = self.kept
-        for run in _RUN.findall(self.normalised(text)) if not text.isascii() else _ascii_runs(text):
-            both = kept.get(run)
-            if both is None:
-                both = self._encode_run(run)
-                if len(run) <= KEPT_LENGTH:
-                    if len(kept) >= KEPT_RUNS:
-                        kept.clear()
-                    kept[run] = both
-            out.append(both[0])
-            if both[0]:
-                names.append(both[1])
-
-    def encode(self, text: str | None) -> tuple[bytes, str]:
-        """Ids as little-endian unsigned 32-bit integers, and their decoded text."""
-        out: list[bytes] = []
-        names: list[str] = []
-        text, at = text or "", 0
-        if self.special is not None and "<|" in text:
-            for m in self.special.finditer(text):
-                self._encode_plain(text[at : m.start()], out, names)
-                out.append(self.added[m[0]].to_bytes(4, "little"))
-                names.append(m[0])
-                at = m.end()
-        self._encode_plain(text[at:] if at else text, out, names)
-        return b"".join(out), " ".join(names)
-
-
-def _ascii_runs(text: str) -> list[str]:
-    # str.split() also splits at the separators 1C to 1F, which aren't white space here
-    return _RUN.findall(text.lower()) if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.lower().split()
+        return " ".join([self.names[i] for i in ids if i in self.names])
+
+    def _learn(self, runs: set[str]) -> dict[str, tuple[bytes, str]]:
+        """Ids and names of runs, encoded anew."""
+        split = {run: self.pieces.findall(run) for run in runs}
+        words = list({w for pieces in split.values() for w in pieces})
+        ids = dict(zip(words, self.encode_words(words), strict=True))
+        new = {}
+        for run, pieces in split.items():
+            own = ids[pieces[0]] if len(pieces) == 1 else [i for w in pieces for i in ids[w]]
+            new[run] = (struct.pack(f"<{len(own)}I", *own), self.decode(own))
+        return new
+
+    def _encoded(self, runs: set[str]) -> dict[str, tuple[bytes, str]]:
+        """Two tables of bounded size: what was not asked for while the younger one filled up is forgotten."""
+        known = {}
+        for table in (self.young, self.old):
+            known.update((run, table[run]) for run in runs if run in table)
+            runs = runs - known.keys()
+        known.update(self._learn(runs))
+        if len(self.young) + len(known) > KEPT_RUNS:
+            self.young, self.old = {}, self.young
+        self.young.update((r, v) for r, v in known.items() if len(r) <= KEPT_LENGTH)
+        return known
+
+    def _parts(self, text: str) -> list[str | list[str]]:
+        """Special tokens as strings, what lies between as lists of runs without white space."""
+        if "<|" not in text:
+            return [_runs(text)]
+        parts: list[str | list[str]] = []
+        at = 0
+        for m in self.special.finditer(text):
+            parts += [_runs(text[at : m.start()]), m[0]]
+            at = m.end()
+        return [*parts, _runs(text[at:])]
+
+    def encode_many(self, texts: list[str | None]) -> Iterator[tuple[bytes, str]]:
+        """Per text its ids as little-endian unsigned 32-bit integers, and their decoded text. Null is empty."""
+        at = 0
+        while at < len(texts):
+            end, size = at, 0
+            while end < len(texts) and (end == at or size < CHUNK_CHARS):
+                size += len(texts[end] or "")
+                end += 1
+            chunk = [self._parts(t or "") for t in texts[at:end]]
+            at = end
+            wanted = {run for parts in chunk for part in parts if not isinstance(part, str) for run in part}
+            known = self._encoded(wanted)
+            for parts in chunk:
+                out: list[tuple[bytes, str]] = []
+                for part in parts:
+                    if isinstance(part, str):
+                        out.append((struct.pack("<I", self.added[part]), part))
+                    else:
+                        out += map(known.__getitem__, part)
+                yield b"".join([x[0] for x in out]), " ".join([x[1] for x in out if x[0]])
+
+
+def _runs(text: str) -> list[str]:
+    """Runs without white space of the normalised text: composed, and lower-cased letter by letter (no final sigma)."""
+    if text.isascii():
+        text = text.lower()
+        # str.split() also splits at the separators 1C to 1F, which aren't white space here
+        return text.split() if text.isprintable() or not _SEPARATORS.search(text) else _RUN.findall(text)
+    text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+    return _RUN.findall(text) if _SEPARATORS.search(text) else text.split()
 
 
 @lru_cache(maxsize=2)
@@ -180,8 +304,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, with_ids: bool =
     def encode(ids: list, texts: list) -> tuple[list, ...]:
         model = load(path or default_path())
         out: tuple[list, ...] = (ids, [], [], [], *([[], []] if with_ids else []))
-        for text in texts:
-            encoded, decoded = model.encode(text)
+        for encoded, decoded in model.encode_many(texts):
             out[1].append(len(encoded) // 4)
             out[2].append(hashlib.sha256(encoded).hexdigest())
             out[3].append(hashlib.sha256(decoded.encode("utf-8")).hexdigest())
