@@ -7,7 +7,7 @@ any white space of many thousand characters.
 
 The vocabulary file is read where the executors run; ``word_bpe_49k.json`` comes with the installed package
 ``public_tokenizers``. White space never falls inside a piece of this vocabulary, so the encodings of runs between
-white space are kept per worker (in a bounded table) and looked up by run.
+white space are kept per worker (in tables of bounded size) and looked up by run.
 """
 
 from __future__ import annotations
@@ -167,12 +167,16 @@ class WordBpe:
         self.pieces = regex.compile(split["pattern"]["Regex"].replace(r"[^\s", rf"[^{_SPACE}"))
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) or "(?!)")
-        self.names = {i: s for s, i in {**vocab, **self.added}.items()}
+        names = {i: f"{s} ".encode() for s, i in {**vocab, **self.added}.items()}
+        every = [names.get(i, b"") for i in range(max(names) + 1)]
+        self.name_bytes = np.frombuffer(b"".join(every), dtype=np.uint8)
+        self.name_size = np.array([len(x) for x in every], dtype=np.int64)
+        self.name_start = np.cumsum(self.name_size) - self.name_size
         byte_names = self._byte_names()
         self.inner = np.array([vocab[x] for x in byte_names], dtype=np.int64)
         self.last = np.array([vocab[x + suffix] for x in byte_names], dtype=np.int64)
-        self.young: dict[str, tuple[bytes, str]] = {}
-        self.old: dict[str, tuple[bytes, str]] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     @staticmethod
     def _byte_names() -> list[str]:
@@ -186,58 +190,64 @@ class WordBpe:
         ids[-1] = self.last[word[-1]]
         return ids
 
-    def encode_words(self, words: list[str]) -> list[list[int]]:
-        """Ids of each word; short ones by size class many at once, long ones one by one."""
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """Ids of each word as bytes; short ones by size class many at once, long ones one by one."""
         data = [w.encode("utf-8") for w in words]
-        out: list[list[int]] = [[] for _ in words]
-        lengths = np.array([len(d) for d in data])
+        out = [b""] * len(words)
+        lengths = np.array([len(d) for d in data], dtype=np.int64)
         low = 0
         for high in (4, 8, 12, 16, 24, 32, MANY_LENGTH):
             every = np.flatnonzero((lengths > low) & (lengths <= high))
             low = high
             for at in range(0, len(every), MANY_WORDS):
-                chosen = every[at : at + MANY_WORDS]
-                size = lengths[chosen]
-                flat = self.inner[np.frombuffer(b"".join([data[i] for i in chosen.tolist()]), dtype=np.uint8)]
-                ends = np.cumsum(size)
-                flat[ends - 1] = self.last[np.array([data[i][-1] for i in chosen.tolist()])]
+                size, chosen = lengths[every[at : at + MANY_WORDS]], every[at : at + MANY_WORDS].tolist()
+                flat = np.frombuffer(b"".join([data[i] for i in chosen]), dtype=np.uint8)
+                last = np.cumsum(size) - 1
+                symbols = self.inner[flat]
+                symbols[last] = self.last[flat[last]]
                 ids = np.full((len(chosen), high), -1, dtype=np.int64)
-                ids[np.arange(high) < size[:, None]] = flat
+                ids[np.arange(high) < size[:, None]] = symbols
                 merged = merge_words(ids, self.merges)
-                flat, counts = merged[merged >= 0].tolist(), (merged >= 0).sum(axis=1).tolist()
+                kept = merged >= 0
+                blob = merged[kept].astype("<u4").tobytes()
                 place = 0
-                for i, n in zip(chosen.tolist(), counts, strict=True):
-                    out[i] = flat[place : place + n]
-                    place += n
+                for i, end in zip(chosen, (4 * np.cumsum(kept.sum(axis=1))).tolist(), strict=True):
+                    out[i] = blob[place:end]
+                    place = end
         for i in np.flatnonzero(lengths > MANY_LENGTH).tolist():
-            out[i] = merge_word(self._ids(data[i]).tolist(), self.merges)
+            out[i] = np.array(merge_word(self._ids(data[i]).tolist(), self.merges), dtype="<u4").tobytes()
         return out
 
-    def decode(self, ids: list[int]) -> str:
-        """The pieces' names joined by spaces: the file names no decoder, and ids without a name are left out."""
-        return " ".join([self.names[i] for i in ids if i in self.names])
-
-    def _learn(self, runs: set[str]) -> dict[str, tuple[bytes, str]]:
-        """Ids and names of runs, encoded anew."""
-        split = {run: self.pieces.findall(run) for run in runs}
-        words = list({w for pieces in split.values() for w in pieces})
+    def decode(self, ids: np.ndarray) -> bytes:
+        """UTF-8 of the pieces' names joined by spaces: the file names no decoder; ids without a name are left out."""
+        ids = ids[ids < len(self.name_size)]
+        size = self.name_size[ids]
+        ends = np.cumsum(size)
+        if not ends.size or not ends[-1]:
+            return b""
+        places = np.repeat(self.name_start[ids] - (ends - size), size) + np.arange(ends[-1])
+        return self.name_bytes[places].tobytes()[:-1]
+
+    def _learn(self, runs: list[str]) -> dict[str, bytes]:
+        """Ids of runs, encoded anew."""
+        split = [
+            (run,) if run.isalpha() else (run[:-1], run[-1]) if run[-1] in ".," and run[:-1].isalpha() else self.pieces.findall(run)
+            for run in runs
+        ]
+        words = list({w for pieces in split for w in pieces})
         ids = dict(zip(words, self.encode_words(words), strict=True))
-        new = {}
-        for run, pieces in split.items():
-            own = ids[pieces[0]] if len(pieces) == 1 else [i for w in pieces for i in ids[w]]
-            new[run] = (struct.pack(f"<{len(own)}I", *own), self.decode(own))
-        return new
+        return {r: ids[p[0]] if len(p) == 1 else b"".join([ids[w] for w in p]) for r, p in zip(runs, split, strict=True)}
 
-    def _encoded(self, runs: set[str]) -> dict[str, tuple[bytes, str]]:
+    def _encoded(self, runs: set[str]) -> dict[str, bytes]:
         """Two tables of bounded size: what was not asked for while the younger one filled up is forgotten."""
-        known = {}
-        for table in (self.young, self.old):
-            known.update((run, table[run]) for run in runs if run in table)
-            runs = runs - known.keys()
-        known.update(self._learn(runs))
-        if len(self.young) + len(known) > KEPT_RUNS:
-            self.young, self.old = {}, self.young
-        self.young.update((r, v) for r, v in known.items() if len(r) <= KEPT_LENGTH)
+        young, old = self.young, self.old
+        known = {run: young[run] for run in runs if run in young}
+        rest = [run for run in runs if run not in young]
+        known.update((run, old[run]) for run in rest if run in old)
+        known.update(self._learn([run for run in rest if run not in old]))
+        if len(young) + len(rest) > KEPT_RUNS:
+            self.young, self.old = {}, young
+        self.young.update((r, known[r]) for r in rest if len(r) <= KEPT_LENGTH)
         return known
 
     def _parts(self, text: str) -> list[str | list[str]]:
@@ -251,8 +261,8 @@ class WordBpe:
             at = m.end()
         return [*parts, _runs(text[at:])]
 
-    def encode_many(self, texts: list[str | None]) -> Iterator[tuple[bytes, str]]:
-        """Per text its ids as little-endian unsigned 32-bit integers, and their decoded text. Null is empty."""
+    def encode_many(self, texts: list[str | None]) -> Iterator[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers. Null is empty."""
         at = 0
         while at < len(texts):
             end, size = at, 0
@@ -261,16 +271,14 @@ class WordBpe:
                 end += 1
             chunk = [self._parts(t or "") for t in texts[at:end]]
             at = end
-            wanted = {run for parts in chunk for part in parts if not isinstance(part, str) for run in part}
-            known = self._encoded(wanted)
+            known = self._encoded({run for parts in chunk for part in parts if not isinstance(part, str) for run in part})
             for parts in chunk:
-                out: list[tuple[bytes, str]] = []
-                for part in parts:
-                    if isinstance(part, str):
-                        out.append((struct.pack("<I", self.added[part]), part))
-                    else:
-                        out += map(known.__getitem__, part)
-                yield b"".join([x[0] for x in out]), " ".join([x[1] for x in out if x[0]])
+                yield b"".join(
+                    [
+                        struct.pack("<I", self.added[part]) if isinstance(part, str) else b"".join([known[run] for run in part])
+                        for part in parts
+                    ]
+                )
 
 
 def _runs(text: str) -> list[str]:
@@ -304,13 +312,14 @@ def encode_documents(docs: DataFrame, path: str | None = None, with_ids: bool =
     def encode(ids: list, texts: list) -> tuple[list, ...]:
         model = load(path or default_path())
         out: tuple[list, ...] = (ids, [], [], [], *([[], []] if with_ids else []))
-        for encoded, decoded in model.encode_many(texts):
+        for encoded in model.encode_many(texts):
+            decoded = model.decode(np.frombuffer(encoded, dtype="<u4"))
             out[1].append(len(encoded) // 4)
             out[2].append(hashlib.sha256(encoded).hexdigest())
-            out[3].append(hashlib.sha256(decoded.encode("utf-8")).hexdigest())
+            out[3].append(hashlib.sha256(decoded).hexdigest())
             if with_ids:
                 out[4].append(encoded)
-                out[5].append(decoded)
+                out[5].append(decoded.decode("utf-8"))
         return out
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
