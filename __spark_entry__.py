@@ -33,6 +33,17 @@ from dqwatch.sources import cv_files, derived, manifest_json
 from dqwatch.sqlview import ManifestTools
 from oracle_queries import ORACLES
 
+try:  # the subpackage and the pipeline over it may be absent
+    import corpus_pipeline
+    from dqwatch.llm.queries import ORACLES as LLM_ORACLES, QUERIES as LLM_QUERIES
+except ModuleNotFoundError as missing:
+    if missing.name not in ("corpus_pipeline", "dqwatch.llm"):
+        raise
+    LLM_QUERIES, LLM_ORACLES = {}, {}
+else:
+    LLM_QUERIES = {**LLM_QUERIES, "pipeline": corpus_pipeline.run}
+    LLM_ORACLES = {**LLM_ORACLES, **({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})}
+
 Query = Callable[[SparkSession, str], DataFrame]
 CLOCK = "20:00"
 
@@ -298,9 +309,9 @@ def queries() -> dict[str, Query]:
     def plain(query: Query) -> Query:
         return lambda spark, sf_dir: _plain(query(spark, sf_dir))
 
-    return {key: plain(query) for key, query in _queries().items()}
+    return {**{key: plain(query) for key, query in _queries().items()}, **LLM_QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL per query name."""
-    return dict(ORACLES)
+    return {**ORACLES, **LLM_ORACLES}
