@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dqwatch.llm import bpe, decontamination, secrets, sharding
+from dqwatch.llm import bpe, decontamination, secrets, sharding, simhash, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": secrets.query,
     "op2_decontamination": decontamination.query,
     "op4_bpe": bpe.query,
     "op5_sharding": sharding.query,
+    "op7_simhash": simhash.query,
+    "op8_topk": topk.query,
 }
 
 #: DuckDB SQL by query name, where SQL can express the operator.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op8_topk": topk.ORACLE}
