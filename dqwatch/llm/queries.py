@@ -6,15 +6,30 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dqwatch.llm import bpe, decontamination, secrets, sharding, simhash, topk
+from dqwatch.llm import (
+    bpe,
+    class_lm,
+    decontamination,
+    html_text,
+    secrets,
+    sharding,
+    simhash,
+    topk,
+    toxicity,
+    training_order,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": secrets.query,
     "op2_decontamination": decontamination.query,
+    "op3_training_order": training_order.query,
     "op4_bpe": bpe.query,
     "op5_sharding": sharding.query,
+    "op6_class_lm": class_lm.query,
     "op7_simhash": simhash.query,
     "op8_topk": topk.query,
+    "op9_html_text": html_text.query,
+    "op10_toxicity": toxicity.query,
 }
 
 #: DuckDB SQL by query name, where SQL can express the operator.
