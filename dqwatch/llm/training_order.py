@@ -21,6 +21,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -66,8 +67,8 @@ def _encoding(path: str):  # noqa: ANN202
 
 def sequences(text: str | None, length: int, path: str = "") -> list[np.ndarray]:
     """The text's tokens and one end of text, cut to ``length``; the last one is filled up with ends of text. Null is empty."""
-    tokens = np.array([*_encoding(path).encode_ordinary(text or ""), END_OF_TEXT], dtype="<u2")
-    filled = np.full(-(-len(tokens) // length) * length, END_OF_TEXT, dtype="<u2")
+    tokens = _encoding(path).encode_to_numpy(text or "", disallowed_special=())
+    filled = np.full((len(tokens) // length + 1) * length, END_OF_TEXT, dtype="<u2")
     filled[: len(tokens)] = tokens
     return list(filled.reshape(-1, length))
 
@@ -93,7 +94,7 @@ def materialise(docs: DataFrame, folder: str, length: int = LENGTH, shard_rows:
     shards = -(-total // shard_rows)
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
+        part, packer = TaskContext.get().partitionId(), zstandard.ZstdCompressor(level=1)
         now, end = first[part], first[part] + counted[part]
         for batch in batches:
             ids, parts, records = [], [], []
@@ -101,7 +102,7 @@ def materialise(docs: DataFrame, folder: str, length: int = LENGTH, shard_rows:
                 for k, record in enumerate(sequences(text, length, path)):
                     ids.append(doc_id)
                     parts.append(k)
-                    records.append(zlib.compress(record.tobytes(), 1))
+                    records.append(packer.compress(record.tobytes()))
             slots = permuted(np.arange(now, now + len(ids)), total, key) if ids else np.empty(0, dtype=np.int64)
             now += len(ids)
             columns = [pa.array(ids, pa.int64()), pa.array(parts, pa.int32()), pa.array(slots), pa.array(records, pa.binary())]
@@ -112,6 +113,7 @@ def materialise(docs: DataFrame, folder: str, length: int = LENGTH, shard_rows:
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(folder)
         stride, shard, sink, temporary = 2 * length, -1, None, ""
+        unpacker = zstandard.ZstdDecompressor()
 
         def finish() -> None:
             if sink is not None:
@@ -127,7 +129,7 @@ def materialise(docs: DataFrame, folder: str, length: int = LENGTH, shard_rows:
                     shard = slot // shard_rows
                     temporary = f"{root}/.{shard:06d}-{uuid.uuid4().hex}"
                     sink = store.open_output_stream(temporary)
-                data = zlib.decompress(record)
+                data = unpacker.decompress(record)
                 crcs.append(zlib.crc32(data))
                 sink.write(data)
             columns = [batch.column(0), batch.column(1), pa.array(slots), pa.array(slots // shard_rows, pa.int32()),
