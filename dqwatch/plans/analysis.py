@@ -73,8 +73,9 @@ class Analysis:
         return executive_report(self.lines, clock)
 
     def source_reports(self) -> DataFrame:
-        # the findings are read for the counts, for the ranking and for the totals of the details
-        return source_report(self.lines, self._shared(self.findings))
+        # kept before the lines are planned, so that the issues below these read them too
+        kept = self._shared(self.findings)
+        return source_report(self.lines, kept)
 
     def release(self) -> None:
         for table in self._kept:

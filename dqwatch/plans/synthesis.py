@@ -11,8 +11,6 @@ from dqwatch.operators.lookup import lookup
 from dqwatch.schema import ATTENTION, DETECTORS, NORMAL, URGENT
 from dqwatch.sources.cv_files import generic_name
 
-LISTED_ENTITIES = 15
-LISTED_MESSAGES = 20
 
 # Recommended action per leading detector.
 ACTIONS = {
@@ -134,7 +132,7 @@ def source_issues(
     )
     if facts is not None:
         stacked = stacked.unionByName(source_calendar(facts.select("source_id"), days), allowMissingColumns=True)
-    per_error = F.when(F.col("n_failure") > 0, F.struct("n_failure", F.substring("issue_key", 7, 2000).alias("text")))
+    per_error = F.when(F.col("n_failure") > 0, F.struct("n_failure", F.expr("substring(issue_key, 7)").alias("text")))
     folded = stacked.groupBy(*HEAD).agg(
         F.coalesce(F.sum("total_rows"), F.lit(0)).cast("bigint").alias("total_rows"),
         F.coalesce(F.sum("n_files"), F.lit(0)).cast("bigint").alias("n_files"),
@@ -188,11 +186,11 @@ def source_criticality(issues: DataFrame) -> DataFrame:
     )
 
 
-def ranked_findings(findings: DataFrame, k: int = LISTED_MESSAGES) -> DataFrame:
-    """The ``k`` leading findings of every source-day and detector, by severity, then size, then text.
+def ranked_findings(findings: DataFrame, k: int | None = None) -> DataFrame:
+    """All findings of every source-day and detector with their rank by severity, then size, then text.
 
-    The limit per group is applied before the shuffle as well, so a source with very many findings
-    sends at most ``k`` rows per task.
+    ``k`` asks for a short form: the leading ones. That limit is applied before the shuffle as well, so a source with
+    very many findings sends at most ``k`` rows per task.
     """
     size = F.when(F.col("detector").isin("late", "previous"), F.col("metric")).otherwise(
         F.abs(F.coalesce(F.col("metric"), F.lit(0.0)) - F.coalesce(F.col("baseline"), F.lit(0.0)))
@@ -201,26 +199,19 @@ def ranked_findings(findings: DataFrame, k: int = LISTED_MESSAGES) -> DataFrame:
         F.desc("severity"), F.desc("score"), "message", "filename"
     )
     ranked = findings.withColumn("score", size).withColumn("rank", F.row_number().over(order))
-    return ranked.filter(F.col("rank") <= k)
+    return ranked if k is None else ranked.filter(F.col("rank") <= k)
 
 
-def missing_entities_text(findings: DataFrame, k: int = LISTED_ENTITIES) -> DataFrame:
-    """The first ``k`` entities with missing files per source-day, with dots when there are more."""
-    order = Window.partitionBy(*HEAD).orderBy("entity")
+def missing_entities_text(findings: DataFrame) -> DataFrame:
+    """All entities with missing files per source-day."""
     first = (
         findings.filter((F.col("detector") == "missing") & F.col("entity").isNotNull())
         .select(*HEAD, "entity")
         .distinct()
-        .withColumn("rank", F.row_number().over(order))
-        .filter(F.col("rank") <= k + 1)
         .groupBy(*HEAD)
         .agg(F.sort_array(F.collect_list("entity")).alias("entities"))
     )
-    text = F.concat(
-        F.array_join(F.slice("entities", 1, k), ", "),
-        F.when(F.size("entities") > k, F.lit("...")).otherwise(F.lit("")),
-    )
-    return first.select(*HEAD, text.alias("missing_entities"))
+    return first.select(*HEAD, F.array_join("entities", ", ").alias("missing_entities"))
 
 
 def _counted(n: Column, one: str, many: str | None = None) -> Column:
@@ -345,20 +336,14 @@ def source_lines(
     )
 
 
-def detail_texts(findings: DataFrame, k: int = LISTED_MESSAGES) -> DataFrame:
-    """Six text columns: the leading findings of each detector, then how many more there are."""
-    counts = findings.groupBy(*HEAD, "detector").agg(F.count(F.lit(1)).alias("n_found"))
+def detail_texts(findings: DataFrame) -> DataFrame:
+    """Six text columns: all findings of each detector, the leading ones first."""
     listed = (
-        ranked_findings(findings, k)
+        ranked_findings(findings)
         .groupBy(*HEAD, "detector")
         .agg(F.sort_array(F.collect_list(F.struct("rank", "message"))).alias("leading"))
-        .join(counts, [*HEAD, "detector"])
-    )
-    more = F.col("n_found") - F.size("leading")
-    text = F.concat(
-        F.array_join(F.transform("leading", lambda x: x["message"]), "; "),
-        F.when(more > 0, F.concat(F.lit("; and "), more.cast("string"), F.lit(" more"))).otherwise(""),
     )
+    text = F.array_join(F.transform("leading", lambda x: x["message"]), "; ")
     return listed.groupBy(*HEAD).agg(
         *[F.max(F.when(F.col("detector") == d, text)).alias(DETAILS[d][0]) for d in DETAILS]
     )

@@ -321,7 +321,7 @@ crit AS (
 ),
 ment AS (
   SELECT snapshot_day, source_id,
-    array_to_string(list_sort(list(entity))[1:15], ', ') || CASE WHEN count(*) > 15 THEN '...' ELSE '' END AS entities
+    array_to_string(list_sort(list(entity)), ', ') AS entities
   FROM (SELECT DISTINCT snapshot_day, source_id, entity FROM findings WHERE detector = 'missing' AND entity IS NOT NULL) GROUP BY ALL
 ),
 clause AS (
@@ -531,7 +531,7 @@ ORACLES: dict[str, str] = {
     "ranked_findings": f"""{WITH_FACTS} SELECT {DAY}, source_id, detector, message, severity, CAST(rank AS INTEGER) AS rank FROM (
         SELECT *, row_number() OVER (PARTITION BY snapshot_day, source_id, detector ORDER BY severity DESC,
           CASE WHEN detector IN ('late', 'previous') THEN metric ELSE abs(coalesce(metric, 0) - coalesce(baseline, 0)) END DESC, message, filename NULLS FIRST) AS rank
-        FROM findings) WHERE rank <= 20""",
+        FROM findings)""",
     "missing_records": _record("SELECT * FROM fm", "missing_files", "missing_files_number", "pattern"),
     "duplicated_failed_records": _record(
         "SELECT *, unnest(CASE kind WHEN 'blocked_duplicate' THEN ['duplicated_files', 'failed_files'] WHEN 'duplicate' THEN ['duplicated_files'] ELSE ['failed_files'] END) AS issue FROM fd",
@@ -564,8 +564,7 @@ ORACLES: dict[str, str] = {
           CASE WHEN detector IN ('late', 'previous') THEN metric ELSE abs(coalesce(metric, 0) - coalesce(baseline, 0)) END DESC, message, filename NULLS FIRST) AS rank
         FROM findings
       ), texts AS (
-        SELECT snapshot_day, source_id, detector, string_agg(message, '; ' ORDER BY rank) FILTER (rank <= 20) ||
-          CASE WHEN count(*) > 20 THEN '; and ' || CAST(count(*) - 20 AS VARCHAR) || ' more' ELSE '' END AS text
+        SELECT snapshot_day, source_id, detector, string_agg(message, '; ' ORDER BY rank) AS text
         FROM ranked GROUP BY ALL
       ), wide AS (
         SELECT snapshot_day, source_id, max(text) FILTER (detector = 'missing') AS a, max(text) FILTER (detector = 'duplicated_failed') AS b,

@@ -69,21 +69,21 @@ def test_missing_pattern_supersedes_late(hand_made):
     assert (row.n_missing, row.n_late, row.most_hours_late) == (1, 0, None)
 
 
-def test_ranking_and_details_are_bounded_and_counted(stored):
+def test_ranking_has_an_optional_limit_and_details_are_whole(stored):
     many = [finding("a", "volume", "volume_up", 1, pattern=str(i), metric=float(i), baseline=0.0, message=f"m{i:02d}") for i in range(30)]
     many.append(finding("a", "volume", "volume_up", 2, pattern="u", metric=1.0, baseline=0.0, message="urgent"))
     found = stored(many, FINDINGS)
-    ranked = rows(ranked_findings(found, 3), "rank", "message")
-    assert ranked == [(1, "urgent"), (2, "m29"), (3, "m28")]
-    text = detail_texts(found, 3).first()
-    assert text.volume_variation_details == "urgent; m29; m28; and 28 more"
+    assert rows(ranked_findings(found, 3), "rank", "message") == [(1, "urgent"), (2, "m29"), (3, "m28")]
+    assert ranked_findings(found).count() == 31
+    text = detail_texts(found).first()
+    assert text.volume_variation_details == "; ".join(["urgent", *[f"m{i:02d}" for i in reversed(range(30))]])
     assert text.missing_files_details is None
 
 
-def test_entity_list_ends_with_dots(stored):
-    found = stored([finding("a", "missing", "missing", pattern=e, entity=e) for e in "dcbaa"], FINDINGS)
-    assert rows(missing_entities_text(found, 3), "missing_entities") == [("a, b, c...",)]
-    assert rows(missing_entities_text(found, 4), "missing_entities") == [("a, b, c, d",)]
+def test_all_missing_entities_are_named(stored):
+    names = [f"e{i:02d}" for i in range(40)]
+    found = stored([finding("a", "missing", "missing", pattern=e, entity=e) for e in [*reversed(names), "e00"]], FINDINGS)
+    assert rows(missing_entities_text(found), "missing_entities") == [(", ".join(names),)]
 
 
 @pytest.fixture(scope="module")
