@@ -7,6 +7,7 @@ import os
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from dqwatch.plans.synthesis import ranked_findings
 from tests.oracle_check import compare, connect
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -52,5 +53,5 @@ def test_scan_reads_only_what_is_used(spark):
 
 
 def test_rank_limit_applies_before_the_shuffle(spark):
-    plan = QUERIES["ranked_findings"](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+    plan = ranked_findings(QUERIES["findings"](spark, SF_DIR), 20)._jdf.queryExecution().executedPlan().toString()
     assert "Partial" in plan and "WindowGroupLimit" in plan
