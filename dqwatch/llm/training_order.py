@@ -14,6 +14,7 @@ would take more disk than the shards. The second pass checks each partition's co
 from __future__ import annotations
 
 import base64
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -65,9 +66,52 @@ def _encoding(path: str):  # noqa: ANN202
     return tiktoken.Encoding("bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+#: The tokenizer's pattern for texts of Latin letters, where the classes can be written out: letters, numbers, spaces.
+_L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾", r"\t-\r \x85\xa0"
+_PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
+_NOT_LATIN = re.compile("[^\0-ɏ‐-‧]")
+
+
+class _Pieces(dict):
+    """Token ids of pieces as bytes, kept for pieces that may come again; at most ``LIMIT`` of them."""
+
+    LIMIT, LONGEST = 1 << 18, 32
+
+    def __init__(self, path: str) -> None:
+        super().__init__()
+        self.path = path
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = np.array(_encoding(self.path).encode_ordinary(piece), dtype="<u2").tobytes()
+        if len(piece) <= self.LONGEST:
+            if len(self) >= self.LIMIT:
+                self.clear()
+            self[piece] = ids
+        return ids
+
+
+@lru_cache(maxsize=1)
+def _pieces(path: str) -> _Pieces:
+    return _Pieces(path)
+
+
+def token_bytes(text: str | None, path: str = "") -> bytes:
+    """The text's token ids as little-endian 16-bit numbers; null is empty."""
+    if not text:
+        return b""
+    if _NOT_LATIN.search(text):
+        return np.array(_encoding(path).encode_ordinary(text), dtype="<u2").tobytes()
+    return b"".join(map(_pieces(path).__getitem__, _PIECES.findall(text)))
+
+
+def sequence_count(text: str | None, length: int, path: str = "") -> int:
+    """How many sequences ``sequences`` gives."""
+    return len(token_bytes(text, path)) // 2 // length + 1
+
+
 def sequences(text: str | None, length: int, path: str = "") -> list[np.ndarray]:
     """The text's tokens and one end of text, cut to ``length``; the last one is filled up with ends of text. Null is empty."""
-    tokens = _encoding(path).encode_to_numpy(text or "", disallowed_special=())
+    tokens = np.frombuffer(token_bytes(text, path), dtype="<u2")
     filled = np.full((len(tokens) // length + 1) * length, END_OF_TEXT, dtype="<u2")
     filled[: len(tokens)] = tokens
     return list(filled.reshape(-1, length))
@@ -82,7 +126,7 @@ def materialise(docs: DataFrame, folder: str, length: int = LENGTH, shard_rows:
     docs = docs.select("doc_id", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = sum(len(sequences(t, length, path)) for b in batches for t in b.column(1).to_pylist())
+        n = sum(sequence_count(t, length, path) for b in batches for t in b.column(1).to_pylist())
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([n])], names=["part", "n"])
 
     # one small row per task
