@@ -27,7 +27,8 @@ def daily_volumes(manifest: DataFrame, day: str | Column = "snapshot_day") -> Da
 def volume_bands(volumes: DataFrame, n_days: int = 8, min_days: int = 3, z: float = Z_95) -> DataFrame:
     """Bounds from the previous ``n_days`` volumes of the same weekday, and whether today leaves them.
 
-    Sums and sums of squares are exact integers, so the result does not depend on row order.
+    Days with fewer than ``min_days`` earlier volumes have NULL bounds and are neither inside nor outside. Sums and
+    sums of squares are exact integers, so the result does not depend on row order.
     """
     earlier = (
         Window.partitionBy("source_id", "pattern", F.dayofweek("day"))
@@ -35,6 +36,7 @@ def volume_bands(volumes: DataFrame, n_days: int = 8, min_days: int = 3, z: floa
         .rowsBetween(-n_days, -1)
     )
     n, total = F.col("n_days"), F.col("sum_volume")
+    known = n >= max(min_days, 2)
     exact = F.col("volume").cast("decimal(18,0)")
     spread = (n.cast("decimal(10,0)") * F.col("sum_squares") - total * total).cast("double")
     mean, deviation = total.cast("double") / n, F.sqrt(spread / (n * (n - 1)))
@@ -44,10 +46,9 @@ def volume_bands(volumes: DataFrame, n_days: int = 8, min_days: int = 3, z: floa
         .withColumn("sum_squares", F.sum((exact * exact).cast("decimal(28,0)")).over(earlier).cast("decimal(28,0)"))
         .withColumn("lowest", F.min("volume").over(earlier))
         .withColumn("highest", F.max("volume").over(earlier))
-        .filter(n >= min_days)
-        .withColumn("mean_volume", mean)
-        .withColumn("lower", mean - z * deviation)
-        .withColumn("upper", mean + z * deviation)
+        .withColumn("mean_volume", F.when(known, mean))
+        .withColumn("lower", F.when(known, mean - z * deviation))
+        .withColumn("upper", F.when(known, mean + z * deviation))
         .withColumn(
             "outside", (F.col("volume") < F.col("lower")) | (F.col("volume") > F.col("upper"))
         )

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 BROADCAST_BYTES = 32 * 1024 * 1024
 HOT_ROWS = 1_000_000
-MAX_HOT_KEYS = 10_000
+HOT_KEYS = 10_000
 
 
 def input_bytes(df: DataFrame) -> int | None:
@@ -36,8 +36,8 @@ def lookup(
 
     Facts that come from less than ``broadcast_bytes`` of input are broadcast. Otherwise both sides are
     shuffled, and a key with more than ``hot_rows`` rows is spread over as many salts as it needs: its
-    one facts row is repeated per salt. The hottest ``MAX_HOT_KEYS`` keys are treated so, which bounds
-    the broadcast list; any further key holds less than that fraction of the rows and joins unsalted.
+    one facts row is repeated per salt. Only keys with more than 1 / ``HOT_KEYS`` of all rows are treated so,
+    which bounds the broadcast list by arithmetic; whatever lies below is left to Spark's skew join.
 
     ``key_counts`` (keys plus ``n``) saves the count when the caller has it already; ``salt_on`` names the
     columns that tell the rows of a key apart, all columns by default.
@@ -47,10 +47,10 @@ def lookup(
         return rows.join(F.broadcast(facts), keys, how)
 
     counts = key_counts if key_counts is not None else rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    # fewer than HOT_KEYS keys can have more than that share, so nothing has to be cut off
+    share = counts.agg(F.sum("n") / HOT_KEYS).scalar()
     hot = F.broadcast(
-        counts.filter(F.col("n") > hot_rows)
-        .orderBy(F.desc("n"), *keys)
-        .limit(MAX_HOT_KEYS)
+        counts.filter(F.col("n") > F.greatest(F.lit(hot_rows), share))
         .select(*keys, F.ceil(F.col("n") / F.lit(hot_rows)).cast("int").alias("_fan"))
     )
     # copies of a row hash alike, so the partition they are read in takes part in the salt

@@ -132,7 +132,8 @@ def source_issues(
     )
     if facts is not None:
         stacked = stacked.unionByName(source_calendar(facts.select("source_id"), days), allowMissingColumns=True)
-    per_error = F.when(F.col("n_failure") > 0, F.struct("n_failure", F.expr("substring(issue_key, 7)").alias("text")))
+    error = F.expr("substring(issue_key, 7)")
+    per_error = F.when((F.col("n_failure") > 0) & (error != ""), F.struct("n_failure", error.alias("text")))
     folded = stacked.groupBy(*HEAD).agg(
         F.coalesce(F.sum("total_rows"), F.lit(0)).cast("bigint").alias("total_rows"),
         F.coalesce(F.sum("n_files"), F.lit(0)).cast("bigint").alias("n_files"),
@@ -148,7 +149,8 @@ def source_issues(
 
 def _severities(limits: Limits) -> list[Column]:
     c, many = F.col, limits.urgent_count
-    same_error = F.coalesce(c("top_error.n_failure"), F.lit(0))
+    # failures without a message have no error in common
+    same_error = F.when(c("top_error.text") != "", c("top_error.n_failure")).otherwise(0)
     blocked_or_failed = c("n_blocked") + c("n_failure") + c("n_stopped") + c("n_deleted")
     levels = {
         "missing": F.when(c("n_missing") >= many, 2).when(c("n_missing") >= 1, 1),

@@ -19,10 +19,10 @@ FILE_OBJECT = T.StructType(
     [
         T.StructField("source_id", T.StringType()),
         T.StructField("filename", T.StringType()),
-        T.StructField("rows", T.LongType()),
+        T.StructField("rows", T.StringType()),  # a number, a number with fraction or a number as text
         T.StructField("status", T.StringType()),
         T.StructField("is_duplicated", T.BooleanType()),
-        T.StructField("file_size", T.LongType()),
+        T.StructField("file_size", T.StringType()),
         T.StructField("uploaded_at", T.StringType()),
         T.StructField("status_message", T.StringType()),
     ]

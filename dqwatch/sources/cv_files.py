@@ -89,9 +89,9 @@ def missing_cvs(manifest: DataFrame, cv_docs: DataFrame) -> DataFrame:
 
 def require_cvs(manifest: DataFrame, cv_docs: DataFrame) -> None:
     """Strict mode: raise when any delivering source lacks a profile."""
-    sample = [r.source_id for r in missing_cvs(manifest, cv_docs).limit(5).collect()]
-    if sample:
-        raise FileNotFoundError(f"No CV file for sources such as {', '.join(sample)}")
+    lacking = missing_cvs(manifest, cv_docs).agg(F.count(F.lit(1)).alias("n"), F.min("source_id").alias("one")).first()
+    if lacking.n:
+        raise FileNotFoundError(f"{lacking.n} sources have no CV file, such as {lacking.one}; missing_cvs lists them all")
 
 
 def _minutes(hhmm: Column) -> Column:

@@ -10,22 +10,30 @@ from dqwatch.session import pin_utc
 MANIFEST_FILES = {"files.json": "today", "files_last_weekday.json": "last_weekday"}
 
 
-def flatten_documents(docs: DataFrame, *keep: str | Column) -> DataFrame:
+def _whole(name: str) -> Column:
+    """``1200``, ``1200.0`` and ``"1200"`` are one number; what is none becomes NULL."""
+    return F.col(name).try_cast("decimal(38,6)").try_cast("bigint").alias(name)
+
+
+def flatten_documents(docs: DataFrame, *keep: str | Column, strict: bool = False) -> DataFrame:
     """``value`` holds ``{source_id: [file, …]}``; one row per file comes out.
 
-    A ``source_id`` inside the file object overrides the key. Unparsable upload times become NULL.
+    A ``source_id`` inside the file object overrides the key. Unparsable upload times become NULL. A document that
+    is no JSON has no rows and is listed by :func:`unread_documents`; ``strict`` raises on it.
     """
-    parsed = docs.select(*keep, F.explode(F.from_json("value", MANIFEST_DOCUMENT)).alias("key", "files"))
+    options = {"mode": "FAILFAST" if strict else "PERMISSIVE"}
+    document = F.from_json("value", MANIFEST_DOCUMENT, options)
+    parsed = docs.select(*keep, F.explode(document).alias("key", "files"))
     names = [c for c in parsed.columns if c not in ("key", "files")]
     rows = parsed.select(*names, "key", F.inline("files"))
     return rows.select(
         *names,
         F.coalesce("source_id", "key").alias("source_id"),
         "filename",
-        "rows",
+        _whole("rows"),
         "status",
         "is_duplicated",
-        "file_size",
+        _whole("file_size"),
         F.try_to_timestamp("uploaded_at").alias("uploaded_at"),
         "status_message",
     )
@@ -40,20 +48,41 @@ def read_manifest(spark: SparkSession, *day_folders: str, strict: bool = False)
     """All files of one or many day folders (globs allowed), both periods, in one plan.
 
     The snapshot day is the leading date of the folder name. ``strict`` raises when a folder lacks one
-    of its two documents. A document is one JSON value and therefore one task; the folders are read in
+    of its two documents, has no date, or holds a document that is no JSON; else :func:`unread_documents`
+    lists these. A document is one JSON value and therefore one task; the folders are read in
     parallel. For large histories store the result with :func:`dqwatch.sources.sinks.write_manifest`
     and read that.
     """
-    paths = [f"{folder.rstrip('/')}/files*.json" for folder in day_folders]
-    docs = pin_utc(spark).read.text(paths, wholetext=True)
+    docs = _documents(spark, day_folders)
     if strict:
         _require_pairs(docs)
-    name = F.col("_metadata.file_name")
+    tagged = _tagged(docs).filter(F.col("from_period").isNotNull())
+    if strict:
+        undated = F.raise_error(F.concat(F.lit("no date leads the folder of "), "path"))
+        tagged = tagged.withColumn("snapshot_day", F.coalesce("snapshot_day", undated.cast("date")))
+    return flatten_documents(tagged, "snapshot_day", "from_period", strict=strict)
+
+
+def unread_documents(spark: SparkSession, *day_folders: str) -> DataFrame:
+    """(path, problem) of documents that the reader can't use: ``malformed`` JSON, or a folder that is ``undated``."""
+    tagged = _tagged(_documents(spark, day_folders)).filter(F.col("from_period").isNotNull())
+    malformed = F.from_json("value", MANIFEST_DOCUMENT).isNull()
+    problem = F.when(malformed, "malformed").when(F.col("snapshot_day").isNull(), "undated")
+    return tagged.select("path", problem.alias("problem")).filter(F.col("problem").isNotNull())
+
+
+def _documents(spark: SparkSession, day_folders: tuple[str, ...]) -> DataFrame:
+    paths = [f"{folder.rstrip('/')}/files*.json" for folder in day_folders]
+    return pin_utc(spark).read.text(paths, wholetext=True)
+
+
+def _tagged(docs: DataFrame) -> DataFrame:
+    """Documents with their path, snapshot day and period, as folder and file name tell them."""
+    name, path = F.col("_metadata.file_name"), F.col("_metadata.file_path")
     period = F.when(name == "files.json", "today").when(name == "files_last_weekday.json", "last_weekday")
-    folder = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1)
+    folder = F.regexp_extract(path, r"([^/]+)/[^/]+$", 1)
     day = F.try_to_date(F.substring(folder, 1, 10), "yyyy-MM-dd")
-    tagged = docs.select("value", day.alias("snapshot_day"), period.alias("from_period"))
-    return flatten_documents(tagged.filter(F.col("from_period").isNotNull()), "snapshot_day", "from_period")
+    return docs.select("value", path.alias("path"), day.alias("snapshot_day"), period.alias("from_period"))
 
 
 def _require_pairs(docs: DataFrame) -> None:

@@ -295,7 +295,7 @@ per_source AS (
   FROM findings GROUP BY ALL
 ),
 errors AS (
-  SELECT snapshot_day, source_id, error_text, count(*) AS n FROM findings WHERE kind = 'failure' GROUP BY ALL
+  SELECT snapshot_day, source_id, error_text, count(*) AS n FROM findings WHERE kind = 'failure' AND error_text <> '' GROUP BY ALL
 ),
 top_errors AS (
   SELECT snapshot_day, source_id, max(n) AS n_same, arg_max(error_text, struct_pack(a := n, b := error_text)) AS error_text FROM errors GROUP BY ALL
@@ -501,7 +501,8 @@ ORACLES: dict[str, str] = {
         SELECT *, count(*) OVER w AS n_days, sum(volume) OVER w AS s, sum(CAST(volume AS HUGEINT) * volume) OVER w AS q, min(volume) OVER w AS lowest, max(volume) OVER w AS highest
         FROM v WINDOW w AS (PARTITION BY source_id, pattern, dayofweek(day) ORDER BY day ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING)
       ), b AS (
-        SELECT *, CAST(s AS DOUBLE) / n_days AS mean_volume, sqrt(CAST(n_days * q - s * s AS DOUBLE) / (n_days * (n_days - 1))) AS sd FROM h WHERE n_days >= 3
+        SELECT *, CASE WHEN n_days >= 3 THEN CAST(s AS DOUBLE) / n_days END AS mean_volume,
+          CASE WHEN n_days >= 3 THEN sqrt(CAST(n_days * q - s * s AS DOUBLE) / (n_days * (n_days - 1))) END AS sd FROM h
       ) SELECT CAST(day AS VARCHAR) AS day, source_id, pattern, volume, n_days, lowest, highest, mean_volume, mean_volume - 1.96::DOUBLE * sd AS lower, mean_volume + 1.96::DOUBLE * sd AS upper,
           volume < mean_volume - 1.96::DOUBLE * sd OR volume > mean_volume + 1.96::DOUBLE * sd AS outside FROM b""",
     "timing_raw": _timing(0),

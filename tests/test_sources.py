@@ -59,6 +59,20 @@ def test_strict_reader_needs_both_documents(spark, tmp_path):
         manifest_json.read_manifest(spark, str(folder), strict=True)
 
 
+def test_reader_reports_what_it_cannot_read(spark, tmp_path):
+    texts = {"2025-09-08": '{"1": [{"filename": "a", "rows": 1200.0, "file_size": "7"}]}', "2025-09-09": '{"1": [{"filena', "today": '{"1": []}'}
+    for folder, text in texts.items():
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "files.json").write_text(text)
+        (tmp_path / folder / "files_last_weekday.json").write_text("{}")
+    assert rows(manifest_json.read_manifest(spark, f"{tmp_path}/2025*"), "rows", "file_size") == [(1200, 7)]
+    unread = rows(manifest_json.unread_documents(spark, f"{tmp_path}/*"), "path", "problem")
+    assert [(p.split("/")[-2], why) for p, why in unread] == [("2025-09-09", "malformed"), ("today", "undated"), ("today", "undated")]
+    for folder in ("2025-09-09", "today"):
+        with pytest.raises(Exception, match="(?i)malformed|no date"):
+            manifest_json.read_manifest(spark, f"{tmp_path}/{folder}", strict=True).collect()
+
+
 def test_combine_periods_fills_missing_columns(spark):
     a, b = spark.createDataFrame([("x", 1)], "filename string, rows long"), spark.createDataFrame([("y",)], "filename string")
     assert rows(manifest_json.combine_periods(a, b).fillna(0), "filename", "rows", "from_period") == [("x", 1, "today"), ("y", 0, "last_weekday")]
