@@ -73,6 +73,11 @@ def sequences(text: str | None, length: int, path: str = "") -> list[np.ndarray]
     return list(filled.reshape(-1, length))
 
 
+def sequence_count(text: str | None, length: int, path: str = "") -> int:
+    """How many sequences ``sequences`` gives."""
+    return len(_encoding(path).encode_ordinary(text or "")) // length + 1
+
+
 def materialise(docs: DataFrame, folder: str, length: int = LENGTH, shard_rows: int = SHARD_ROWS, key: int = KEY, path: str = "") -> DataFrame:
     """Write shards to ``folder`` (a URI that pyarrow opens); one row per sequence of (doc_id, text).
 
@@ -82,7 +87,7 @@ def materialise(docs: DataFrame, folder: str, length: int = LENGTH, shard_rows:
     docs = docs.select("doc_id", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = sum(len(sequences(t, length, path)) for b in batches for t in b.column(1).to_pylist())
+        n = sum(sequence_count(t, length, path) for b in batches for t in b.column(1).to_pylist())
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([n])], names=["part", "n"])
 
     # one small row per task
