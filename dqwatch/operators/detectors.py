@@ -8,6 +8,8 @@ one pass over its input.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -16,10 +18,12 @@ from dqwatch.functions.numbers import MICROS_PER_HOUR, clock, tenths_text, thous
 from dqwatch.operators.expectations import outside_ranges, pattern_volumes
 from dqwatch.operators.lookup import lookup
 from dqwatch.operators.patterns import FILE_IDENTITY, KEYS, with_pattern
-from dqwatch.schema import FINDING
+from dqwatch.schema import FINDING, PROBLEM_STATUSES
 
 HEAD = ["snapshot_day", "source_id"]
 PATTERN_DETECTORS = ("missing", "volume")
+#: Join key of files without a name; no file name holds it.
+UNNAMED = "\0"
 FILE_DETECTORS = ("duplicated_failed", "empty", "late", "previous")
 
 
@@ -59,7 +63,11 @@ def _finding(detector: str, kind: Column | str, severity: Column | int, message:
 
 
 def _label() -> Column:
-    return F.coalesce("entity", "pattern")
+    return F.coalesce("entity", "pattern", F.lit("unnamed"))
+
+
+def _file_label() -> Column:
+    return F.coalesce("filename", F.lit("unnamed file"))
 
 
 def window_text(start: Column, end: Column) -> Column:
@@ -80,7 +88,7 @@ def missing_finding(limits: Limits) -> Column:
         F.concat(F.lit("missing past "), window_text(F.col("window_start"), F.col("window_end"))),
         F.lit("missing"),
     )
-    absent = (F.col("n_today") == 0) & F.col("is_scheduled")
+    absent = (F.col("n_today") == 0) & F.col("is_scheduled") & F.col("pattern").isNotNull()
     return F.when(
         absent,
         _finding(
@@ -136,7 +144,7 @@ def duplicated_failed_finding(limits: Limits) -> Column:
         .when(duplicate, "duplicate")
     )
     text = F.concat(
-        F.col("filename"),
+        _file_label(),
         F.lit(" — "),
         F.coalesce("status", F.lit("unknown status")),
         F.when(F.col("status_message").isNotNull(), F.concat(F.lit(" ("), "status_message", F.lit(")"))).otherwise(""),
@@ -297,6 +305,15 @@ EXPRESSIONS = {
 }
 
 
+#: Which of today's files a detector can find anything about, told from the file alone.
+CONCERNS = {
+    "duplicated_failed": lambda: F.col("is_duplicated") | F.col("status").isin(PROBLEM_STATUSES),
+    "empty": lambda: F.col("rows") == 0,
+    "late": lambda: F.col("uploaded_at").isNotNull(),
+    "previous": lambda: naming.days_old(F.to_date("uploaded_at"), naming.file_date(F.col("filename"))) > 0,
+}
+
+
 def _emit(rows: DataFrame, detectors: tuple[str, ...], limits: Limits) -> DataFrame:
     # exploding and then dropping NULLs keeps the expressions in generated code
     found = F.array(*[EXPRESSIONS[d](limits) for d in detectors])
@@ -322,9 +339,14 @@ def file_findings(
     limits: Limits = DEFAULT_LIMITS,
     **options: int,
 ) -> DataFrame:
-    """One pass over today's files for all file-level detectors."""
-    files = with_pattern(manifest.filter(F.col("from_period") == "today"))
-    delivered = facts_by_pattern.filter(F.col("n_today") > 0)
+    """One pass over today's files for all file-level detectors.
+
+    Files that no asked detector concerns go before the join. Files without a name share the pattern of
+    those: they have no expected name or age, but can fail, be empty or be late.
+    """
+    concerned = reduce(or_, [F.coalesce(CONCERNS[d](), F.lit(False)) for d in detectors])
+    files = with_pattern(manifest.filter((F.col("from_period") == "today") & concerned)).fillna(UNNAMED, ["pattern"])
+    delivered = facts_by_pattern.filter(F.col("n_today") > 0).fillna(UNNAMED, ["pattern"])
     facts = delivered.select(
         *KEYS,
         "entity",
@@ -340,7 +362,7 @@ def file_findings(
     )
     counts = delivered.select(*KEYS, F.col("n_today").alias("n"))
     known = with_timing(lookup(files, facts, KEYS, "inner", counts, FILE_IDENTITY, **options))
-    return _emit(known, detectors, limits)
+    return _emit(known.withColumn("pattern", F.nullif("pattern", F.lit(UNNAMED))), detectors, limits)
 
 
 def range_findings(facts_by_pattern: DataFrame, facts: DataFrame, **options: int) -> DataFrame:

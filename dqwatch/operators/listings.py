@@ -15,14 +15,21 @@ def last_weekday(manifest: DataFrame) -> DataFrame:
     return manifest.filter(F.col("from_period") == "last_weekday")
 
 
-def in_scope(manifest: DataFrame, scope: str = "current") -> DataFrame:
-    """``current``: files uploaded on the day the manifest row stands for; ``all``: every row."""
+def in_scope(manifest: DataFrame, scope: str = "current", snapshot_hour: int = 20) -> DataFrame:
+    """``current``: files uploaded after the snapshot before the row's own and up to that one; ``all``: every row.
+
+    A day's snapshot is taken at ``snapshot_hour`` UTC, so a file of the late evening is first listed the day after.
+    Files without an upload time are listed and therefore received; they stay.
+    """
     if scope == "all":
         return manifest
     if scope != "current":
         raise ValueError(f"scope must be 'current' or 'all', not {scope!r}")
     offset = F.when(F.col("from_period") == "last_weekday", 7).otherwise(0)
-    return manifest.filter(F.to_date("uploaded_at") == F.date_sub("snapshot_day", offset))
+    taken = F.date_sub("snapshot_day", offset).cast("timestamp") + F.make_dt_interval(hours=F.lit(snapshot_hour))
+    before = taken - F.make_dt_interval(days=F.lit(1))
+    at = F.col("uploaded_at")
+    return manifest.filter(at.isNull() | ((at > before) & (at <= taken)))
 
 
 def comparable(files: DataFrame) -> DataFrame:

@@ -19,7 +19,8 @@ class Analysis:
     """The tables of one analysis, each built when it is asked for.
 
     ``keep`` persists what several outputs read: the pattern table, the one row per source-day and, for
-    the source reports, the findings. Blocks lost with an executor are recomputed from their lineage; ``release`` drops them.
+    the source reports, the findings. Blocks lost with an executor are recomputed from their lineage; ``release``,
+    or leaving a ``with`` block, drops them.
     """
 
     def __init__(
@@ -78,8 +79,14 @@ class Analysis:
         return source_report(self.lines, kept)
 
     def release(self) -> None:
-        for table in self._kept:
-            table.unpersist()
+        while self._kept:
+            self._kept.pop().unpersist()
+
+    def __enter__(self) -> Analysis:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.release()
 
 
 def analyze(
@@ -106,7 +113,10 @@ def run_report(
     scope: str = "current",
     keep: bool = True,
 ) -> DataFrame:
-    """Ordered report lines for every day and source of the manifest; ``as_of`` is the header's UTC clock."""
+    """Ordered report lines for every day and source of the manifest; ``as_of`` is the header's UTC clock.
+
+    The kept tables live as long as the session; ``with analyze(...) as a`` and ``a.report(...)`` drop them after use.
+    """
     return ordered_report(analyze(manifest, cv_docs, scope, max_sources=max_sources, keep=keep).report(as_of))
 
 

@@ -81,7 +81,8 @@ def derive_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when((rows == 0) & (e % 2 == 0), "empty")
         .otherwise("processed")
     )
-    late = F.when(k == 0, 0).when(e % 53 == 0, 540).when(e % 11 == 0, 300).otherwise(0)
+    # 22:30 on the evening before, after that day's snapshot
+    late = F.when(k == 0, 0).when(e % 59 == 0, -570 - e % 20).when(e % 53 == 0, 540).when(e % 11 == 0, 300).otherwise(0)
     message = (
         F.when(k < 2, F.lit(None).cast("string"))
         .when((e % 19 == 0) & (e % 2 == 0), "column structure mismatch")
@@ -111,7 +112,9 @@ def derive_files(spark: SparkSession, sf_dir: str) -> DataFrame:
             status.alias("status"),
             ((k == 2) & ((e % 17 == 0) | (e % 47 == 0))).alias("is_duplicated"),
             (rows * 64 + e % 97).cast("bigint").alias("file_size"),
-            (d.cast("timestamp") + F.make_dt_interval(mins=minutes.cast("int"))).alias("uploaded_at"),
+            F.when(
+                (k != 2) | (e % 61 != 0), d.cast("timestamp") + F.make_dt_interval(mins=minutes.cast("int"))
+            ).alias("uploaded_at"),
             message.alias("status_message"),
         )
     )

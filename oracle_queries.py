@@ -13,7 +13,7 @@ fx AS (
          CASE WHEN k = 2 THEN event_type ELSE 'all' END || 'L' || CAST(u % 2 AS VARCHAR) AS ent,
          CASE WHEN k = 0 THEN 0 WHEN e % 23 = 0 THEN 1 WHEN e % 37 = 0 THEN 9 WHEN e % 41 = 0 THEN 4 ELSE 0 END AS lag_n,
          CAST(CASE WHEN k < 2 THEN 1000 + e % 50 WHEN e % 13 = 0 THEN 0 ELSE floor(value * 100) END AS BIGINT) AS n,
-         CASE WHEN k = 0 THEN 0 WHEN e % 53 = 0 THEN 540 WHEN e % 11 = 0 THEN 300 ELSE 0 END AS late_min
+         CASE WHEN k = 0 THEN 0 WHEN e % 59 = 0 THEN -570 - e % 20 WHEN e % 53 = 0 THEN 540 WHEN e % 11 = 0 THEN 300 ELSE 0 END AS late_min
   FROM ev
 ),
 f AS (
@@ -28,7 +28,7 @@ f AS (
               WHEN e % 43 = 0 THEN 'deleted' WHEN n = 0 AND e % 2 = 0 THEN 'empty' ELSE 'processed' END AS status,
          k = 2 AND (e % 17 = 0 OR e % 47 = 0) AS is_duplicated,
          CAST(n * 64 + e % 97 AS BIGINT) AS file_size,
-         CAST(d AS TIMESTAMP) + to_minutes(CAST(480 + e % 20 + late_min AS BIGINT)) AS uploaded_at,
+         CASE WHEN k <> 2 OR e % 61 <> 0 THEN CAST(d AS TIMESTAMP) + to_minutes(CAST(480 + e % 20 + late_min AS BIGINT)) END AS uploaded_at,
          CASE WHEN k < 2 THEN NULL WHEN e % 19 = 0 AND e % 2 = 0 THEN 'column structure mismatch'
               WHEN e % 19 = 0 THEN 'schema validation error' WHEN e % 17 = 0 THEN 'File duplicated' END AS status_message
   FROM fx
@@ -251,14 +251,14 @@ fl AS (
   FROM lt WHERE epoch_us(uploaded_at) - epoch_us(due_at) > 4 * 3600000000
 ),
 le AS (
-  SELECT lt.*, CASE WHEN window_start IS NOT NULL THEN CAST(snapshot_day AS TIMESTAMP) + to_minutes(window_start) ELSE lo_at + INTERVAL 7 DAY END AS opens_at
+  SELECT lt.*, lo_at, CASE WHEN window_start IS NOT NULL THEN CAST(snapshot_day AS TIMESTAMP) + to_minutes(window_start) ELSE lo_at + INTERVAL 7 DAY END AS opens_at
   FROM lt LEFT JOIN (SELECT snapshot_day, source_id, pattern, min(uploaded_at) AS lo_at FROM l GROUP BY ALL) b USING (snapshot_day, source_id, pattern)
 ),
 fy AS (
   SELECT snapshot_day, source_id, 'late' AS detector, 'early' AS kind, filename, pattern, entity,
     (epoch_us(opens_at) - epoch_us(uploaded_at)) / 3.6e9 AS metric,
     (epoch_us(opens_at) - epoch_us(CAST(snapshot_day AS TIMESTAMP))) / 3.6e9 AS baseline,
-    CASE WHEN window_start IS NOT NULL THEN 1 ELSE 0 END AS severity, NULL AS error_text,
+    CASE WHEN window_start IS NOT NULL AND NOT coalesce(epoch_us(opens_at) - epoch_us(lo_at + INTERVAL 7 DAY) > 4 * 3600000000, false) THEN 1 ELSE 0 END AS severity, NULL AS error_text,
     coalesce(entity, pattern) || ' file delivered early at ' || strftime(uploaded_at, '%H:%M') || ' UTC (usual ~' || strftime(opens_at, '%H:%M') || ')' AS message
   FROM le WHERE epoch_us(opens_at) - epoch_us(uploaded_at) > 4 * 3600000000
     AND NOT coalesce(epoch_us(uploaded_at) - epoch_us(due_at) > 4 * 3600000000, false)

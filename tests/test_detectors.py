@@ -196,6 +196,31 @@ def test_scope_decides_which_rows_are_judged(manifest_of, facts_of):
         detector_findings(m, facts_of(s1=NO_CV), "unknown")
 
 
+def test_files_without_upload_time_or_of_the_evening_before_are_received(manifest_of, facts_of):
+    names = ["a_Shop_report_2025_09_{:02d}.csv", "b_Mall_report_2025_09_{:02d}.csv", "c_Bank_report_2025_09_{:02d}.csv"]
+    last = [file(n.format(1), period="last_weekday") for n in names]
+    today = [file(names[0].format(8), hour=None), file(names[1].format(8), hour=-1.5), file(names[2].format(8), hour=20.5)]
+    m = manifest_of(*last, *today)  # the third comes after the snapshot and belongs to the next one
+    assert found(m, facts_of(s1=NO_CV), "missing", "pattern") == [("Bank_report.csv",)]
+    assert found(m, facts_of(s1=NO_CV), "late", "kind", "filename") == [("early", names[1].format(8))]
+
+
+def test_files_without_name_keep_their_findings(manifest_of, facts_of):
+    m = manifest_of(file(None, 0, status="failure"), file(None, 9, period="last_weekday"), file(None, 9, period="last_weekday", source="2"))
+    facts = facts_of(s1=NO_CV, s2=NO_CV)
+    assert found(m, facts, "duplicated_failed", "filename", "pattern", "message") == [(None, None, "unnamed file — failure")]
+    assert found(m, facts, "empty", "message") == [("unnamed empty: 0 records (last week 9)",)]
+    assert found(m, facts, "missing", "message") == []
+
+
+def test_single_detectors_filter_before_the_join(manifest_of, facts_of):
+    m = manifest_of(file("a.csv", status="failure"), file("b.csv", 0), file("b.csv", 5, period="last_weekday"), file("c_2025_09_01.csv"))
+    everything = all_findings(m, facts_of(s1=NO_CV))
+    for detector in ("duplicated_failed", "empty", "late", "previous"):
+        own = rows(everything.filter(everything.detector == detector), "kind", "filename", "message")
+        assert found(m, facts_of(s1=NO_CV), detector, "kind", "filename", "message") == own
+
+
 def test_limits_are_parameters(manifest_of, facts_of):
     m = manifest_of(file("a_x.csv", 120), file("b_x.csv", 100, period="last_weekday"))
     assert found(m, facts_of(s1=NO_CV), "volume", "kind", limits=Limits(volume_pct=10)) == [("volume_up",)]
