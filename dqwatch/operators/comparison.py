@@ -85,6 +85,7 @@ def timing_files(
     """Upload time of each file against its pattern's baseline uploads, moved by ``shift_days``.
 
     Seven days compares like with like; zero reproduces the raw timestamp difference.
+    Baseline files without an upload time count in ``n_baseline`` and give no difference.
     """
     at = F.col("uploaded_at")
     paired = files_against_baseline(
@@ -92,7 +93,7 @@ def timing_files(
         [F.min(last(at)).alias("lastweek_first"), F.max(last(at)).alias("lastweek_last")],
         mode,
         F.lit(True),
-        at.isNotNull(),
+        F.lit(True),
         **options,
     )
     shift = F.make_dt_interval(days=F.lit(shift_days))
