@@ -30,7 +30,13 @@ _HEX = re.compile(r"[0-9a-f]{24,}")  # maximal runs, as [0-9a-f]+ finds them
 _ANY_HEX = re.compile(r"[0-9A-Fa-f]{48,}")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
 _TOKEN = re.compile(r"eyJ[A-Za-z0-9_-]*\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-_PEM = re.compile(r"-----BEGIN ([A-Z ]*PRIVATE KEY)-----([^-]*)-----END \1-----")
+#: Runs of base64 over several lines; a line end may be escaped, as in JSON or an environment file.
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+(?:(?:\r\n?|\n|(?:\\+r)?\\+n)[\x20\t]*[A-Za-z0-9+/_-]++)++={0,2}")
+_LINE = re.compile(r"(?:^|[\r\n]|\\+n)[\x20\t]*([A-Za-z0-9+/_-]+)")
+_PEM = re.compile(r"-----BEGIN ([A-Z ]*PRIVATE KEY)-----((?:(?!-----BEGIN ).)*?)-----END \1-----", re.S)
+_PEM_LINES = re.compile(r"(?:[\r\n]|\\+[rn])+")
+#: Headers of a body that is encrypted with a passphrase; they may stand in one line with the body.
+_PEM_SEALED = re.compile(r"(?:Proc-Type|DEK-Info):[\x20\t]*[A-Za-z0-9,-]+")
 #: Object identifiers of key algorithms in DER (RSA, RSA-PSS, EC, DSA, DH, X25519, X448, Ed25519, Ed448).
 _KEY_OIDS = {
     bytes.fromhex(x)
@@ -99,8 +105,14 @@ def is_der_key(data: bytes) -> bool:
 
 def is_openssh_key(data: bytes) -> bool:
     """Magic, cipher, key derivation and its options, key count, public keys, private block: all lengths hold."""
+    size = _openssh_size(data)
+    return size is not None and len(data) - size in range(0, 64)
+
+
+def _openssh_size(data: bytes) -> int | None:
+    """Bytes from the magic to the end of the private block (a tag may follow); None if a length doesn't hold."""
     if not data.startswith(_OPENSSH):
-        return False
+        return None
     at, fields = len(_OPENSSH), []
 
     def field() -> bytes | None:
@@ -114,13 +126,23 @@ def is_openssh_key(data: bytes) -> bool:
     for _ in range(3):
         fields.append(field())
     if None in fields or not fields[0] or at + 4 > len(data):
-        return False
+        return None
     count = int.from_bytes(data[at : at + 4], "big")
     at += 4
     if not 1 <= count <= 16:
-        return False
+        return None
     rest = [field() for _ in range(count + 1)]
-    return None not in rest and bool(rest[-1]) and len(data) - at in range(0, 64)
+    return at if None not in rest and rest[-1] else None
+
+
+def _der_size(data: bytes) -> int | None:
+    """Bytes of the DER sequence that starts ``data``, by its head."""
+    if len(data) < 6 or data[0] != 0x30:
+        return None
+    n = data[1] & 0x7F
+    if not data[1] & 0x80:
+        return 2 + n
+    return 2 + n + int.from_bytes(data[2 : 2 + n], "big") if 1 <= n <= 4 else None
 
 
 def _decoded(run: str) -> bytes | None:
@@ -172,24 +194,71 @@ def find_secrets(text: str | None) -> list[tuple[str, int, int]]:
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
+def _starts(run: str, before: str) -> set[int]:
+    """Where a key may start in a run of base64: at its start, behind a path or name, or behind an escaped line end."""
+    return {0, *(x.end() for x in re.finditer(r"[/_-]", run)), *([1] if before == "\\" and run[:1] in ("n", "r", "t") else [])}
+
+
+def _wrapped_keys(text: str, block: re.Match) -> list[tuple[str, int, int]]:
+    """Keys over two or more lines of ``block``; each ends at the line end where its own lengths say so."""
+    lines = [(block.start() + x.start(1), x[1]) for x in _LINE.finditer(block[0])]
+    whole = "".join(x for _, x in lines)
+    ends, total = [], 0
+    for _, line in lines:
+        total += len(line)
+        ends.append(total)
+    out: list[tuple[str, int, int]] = []
+    over = begin = 0
+    for i, (place, line) in enumerate(lines):
+        for at in sorted(_starts(line, text[place - 1 : place] if i == 0 else "")):
+            start = begin + at
+            if start < over or whole[start : start + 1] not in ("M", "b"):
+                continue
+            if whole[start] == "M":
+                size = _der_size(_decoded(whole[start : start + 12]) or b"")
+            else:
+                known = whole.startswith("b3BlbnNzaC1rZXktdjE", start)
+                size = _openssh_size(_decoded(whole[start : start + (len(whole) - start) // 4 * 4]) or b"") if known else None
+            chars = -(-size * 4 // 3) if size else 0
+            # a tag behind an OpenSSH key's private block may fill its last line or take another
+            for j in range(i + 1, len(lines)) if chars else ():
+                if ends[j] < start + chars:
+                    continue
+                if kind := _key_kind(_decoded(whole[start : ends[j]])):
+                    last = lines[j][0] + len(lines[j][1])
+                    pad = block.end() - last if j == len(lines) - 1 else 0
+                    out.append((kind, place + at, last + pad))
+                    over = ends[j]
+                if over > start or ends[j] > start + chars + 96:
+                    break
+        begin = ends[i]
+    return out
+
+
 def _structural(text: str) -> list[tuple[str, int, int]]:
     found: list[tuple[str, int, int]] = []
     if "PRIVATE KEY-----" in text:
         for m in _PEM.finditer(text):
-            lines = [x for x in re.split(r"[\r\n]+", m[2]) if ":" not in x]  # without headers such as DEK-Info
-            body = _decoded("".join("".join(lines).split()))
-            sealed = len(lines) != len(re.split(r"[\r\n]+", m[2])) and body is not None and len(body) >= 32
+            plain, sealed = _PEM_SEALED.subn("\n", m[2].replace("\\/", "/"))
+            lines = _PEM_LINES.split(plain)
+            bare = [x for x in lines if ":" not in x]  # without headers such as Comment
+            body = _decoded("".join("".join(bare).split()))
+            sealed = (sealed or len(bare) != len(lines)) and body is not None and len(body) >= 32
             if _key_kind(body) or sealed:
                 found.append(("pem", *m.span()))
+    pems = found.copy()
     if "eyJ" in text:
         found += [("jwt", *m.span()) for m in _TOKEN.finditer(text) if is_signed_token(m[0])]
     for m in _BASE64.finditer(text):
         # a key starts with a DER sequence ("M") or with the OpenSSH magic ("b3BlbnNz"), maybe behind a path or name
-        for at in {0, *(x.end() for x in re.finditer(r"[/_-]", m[0]))}:
+        for at in sorted(_starts(m[0], text[m.start() - 1 : m.start()])):
             run = m[0][at:]
             if run[0:1] in ("M", "b") and (kind := _key_kind(_decoded(run))):
                 found.append((kind, m.start() + at, m.end()))
                 break
+    for m in _WRAPPED.finditer(text):
+        if not any(a <= m.start() and m.end() <= b for _, a, b in pems):
+            found += _wrapped_keys(text, m)
     for m in _ANY_HEX.finditer(text):
         if len(m[0]) % 2 == 0 and m[0][:2] in ("30", "6f", "6F") and (kind := _key_kind(bytes.fromhex(m[0]))):
             found.append((kind, *m.span()))

@@ -45,6 +45,41 @@ def test_secret_scan_matches_plain_patterns_and_confirms_structure():
     assert secrets.find_secrets(None) == [] and secrets.redact(None) is None
 
 
+def test_keys_over_several_lines():
+    size = lambda n: bytes([n] if n < 128 else [0x81, n] if n < 256 else [0x82, *divmod(n, 256)])
+    number = lambda n, seed: b"\2" + size(n) + b"\1" + random.Random(seed).randbytes(n - 1)
+    inner = b"\2\1\0" + b"".join(number(n, n) for n in (257, 3, 256, 129, 128, 127, 126, 125))
+    rsa = base64.b64encode(b"\x30" + size(len(inner)) + inner).decode()
+    field = lambda x: struct.pack(">I", len(x)) + x
+    parts = b"".join(map(field, (b"none", b"none", b""))) + struct.pack(">I", 1) + field(b"p" * 51) + field(b"s" * 136)
+    openssh = base64.b64encode(b"openssh-key-v1\0" + parts).decode()
+    wrap = lambda x, end="\n", width=64: end.join(x[i : i + width] for i in range(0, len(x), width))
+    pem = lambda kind, body, end="\n": f"-----BEGIN {kind}-----{end}{body}{end}-----END {kind}-----"
+    sealed = wrap(base64.b64encode(random.Random(1).randbytes(608)).decode())
+    heads = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123456789ABCDEF0123456789ABCDEF\n\n"
+    blocks = [
+        pem("RSA PRIVATE KEY", wrap(rsa)),
+        pem("RSA PRIVATE KEY", wrap(rsa, "\r\n"), "\r\n"),
+        pem("RSA PRIVATE KEY", heads + sealed),
+        pem("RSA PRIVATE KEY", (heads + sealed).replace("\n", " ")),
+        pem("RSA PRIVATE KEY", wrap(rsa, "\\n"), "\\n"),
+        json.dumps(json.dumps(pem("RSA PRIVATE KEY", heads + sealed)))[3:-3],
+        pem("OPENSSH PRIVATE KEY", wrap(openssh, width=70)),
+        pem("OPENSSH PRIVATE KEY", wrap(openssh, "\\n", 70), "\\n"),
+    ]
+    for block in blocks:
+        text = f"-----BEGIN RSA PRIVATE KEY-----\nno end {block} after"
+        assert [(k, text[a:b]) for k, a, b in secrets.find_secrets(text) if k == "pem"] == [("pem", block)]
+        assert secrets.redact(f'{{"key": "{block}"}}') == '{"key": "[pem]"}'
+    assert secrets.redact("\n".join(blocks)).split() == ["[pem]"] * len(blocks)
+    for end in ("\n", "\r\n", "\n    ", "\\n"):
+        for kind, key in (("der", rsa), ("openssh", openssh)):
+            for text in (f"key: {wrap(key, end)}", f"key:{end}{wrap(key, end)}{end}Next line", f"{'Q' * 64}{end}{wrap(key, end, 76)}"):
+                spans = [(k, text[a:b]) for k, a, b in secrets.find_secrets(text) if k == kind]
+                assert spans == [(kind, wrap(key, end, 76 if "QQ" in text[:9] else 64))], (kind, text[:80])
+    assert not secrets.find_secrets(wrap(rsa[:-64])) and not secrets.find_secrets(pem("RSA PRIVATE KEY", wrap(sealed.replace("\n", ""))))
+
+
 def test_secret_rows(docs):
     rows = secrets.scan_secrets(docs).collect()
     assert len(rows) == docs.count() and {r.base_sha256 for r in rows} == {hashlib.sha256(b"").hexdigest()}
