@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from dqwatch.llm.common import map_columns, read, written
 from dqwatch.llm.components import connected_components
@@ -130,6 +130,16 @@ def near_links(prints: DataFrame, radius: int = RADIUS, slice_size: int = SLICE)
     )
 
 
+def _rooted(rows: DataFrame, radius: int) -> DataFrame:
+    """(fp, least, root) of the distinct ``fp`` of (doc_id, fp): its smallest doc_id, and the component's fingerprint."""
+    prints = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "prints")
+    roots = written(connected_components(written(near_links(prints, radius), "links")), "roots")
+    rooted = prints.join(roots, prints["fp"] == roots["node"], "left").select(
+        "fp", "least", F.coalesce("root", "fp").alias("root")
+    )
+    return written(rooted, "rooted")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """(doc_id, fp, component_id) per row of (doc_id, text).
 
@@ -137,24 +147,36 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     through fingerprint 0. Repeated rows stay; null ids get the component's smallest id, or null if all are null.
     """
     rows = written(fingerprints(docs, shingle), "fingerprints")
-    prints = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "prints")
-    roots = written(connected_components(written(near_links(prints, radius), "links")), "roots")
-    rooted = prints.join(roots, prints["fp"] == roots["node"], "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root")
-    )
-    rooted = written(rooted, "rooted")
+    rooted = _rooted(rows, radius)
     components = written(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "components")
     classes = written(rooted.join(components, "root").select("fp", "component_id"), "classes")
     return rows.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
+def one_of_each(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each ``root`` of ``rows`` (doc_id, text_hash, root); all columns stay.
+
+    It is the row with the smallest doc_id, a null id only if there is no other; of several texts with that id the one
+    with the least hash, of repeated rows any.
+    """
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("least")
+    chosen = rows.groupBy("root").agg(least).select(F.col("least.doc_id").alias("__doc"), F.col("least.text_hash").alias("__chosen"))
+    chosen = written(chosen, "chosen")
+    hashed = docs.withColumn("__hash", F.xxhash64("text"))
+    same = F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__hash") == F.col("__chosen"))
+    return hashed.join(chosen, same, "left_semi").dropDuplicates(["doc_id", "__hash"]).drop("__hash")
+
+
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """One row of each component: the one with the smallest doc_id, of repeated ones any; all columns stay."""
-    classes = near_duplicates(docs, shingle, radius)
-    chosen = written(classes.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct(), "chosen")
-    kept = docs.join(chosen.withColumnRenamed("doc_id", "__doc"), F.col("doc_id").eqNullSafe(F.col("__doc"))).drop("__doc")
-    once = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    return kept.withColumn("__n", F.row_number().over(once)).filter("__n = 1").drop("__n")
+    """One row of each component, chosen as in ``one_of_each``; all columns stay."""
+
+    def run(ids: list, hashes: list, texts: list) -> tuple[list, ...]:
+        prints = [fingerprint(t, shingle) for t in texts]
+        return ids, hashes, [p - (1 << 64) if p >> 63 else p for p in prints]
+
+    hashed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    rows = written(map_columns(hashed, "doc_id long, text_hash long, fp long", run), "fingerprints")
+    return one_of_each(docs, rows.join(_rooted(rows, radius).select("fp", "root"), "fp"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -193,6 +193,16 @@ def test_near_duplicates_equal_brute_force(spark, docs):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+UNLIKE = ["one two three four five", "the cat sat on the mat", "a quick red fox ran home", "rain fell over many old towns"]
+
+
+def test_every_component_keeps_one_row(spark):
+    a, b, c, d = UNLIKE
+    rows = [(None, a), (None, b), (None, b), (1, c), (1, d), (2, c), (1, c), (None, d), (None, None), (None, "")]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.text or "") for r in kept) == Counter([(None, a), (None, b), (1, c), (1, d), (None, "")])
+
+
 def test_top_k_equals_brute_force(spark):
     rng = np.random.default_rng(3)
     vectors = [(i, rng.normal(size=8).round(2).tolist()) for i in range(400)] + [(500, None), (501, [None] * 8), (502, [float("nan")] * 8)]
