@@ -14,7 +14,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from dqwatch.llm import bpe, class_lm, components, decontamination, html_text, secrets, sharding, simhash, topk, toxicity, training_order
+from dqwatch.llm import bpe, class_lm, components, decontamination, html_text, near_copies, secrets, sharding, simhash, topk, toxicity, training_order
 
 DOCS = "doc_id long, text string, source string, extra string"
 
@@ -203,6 +203,39 @@ def test_every_component_keeps_one_row(spark):
     assert Counter((r.doc_id, r.text or "") for r in kept) == Counter([(None, a), (None, b), (1, c), (1, d), (None, "")])
 
 
+def test_near_copies_equal_brute_force(spark):
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    texts, words = [], [f"w{i}" for i in range(5000)]
+    for size in (4, 12, 40, 80, 200, 800) * 4:
+        base = rng.choices(words, k=size)
+        for changed in (0, 0, 1, 2, 4, 8, 16):
+            other = base.copy()
+            for at in rng.sample(range(size), min(changed, size // 4)):
+                other[at] = rng.choice(words)
+            texts.append(" ".join(other))
+    rows = [(i, t) for i, t in enumerate(texts)] + [(None, texts[0]), (None, None), (None, "one of no other id"), (3, "another text of one id")]
+    grams = lambda t: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := (t or "").split()) else set()
+    sets, parent = [grams(t) for _, t in rows], list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a == b or 5 * len(a & b) >= 4 * len(a | b):
+                x, y = find(i), find(j)
+                parent[max(x, y)] = min(x, y)
+    wanted = Counter(rows[i] for i in range(len(rows)) if find(i) == i)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter(tuple(r) for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == wanted
+    assert Counter(tuple(r) for r in near_copies.keep_one(docs, large=2, slice_size=3).collect()) == wanted
+    assert near_copies.keep_one(docs.limit(0)).count() == 0
+
+
 def test_top_k_equals_brute_force(spark):
     rng = np.random.default_rng(3)
     vectors = [(i, rng.normal(size=8).round(2).tolist()) for i in range(400)] + [(500, None), (501, [None] * 8), (502, [float("nan")] * 8)]
