@@ -27,6 +27,7 @@ INLINE = frozenset(
     "sub sup time tt u var wbr ruby rt rp".split()
 )
 PARAGRAPHS = frozenset("p pre td blockquote dd dt li figcaption".split())
+KEPT_BESIDE = frozenset("h1 h2 h3 h4 h5 h6 hgroup pre blockquote".split())
 CLOSES_P = frozenset(
     "address article aside blockquote center details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hr main menu nav ol p pre section table ul".split()
@@ -42,10 +43,16 @@ CLOSES = {
 }
 #: Words in class, id or role that mark what is no part of an article.
 _UNLIKELY = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|respond|replies|disqus|cookies?|consent|gdpr|notice|"
+    r"(?:ads?|advert\w*|banner|breadcrumbs?|comments?|respond|replies|disqus|cookies?|consent|gdpr|notice|"
     r"alert|footer|header|masthead|menu|nav\w*|newsletter|subscribe|subscription|paywall|pager|pagination|popup|modal|"
     r"overlay|promo\w*|related|recommend\w*|share|sharing|sidebar|side|skip|social|sponsor\w*|toolbar|widget|login|"
-    r"signup|search|complementary|contentinfo|navigation|dialog|hidden|sr-only)(?=$|[\s_-])",
+    r"signup|search|complementary|contentinfo|navigation|dialog|hidden|sr-only)",
+    re.I,
+)
+#: Parts of a class that say no more than where or what kind of box it is, as in site-footer or comment-list.
+_PLAIN_PART = re.compile(
+    r"\d+(?:x\d+)?|slot|unit|site|page|global|top|bottom|left|right|primary|secondary|main|inner|outer|post|entry|article|blog|list|item|items|box|"
+    r"area|section|container|wrapper|wrap|block|bar|links?|buttons?|icons?|form|menu|thread|reply|body|content|panel|row|group|text",
     re.I,
 )
 _LIKELY = re.compile(r"(?:^|[\s_-])(?:article|body|content|entry|main|post|story|text)(?=$|[\s_-])", re.I)
@@ -84,11 +91,20 @@ def _is_dropped(tag: str, marks: dict[str, str], parent: Node) -> bool:
     if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", marks.get("style", ""), re.I):
         return True
     named = " ".join(marks.get(k, "") for k in ("class", "id", "role"))
-    if not named.strip() or not _UNLIKELY.search(named):
+    if not any(map(_is_unlikely, named.split())):
         return False
     return not (tag in ("article", "main") and _LIKELY.search(named))
 
 
+def _is_unlikely(token: str) -> bool:
+    """Whether a whole class says so: has-sidebar, overflow-hidden or comments-open speak of something else."""
+    if _UNLIKELY.fullmatch(token):
+        return True
+    parts = [x for x in re.split(r"[_-]+", token) if x]
+    named = [x for x in parts if _UNLIKELY.fullmatch(x)]
+    return bool(named) and all(_UNLIKELY.fullmatch(x) or _PLAIN_PART.fullmatch(x) for x in parts)
+
+
 def parse(html: str) -> Node:
     """The element tree; end tags that HTML lets out are put in, unknown ends are skipped."""
     root = Node("#root", {}, None)
@@ -214,17 +230,23 @@ def main_text(html: str | None) -> str:
     best = max(candidates, key=lambda n: n.score, default=None)
     if best is None:
         best = named[0] if named else next((n for n in nodes if n.tag == "body"), root)
-    chosen = [best]
+    chosen: list[Node | str] = [best]
     if best.parent is not None and best.tag not in ("body", "#root"):
+        marked = best.tag in ("article", "main") or best.marks.get("role") in ("article", "main")
         enough = max(10.0, best.score * 0.2)
-        chosen = [
-            x
-            for x in best.parent.inside
-            if isinstance(x, Node)
-            and not x.dropped
-            and (x is best or x.score >= enough or x.tag == "p" and size.get(id(x), 0) > 80 and density(x) < 0.25)
-        ]
-    return " ".join(" ".join(_text(x) for x in chosen).split())
+
+        def belongs(x: Node | str) -> bool:
+            if isinstance(x, str):
+                return not marked
+            if x is best or x.dropped:
+                return x is best
+            if marked:  # the page says itself where its article is
+                return x.score >= enough or x.tag == "p" and size.get(id(x), 0) > 80 and density(x) < 0.25
+            return x.tag in KEPT_BESIDE or x.score >= enough or density(x) < 0.25
+
+        chosen = [x for x in best.parent.inside if belongs(x)]
+    # blocks bring their own breaks, inline pieces stay joined
+    return " ".join("".join(x if isinstance(x, str) else _text(x) for x in chosen).split())
 
 
 def extract(pages: DataFrame) -> DataFrame:

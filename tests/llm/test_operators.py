@@ -268,6 +268,19 @@ def test_main_text():
     assert html_text.main_text(None) == "" and html_text.main_text("plain &lt; text") == "plain < text"
 
 
+def test_main_text_without_article_elements():
+    long = "Words, of, an, article, that, go, on, and, on, for, a, while. " * 4
+    page = f"""<body><div class="menu">x</div><div id=main><h1>Title</h1><p>Short lead.</p><div class=text><p>{long}<p>{long}</div>
+      <h2>Part</h2><blockquote>Quoted.</blockquote><pre>code()</pre><ul><li>one<li>two</ul><table><tr><td>3</table>
+      <div class=part><p>Short section.</div>loose <b>b</b>old<ul><li><a href=/>linked elsewhere</a></ul></div></body>"""
+    plain = f"Title Short lead. {long}{long}Part Quoted. code() one two 3 Short section. loose bold"
+    assert html_text.main_text(page) == plain
+    for name in ("overflow-hidden", "has-sidebar", "comments-open", "side-by-side"):
+        assert html_text.main_text(f'<body><div class="{name}"><h1>T</h1><p>{long}</div></body>') == f"T {long}".strip()
+    for name in ("site-footer", "comment-list", "sidebar", "cookie-notice", "social_share", "comment-12"):
+        assert html_text.main_text(f'<body><div><h1>T</h1><p>{long}</div><div class="{name}"><p>{long}</div></body>') == f"T {long}".strip()
+
+
 def test_chain_learns_and_bounds(spark):
     rng = random.Random(6)
     rows = []
