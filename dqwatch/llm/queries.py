@@ -10,13 +10,16 @@ from dqwatch.llm import (
     bpe,
     class_lm,
     decontamination,
+    fill_middle,
     html_text,
+    periodic_runs,
     secrets,
     sharding,
     simhash,
     topk,
     toxicity,
     training_order,
+    url_rules,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -30,7 +33,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_topk": topk.query,
     "op9_html_text": html_text.query,
     "op10_toxicity": toxicity.query,
+    "op11_periodic_runs": periodic_runs.query,
+    "op12_url_rules": url_rules.query,
+    "op13_fill_middle": fill_middle.query,
 }
 
 #: DuckDB SQL by query name, where SQL can express the operator.
-ORACLES: dict[str, str] = {"op8_topk": topk.ORACLE}
+ORACLES: dict[str, str] = {"op8_topk": topk.ORACLE, "op12_url_rules": url_rules.ORACLE}
