@@ -74,15 +74,33 @@ def _analysis(spark: SparkSession, sf_dir: str) -> Analysis:
     return analyze(derived.derive_manifest(spark, sf_dir), _docs(spark, sf_dir))
 
 
-def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The manifest as JSON documents of one file each, read back by the document reader."""
-    manifest = derived.derive_manifest(spark, sf_dir)
+def _documents(spark: SparkSession, sf_dir: str, broken: Column | None = None) -> DataFrame:
+    """The manifest as JSON documents of several sources and up to 500 files each; where ``broken``, an element is cut off."""
     stamp = F.date_format("uploaded_at", "yyyy-MM-dd'T'HH:mm:ss'+00:00'").alias("uploaded_at")
-    file = F.struct("filename", "rows", "status", "is_duplicated", "file_size", stamp, "status_message")
-    docs = manifest.select(
-        "snapshot_day", "from_period", F.to_json(F.create_map("source_id", F.array(file))).alias("value")
+    file = F.to_json(F.struct("filename", "rows", "status", "is_duplicated", "file_size", stamp, "status_message"))
+    if broken is not None:
+        file = F.when(broken, F.concat(F.lit('{"filename": "'), F.coalesce("filename", F.lit("")))).otherwise(file)
+    # any dealing will do, the documents are only read back
+    part = F.floor(F.monotonically_increasing_id() / 500)
+    head = ["snapshot_day", "from_period", "part"]
+    files = derived.derive_manifest(spark, sf_dir).select("*", part.alias("part")).groupBy(*head, "source_id").agg(
+        F.concat(F.lit('"'), "source_id", F.lit('": ['), F.array_join(F.collect_list(file), ",\n"), F.lit("]")).alias("source")
     )
-    return manifest_json.flatten_documents(docs, "snapshot_day", "from_period")
+    return files.groupBy(*head).agg(
+        F.concat(F.lit("{"), F.array_join(F.collect_list("source"), ",\n"), F.lit("}")).alias("value")
+    )
+
+
+def _documents_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest_json.flatten_documents(_documents(spark, sf_dir), "snapshot_day", "from_period")
+
+
+def _documents_unread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir, F.col("file_size") % 89 == 0)
+    unread = manifest_json.unread_in_documents(docs, "snapshot_day", "from_period")
+    # how a cut element ends depends on what stands behind it
+    name = F.regexp_extract("text", r'^\{"filename": "([A-Za-z0-9_.-]*)', 1)
+    return unread.select("snapshot_day", "from_period", "source_id", name.alias("filename"))
 
 
 def _file_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -185,7 +203,17 @@ def _queries() -> dict[str, Query]:
     sized = [*day_source, "filename", "rows", "uploaded_at", "status"]
     return {
         "manifest": derived.derive_manifest,
-        "manifest_documents": _documents,
+        "manifest_documents": _documents_read,
+        "manifest_unread": _documents_unread,
+        "outside_scope": lambda s, d: listings.outside_scope(derived.derive_manifest(s, d)).select(
+            *day_source, "from_period", "filename", "uploaded_at"
+        ),
+        "source_slice": lambda s, d: manifest_json.source_slice(derived.derive_manifest(s, d), "200002"),
+        "periods_combined": lambda s, d: manifest_json.combine_periods(
+            listings.today(derived.derive_manifest(s, d)).drop("from_period"),
+            listings.last_weekday(derived.derive_manifest(s, d)).drop("from_period", "status_message"),
+        ),
+        "stopped_files": lambda s, d: listings.with_status(_today(s, d), "stopped").select(*day_source, "filename", "status_message"),
         "source_data": lambda s, d: manifest_json.source_data(derived.derive_manifest(s, d), _docs(s, d)),
         "quality_summary": lambda s, d: summary.quality_summary(_today(s, d), *day_source),
         "quality_rates": lambda s, d: summary.quality_rates(

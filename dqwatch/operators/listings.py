@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from dqwatch.schema import COMPARABLE_STATUSES, PROBLEM_STATUSES
 
@@ -15,21 +15,36 @@ def last_weekday(manifest: DataFrame) -> DataFrame:
     return manifest.filter(F.col("from_period") == "last_weekday")
 
 
+def snapshot_time(manifest: DataFrame, snapshot_hour: int = 20) -> Column:
+    """When a row's snapshot was taken: its ``snapshot_at`` where the manifest has one, else ``snapshot_hour`` UTC of its day."""
+    usual = F.col("snapshot_day").cast("timestamp") + F.make_dt_interval(hours=F.lit(snapshot_hour))
+    return F.coalesce("snapshot_at", usual) if "snapshot_at" in manifest.columns else usual
+
+
 def in_scope(manifest: DataFrame, scope: str = "current", snapshot_hour: int = 20) -> DataFrame:
     """``current``: files uploaded after the snapshot before the row's own and up to that one; ``all``: every row.
 
-    A day's snapshot is taken at ``snapshot_hour`` UTC, so a file of the late evening is first listed the day after.
-    Files without an upload time are listed and therefore received; they stay.
+    A file of the late evening is first listed by the snapshot of the day after. A manifest that was read from dated folders
+    brings its own time (``snapshot_at``); ``snapshot_hour`` stands for it elsewhere. Files without an upload time are
+    listed and therefore received; they stay. :func:`outside_scope` has the rows that go.
     """
     if scope == "all":
         return manifest
     if scope != "current":
         raise ValueError(f"scope must be 'current' or 'all', not {scope!r}")
+    return manifest.filter(_is_current(manifest, snapshot_hour))
+
+
+def outside_scope(manifest: DataFrame, snapshot_hour: int = 20) -> DataFrame:
+    """Rows that a snapshot lists although they were uploaded outside its day."""
+    return manifest.filter(~_is_current(manifest, snapshot_hour))
+
+
+def _is_current(manifest: DataFrame, snapshot_hour: int) -> Column:
     offset = F.when(F.col("from_period") == "last_weekday", 7).otherwise(0)
-    taken = F.date_sub("snapshot_day", offset).cast("timestamp") + F.make_dt_interval(hours=F.lit(snapshot_hour))
-    before = taken - F.make_dt_interval(days=F.lit(1))
+    taken = snapshot_time(manifest, snapshot_hour) - F.make_dt_interval(days=offset)
     at = F.col("uploaded_at")
-    return manifest.filter(at.isNull() | ((at > before) & (at <= taken)))
+    return at.isNull() | ((at > taken - F.make_dt_interval(days=F.lit(1))) & (at <= taken))
 
 
 def comparable(files: DataFrame) -> DataFrame:

@@ -21,13 +21,12 @@ FILE_OBJECT = T.StructType(
         T.StructField("filename", T.StringType()),
         T.StructField("rows", T.StringType()),  # a number, a number with fraction or a number as text
         T.StructField("status", T.StringType()),
-        T.StructField("is_duplicated", T.BooleanType()),
+        T.StructField("is_duplicated", T.StringType()),
         T.StructField("file_size", T.StringType()),
         T.StructField("uploaded_at", T.StringType()),
         T.StructField("status_message", T.StringType()),
     ]
 )
-MANIFEST_DOCUMENT = T.MapType(T.StringType(), T.ArrayType(FILE_OBJECT))
 
 MANIFEST = T.StructType(
     [

@@ -419,7 +419,14 @@ def _record(where: str, names: str, total: str, name: str, keys: str = "") -> st
 ORACLES: dict[str, str] = {
     "manifest": f"{WITH_FILES} SELECT {DAY}, * EXCLUDE (e, snapshot_day) FROM m",
     "manifest_documents": f"{WITH_FILES} SELECT {DAY}, * EXCLUDE (e, snapshot_day) FROM m",
-    "source_data": f"""{WITH_DOCS} SELECT {DAY}, m.* EXCLUDE (e, snapshot_day), n.source_name FROM m LEFT JOIN cvn n USING (source_id)""",
+    "manifest_unread": f"{WITH_FILES} SELECT {DAY}, from_period, source_id, filename FROM m WHERE file_size % 89 = 0",
+    "outside_scope": f"""{WITH_FILES} SELECT {DAY}, source_id, from_period, filename, uploaded_at
+      FROM (SELECT *, CAST(snapshot_day - CASE from_period WHEN 'today' THEN 0 ELSE 7 END AS TIMESTAMP) + INTERVAL 20 HOUR AS taken FROM m)
+      WHERE uploaded_at > taken OR uploaded_at <= taken - INTERVAL 1 DAY""",
+    "source_slice": f"{WITH_FILES} SELECT {DAY}, * EXCLUDE (e, snapshot_day) FROM m WHERE source_id = '200002'",
+    "periods_combined": f"""{WITH_FILES} SELECT {DAY}, * EXCLUDE (e, snapshot_day) REPLACE (CASE from_period WHEN 'today' THEN status_message END AS status_message) FROM m""",
+    "stopped_files": f"{WITH_FILES} SELECT {DAY}, source_id, filename, status_message FROM t WHERE status = 'stopped'",
+    "source_data": f"""{WITH_DOCS} SELECT {DAY}, m.* EXCLUDE (e, snapshot_day), n.source_name, n.text AS cv_text FROM m LEFT JOIN cvn n USING (source_id)""",
     "quality_summary": f"{WITH_FILES} SELECT {DAY}, source_id, {QUALITY} FROM t GROUP BY snapshot_day, source_id",
     "quality_rates": f"{WITH_FILES} SELECT {DAY}, source_id, {RATES} FROM t GROUP BY snapshot_day, source_id",
     "quality_tool": f"{WITH_FILES} SELECT {QUALITY}, {RATES} FROM t",

@@ -125,13 +125,16 @@ def test_volume_bands_against_plain_statistics(manifest_of):
     volumes = [100, 120, 90, 110, 400, 105]
     m = manifest_of(*[file(f"h{i}_x.csv", v, day=DAY + timedelta(days=7 * i)) for i, v in enumerate(volumes)], file("h_x.csv", 7, day=DAY + timedelta(days=1)))
     got = {r.day: r for r in history.volume_bands(history.daily_volumes(m)).collect()}
-    assert len(got) == 3
+    assert len(got) == 7
+    unknown = [got[DAY + timedelta(days=7 * i)] for i in (0, 1, 2)] + [got[DAY + timedelta(days=1)]]
+    assert [(r.n_days, r.mean_volume, r.lower, r.upper, r.outside) for r in unknown] == [(n, *(None,) * 4) for n in (0, 1, 2, 0)]
+    assert (unknown[0].lowest, unknown[2].lowest, unknown[2].highest) == (None, 100, 120)
     for i in (3, 4, 5):
         row, earlier = got[DAY + timedelta(days=7 * i)], volumes[:i]
         assert row.n_days == i and (row.lowest, row.highest) == (min(earlier), max(earlier))
         mean, deviation = statistics.mean(earlier), statistics.stdev(earlier)
         assert row.upper == pytest.approx(mean + 1.96 * deviation) and row.lower == pytest.approx(mean - 1.96 * deviation)
-    assert [got[d].outside for d in sorted(got)] == [False, True, False]
+    assert [got[d].outside for d in sorted(got) if got[d].n_days >= 3] == [False, True, False]
 
 
 def test_recurrence_looks_seven_days_back(stored):
