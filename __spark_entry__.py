@@ -269,7 +269,7 @@ def _queries() -> dict[str, Query]:
         "volume_patterns": _volume_patterns,
         "volume_detector": _detector("volume"),
         "volume_vs_range": lambda s, d: expectations.outside_ranges(
-            expectations.source_volumes(_today(s, d)), _facts(s, d)
+            expectations.volumes_by_entity(expectations.pattern_facts(_today(s, d), _facts(s, d))), _facts(s, d)
         ),
         "volume_band": lambda s, d: history.volume_bands(history.daily_volumes(_today(s, d))),
         "timing_raw": lambda s, d: comparison.timing_files(_manifest(s, d), shift_days=0),

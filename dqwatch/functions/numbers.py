@@ -50,8 +50,9 @@ def tenths_text(numerator: Column, denominator: Column | int) -> Column:
 
 
 def clock(minutes: Column) -> Column:
-    """Minutes since midnight as ``HH:MM``."""
-    hour, minute = int_div(minutes, 60), minutes % 60
+    """Minutes since midnight as ``HH:MM``; negative ones lie on the evening before."""
+    of_day = F.pmod(minutes, F.lit(24 * 60))
+    hour, minute = int_div(of_day, 60), of_day % 60
     return F.concat(F.lpad(hour.cast("string"), 2, "0"), F.lit(":"), F.lpad(minute.cast("string"), 2, "0"))
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from dqwatch.functions import naming
 from dqwatch.functions.numbers import MICROS_PER_HOUR, clock, tenths_text, thousands
-from dqwatch.operators.expectations import outside_ranges, pattern_volumes
+from dqwatch.operators.expectations import judged_ranges, minute_of, nearest_slot, volumes_by_entity
 from dqwatch.operators.lookup import lookup
 from dqwatch.operators.patterns import FILE_IDENTITY, KEYS, with_pattern
 from dqwatch.schema import FINDING, PROBLEM_STATUSES
@@ -70,8 +70,11 @@ def _file_label() -> Column:
     return F.coalesce("filename", F.lit("unnamed file"))
 
 
-def window_text(start: Column, end: Column) -> Column:
-    return F.concat(clock(start), F.lit("–"), clock(end), F.lit(" UTC"))
+def windows_text(slots: Column) -> Column:
+    """``08:00–08:20, 17:00–17:30 UTC``; NULL without windows. Slots without length are usual times, not windows."""
+    windows = F.filter(slots, lambda s: s["end_min"] > s["start_min"])
+    texts = F.transform(windows, lambda w: F.concat(clock(w["start_min"]), F.lit("–"), clock(w["end_min"])))
+    return F.when(F.size(texts) > 0, F.concat(F.array_join(texts, ", "), F.lit(" UTC")))
 
 
 def _clock_of(moment: Column) -> Column:
@@ -85,7 +88,7 @@ def missing_finding(limits: Limits) -> Column:
         F.concat(F.lit("*_"), F.col("pattern")),
     )
     past = F.coalesce(
-        F.concat(F.lit("missing past "), window_text(F.col("window_start"), F.col("window_end"))),
+        F.concat(F.lit("missing past "), windows_text(F.col("slots"))),
         F.lit("missing"),
     )
     absent = (F.col("n_today") == 0) & F.col("is_scheduled") & F.col("pattern").isNotNull()
@@ -105,7 +108,11 @@ def missing_finding(limits: Limits) -> Column:
 
 
 def volume_finding(limits: Limits) -> Column:
-    """Volume of a pattern against the same pattern a week before."""
+    """Volume of a pattern against the same pattern a week before.
+
+    A documented range of its entity or source decides where there is one (``decided``, see :func:`with_decisions`): the
+    finding is no more severe than that, and informational inside.
+    """
     now, before = F.col("volume_today"), F.col("volume_last")
     pct = (now - before) * F.lit(100.0) / F.nullif(before, F.lit(0))
     comparable = (F.col("ok_today") > 0) & (F.col("ok_last") > 0) & (before > 0)
@@ -119,13 +126,15 @@ def volume_finding(limits: Limits) -> Column:
         F.when(now > before, F.lit("% above last week ")).otherwise(F.lit("% below last week ")),
         thousands(before),
         F.lit(")"),
+        F.when(F.col("decided.severity") == 0, F.concat(F.lit(", within "), F.col("decided.text"))).otherwise(""),
     )
+    severity = F.when(urgent, 2).otherwise(1)
     return F.when(
         comparable & (F.abs(pct) > limits.volume_pct),
         _finding(
             "volume",
             F.when(now > before, "volume_up").otherwise("volume_down"),
-            F.when(urgent, 2).otherwise(1),
+            F.least(severity, F.coalesce("decided.severity", severity)),
             text,
             pattern=F.col("pattern"),
             entity=F.col("entity"),
@@ -197,8 +206,8 @@ def is_previous_period() -> Column:
 def with_timing(files: DataFrame) -> DataFrame:
     """File age and the distance of the upload from its expected window, in microseconds.
 
-    The window is the documented one, else the documented usual time, else last week's uploads of the
-    pattern seven days on.
+    The window is the nearest documented slot (:func:`~dqwatch.operators.expectations.arrival_slots`), so that two
+    deliveries of a day take two windows; else last week's uploads of the pattern seven days on.
     """
     day, at = F.col("snapshot_day").cast("timestamp"), F.col("uploaded_at")
     week = F.make_dt_interval(days=F.lit(7))
@@ -206,14 +215,15 @@ def with_timing(files: DataFrame) -> DataFrame:
     def on_day(minutes: str) -> Column:
         return day + F.make_dt_interval(mins=F.col(minutes))
 
-    opens = F.coalesce(on_day("window_start"), on_day("usual_minute"))
+    opens = on_day("slot.start_min")
     return (
         files.withColumn("days_old", naming.days_old(F.to_date(at), naming.file_date(F.col("filename"))))
+        .withColumn("slot", nearest_slot(F.col("slots"), minute_of(F.col("snapshot_day"), at)))
         .withColumn("has_schedule", opens.isNotNull())
         .withColumn("due_from", F.coalesce(opens, F.col("first_upload_last") + week))
         .withColumn(
             "due_to",
-            F.coalesce(on_day("window_end"), on_day("usual_minute"), F.col("last_upload_last") + week),
+            F.coalesce(on_day("slot.end_min"), F.col("last_upload_last") + week),
         )
         .withColumn("late_by", F.unix_micros(at) - F.unix_micros("due_to"))
         .withColumn("early_by", F.unix_micros("due_from") - F.unix_micros(at))
@@ -353,9 +363,7 @@ def file_findings(
         "max_rows_last",
         "first_upload_last",
         "last_upload_last",
-        "window_start",
-        "window_end",
-        "usual_minute",
+        "slots",
         "lag_days",
         "may_be_empty",
         "may_arrive_anytime",
@@ -365,31 +373,70 @@ def file_findings(
     return _emit(known.withColumn("pattern", F.nullif("pattern", F.lit(UNNAMED))), detectors, limits)
 
 
-def range_findings(facts_by_pattern: DataFrame, facts: DataFrame, **options: int) -> DataFrame:
-    """Source-day volumes outside a documented range, as volume findings."""
-    bound = F.when(F.col("is_above"), F.col("hi")).otherwise(F.col("lo"))
-    sign = F.when(F.col("is_above"), "> ").otherwise("< ")
+def _range_text() -> Column:
+    """The documented range of a row, as its profile words it."""
     both = F.concat(thousands(F.col("lo")), F.lit("–"), thousands(F.col("hi")))
+    return (
+        F.when(F.col("kind") == "weekday", F.concat(F.lit("usual "), "dow", F.lit(" "), both))
+        .when(F.col("kind") == "typical", F.concat(F.lit("typical range "), both))
+        .when(F.col("kind") == "band", F.concat(F.lit("95% band "), both))
+        .otherwise(F.concat(F.lit("expected >"), thousands(F.col("lo"))))
+    )
+
+
+def volume_ranges(facts_by_pattern: DataFrame, facts: DataFrame, limits: Limits = DEFAULT_LIMITS, **options: int) -> DataFrame:
+    """Volumes of source-days and their entities with the ranges that apply to them."""
+    return judged_ranges(
+        volumes_by_entity(facts_by_pattern), facts, limits.urgent_increase_pct, limits.urgent_decrease_pct, **options
+    )
+
+
+def range_findings(
+    facts_by_pattern: DataFrame, facts: DataFrame, limits: Limits = DEFAULT_LIMITS, **options: int
+) -> DataFrame:
+    """Volumes of source-days and entities outside a documented range, as volume findings."""
+    bound = F.when(F.col("is_above"), F.col("hi")).otherwise(F.col("lo"))
+    sign = F.when(F.col("is_above"), ">").otherwise("<")
     context = (
-        F.when(F.col("kind") == "weekday", F.concat(sign, F.lit("usual "), "dow", F.lit(" "), both))
-        .when(F.col("kind") == "typical", F.concat(sign, F.lit("typical range "), both))
-        .when(F.col("kind") == "band", F.concat(F.trim(sign), F.lit("95% bound "), thousands(bound)))
-        .otherwise(F.concat(F.lit("expected >"), thousands(bound)))
+        F.when(F.col("kind") == "band", F.concat(sign, F.lit("95% bound "), thousands(bound)))
+        .when(F.col("kind") == "minimum", _range_text())
+        .otherwise(F.concat(sign, F.lit(" "), _range_text()))
     )
-    text = F.concat(F.lit("Source volume "), thousands(F.col("volume")), F.lit(" ("), context, F.lit(")"))
+    text = F.concat(F.coalesce("entity", F.lit("Source")), F.lit(" volume "), thousands(F.col("volume")), F.lit(" ("), context, F.lit(")"))
     found = _finding(
         "volume",
         F.concat(F.lit("outside_"), F.col("kind")),
-        1,
+        F.col("severity"),
         text,
         pattern=F.lit("*"),
+        entity=F.col("entity"),
         metric=F.col("volume"),
         baseline=bound,
     )
-    out = outside_ranges(pattern_volumes(facts_by_pattern), facts, **options)
+    out = volume_ranges(facts_by_pattern, facts, limits, **options).filter(F.col("severity") > 0)
     return out.select(*HEAD, F.inline(F.array(found)))
 
 
+def with_decisions(
+    facts_by_pattern: DataFrame, facts: DataFrame, limits: Limits = DEFAULT_LIMITS, **options: int
+) -> DataFrame:
+    """The pattern table with ``decided``: severity and text of the most specific documented range over a pattern.
+
+    That is a range of its entity, else of its source, each for the weekday before any day; NULL where nothing is
+    documented. There is one row per source-day with ranges, and it holds as many entities as the profile names.
+    """
+    each = volume_ranges(facts_by_pattern, facts, limits, **options)
+    decided = F.max(F.struct("severity", _range_text().alias("text"))).alias("decided")
+    by_entity = each.groupBy(*HEAD, "entity").agg(decided)
+    of_source = F.max(F.when(F.col("entity").isNull(), F.col("decided"))).alias("of_source")
+    entries = F.collect_list(F.when(F.col("entity").isNotNull(), F.struct("entity", "decided")))
+    by_day = by_entity.groupBy(*HEAD).agg(of_source, F.map_from_entries(entries).alias("of_entity"))
+    per_day = facts_by_pattern.groupBy(*HEAD).agg(F.count(F.lit(1)).alias("n"))
+    joined = lookup(facts_by_pattern, by_day, HEAD, key_counts=per_day, salt_on=["pattern"], **options)
+    own = F.when(F.col("entity").isNotNull(), F.try_element_at("of_entity", F.col("entity")))
+    return joined.withColumn("decided", F.coalesce(own, "of_source")).drop("of_source", "of_entity")
+
+
 def recent_severity(limits: Limits = DEFAULT_LIMITS) -> Column:
     """Severity of a backfill as its own detector sees it, before the source-level roll-up."""
     return F.when(F.col("metric") <= limits.recent_days, 1).otherwise(0)

@@ -7,7 +7,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from dqwatch.functions.naming import entity_of
 from dqwatch.operators.lookup import lookup
 from dqwatch.operators.patterns import KEYS, pattern_stats, with_pattern
-from dqwatch.schema import COMPARABLE_STATUSES
 
 
 def delivery_days(manifest: DataFrame) -> Column:
@@ -64,9 +63,8 @@ def pattern_facts(manifest: DataFrame, facts: DataFrame, **options: int) -> Data
         "source_id",
         "entities",
         "expected_files",
-        F.array_min("windows.start_min").alias("window_start"),
-        F.array_max("windows.end_min").alias("window_end"),
-        F.get("usual_minutes", F.lit(0)).alias("usual_minute"),
+        "windows",
+        "usual_times",
         "not_expected_on",
         "regularly_empty",
         "variable_arrival",
@@ -87,53 +85,104 @@ def pattern_facts(manifest: DataFrame, facts: DataFrame, **options: int) -> Data
             "expected_name", F.when(F.col("n_today") == 0, F.get(documented_as, F.lit(0))["expected_name"])
         )
         .withColumn("is_scheduled", scheduled(F.col("snapshot_day"), F.col("not_expected_on")))
+        .withColumn("slots", arrival_slots(F.col("entity")))
         .withColumn("may_be_empty", listed("regularly_empty"))
         .withColumn("may_arrive_anytime", listed("variable_arrival"))
         .withColumn("lag_days", F.coalesce("lag_days", F.lit(0)))
-        .drop("entities", "expected_files", "not_expected_on", "regularly_empty", "variable_arrival")
+        .drop("entities", "expected_files", "windows", "usual_times", "not_expected_on", "regularly_empty", "variable_arrival")
     )
 
 
-def source_volumes(manifest: DataFrame) -> DataFrame:
-    """Comparable records per source-day."""
-    return (
-        manifest.filter((F.col("from_period") == "today") & F.col("status").isin(COMPARABLE_STATUSES))
-        .groupBy("snapshot_day", "source_id")
-        .agg(F.sum("rows").alias("volume"))
-    )
+def arrival_slots(entity: Column) -> Column:
+    """When files of an entity are due: (start_min, end_min) in order, from the columns ``windows`` and ``usual_times``.
 
+    The entity's own windows, else its usual times (a slot without length), else those of the whole source; NULL if
+    nothing is documented.
+    """
 
-def pattern_volumes(by_pattern: DataFrame) -> DataFrame:
-    """Comparable records per source-day, from the pattern table."""
-    return (
-        by_pattern.filter(F.col("ok_today") > 0)
-        .groupBy("snapshot_day", "source_id")
-        .agg(F.sum("volume_today").alias("volume"))
-    )
+    def stated(of: Column) -> Column:
+        own = lambda column: F.filter(column, lambda x: x["entity"].eqNullSafe(of))
+        windows = F.transform(own("windows"), lambda w: F.struct(w["start_min"], w["end_min"]))
+        times = F.transform(own("usual_times"), lambda t: F.struct(t["minute"].alias("start_min"), t["minute"].alias("end_min")))
+        found = F.when(F.size(windows) > 0, windows).otherwise(times)
+        return F.when(F.size(found) > 0, F.array_sort(found))
+
+    return F.coalesce(F.when(entity.isNotNull(), stated(entity)), stated(F.lit(None).cast("string")))
+
+
+def nearest_slot(slots: Column, minute: Column) -> Column:
+    """The slot with the least distance to ``minute``, the earlier of two equally near; NULL without slots."""
+    away = lambda s: F.greatest(s["start_min"] - minute, minute - s["end_min"], F.lit(0))
+    return F.array_min(F.transform(slots, lambda s: F.struct(away(s).alias("away"), s["start_min"], s["end_min"])))
 
 
-def outside_ranges(volumes: DataFrame, facts: DataFrame, **options: int) -> DataFrame:
-    """Source-days whose volume leaves a documented range, one row per range left."""
-    ranged = lookup(volumes, facts.select("source_id", "ranges"), ["source_id"], "inner", **options)
-    rows = ranged.select("snapshot_day", "source_id", "volume", F.inline("ranges"))
-    applies = F.col("dow").isNull() | (F.col("dow") == F.date_format("snapshot_day", "EEEE"))
-    too_low = F.when(F.col("kind") == "minimum", F.col("volume") <= F.col("lo")).otherwise(
-        F.col("volume") < F.col("lo")
+def minute_of(day: Column, at: Column) -> Column:
+    """Minutes from the start of ``day`` to ``at``, negative on the evening before."""
+    return (F.unix_micros(at) - F.unix_micros(day.cast("timestamp"))) / F.lit(6e7)
+
+
+def volumes_by_entity(by_pattern: DataFrame) -> DataFrame:
+    """Comparable records per source-day and entity, and per source-day as a whole (``entity`` NULL)."""
+    known = by_pattern.filter(F.col("ok_today") > 0).select("snapshot_day", "source_id", "entity", "volume_today")
+    per_entity = known.groupBy("snapshot_day", "source_id", "entity").agg(F.sum("volume_today").alias("volume"))
+    whole = per_entity.groupBy("snapshot_day", "source_id").agg(F.sum("volume").alias("volume"))
+    return per_entity.filter(F.col("entity").isNotNull()).unionByName(
+        whole.withColumn("entity", F.lit(None).cast("string"))
     )
-    too_high = F.coalesce(F.col("volume") > F.col("hi"), F.lit(False))
-    return rows.filter(applies & (too_low | too_high)).withColumn("is_above", too_high)
+
+
+def judged_ranges(
+    volumes: DataFrame, facts: DataFrame, far_above_pct: float = 100, far_below_pct: float = 80, **options: int
+) -> DataFrame:
+    """Volumes with the documented ranges that apply to them, and where they lie.
+
+    Ranges of the entity apply to the entity's volume and those of the source to its whole volume; of either, those for
+    the weekday take the place of those for any day. ``severity`` is 0 inside, 1 outside and 2 far outside: more than
+    ``far_above_pct`` above the upper or ``far_below_pct`` below the lower bound.
+    """
+    stated = facts.filter(F.size("ranges") > 0).select("source_id", "ranges")
+    ranged = lookup(volumes, stated, ["source_id"], "inner", **options)
+    own = F.filter("ranges", lambda r: r["entity"].eqNullSafe(F.col("entity")))
+    of_day = F.filter(own, lambda r: r["dow"] == F.date_format("snapshot_day", "EEEE"))
+    of_any = F.filter(own, lambda r: r["dow"].isNull())
+    applicable = F.when(F.size(of_day) > 0, of_day).otherwise(of_any)
+    ranges = F.transform(applicable, lambda r: F.struct(r["kind"], r["dow"], r["lo"], r["hi"]))
+    rows = ranged.select("snapshot_day", "source_id", "entity", "volume", F.inline(ranges))
+    volume, lo, hi = F.col("volume"), F.col("lo"), F.col("hi")
+    above = F.coalesce(volume > hi, F.lit(False))
+    below = F.coalesce(F.when(F.col("kind") == "minimum", volume <= lo).otherwise(volume < lo), F.lit(False))
+    far = (above & (volume > hi * (1 + far_above_pct / 100))) | (below & (volume < lo * (1 - far_below_pct / 100)))
+    severity = F.when(far, 2).when(above | below, 1).otherwise(0)
+    return rows.withColumn("is_above", above).withColumn("severity", severity.cast("int"))
+
+
+def outside_ranges(volumes: DataFrame, facts: DataFrame, **options: float) -> DataFrame:
+    """Volumes that leave a documented range, one row per range left."""
+    return judged_ranges(volumes, facts, **options).filter(F.col("severity") > 0)
 
 
 def late_against_window(manifest: DataFrame, facts: DataFrame, hours: int = 4, **options: int) -> DataFrame:
-    """Today's files uploaded more than ``hours`` after the end of the documented window."""
-    ends = facts.select("source_id", F.array_max("windows.end_min").alias("window_end")).filter(
-        F.col("window_end").isNotNull()
+    """Today's files uploaded more than ``hours`` after the documented slot they are nearest to."""
+    stated = facts.select("source_id", "entities", "windows", "usual_times")
+    stated = stated.filter((F.size("windows") > 0) | (F.size("usual_times") > 0))
+    joined = lookup(with_pattern(manifest.filter(F.col("from_period") == "today")), stated, ["source_id"], "inner", **options)
+    minute = minute_of(F.col("snapshot_day"), F.col("uploaded_at"))
+    slot = joined.withColumn("entity", entity_of(F.col("pattern"), F.col("entities"))).withColumn(
+        "slot", nearest_slot(arrival_slots(F.col("entity")), minute)
     )
-    joined = lookup(manifest.filter(F.col("from_period") == "today"), ends, ["source_id"], "inner", **options)
-    due = F.col("snapshot_day").cast("timestamp") + F.make_dt_interval(mins=F.col("window_end"))
+    due = F.col("snapshot_day").cast("timestamp") + F.make_dt_interval(mins=F.col("slot.end_min"))
     hours_late = (F.unix_micros("uploaded_at") - F.unix_micros(due)) / F.lit(3.6e9)
     return (
-        joined.withColumn("hours_late", hours_late)
+        slot.withColumn("hours_late", hours_late)
         .filter(F.col("hours_late") > hours)
-        .select("snapshot_day", "source_id", "filename", "uploaded_at", "window_end", "hours_late")
+        .select(
+            "snapshot_day",
+            "source_id",
+            "filename",
+            "entity",
+            "uploaded_at",
+            F.col("slot.start_min").alias("window_start"),
+            F.col("slot.end_min").alias("window_end"),
+            "hours_late",
+        )
     )

@@ -6,7 +6,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, functions as F
 
-from dqwatch.operators.detectors import DEFAULT_LIMITS, Limits, pattern_findings, range_findings
+from dqwatch.operators.detectors import DEFAULT_LIMITS, Limits, pattern_findings, range_findings, with_decisions
 from dqwatch.operators.expectations import delivery_days, pattern_facts
 from dqwatch.operators.listings import in_scope
 from dqwatch.plans.findings import all_findings
@@ -50,8 +50,9 @@ class Analysis:
 
     @cached_property
     def issues(self) -> DataFrame:
-        volumes = pattern_findings(self.by_pattern, ("volume",), self._limits).unionByName(
-            range_findings(self.by_pattern, self._facts, **self._options)
+        decided = with_decisions(self.by_pattern, self._facts, self._limits, **self._options)
+        volumes = pattern_findings(decided, ("volume",), self._limits).unionByName(
+            range_findings(self.by_pattern, self._facts, self._limits, **self._options)
         )
         return self._shared(
             source_issues(

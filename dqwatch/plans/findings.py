@@ -13,6 +13,7 @@ from dqwatch.operators.detectors import (
     file_findings,
     pattern_findings,
     range_findings,
+    with_decisions,
 )
 from dqwatch.operators.expectations import pattern_facts
 from dqwatch.operators.listings import in_scope
@@ -32,8 +33,8 @@ def all_findings(
     manifest = in_scope(manifest, scope)
     by_pattern = by_pattern if by_pattern is not None else pattern_facts(manifest, facts, **options)
     return (
-        pattern_findings(by_pattern, limits=limits)
-        .unionByName(range_findings(by_pattern, facts, **options))
+        pattern_findings(with_decisions(by_pattern, facts, limits, **options), limits=limits)
+        .unionByName(range_findings(by_pattern, facts, limits, **options))
         .unionByName(file_findings(manifest, by_pattern, limits=limits, **options))
     )
 
@@ -51,9 +52,11 @@ def detector_findings(
         raise ValueError(f"unknown detector {detector!r}, expected one of {', '.join(DETECTORS)}")
     manifest = in_scope(manifest, scope)
     by_pattern = pattern_facts(manifest, facts, **options)
+    if detector == "volume":
+        found = pattern_findings(with_decisions(by_pattern, facts, limits, **options), (detector,), limits)
+        return found.unionByName(range_findings(by_pattern, facts, limits, **options))
     if detector in PATTERN_DETECTORS:
-        found = pattern_findings(by_pattern, (detector,), limits)
-        return found.unionByName(range_findings(by_pattern, facts, **options)) if detector == "volume" else found
+        return pattern_findings(by_pattern, (detector,), limits)
     return file_findings(manifest, by_pattern, (detector,), limits, **options)
 
 

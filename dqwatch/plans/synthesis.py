@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from dqwatch.functions.numbers import records_text, thousands
-from dqwatch.operators.detectors import DEFAULT_LIMITS, HEAD, Limits, window_text
+from dqwatch.operators.detectors import DEFAULT_LIMITS, HEAD, Limits, windows_text
 from dqwatch.operators.expectations import source_calendar
 from dqwatch.operators.lookup import lookup
 from dqwatch.schema import ATTENTION, DETECTORS, NORMAL, URGENT
@@ -64,7 +64,7 @@ def _flags(limits: Limits) -> dict[str, Column]:
         "n_deleted": kind == "deleted",
         "n_duplicate": kind == "duplicate",
         "n_volume_urgent": (detector == "volume") & (severity == 2),
-        "n_volume": detector == "volume",
+        "n_volume": (detector == "volume") & (severity > 0),
         "n_empty_big": empty & (F.col("baseline") > limits.urgent_empty_rows),
         "n_empty": empty & (severity > 0),
         "n_empty_small": empty & (severity == 0),
@@ -223,9 +223,7 @@ def _counted(n: Column, one: str, many: str | None = None) -> Column:
 def _clauses() -> dict[str, Column]:
     c = F.col
     others = c("n_volume") - 1
-    past = F.coalesce(
-        F.concat(F.lit(" past "), window_text(c("window_start"), c("window_end")), F.lit(" window")), F.lit("")
-    )
+    past = F.coalesce(F.concat(F.lit(" past "), c("windows_text"), F.lit(" window")), F.lit(""))
     parts = F.concat_ws(
         ", ",
         F.when(c("n_blocked") > 0, _counted(c("n_blocked"), " file blocked as duplicate", " files blocked as duplicates")),
@@ -288,12 +286,11 @@ def source_lines(
     The most severe issue leads, ties go by detector priority; further issues follow after a dash.
     ``missing`` may be all findings or only those of the missing detector.
     """
-    described = facts.select(
-        "source_id",
-        "source_name",
-        F.array_min("windows.start_min").alias("window_start"),
-        F.array_max("windows.end_min").alias("window_end"),
-    )
+    of_source = F.filter("windows", lambda w: w["entity"].isNull())
+    windows = F.when(F.size(of_source) > 0, of_source).otherwise(F.col("windows"))
+    # by time, whatever entity they belong to
+    slots = F.array_sort(F.transform(windows, lambda w: F.struct(w["start_min"], w["end_min"])))
+    described = facts.select("source_id", "source_name", windows_text(slots).alias("windows_text"))
     rows = lookup(issues, described, ["source_id"], **options)
     rows = rows.join(missing_entities_text(missing), HEAD, "left")
     clauses = _clauses()

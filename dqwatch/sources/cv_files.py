@@ -6,6 +6,8 @@ what no expression recognises is kept and can be listed with :func:`cv_unparsed`
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from dqwatch.functions.naming import expected_pattern
@@ -29,6 +31,7 @@ KNOWN_LINE = (
     r"|^Not expected on: |^Regularly empty: |^Variable arrival: |Expected coverage: D\+[0-9]"
 )
 CV_SUFFIX = "_native.md"
+MINUTES_PER_DAY = 1440
 
 
 def source_name(text: Column, source_id: Column) -> Column:
@@ -114,36 +117,78 @@ def _list_items(rx: str, separator: str = ", *") -> Column:
     return F.array_distinct(F.filter(F.transform(items, lambda item: F.trim(item)), lambda item: item != ""))
 
 
-def _ranges() -> Column:
-    none = F.lit(None)
+def _last_named(text: Column, entities: Column) -> Column:
+    """The documented entity that is named last in ``text``, as a word of its own; the longer of two that end together."""
+
+    def end(entity: Column) -> Column:
+        return F.length(text) - F.call_function("locate", F.reverse(entity), F.reverse(text))
+
+    def word(entity: Column) -> Column:
+        quoted = F.concat(F.lit(r"(?<![A-Za-z0-9])\Q"), F.replace(entity, F.lit(r"\E"), F.lit("")), F.lit(r"\E(?![A-Za-z0-9])"))
+        return F.regexp_like(text, quoted)
+
+    named = F.transform(F.filter(entities, word), lambda e: F.struct(end(e).alias("at"), F.length(e).alias("n"), e.alias("e")))
+    return F.array_max(named)["e"]
+
+
+def _stated(rx: str, *columns: tuple[str, Callable[[Column], Column]]) -> Column:
+    """Facts of one form with the ``entity`` they belong to: the last one named before the fact in its line or ``;`` clause.
+
+    NULL stands for the whole source. ``columns`` name the groups of ``rx`` and convert them.
+    """
+    entities, placed = _list_items(ENTITIES), "(.*?)" + rx
+
+    def group(clause: Column, at: Column, number: int) -> Column:
+        return F.get(F.regexp_extract_all(clause, F.lit(placed), F.lit(number + 1)), at)
 
-    def rows(kind: str, dow: Column | None, lo: Column, hi: Column | None) -> Column:
-        hi = hi if hi is not None else F.transform(lo, lambda _: none.cast("string"))
-        dow = dow if dow is not None else F.transform(lo, lambda _: none.cast("string"))
+    def of_clause(clause: Column) -> Column:
+        before = F.regexp_extract_all(clause, F.lit(placed), F.lit(1))
         return F.transform(
-            F.arrays_zip(dow.alias("dow"), lo.alias("lo"), hi.alias("hi")),
+            before,
+            lambda _, i: F.struct(
+                _last_named(F.array_join(F.slice(before, F.lit(1), i + 1), " "), entities).alias("entity"),
+                *[convert(group(clause, i, n)).alias(name) for n, (name, convert) in enumerate(columns, 1)],
+            ),
+        )
+
+    return F.flatten(F.transform(F.split("text", "[;\n]"), of_clause))
+
+
+def _ranges() -> Column:
+    def rows(kind: str, rx: str, dow: bool, hi: bool) -> Column:
+        found = _stated(
+            rx,
+            *([("dow", lambda x: x)] if dow else []),
+            ("lo", _numeral),
+            *([("hi", _numeral)] if hi else []),
+        )
+        return F.transform(
+            found,
             lambda r: F.struct(
                 F.lit(kind).alias("kind"),
-                r["dow"].alias("dow"),
-                _numeral(r["lo"]).alias("lo"),
-                _numeral(r["hi"]).alias("hi"),
+                r["entity"].alias("entity"),
+                (r["dow"] if dow else F.lit(None).cast("string")).alias("dow"),
+                r["lo"].alias("lo"),
+                (r["hi"] if hi else F.lit(None).cast("bigint")).alias("hi"),
             ),
         )
 
     return F.concat(
-        rows("weekday", _all(WEEKDAY_RANGE, 1), _all(WEEKDAY_RANGE, 2), _all(WEEKDAY_RANGE, 3)),
-        rows("typical", None, _all(TYPICAL_RANGE, 1), _all(TYPICAL_RANGE, 2)),
-        rows("band", None, _all(CONFIDENCE_BAND, 1), _all(CONFIDENCE_BAND, 2)),
-        rows("minimum", None, _all(MINIMUM, 1), None),
+        rows("weekday", WEEKDAY_RANGE, True, True),
+        rows("typical", TYPICAL_RANGE, False, True),
+        rows("band", CONFIDENCE_BAND, False, True),
+        rows("minimum", MINIMUM, False, False),
     )
 
 
 def cv_facts(cv_docs: DataFrame) -> DataFrame:
     """Every documented fact, one row per source."""
-    starts, ends = F.transform(_all(WINDOW, 1), _minutes), F.transform(_all(WINDOW, 2), _minutes)
+    # a window that ends before it starts begins on the evening before
     windows = F.transform(
-        F.arrays_zip(starts.alias("start_min"), ends.alias("end_min")),
-        lambda w: F.struct(w["start_min"].alias("start_min"), w["end_min"].alias("end_min")),
+        _stated(WINDOW, ("start_min", _minutes), ("end_min", _minutes)),
+        lambda w: w.withField(
+            "start_min", w["start_min"] - F.when(w["start_min"] > w["end_min"], MINUTES_PER_DAY).otherwise(0)
+        ),
     )
     expected = F.transform(
         _list_items(EXPECTED_FILES, "; *"),
@@ -155,7 +200,7 @@ def cv_facts(cv_docs: DataFrame) -> DataFrame:
         _list_items(ENTITIES).alias("entities"),
         expected.alias("expected_files"),
         windows.alias("windows"),
-        F.transform(_all(USUAL_TIME, 1), _minutes).alias("usual_minutes"),
+        _stated(USUAL_TIME, ("minute", _minutes)).alias("usual_times"),
         _ranges().alias("ranges"),
         _list_items(NOT_EXPECTED).alias("not_expected_on"),
         _list_items(REGULARLY_EMPTY).alias("regularly_empty"),
@@ -169,7 +214,7 @@ def cv_windows(facts: DataFrame) -> DataFrame:
 
 
 def cv_usual_times(facts: DataFrame) -> DataFrame:
-    return facts.select("source_id", F.explode("usual_minutes").alias("minute"))
+    return facts.select("source_id", F.inline("usual_times"))
 
 
 def cv_volume_ranges(facts: DataFrame) -> DataFrame:

@@ -151,7 +151,7 @@ def derive_cv_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(g % 8 == 6, F.lit("Delivery profile"))
         .otherwise(F.concat(F.lit("# _"), name, F.lit("_")))
     )
-    first = F.array_min("ents")
+    first, last = F.array_min("ents"), F.array_max("ents")
 
     def line(when: Column, *parts: Column | str) -> Column:
         return F.when(when, F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts]))
@@ -162,9 +162,15 @@ def derive_cv_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
         heading,
         line(always, "Entities: ", F.array_join("ents", ", ")),
         line(always, "Expected files: [hash]_", first, "_payments_report_YYYY_MM_DD.csv"),
-        line(g % 2 == 0, "Arrives 08:00-08:20 UTC"),
-        line(g % 2 == 1, "Arrives 08:00–08:20 UTC"),
-        line(k == 0, "usual ~08:10 UTC"),
+        line((g % 2 == 0) & (g % 10 != 4), "Arrives 08:00-08:20 UTC"),
+        line((g % 2 == 1) & (g % 10 != 3), "Arrives 08:00–08:20 UTC"),
+        line(g % 10 == 3, "Arrives 08:00–08:20 UTC or 17:00–17:30 UTC"),
+        line((k == 0) & (g % 10 != 4), "usual ~08:10 UTC"),
+        line(g % 10 == 4, "usual ~08:10 UTC, sometimes usual ~13:05 UTC"),
+        line(g % 7 == 2, first, " arrives 06:00-06:30 UTC and 12:50-13:10 UTC"),
+        line(g % 7 == 3, last, " usual ~13:00 UTC"),
+        line(g % 7 == 5, first, " usual Monday 1k-2k; ", last, " usual Monday 5k-90k"),
+        line(g % 7 == 6, first, " typical range 2k-40k"),
         line(g % 4 == 0, "expected volume >1000 records"),
         line(g % 4 == 1, "usual Monday 1", (g % 5).cast("string"), "k-2", (g % 7).cast("string"), "k records"),
         line(g % 4 == 2, "typical range 5k-30k"),

@@ -61,9 +61,15 @@ docs AS (
       CASE WHEN g % 8 = 7 THEN '#' WHEN g % 8 = 6 THEN 'Delivery profile' ELSE '# _Settlement_Layout_' || CAST(g AS VARCHAR) || '_' END,
       'Entities: ' || array_to_string(ents, ', '),
       'Expected files: [hash]_' || ents[1] || '_payments_report_YYYY_MM_DD.csv',
-      CASE WHEN g % 2 = 0 THEN 'Arrives 08:00-08:20 UTC' END,
-      CASE WHEN g % 2 = 1 THEN 'Arrives 08:00–08:20 UTC' END,
-      CASE WHEN g % 3 = 0 THEN 'usual ~08:10 UTC' END,
+      CASE WHEN g % 2 = 0 AND g % 10 <> 4 THEN 'Arrives 08:00-08:20 UTC' END,
+      CASE WHEN g % 2 = 1 AND g % 10 <> 3 THEN 'Arrives 08:00–08:20 UTC' END,
+      CASE WHEN g % 10 = 3 THEN 'Arrives 08:00–08:20 UTC or 17:00–17:30 UTC' END,
+      CASE WHEN g % 3 = 0 AND g % 10 <> 4 THEN 'usual ~08:10 UTC' END,
+      CASE WHEN g % 10 = 4 THEN 'usual ~08:10 UTC, sometimes usual ~13:05 UTC' END,
+      CASE WHEN g % 7 = 2 THEN ents[1] || ' arrives 06:00-06:30 UTC and 12:50-13:10 UTC' END,
+      CASE WHEN g % 7 = 3 THEN ents[-1] || ' usual ~13:00 UTC' END,
+      CASE WHEN g % 7 = 5 THEN ents[1] || ' usual Monday 1k-2k; ' || ents[-1] || ' usual Monday 5k-90k' END,
+      CASE WHEN g % 7 = 6 THEN ents[1] || ' typical range 2k-40k' END,
       CASE WHEN g % 4 = 0 THEN 'expected volume >1000 records' END,
       CASE WHEN g % 4 = 1 THEN 'usual Monday 1' || CAST(g % 5 AS VARCHAR) || 'k-2' || CAST(g % 7 AS VARCHAR) || 'k records' END,
       CASE WHEN g % 4 = 2 THEN 'typical range 5k-30k' END,
@@ -81,36 +87,40 @@ cvn AS (
     coalesce(CASE WHEN first_line LIKE '#%' THEN nullif(trim(trim(ltrim(first_line, '#')), '_'), '') END, 'Source_' || source_id) AS source_name
   FROM head
 ),
+clause AS (
+  SELECT source_id, c, nullif(regexp_extract(c, '^\s*(\S+) (?:arrives|usual|typical) ', 1), '') AS entity
+  FROM (SELECT source_id, unnest(string_split_regex(text, '[;\n]')) AS c FROM docs)
+),
 cvw AS (
-  SELECT source_id,
-    unnest(regexp_extract_all(text, '(\d{2}:\d{2})[-–](\d{2}:\d{2}) UTC', 1)) AS a,
-    unnest(regexp_extract_all(text, '(\d{2}:\d{2})[-–](\d{2}:\d{2}) UTC', 2)) AS b
-  FROM docs
+  SELECT source_id, entity,
+    unnest(regexp_extract_all(c, '(\d{2}:\d{2})[-–](\d{2}:\d{2}) UTC', 1)) AS a,
+    unnest(regexp_extract_all(c, '(\d{2}:\d{2})[-–](\d{2}:\d{2}) UTC', 2)) AS b
+  FROM clause
 ),
 windows AS (
-  SELECT source_id, CAST(substr(a, 1, 2) AS INTEGER) * 60 + CAST(substr(a, 4, 2) AS INTEGER) AS start_min,
+  SELECT source_id, entity, CAST(substr(a, 1, 2) AS INTEGER) * 60 + CAST(substr(a, 4, 2) AS INTEGER) AS start_min,
          CAST(substr(b, 1, 2) AS INTEGER) * 60 + CAST(substr(b, 4, 2) AS INTEGER) AS end_min FROM cvw
 ),
 usual AS (
-  SELECT source_id, CAST(substr(a, 1, 2) AS INTEGER) * 60 + CAST(substr(a, 4, 2) AS INTEGER) AS minute
-  FROM (SELECT source_id, unnest(regexp_extract_all(text, 'usual ~(\d{2}:\d{2}) UTC', 1)) AS a FROM docs)
+  SELECT source_id, entity, CAST(substr(a, 1, 2) AS INTEGER) * 60 + CAST(substr(a, 4, 2) AS INTEGER) AS minute
+  FROM (SELECT source_id, entity, unnest(regexp_extract_all(c, 'usual ~(\d{2}:\d{2}) UTC', 1)) AS a FROM clause)
 ),
 rraw AS (
-  SELECT source_id, 'weekday' AS kind,
-    unnest(regexp_extract_all(text, 'usual ([A-Z][a-z]+day) ([0-9.,]+k?)[-–]([0-9.,]+k?)', 1)) AS dow,
-    unnest(regexp_extract_all(text, 'usual ([A-Z][a-z]+day) ([0-9.,]+k?)[-–]([0-9.,]+k?)', 2)) AS a,
-    unnest(regexp_extract_all(text, 'usual ([A-Z][a-z]+day) ([0-9.,]+k?)[-–]([0-9.,]+k?)', 3)) AS b FROM docs
+  SELECT source_id, entity, 'weekday' AS kind,
+    unnest(regexp_extract_all(c, 'usual ([A-Z][a-z]+day) ([0-9.,]+k?)[-–]([0-9.,]+k?)', 1)) AS dow,
+    unnest(regexp_extract_all(c, 'usual ([A-Z][a-z]+day) ([0-9.,]+k?)[-–]([0-9.,]+k?)', 2)) AS a,
+    unnest(regexp_extract_all(c, 'usual ([A-Z][a-z]+day) ([0-9.,]+k?)[-–]([0-9.,]+k?)', 3)) AS b FROM clause
   UNION ALL
-  SELECT source_id, 'typical', NULL, unnest(regexp_extract_all(text, 'typical range ([0-9.,]+k?)[-–]([0-9.,]+k?)', 1)),
-    unnest(regexp_extract_all(text, 'typical range ([0-9.,]+k?)[-–]([0-9.,]+k?)', 2)) FROM docs
+  SELECT source_id, entity, 'typical', NULL, unnest(regexp_extract_all(c, 'typical range ([0-9.,]+k?)[-–]([0-9.,]+k?)', 1)),
+    unnest(regexp_extract_all(c, 'typical range ([0-9.,]+k?)[-–]([0-9.,]+k?)', 2)) FROM clause
   UNION ALL
-  SELECT source_id, 'band', NULL, unnest(regexp_extract_all(text, 'confidence band: ([0-9,]+)[-–]([0-9,]+)', 1)),
-    unnest(regexp_extract_all(text, 'confidence band: ([0-9,]+)[-–]([0-9,]+)', 2)) FROM docs
+  SELECT source_id, entity, 'band', NULL, unnest(regexp_extract_all(c, 'confidence band: ([0-9,]+)[-–]([0-9,]+)', 1)),
+    unnest(regexp_extract_all(c, 'confidence band: ([0-9,]+)[-–]([0-9,]+)', 2)) FROM clause
   UNION ALL
-  SELECT source_id, 'minimum', NULL, unnest(regexp_extract_all(text, 'expected volume >([0-9.,]+k?)', 1)), NULL FROM docs
+  SELECT source_id, entity, 'minimum', NULL, unnest(regexp_extract_all(c, 'expected volume >([0-9.,]+k?)', 1)), NULL FROM clause
 ),
 ranges AS (
-  SELECT source_id, kind, dow,
+  SELECT source_id, entity, kind, dow,
     CAST(CAST(replace(replace(a, ',', ''), 'k', '') AS DECIMAL(18,3)) * CASE WHEN a LIKE '%k' THEN 1000 ELSE 1 END AS BIGINT) AS lo,
     CAST(CAST(replace(replace(b, ',', ''), 'k', '') AS DECIMAL(18,3)) * CASE WHEN b LIKE '%k' THEN 1000 ELSE 1 END AS BIGINT) AS hi
   FROM rraw
@@ -166,52 +176,79 @@ known AS (
 pf AS (
   SELECT st.*,
     coalesce(known.v, nullif(regexp_extract('_' || st.pattern, '_([A-Za-z0-9]+)_(?:payments|report|accounting)', 1), '')) AS entity,
-    w.start_min AS window_start, w.end_min AS window_end, coalesce(lag_t.lag_days, 0) AS lag_days,
+    coalesce(lag_t.lag_days, 0) AS lag_days,
     off.source_id IS NULL AS is_scheduled
   FROM st LEFT JOIN known USING (snapshot_day, source_id, pattern)
-  LEFT JOIN windows w USING (source_id)
   LEFT JOIN (SELECT source_id, lag_days FROM cex WHERE kind = 'coverage_lag') lag_t USING (source_id)
   LEFT JOIN off USING (snapshot_day, source_id)
 ),
+stated AS (
+  SELECT source_id, entity, start_min, end_min FROM windows
+  UNION ALL SELECT source_id, entity, minute, minute FROM usual u
+  WHERE NOT EXISTS (SELECT 1 FROM windows w WHERE w.source_id = u.source_id AND w.entity IS NOT DISTINCT FROM u.entity)
+),
+own AS (SELECT DISTINCT source_id, entity FROM stated WHERE entity IS NOT NULL),
+pslots AS (
+  SELECT pf.snapshot_day, pf.source_id, pf.pattern, s.start_min, s.end_min
+  FROM pf LEFT JOIN own USING (source_id, entity) JOIN stated s ON s.source_id = pf.source_id AND s.entity IS NOT DISTINCT FROM own.entity
+),
+wtext AS (
+  SELECT snapshot_day, source_id, pattern, string_agg(strftime(TIMESTAMP '2000-01-01' + to_minutes(start_min), '%H:%M') || '–' ||
+    strftime(TIMESTAMP '2000-01-01' + to_minutes(end_min), '%H:%M'), ', ' ORDER BY start_min, end_min) || ' UTC' AS windows_text
+  FROM pslots WHERE end_min > start_min GROUP BY ALL
+),
 fm AS (
   SELECT snapshot_day, source_id, 'missing' AS detector, 'missing' AS kind, NULL AS filename, pattern, entity,
     CAST(n_today AS DOUBLE) AS metric, CAST(n_last AS DOUBLE) AS baseline, 1 AS severity, NULL AS error_text,
-    'missing' || CASE WHEN window_start IS NULL THEN '' ELSE ' past 08:00–08:20 UTC' END || ' — expected: ' ||
+    'missing' || coalesce(' past ' || windows_text, '') || ' — expected: ' ||
       coalesce('*_' || regexp_replace(replace(expected_name, 'YYYY_MM_DD', strftime(snapshot_day, '%Y_%m_%d')), '^\[hash\]_', ''), '*_' || pattern) AS message
-  FROM pf WHERE n_today = 0 AND is_scheduled
+  FROM pf LEFT JOIN wtext USING (snapshot_day, source_id, pattern) WHERE n_today = 0 AND is_scheduled
+),
+gv AS (
+  SELECT snapshot_day, source_id, entity, CAST(sum(volume_today) AS BIGINT) AS volume FROM pf WHERE ok_today > 0 AND entity IS NOT NULL GROUP BY ALL
+  UNION ALL SELECT snapshot_day, source_id, NULL, CAST(sum(volume_today) AS BIGINT) FROM pf WHERE ok_today > 0 GROUP BY ALL
+),
+jr AS (
+  SELECT gv.*, r.kind, r.dow, r.lo, r.hi, coalesce(volume > hi, false) AS is_above, CASE WHEN kind = 'minimum' THEN volume <= lo ELSE volume < lo END AS is_below,
+    CASE kind WHEN 'weekday' THEN 'usual ' || dow || ' ' || format('{{:,}}', lo) || '–' || format('{{:,}}', hi)
+      WHEN 'typical' THEN 'typical range ' || format('{{:,}}', lo) || '–' || format('{{:,}}', hi)
+      WHEN 'band' THEN '95% band ' || format('{{:,}}', lo) || '–' || format('{{:,}}', hi)
+      ELSE 'expected >' || format('{{:,}}', lo) END AS range_text
+  FROM gv JOIN ranges r ON r.source_id = gv.source_id AND r.entity IS NOT DISTINCT FROM gv.entity
+  WHERE r.dow IS NULL OR r.dow = dayname(snapshot_day)
+  QUALIFY r.dow IS NOT NULL OR NOT bool_or(r.dow IS NOT NULL) OVER (PARTITION BY snapshot_day, gv.source_id, gv.entity)
+),
+js AS (
+  SELECT *, CASE WHEN (is_above AND volume > hi * 2) OR (is_below AND volume < lo * 0.2) THEN 2 WHEN is_above OR is_below THEN 1 ELSE 0 END AS severity FROM jr
+),
+decided AS (
+  SELECT snapshot_day, source_id, entity, max(struct_pack(s := severity, t := range_text)) AS d FROM js GROUP BY ALL
 ),
 fv AS (
-  SELECT snapshot_day, source_id, 'volume' AS detector, CASE WHEN volume_today > volume_last THEN 'volume_up' ELSE 'volume_down' END AS kind,
-    NULL AS filename, pattern, entity, CAST(volume_today AS DOUBLE) AS metric, CAST(volume_last AS DOUBLE) AS baseline,
-    CASE WHEN (volume_today - volume_last) * 100.0 / volume_last > 100 OR (volume_today - volume_last) * 100.0 / volume_last < -80 THEN 2 ELSE 1 END AS severity,
+  SELECT pf.snapshot_day, pf.source_id, 'volume' AS detector, CASE WHEN volume_today > volume_last THEN 'volume_up' ELSE 'volume_down' END AS kind,
+    NULL AS filename, pattern, pf.entity, CAST(volume_today AS DOUBLE) AS metric, CAST(volume_last AS DOUBLE) AS baseline,
+    least(CASE WHEN (volume_today - volume_last) * 100.0 / volume_last > 100 OR (volume_today - volume_last) * 100.0 / volume_last < -80 THEN 2 ELSE 1 END,
+      coalesce(x.d.s, y.d.s, 2)) AS severity,
     NULL AS error_text,
-    coalesce(entity, pattern) || ' volume ' || format('{{:,}}', volume_today) || ' (' ||
+    coalesce(pf.entity, pattern) || ' volume ' || format('{{:,}}', volume_today) || ' (' ||
       format('{{:,}}', ((abs(volume_today - volume_last) * 2000 + volume_last) // (volume_last * 2)) // 10) || '.' ||
       CAST(((abs(volume_today - volume_last) * 2000 + volume_last) // (volume_last * 2)) % 10 AS VARCHAR) ||
-      CASE WHEN volume_today > volume_last THEN '% above last week ' ELSE '% below last week ' END || format('{{:,}}', volume_last) || ')' AS message
-  FROM pf WHERE ok_today > 0 AND ok_last > 0 AND volume_last > 0 AND abs((volume_today - volume_last) * 100.0 / volume_last) > 50
-),
-sv AS (
-  SELECT snapshot_day, source_id, CAST(sum(rows) AS BIGINT) AS volume FROM t WHERE status IN ('processed', 'empty') GROUP BY ALL
-),
-rout AS (
-  SELECT snapshot_day, source_id, volume, kind, dow, lo, hi, coalesce(volume > hi, false) AS is_above
-  FROM sv JOIN ranges USING (source_id)
-  WHERE (dow IS NULL OR dow = dayname(snapshot_day)) AND
-    (CASE WHEN kind = 'minimum' THEN volume <= lo ELSE volume < lo END OR coalesce(volume > hi, false))
+      CASE WHEN volume_today > volume_last THEN '% above last week ' ELSE '% below last week ' END || format('{{:,}}', volume_last) || ')' ||
+      CASE WHEN coalesce(x.d.s, y.d.s) = 0 THEN ', within ' || coalesce(x.d.t, y.d.t) ELSE '' END AS message
+  FROM pf LEFT JOIN decided x ON x.snapshot_day = pf.snapshot_day AND x.source_id = pf.source_id AND x.entity = pf.entity
+  LEFT JOIN decided y ON y.snapshot_day = pf.snapshot_day AND y.source_id = pf.source_id AND y.entity IS NULL
+  WHERE ok_today > 0 AND ok_last > 0 AND volume_last > 0 AND abs((volume_today - volume_last) * 100.0 / volume_last) > 50
 ),
 fr AS (
-  SELECT snapshot_day, source_id, 'volume' AS detector, 'outside_' || kind AS kind, NULL AS filename, '*' AS pattern, NULL AS entity,
-    CAST(volume AS DOUBLE) AS metric, CAST(CASE WHEN is_above THEN hi ELSE lo END AS DOUBLE) AS baseline, 1 AS severity, NULL AS error_text,
-    'Source volume ' || format('{{:,}}', volume) || ' (' ||
-      CASE kind WHEN 'weekday' THEN CASE WHEN is_above THEN '> ' ELSE '< ' END || 'usual ' || dow || ' ' || format('{{:,}}', lo) || '–' || format('{{:,}}', hi)
-                WHEN 'typical' THEN CASE WHEN is_above THEN '> ' ELSE '< ' END || 'typical range ' || format('{{:,}}', lo) || '–' || format('{{:,}}', hi)
-                WHEN 'band' THEN CASE WHEN is_above THEN '>' ELSE '<' END || '95% bound ' || format('{{:,}}', CASE WHEN is_above THEN hi ELSE lo END)
-                ELSE 'expected >' || format('{{:,}}', lo) END || ')' AS message
-  FROM rout
+  SELECT snapshot_day, source_id, 'volume' AS detector, 'outside_' || kind AS kind, NULL AS filename, '*' AS pattern, entity,
+    CAST(volume AS DOUBLE) AS metric, CAST(CASE WHEN is_above THEN hi ELSE lo END AS DOUBLE) AS baseline, severity, NULL AS error_text,
+    coalesce(entity, 'Source') || ' volume ' || format('{{:,}}', volume) || ' (' ||
+      CASE kind WHEN 'band' THEN CASE WHEN is_above THEN '>' ELSE '<' END || '95% bound ' || format('{{:,}}', CASE WHEN is_above THEN hi ELSE lo END)
+                WHEN 'minimum' THEN range_text ELSE CASE WHEN is_above THEN '> ' ELSE '< ' END || range_text END || ')' AS message
+  FROM js WHERE severity > 0
 ),
 tf AS (
-  SELECT t.*, pf.entity, pf.max_rows_last, pf.window_start, pf.window_end, pf.lag_days,
+  SELECT t.*, pf.entity, pf.max_rows_last, z.slot.a AS slot_start, z.slot.b AS slot_end, pf.lag_days,
     coalesce(x.entity IS NOT NULL, false) AS may_be_empty, coalesce(v.entity IS NOT NULL, false) AS anytime,
     CAST(uploaded_at AS DATE) - {FILE_DATE} AS old,
     lb.hi_at
@@ -220,6 +257,11 @@ tf AS (
   LEFT JOIN (SELECT source_id, entity FROM cex WHERE kind = 'variable_arrival') v ON v.source_id = t.source_id AND v.entity = pf.entity
   LEFT JOIN (SELECT snapshot_day, source_id, pattern, max(uploaded_at) AS hi_at FROM l GROUP BY ALL) lb
     ON lb.snapshot_day = t.snapshot_day AND lb.source_id = t.source_id AND lb.pattern = t.pattern
+  LEFT JOIN (
+    SELECT e, min(struct_pack(d := greatest(start_min - minute, minute - end_min, 0), a := start_min, b := end_min)) AS slot
+    FROM (SELECT e, snapshot_day, source_id, pattern, (epoch_us(uploaded_at) - epoch_us(CAST(snapshot_day AS TIMESTAMP))) / 6e7 AS minute FROM t)
+    JOIN pslots USING (snapshot_day, source_id, pattern) GROUP BY ALL
+  ) z ON z.e = t.e
 ),
 fd AS (
   SELECT snapshot_day, source_id, 'duplicated_failed' AS detector,
@@ -237,7 +279,7 @@ fe AS (
   FROM tf WHERE rows = 0 AND max_rows_last > 0 AND NOT may_be_empty
 ),
 lt AS (
-  SELECT *, CASE WHEN window_end IS NOT NULL THEN CAST(snapshot_day AS TIMESTAMP) + to_minutes(window_end) ELSE hi_at + INTERVAL 7 DAY END AS due_at
+  SELECT *, CASE WHEN slot_end IS NOT NULL THEN CAST(snapshot_day AS TIMESTAMP) + to_minutes(slot_end) ELSE hi_at + INTERVAL 7 DAY END AS due_at
   FROM tf WHERE NOT anytime AND NOT coalesce(old > lag_days, false)
 ),
 fl AS (
@@ -251,14 +293,14 @@ fl AS (
   FROM lt WHERE epoch_us(uploaded_at) - epoch_us(due_at) > 4 * 3600000000
 ),
 le AS (
-  SELECT lt.*, lo_at, CASE WHEN window_start IS NOT NULL THEN CAST(snapshot_day AS TIMESTAMP) + to_minutes(window_start) ELSE lo_at + INTERVAL 7 DAY END AS opens_at
+  SELECT lt.*, lo_at, CASE WHEN slot_start IS NOT NULL THEN CAST(snapshot_day AS TIMESTAMP) + to_minutes(slot_start) ELSE lo_at + INTERVAL 7 DAY END AS opens_at
   FROM lt LEFT JOIN (SELECT snapshot_day, source_id, pattern, min(uploaded_at) AS lo_at FROM l GROUP BY ALL) b USING (snapshot_day, source_id, pattern)
 ),
 fy AS (
   SELECT snapshot_day, source_id, 'late' AS detector, 'early' AS kind, filename, pattern, entity,
     (epoch_us(opens_at) - epoch_us(uploaded_at)) / 3.6e9 AS metric,
     (epoch_us(opens_at) - epoch_us(CAST(snapshot_day AS TIMESTAMP))) / 3.6e9 AS baseline,
-    CASE WHEN window_start IS NOT NULL AND NOT coalesce(epoch_us(opens_at) - epoch_us(lo_at + INTERVAL 7 DAY) > 4 * 3600000000, false) THEN 1 ELSE 0 END AS severity, NULL AS error_text,
+    CASE WHEN slot_start IS NOT NULL AND NOT coalesce(epoch_us(opens_at) - epoch_us(lo_at + INTERVAL 7 DAY) > 4 * 3600000000, false) THEN 1 ELSE 0 END AS severity, NULL AS error_text,
     coalesce(entity, pattern) || ' file delivered early at ' || strftime(uploaded_at, '%H:%M') || ' UTC (usual ~' || strftime(opens_at, '%H:%M') || ')' AS message
   FROM le WHERE epoch_us(opens_at) - epoch_us(uploaded_at) > 4 * 3600000000
     AND NOT coalesce(epoch_us(uploaded_at) - epoch_us(due_at) > 4 * 3600000000, false)
@@ -285,7 +327,7 @@ per_source AS (
     count(*) FILTER (kind = 'stopped') AS n_stopped,
     count(*) FILTER (kind = 'deleted') AS n_deleted,
     count(*) FILTER (detector = 'volume' AND severity = 2) AS n_volume_urgent,
-    count(*) FILTER (detector = 'volume') AS n_volume,
+    count(*) FILTER (detector = 'volume' AND severity > 0) AS n_volume,
     count(*) FILTER (detector = 'empty' AND baseline > 1000) AS n_empty_big,
     count(*) FILTER (detector = 'empty' AND severity > 0) AS n_empty,
     count(*) FILTER (kind = 'late') AS n_late,
@@ -324,11 +366,15 @@ ment AS (
     array_to_string(list_sort(list(entity)), ', ') AS entities
   FROM (SELECT DISTINCT snapshot_day, source_id, entity FROM findings WHERE detector = 'missing' AND entity IS NOT NULL) GROUP BY ALL
 ),
-clause AS (
+sw AS (
+  SELECT source_id, string_agg(strftime(TIMESTAMP '2000-01-01' + to_minutes(start_min), '%H:%M') || '–' || strftime(TIMESTAMP '2000-01-01' + to_minutes(end_min), '%H:%M'), ', ' ORDER BY start_min, end_min) || ' UTC' AS windows_text
+  FROM (SELECT * FROM windows w WHERE end_min > start_min QUALIFY entity IS NULL OR NOT bool_or(entity IS NULL) OVER (PARTITION BY source_id)) GROUP BY ALL
+),
+clauses AS (
   SELECT c.*, coalesce(n.source_name, 'Source_' || c.source_id) AS source_name,
     CASE severity WHEN 2 THEN 'URGENT ACTION REQUIRED' WHEN 1 THEN 'NEEDS ATTENTION' ELSE 'NO ACTION NEEDED' END AS criticality_level,
     CAST(n_missing AS VARCHAR) || CASE WHEN n_missing = 1 THEN ' file missing' ELSE ' files missing' END ||
-      CASE WHEN n.source_id IS NULL THEN '' ELSE ' past 08:00–08:20 UTC window' END || coalesce(' — entities: ' || e.entities, '') AS c_missing,
+      coalesce(' past ' || sw.windows_text || ' window', '') || coalesce(' — entities: ' || e.entities, '') AS c_missing,
     concat_ws(', ',
       CASE WHEN n_blocked > 0 THEN CAST(n_blocked AS VARCHAR) || CASE WHEN n_blocked = 1 THEN ' file blocked as duplicate' ELSE ' files blocked as duplicates' END END,
       CASE WHEN n_failure > 0 THEN CAST(n_failure AS VARCHAR) || ' failed (' || same_text || ')' END,
@@ -339,14 +385,14 @@ clause AS (
     concat_ws(', ',
       CASE WHEN n_late > 0 THEN CAST(n_late AS VARCHAR) || CASE WHEN n_late = 1 THEN ' file' ELSE ' files' END || ' uploaded >4 hours late (up to ' || CAST(CAST(floor(most_late) AS BIGINT) AS VARCHAR) || ' hours)' END,
       CASE WHEN n_change > 0 THEN CAST(n_change AS VARCHAR) || CASE WHEN n_change = 1 THEN ' file' ELSE ' files' END || ' delivered early (up to ' || CAST(CAST(floor(most_early) AS BIGINT) AS VARCHAR) || ' hours)' END) AS c_late
-  FROM crit c LEFT JOIN cvn n USING (source_id) LEFT JOIN ment e USING (snapshot_day, source_id)
+  FROM crit c LEFT JOIN cvn n USING (source_id) LEFT JOIN sw USING (source_id) LEFT JOIN ment e USING (snapshot_day, source_id)
 ),
 parts AS (
-  SELECT snapshot_day, source_id, missing_severity AS s, 0 AS p, c_missing AS text, 'Notify provider to generate/re-send; re-run ingestion and verify completeness' AS action FROM clause WHERE missing_severity > 0
-  UNION ALL SELECT snapshot_day, source_id, duplicated_failed_severity, 1, c_dup, 'Notify provider to resolve duplicate and failed files; re-run ingestion and verify completeness' FROM clause WHERE duplicated_failed_severity > 0
-  UNION ALL SELECT snapshot_day, source_id, volume_severity, 2, c_volume, 'Confirm coverage/window; monitor next run' FROM clause WHERE volume_severity > 0
-  UNION ALL SELECT snapshot_day, source_id, empty_severity, 3, c_empty, 'Notify provider to generate/re-send; re-run ingestion and verify completeness' FROM clause WHERE empty_severity > 0
-  UNION ALL SELECT snapshot_day, source_id, late_severity, 4, c_late, CASE WHEN n_late > 0 THEN 'Validate downstream completed; track if persists' ELSE 'Confirm schedule change; adjust downstream triggers if needed' END FROM clause WHERE late_severity > 0
+  SELECT snapshot_day, source_id, missing_severity AS s, 0 AS p, c_missing AS text, 'Notify provider to generate/re-send; re-run ingestion and verify completeness' AS action FROM clauses WHERE missing_severity > 0
+  UNION ALL SELECT snapshot_day, source_id, duplicated_failed_severity, 1, c_dup, 'Notify provider to resolve duplicate and failed files; re-run ingestion and verify completeness' FROM clauses WHERE duplicated_failed_severity > 0
+  UNION ALL SELECT snapshot_day, source_id, volume_severity, 2, c_volume, 'Confirm coverage/window; monitor next run' FROM clauses WHERE volume_severity > 0
+  UNION ALL SELECT snapshot_day, source_id, empty_severity, 3, c_empty, 'Notify provider to generate/re-send; re-run ingestion and verify completeness' FROM clauses WHERE empty_severity > 0
+  UNION ALL SELECT snapshot_day, source_id, late_severity, 4, c_late, CASE WHEN n_late > 0 THEN 'Validate downstream completed; track if persists' ELSE 'Confirm schedule change; adjust downstream triggers if needed' END FROM clauses WHERE late_severity > 0
 ),
 joined AS (
   SELECT snapshot_day, source_id, string_agg(text, ' — ' ORDER BY s DESC, p) AS text, arg_min(action, -s * 10 + p) AS action FROM parts GROUP BY ALL
@@ -355,7 +401,7 @@ lines AS (
   SELECT c.snapshot_day, c.source_id, source_name, severity, criticality_level,
     CASE WHEN severity > 0 THEN j.text ELSE '`[' || format('{:,}', total_rows) || '] records`' END AS summary_line,
     coalesce(j.action, '') AS recommended_action, total_rows, n_files
-  FROM clause c LEFT JOIN joined j USING (snapshot_day, source_id)
+  FROM clauses c LEFT JOIN joined j USING (snapshot_day, source_id)
 )
 """
 
@@ -501,7 +547,7 @@ ORACLES: dict[str, str] = {
         (volume_today - volume_last) * 100.0 / nullif(volume_last, 0) AS pct_change, abs(volume_today - volume_last) AS abs_difference
       FROM pf WHERE ok_today > 0 AND ok_last > 0 AND volume_last > 0""",
     "volume_detector": _detector("volume"),
-    "volume_vs_range": f"{WITH_FACTS} SELECT {DAY}, source_id, volume, kind, dow, lo, hi, is_above FROM rout",
+    "volume_vs_range": f"{WITH_FACTS} SELECT {DAY}, source_id, entity, volume, kind, dow, lo, hi, is_above, severity FROM js WHERE severity > 0",
     "volume_band": f"""{WITH_FILES}, v AS (
         SELECT snapshot_day AS day, source_id, pattern, CAST(sum(rows) AS BIGINT) AS volume FROM t WHERE status IN ('processed', 'empty') GROUP BY ALL
       ), h AS (
@@ -516,10 +562,9 @@ ORACLES: dict[str, str] = {
     "timing_shifted": _timing(7),
     "late_files": _timing(7, "hour_difference_max > 4"),
     "early_files": _timing(7, "hour_difference_min < -4", "-hour_difference_min AS hours_early, *"),
-    "late_vs_window": f"""{WITH_DOCS} SELECT {DAY}, source_id, filename, uploaded_at, end_min AS window_end,
-        (epoch_us(uploaded_at) - epoch_us(CAST(snapshot_day AS TIMESTAMP) + to_minutes(end_min))) / 3.6e9 AS hours_late
-      FROM t JOIN (SELECT source_id, max(end_min) AS end_min FROM windows GROUP BY ALL) USING (source_id)
-      WHERE epoch_us(uploaded_at) - epoch_us(CAST(snapshot_day AS TIMESTAMP) + to_minutes(end_min)) > 4 * 3600000000""",
+    "late_vs_window": f"""{WITH_FACTS} SELECT {DAY}, source_id, filename, entity, uploaded_at, slot_start AS window_start, slot_end AS window_end,
+        (epoch_us(uploaded_at) - epoch_us(CAST(snapshot_day AS TIMESTAMP) + to_minutes(slot_end))) / 3.6e9 AS hours_late
+      FROM tf WHERE epoch_us(uploaded_at) - epoch_us(CAST(snapshot_day AS TIMESTAMP) + to_minutes(slot_end)) > 4 * 3600000000""",
     "late_detector": _detector("late"),
     "previous_period": _detector("previous", FINDING_COLUMNS + ", CASE WHEN metric <= 2 THEN 1 ELSE 0 END AS detector_severity"),
     "recurrence": f"""{WITH_FACTS}, daily AS (
@@ -594,9 +639,9 @@ ORACLES: dict[str, str] = {
       FROM parted""",
     "cv_names": f"{WITH_DOCS} SELECT source_id, source_name, CAST(length(text) AS INTEGER) AS n_chars FROM cvn",
     "cv_generic_names": f"{WITH_DOCS} SELECT source_id, 'Source_' || source_id AS source_name FROM docs",
-    "cv_windows": f"{WITH_DOCS} SELECT source_id, start_min, end_min FROM windows",
-    "cv_usual_times": f"{WITH_DOCS} SELECT source_id, minute FROM usual",
-    "cv_volume_ranges": f"{WITH_DOCS} SELECT source_id, kind, dow, lo, hi FROM ranges",
+    "cv_windows": f"{WITH_DOCS} SELECT source_id, entity, start_min, end_min FROM windows",
+    "cv_usual_times": f"{WITH_DOCS} SELECT source_id, entity, minute FROM usual",
+    "cv_volume_ranges": f"{WITH_DOCS} SELECT source_id, entity, kind, dow, lo, hi FROM ranges",
     "cv_entities": f"{WITH_DOCS} SELECT source_id, entity FROM cent",
     "cv_file_patterns": f"{WITH_DOCS} SELECT source_id, expected_name, pattern FROM cpat",
     "cv_schedule": f"{WITH_DOCS} SELECT source_id, not_expected_on FROM csched",
