@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Callable
+from datetime import timedelta
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -25,6 +26,7 @@ from dqwatch.operators import (
     listings,
     patterns,
     summary,
+    volume_state,
 )
 from dqwatch.plans import findings as plan_findings
 from dqwatch.plans import synthesis
@@ -166,6 +168,16 @@ def _volume_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _state_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bounds for the last day from a state of all days but the last three, to which two days are merged."""
+    volumes = history.daily_volumes(_today(spark, sf_dir))
+    last = volumes.select(F.max("day")).first()[0]
+    state = volume_state.state_of(volumes.filter(F.col("day") < last - timedelta(days=2)))
+    for days in (2, 1):
+        state = volume_state.merged(state, volumes.filter(F.col("day") == last - timedelta(days=days)))
+    return volume_state.bands_on(state, last)
+
+
 def _record(detector: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         found = _detector(detector)(spark, sf_dir)
@@ -271,6 +283,14 @@ def _queries() -> dict[str, Query]:
         "volume_vs_range": lambda s, d: expectations.outside_ranges(
             expectations.volumes_by_entity(expectations.pattern_facts(_today(s, d), _facts(s, d))), _facts(s, d)
         ),
+        "volume_with_history": lambda s, d: plan_findings.detector_findings(
+            derived.derive_manifest(s, d), _facts(s, d), "volume", bands=history.volume_bands(history.daily_volumes(_today(s, d)))
+        ),
+        "volume_state_bands": _state_bands,
+        "learnt_cadence": lambda s, d: expectations.learnt_cadence(_today(s, d)),
+        "missing_with_cadence": lambda s, d: detectors.pattern_findings(
+            expectations.pattern_facts(_manifest(s, d), _facts(s, d), expectations.learnt_cadence(_today(s, d))), ("missing",)
+        ),
         "volume_band": lambda s, d: history.volume_bands(history.daily_volumes(_today(s, d))),
         "timing_raw": lambda s, d: comparison.timing_files(_manifest(s, d), shift_days=0),
         "timing_shifted": lambda s, d: comparison.timing_files(_manifest(s, d)),

@@ -110,8 +110,8 @@ def missing_finding(limits: Limits) -> Column:
 def volume_finding(limits: Limits) -> Column:
     """Volume of a pattern against the same pattern a week before.
 
-    A documented range of its entity or source decides where there is one (``decided``, see :func:`with_decisions`): the
-    finding is no more severe than that, and informational inside.
+    A documented range of its entity or source decides where there is one, else its own history (``decided``, see
+    :func:`with_decisions`): the finding is no more severe than that, and informational inside.
     """
     now, before = F.col("volume_today"), F.col("volume_last")
     pct = (now - before) * F.lit(100.0) / F.nullif(before, F.lit(0))
@@ -144,6 +144,23 @@ def volume_finding(limits: Limits) -> Column:
     )
 
 
+def history_finding(limits: Limits) -> Column:
+    """Volume of a pattern outside the bounds of its history, where nothing is documented and last week does not tell."""
+    now, before = F.col("volume_today"), F.col("volume_last")
+    flagged = F.coalesce((F.col("ok_last") > 0) & (F.abs(now - before) * 100 > before * limits.volume_pct), F.lit(False))
+    is_above = now > F.col("bounds.upper")
+    bound = F.when(is_above, F.col("bounds.upper")).otherwise(F.col("bounds.lower"))
+    text = F.concat(
+        _label(), F.lit(" volume "), thousands(now), F.when(is_above, F.lit(" (>95% bound ")).otherwise(F.lit(" (<95% bound ")),
+        thousands(F.floor(bound)), F.lit(")"),
+    )
+    outside = is_above | (now < F.col("bounds.lower"))
+    return F.when(
+        (F.col("ok_today") > 0) & outside & ~F.col("is_documented") & ~flagged,
+        _finding("volume", "outside_history", 1, text, pattern=F.col("pattern"), entity=F.col("entity"), metric=now, baseline=bound),
+    )
+
+
 def duplicated_failed_finding(limits: Limits) -> Column:
     """Blocked duplicates, failures, stops and deletions; a processed duplicate is informational."""
     status, duplicate = F.col("status"), F.coalesce("is_duplicated", F.lit(False))
@@ -308,6 +325,7 @@ def previous_finding(limits: Limits) -> Column:
 EXPRESSIONS = {
     "missing": missing_finding,
     "volume": volume_finding,
+    "history": history_finding,
     "duplicated_failed": duplicated_failed_finding,
     "empty": empty_finding,
     "late": late_finding,
@@ -339,7 +357,9 @@ def pattern_findings(
     detectors: tuple[str, ...] = PATTERN_DETECTORS,
     limits: Limits = DEFAULT_LIMITS,
 ) -> DataFrame:
-    return _emit(facts_by_pattern, detectors, limits)
+    """Findings of the pattern table; the volume detector needs the columns of :func:`with_decisions`."""
+    asked = [d for detector in detectors for d in (("volume", "history") if detector == "volume" else (detector,))]
+    return _emit(facts_by_pattern, tuple(asked), limits)
 
 
 def file_findings(
@@ -418,12 +438,18 @@ def range_findings(
 
 
 def with_decisions(
-    facts_by_pattern: DataFrame, facts: DataFrame, limits: Limits = DEFAULT_LIMITS, **options: int
+    facts_by_pattern: DataFrame,
+    facts: DataFrame,
+    limits: Limits = DEFAULT_LIMITS,
+    bands: DataFrame | None = None,
+    **options: int,
 ) -> DataFrame:
     """The pattern table with ``decided``: severity and text of the most specific documented range over a pattern.
 
-    That is a range of its entity, else of its source, each for the weekday before any day; NULL where nothing is
-    documented. There is one row per source-day with ranges, and it holds as many entities as the profile names.
+    That is a range of its entity, else of its source, each for the weekday before any day. There is one row per source-day
+    with ranges, and it holds as many entities as the profile names. Where nothing is documented, ``bands`` (day,
+    source_id, pattern, n_days, lower, upper) decide, as :func:`~dqwatch.operators.history.volume_bands` or
+    :func:`~dqwatch.operators.volume_state.bands_on` make them; else ``decided`` is NULL.
     """
     each = volume_ranges(facts_by_pattern, facts, limits, **options)
     decided = F.max(F.struct("severity", _range_text().alias("text"))).alias("decided")
@@ -434,7 +460,21 @@ def with_decisions(
     per_day = facts_by_pattern.groupBy(*HEAD).agg(F.count(F.lit(1)).alias("n"))
     joined = lookup(facts_by_pattern, by_day, HEAD, key_counts=per_day, salt_on=["pattern"], **options)
     own = F.when(F.col("entity").isNotNull(), F.try_element_at("of_entity", F.col("entity")))
-    return joined.withColumn("decided", F.coalesce(own, "of_source")).drop("of_source", "of_entity")
+    joined = joined.withColumn("decided", F.coalesce(own, "of_source")).drop("of_source", "of_entity")
+    joined = joined.withColumn("is_documented", F.col("decided").isNotNull())
+    if bands is None:
+        return joined.withColumn("bounds", F.lit(None).cast("struct<lower: double, upper: double, n_days: bigint>"))
+    # both sides have one row per pattern and day
+    known = bands.filter(F.col("upper").isNotNull()).select(
+        F.col("day").alias("snapshot_day"), "source_id", "pattern", F.struct("lower", "upper", "n_days").alias("bounds")
+    )
+    lower, upper, now = F.col("bounds.lower"), F.col("bounds.upper"), F.col("volume_today")
+    text = F.concat(
+        F.lit("95% bounds "), thousands(F.floor(lower)), F.lit("–"), thousands(F.floor(upper)),
+        F.lit(" of "), F.col("bounds.n_days").cast("string"), F.lit(" earlier "), F.date_format("snapshot_day", "EEEE"), F.lit("s"),
+    )
+    inside = F.when((now >= lower) & (now <= upper), F.struct(F.lit(0).alias("severity"), text.alias("text")))
+    return joined.join(known, KEYS, "left").withColumn("decided", F.coalesce("decided", inside))
 
 
 def recent_severity(limits: Limits = DEFAULT_LIMITS) -> Column:

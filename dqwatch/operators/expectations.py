@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from dqwatch.functions.naming import entity_of
 from dqwatch.operators.lookup import lookup
@@ -20,6 +20,15 @@ def scheduled(day: Column, not_expected_on: Column) -> Column:
     return ~F.coalesce(excluded, F.lit(False))
 
 
+def due_on(day: Column, mask: Column) -> Column:
+    """Whether a mask of weekdays, Monday as bit 0, has the day's; True without a mask."""
+    return F.coalesce(mask.bitwiseAND(_bit(day)) > 0, F.lit(True))
+
+
+def _bit(day: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(1 << i) for i in range(7)]), F.weekday(day) + 1)
+
+
 def source_calendar(facts: DataFrame, days: Column) -> DataFrame:
     """Every documented source on every delivery day."""
     return facts.select(F.explode(days).alias("snapshot_day"), "*")
@@ -28,7 +37,8 @@ def source_calendar(facts: DataFrame, days: Column) -> DataFrame:
 def expected_deliveries(facts: DataFrame, days: Column) -> DataFrame:
     """Documented files due on each delivery day."""
     due = source_calendar(facts, days).filter(scheduled(F.col("snapshot_day"), F.col("not_expected_on")))
-    return due.select("snapshot_day", "source_id", F.inline("expected_files"))
+    files = due.select("snapshot_day", "source_id", F.inline("expected_files"))
+    return files.filter(due_on(F.col("snapshot_day"), F.col("due_mask"))).drop("due_mask")
 
 
 def missing_expected(manifest: DataFrame, facts: DataFrame) -> DataFrame:
@@ -48,11 +58,14 @@ def missing_expected(manifest: DataFrame, facts: DataFrame) -> DataFrame:
     )
 
 
-def pattern_facts(manifest: DataFrame, facts: DataFrame, **options: int) -> DataFrame:
+def pattern_facts(
+    manifest: DataFrame, facts: DataFrame, cadence: DataFrame | None = None, **options: int
+) -> DataFrame:
     """Pattern statistics with everything the profile says about the pattern.
 
     Documented files take part in the same aggregation as the manifest rows, as a third period, so a
-    documented pattern without any delivery gets its row there.
+    documented pattern without any delivery gets its row there. ``cadence`` (:func:`learnt_cadence`) tells the weekdays
+    of patterns for which the profile names none.
     """
     due = expected_deliveries(facts, delivery_days(manifest))
     with_due = with_pattern(manifest).unionByName(
@@ -73,8 +86,14 @@ def pattern_facts(manifest: DataFrame, facts: DataFrame, **options: int) -> Data
     # a source has at most as many patterns as files, and its files are counted without their names
     per_source = manifest.groupBy("source_id").agg(F.count(F.lit(1)).alias("n"))
     joined = lookup(stats, documented, ["source_id"], key_counts=per_source, salt_on=["pattern"], **options)
+    if cadence is not None:
+        learnt = cadence.filter(F.col("cadence") != "irregular").select("source_id", "pattern", F.col("due_mask").alias("learnt_mask"))
+        joined = joined.join(learnt, ["source_id", "pattern"], "left")
     entity = entity_of(F.col("pattern"), F.col("entities"))
     documented_as = F.filter("expected_files", lambda f: f["pattern"] == F.col("pattern"))
+    mask = F.get(documented_as, F.lit(0))["due_mask"]
+    if cadence is not None:
+        mask = F.coalesce(mask, "learnt_mask")
 
     def listed(column: str) -> Column:
         return F.coalesce(F.array_contains(F.col(column), F.col("entity")), F.lit(False))
@@ -84,7 +103,10 @@ def pattern_facts(manifest: DataFrame, facts: DataFrame, **options: int) -> Data
         .withColumn(
             "expected_name", F.when(F.col("n_today") == 0, F.get(documented_as, F.lit(0))["expected_name"])
         )
-        .withColumn("is_scheduled", scheduled(F.col("snapshot_day"), F.col("not_expected_on")))
+        .withColumn(
+            "is_scheduled",
+            scheduled(F.col("snapshot_day"), F.col("not_expected_on")) & due_on(F.col("snapshot_day"), mask),
+        )
         .withColumn("slots", arrival_slots(F.col("entity")))
         .withColumn("may_be_empty", listed("regularly_empty"))
         .withColumn("may_arrive_anytime", listed("variable_arrival"))
@@ -93,6 +115,43 @@ def pattern_facts(manifest: DataFrame, facts: DataFrame, **options: int) -> Data
     )
 
 
+def learnt_cadence(manifest: DataFrame, min_days: int = 3) -> DataFrame:
+    """How often each pattern comes, from the gaps between its days: ``daily``, ``weekdays``, ``weekly`` or ``irregular``.
+
+    ``due_mask`` has the weekdays it came on. Weekly: every gap is a multiple of a week. Daily and weekdays: no gap is longer
+    than from a Friday to a Monday, at weekends too or never. A pattern with fewer than ``min_days`` days is irregular.
+    """
+    days = (
+        with_pattern(manifest.filter(F.col("from_period") == "today"))
+        .filter(F.col("pattern").isNotNull())
+        .select("source_id", "pattern", "snapshot_day")
+        .distinct()
+    )
+    order = Window.partitionBy("source_id", "pattern").orderBy("snapshot_day")
+    gap = F.datediff("snapshot_day", F.lag("snapshot_day").over(order))
+    folded = (
+        days.withColumn("gap", gap)
+        .groupBy("source_id", "pattern")
+        .agg(
+            F.count(F.lit(1)).alias("n_days"),
+            F.max("gap").alias("longest_gap"),
+            F.coalesce(F.every(F.col("gap") % 7 == 0), F.lit(False)).alias("whole_weeks"),
+            F.bit_or(_bit(F.col("snapshot_day"))).alias("due_mask"),
+        )
+    )
+    weekend = F.col("due_mask").bitwiseAND(96) > 0
+    cadence = (
+        F.when(F.col("n_days") < min_days, "irregular")
+        .when(F.col("whole_weeks"), "weekly")
+        .when((F.col("longest_gap") <= 3) & ~weekend, "weekdays")
+        .when(F.col("longest_gap") <= 2, "daily")
+        .otherwise("irregular")
+    )
+    # every day of the kind is due, also one on which the pattern happened not to come
+    mask = F.when(cadence == "daily", 127).when(cadence == "weekdays", 31).otherwise(F.col("due_mask"))
+    return folded.select("source_id", "pattern", "n_days", "longest_gap", cadence.alias("cadence"), mask.cast("int").alias("due_mask"))
+
+
 def arrival_slots(entity: Column) -> Column:
     """When files of an entity are due: (start_min, end_min) in order, from the columns ``windows`` and ``usual_times``.
 

@@ -24,6 +24,19 @@ def daily_volumes(manifest: DataFrame, day: str | Column = "snapshot_day") -> Da
     )
 
 
+def band_bounds(min_days: int, z: float) -> dict[str, Column]:
+    """Mean, lower and upper bound from ``n_days``, ``sum_volume`` and ``sum_squares``; NULL for fewer than ``min_days``."""
+    n, total = F.col("n_days"), F.col("sum_volume")
+    known = n >= max(min_days, 2)
+    spread = (n.cast("decimal(10,0)") * F.col("sum_squares") - total * total).cast("double")
+    mean, deviation = total.cast("double") / n, F.sqrt(spread / (n * (n - 1)))
+    return {
+        "mean_volume": F.when(known, mean),
+        "lower": F.when(known, mean - z * deviation),
+        "upper": F.when(known, mean + z * deviation),
+    }
+
+
 def volume_bands(volumes: DataFrame, n_days: int = 8, min_days: int = 3, z: float = Z_95) -> DataFrame:
     """Bounds from the previous ``n_days`` volumes of the same weekday, and whether today leaves them.
 
@@ -35,20 +48,14 @@ def volume_bands(volumes: DataFrame, n_days: int = 8, min_days: int = 3, z: floa
         .orderBy("day")
         .rowsBetween(-n_days, -1)
     )
-    n, total = F.col("n_days"), F.col("sum_volume")
-    known = n >= max(min_days, 2)
     exact = F.col("volume").cast("decimal(18,0)")
-    spread = (n.cast("decimal(10,0)") * F.col("sum_squares") - total * total).cast("double")
-    mean, deviation = total.cast("double") / n, F.sqrt(spread / (n * (n - 1)))
     return (
         volumes.withColumn("n_days", F.count("volume").over(earlier))
         .withColumn("sum_volume", F.sum(exact).over(earlier).cast("decimal(19,0)"))
         .withColumn("sum_squares", F.sum((exact * exact).cast("decimal(28,0)")).over(earlier).cast("decimal(28,0)"))
         .withColumn("lowest", F.min("volume").over(earlier))
         .withColumn("highest", F.max("volume").over(earlier))
-        .withColumn("mean_volume", F.when(known, mean))
-        .withColumn("lower", F.when(known, mean - z * deviation))
-        .withColumn("upper", F.when(known, mean + z * deviation))
+        .withColumns(band_bounds(min_days, z))
         .withColumn(
             "outside", (F.col("volume") < F.col("lower")) | (F.col("volume") > F.col("upper"))
         )

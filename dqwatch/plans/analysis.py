@@ -24,13 +24,20 @@ class Analysis:
     """
 
     def __init__(
-        self, manifest: DataFrame, cv_docs: DataFrame, limits: Limits, keep: bool, options: dict[str, int]
+        self,
+        manifest: DataFrame,
+        cv_docs: DataFrame,
+        limits: Limits,
+        keep: bool,
+        options: dict[str, int],
+        bands: DataFrame | None = None,
     ):
         self._manifest = manifest
         self._facts = cv_facts(cv_docs)
         self._limits = limits
         self._keep = keep
         self._options = options
+        self._bands = bands
         self._kept: list[DataFrame] = []
 
     def _shared(self, table: DataFrame) -> DataFrame:
@@ -45,12 +52,12 @@ class Analysis:
     @cached_property
     def findings(self) -> DataFrame:
         return all_findings(
-            self._manifest, self._facts, "all", self._limits, self.by_pattern, **self._options
+            self._manifest, self._facts, "all", self._limits, self.by_pattern, self._bands, **self._options
         )
 
     @cached_property
     def issues(self) -> DataFrame:
-        decided = with_decisions(self.by_pattern, self._facts, self._limits, **self._options)
+        decided = with_decisions(self.by_pattern, self._facts, self._limits, self._bands, **self._options)
         volumes = pattern_findings(decided, ("volume",), self._limits).unionByName(
             range_findings(self.by_pattern, self._facts, self._limits, **self._options)
         )
@@ -97,13 +104,14 @@ def analyze(
     limits: Limits = DEFAULT_LIMITS,
     max_sources: int | None = None,
     keep: bool = True,
+    bands: DataFrame | None = None,
     **options: int,
 ) -> Analysis:
-    """Detect, roll up and describe; ``max_sources`` restricts the run to the first profiles."""
+    """Detect, roll up and describe; ``max_sources`` restricts the run to the first profiles, ``bands`` brings volume history."""
     if max_sources is not None:
         cv_docs = first_sources(cv_docs, max_sources)
         manifest = manifest.join(cv_docs.select("source_id"), "source_id", "left_semi")
-    return Analysis(in_scope(manifest, scope), cv_docs, limits, keep, options)
+    return Analysis(in_scope(manifest, scope), cv_docs, limits, keep, options, bands)
 
 
 def run_report(

@@ -27,13 +27,15 @@ def all_findings(
     scope: str = "current",
     limits: Limits = DEFAULT_LIMITS,
     by_pattern: DataFrame | None = None,
+    bands: DataFrame | None = None,
     **options: int,
 ) -> DataFrame:
-    """``by_pattern`` takes a stored ``pattern_facts`` table, which spares one scan of the manifest."""
+    """``by_pattern`` takes a stored ``pattern_facts`` table, which spares one scan of the manifest; ``bands`` are bounds
+    from history, see :func:`~dqwatch.operators.detectors.with_decisions`."""
     manifest = in_scope(manifest, scope)
     by_pattern = by_pattern if by_pattern is not None else pattern_facts(manifest, facts, **options)
     return (
-        pattern_findings(with_decisions(by_pattern, facts, limits, **options), limits=limits)
+        pattern_findings(with_decisions(by_pattern, facts, limits, bands, **options), limits=limits)
         .unionByName(range_findings(by_pattern, facts, limits, **options))
         .unionByName(file_findings(manifest, by_pattern, limits=limits, **options))
     )
@@ -45,6 +47,7 @@ def detector_findings(
     detector: str,
     scope: str = "current",
     limits: Limits = DEFAULT_LIMITS,
+    bands: DataFrame | None = None,
     **options: int,
 ) -> DataFrame:
     """Findings of one detector."""
@@ -53,7 +56,7 @@ def detector_findings(
     manifest = in_scope(manifest, scope)
     by_pattern = pattern_facts(manifest, facts, **options)
     if detector == "volume":
-        found = pattern_findings(with_decisions(by_pattern, facts, limits, **options), (detector,), limits)
+        found = pattern_findings(with_decisions(by_pattern, facts, limits, bands, **options), (detector,), limits)
         return found.unionByName(range_findings(by_pattern, facts, limits, **options))
     if detector in PATTERN_DETECTORS:
         return pattern_findings(by_pattern, (detector,), limits)

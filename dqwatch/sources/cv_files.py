@@ -7,6 +7,7 @@ what no expression recognises is kept and can be listed with :func:`cv_unparsed`
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -30,7 +31,11 @@ KNOWN_LINE = (
     r"|usual [A-Z][a-z]+day [0-9]|typical range [0-9]|confidence band: [0-9]|expected volume >[0-9]"
     r"|^Not expected on: |^Regularly empty: |^Variable arrival: |Expected coverage: D\+[0-9]"
 )
+FILE_SCHEDULE = r"\s*\(([^()]*)\)\s*$"
 CV_SUFFIX = "_native.md"
+WEEKDAYS = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"]
+# Words of a file's schedule and the days they stand for: bit 0 is Monday.
+SCHEDULE_MASKS = {"daily": 127, "weekday": 31, "weekend": 96, **{d.lower(): 1 << i for i, d in enumerate(WEEKDAYS)}}
 MINUTES_PER_DAY = 1440
 
 
@@ -181,6 +186,12 @@ def _ranges() -> Column:
     )
 
 
+def schedule_mask(text: Column) -> Column:
+    """The days that a schedule such as ``weekdays`` or ``Mondays, Thursdays`` names, as bits from Monday on; 0 for none."""
+    words = [F.when(F.regexp_like(F.lower(text), F.lit(rf"\b{word}s?\b")), mask).otherwise(0) for word, mask in SCHEDULE_MASKS.items()]
+    return reduce(lambda a, b: a.bitwiseOR(b), words)
+
+
 def cv_facts(cv_docs: DataFrame) -> DataFrame:
     """Every documented fact, one row per source."""
     # a window that ends before it starts begins on the evening before
@@ -190,10 +201,12 @@ def cv_facts(cv_docs: DataFrame) -> DataFrame:
             "start_min", w["start_min"] - F.when(w["start_min"] > w["end_min"], MINUTES_PER_DAY).otherwise(0)
         ),
     )
-    expected = F.transform(
-        _list_items(EXPECTED_FILES, "; *"),
-        lambda n: F.struct(n.alias("expected_name"), expected_pattern(n).alias("pattern")),
-    )
+    def expected_file(item: Column) -> Column:
+        mask = schedule_mask(F.regexp_extract(item, FILE_SCHEDULE, 1))
+        name = F.when(mask > 0, F.regexp_replace(item, FILE_SCHEDULE, "")).otherwise(item)
+        return F.struct(name.alias("expected_name"), expected_pattern(name).alias("pattern"), F.nullif(mask, F.lit(0)).alias("due_mask"))
+
+    expected = F.transform(_list_items(EXPECTED_FILES, "; *"), expected_file)
     return cv_docs.select(
         "source_id",
         "source_name",
@@ -230,7 +243,11 @@ def cv_file_patterns(facts: DataFrame) -> DataFrame:
 
 
 def cv_schedule(facts: DataFrame) -> DataFrame:
-    return facts.select("source_id", F.explode("not_expected_on").alias("not_expected_on"))
+    """Weekdays on which nothing is expected: of the whole source (``pattern`` NULL) or of a file with days of its own."""
+    whole = facts.select("source_id", F.lit(None).cast("string").alias("pattern"), F.explode("not_expected_on").alias("not_expected_on"))
+    files = facts.select("source_id", F.inline("expected_files")).filter(F.col("due_mask").isNotNull())
+    days = F.array_compact(F.array(*[F.when(F.col("due_mask").bitwiseAND(1 << i) == 0, day) for i, day in enumerate(WEEKDAYS)]))
+    return whole.unionByName(files.select("source_id", "pattern", F.explode(days).alias("not_expected_on")))
 
 
 def cv_exemptions(facts: DataFrame) -> DataFrame:

@@ -157,11 +157,17 @@ def derive_cv_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.when(when, F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts]))
 
     always = F.lit(True)
+    schedules = (
+        F.when(g % 5 == 2, "; [hash]_onceL9_payments_report_YYYY_MM_DD.csv (weekdays)")
+        .when(g % 5 == 3, " (daily); [hash]_weeklyL9_report_YYYY_MM_DD.csv (Mondays)")
+        .when(g % 5 == 4, " (weekdays)")
+        .otherwise("")
+    )
     text = F.concat_ws(
         "\n",
         heading,
         line(always, "Entities: ", F.array_join("ents", ", ")),
-        line(always, "Expected files: [hash]_", first, "_payments_report_YYYY_MM_DD.csv"),
+        line(always, "Expected files: [hash]_", first, "_payments_report_YYYY_MM_DD.csv", schedules),
         line((g % 2 == 0) & (g % 10 != 4), "Arrives 08:00-08:20 UTC"),
         line((g % 2 == 1) & (g % 10 != 3), "Arrives 08:00–08:20 UTC"),
         line(g % 10 == 3, "Arrives 08:00–08:20 UTC or 17:00–17:30 UTC"),

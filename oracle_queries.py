@@ -60,7 +60,8 @@ docs AS (
     concat_ws(chr(10),
       CASE WHEN g % 8 = 7 THEN '#' WHEN g % 8 = 6 THEN 'Delivery profile' ELSE '# _Settlement_Layout_' || CAST(g AS VARCHAR) || '_' END,
       'Entities: ' || array_to_string(ents, ', '),
-      'Expected files: [hash]_' || ents[1] || '_payments_report_YYYY_MM_DD.csv',
+      'Expected files: [hash]_' || ents[1] || '_payments_report_YYYY_MM_DD.csv' || CASE g % 5 WHEN 2 THEN '; [hash]_onceL9_payments_report_YYYY_MM_DD.csv (weekdays)'
+        WHEN 3 THEN ' (daily); [hash]_weeklyL9_report_YYYY_MM_DD.csv (Mondays)' WHEN 4 THEN ' (weekdays)' ELSE '' END,
       CASE WHEN g % 2 = 0 AND g % 10 <> 4 THEN 'Arrives 08:00-08:20 UTC' END,
       CASE WHEN g % 2 = 1 AND g % 10 <> 3 THEN 'Arrives 08:00–08:20 UTC' END,
       CASE WHEN g % 10 = 3 THEN 'Arrives 08:00–08:20 UTC or 17:00–17:30 UTC' END,
@@ -129,9 +130,10 @@ cent AS (
   SELECT source_id, trim(unnest(string_split(regexp_extract(text, '(?m)^Entities: (.*)$', 1), ','))) AS entity FROM docs
 ),
 cpat AS (
-  SELECT source_id, expected_name,
+  SELECT source_id, expected_name, CASE days WHEN 'weekdays' THEN 31 WHEN 'Mondays' THEN 1 WHEN 'daily' THEN 127 END AS due_mask,
     regexp_replace(regexp_replace(expected_name, '^(\[hash\]|\*)_', ''), '_?(YYYY_MM_DD|YYYY-MM-DD|YYYYMMDD)', '') AS pattern
-  FROM (SELECT source_id, regexp_extract(text, '(?m)^Expected files: (.*)$', 1) AS expected_name FROM docs)
+  FROM (SELECT source_id, regexp_replace(item, ' \((.*)\)$', '') AS expected_name, regexp_extract(item, '\((.*)\)$', 1) AS days
+        FROM (SELECT source_id, unnest(string_split_regex(regexp_extract(text, '(?m)^Expected files: (.*)$', 1), '; *')) AS item FROM docs))
 ),
 csched AS (
   SELECT source_id, trim(unnest(string_split(x, ','))) AS not_expected_on
@@ -149,10 +151,33 @@ cal AS (SELECT d.snapshot_day, c.source_id FROM days d CROSS JOIN docs c),
 off AS (SELECT c.snapshot_day, c.source_id FROM cal c JOIN csched s ON s.source_id = c.source_id AND s.not_expected_on = dayname(c.snapshot_day)),
 due AS (
   SELECT c.snapshot_day, c.source_id, p.pattern, p.expected_name
-  FROM cal c JOIN cpat p USING (source_id) ANTI JOIN off USING (snapshot_day, source_id)
+  FROM cal c JOIN cpat p ON p.source_id = c.source_id AND (due_mask IS NULL OR (due_mask >> (isodow(snapshot_day) - 1)) & 1 = 1)
+  ANTI JOIN off ON off.snapshot_day = c.snapshot_day AND off.source_id = c.source_id
 )
 """
 
+def _weekly(name: str, history: bool = False) -> str:
+    """Volume findings against last week, softened by documented ranges and, if asked, by the bounds ``hb`` of history."""
+    decided_s, decided_t = ("x.d.s, y.d.s", "x.d.t, y.d.t") if not history else ("x.d.s, y.d.s, h.s", "x.d.t, y.d.t, h.t")
+    join = "" if not history else "LEFT JOIN hb h ON h.day = pf.snapshot_day AND h.source_id = pf.source_id AND h.pattern = pf.pattern"
+    return f"""{name} AS (
+  SELECT pf.snapshot_day, pf.source_id, 'volume' AS detector, CASE WHEN volume_today > volume_last THEN 'volume_up' ELSE 'volume_down' END AS kind,
+    NULL AS filename, pf.pattern, pf.entity, CAST(volume_today AS DOUBLE) AS metric, CAST(volume_last AS DOUBLE) AS baseline,
+    least(CASE WHEN (volume_today - volume_last) * 100.0 / volume_last > 100 OR (volume_today - volume_last) * 100.0 / volume_last < -80 THEN 2 ELSE 1 END,
+      coalesce({decided_s}, 2)) AS severity,
+    NULL AS error_text,
+    coalesce(pf.entity, pf.pattern) || ' volume ' || format('{{:,}}', volume_today) || ' (' ||
+      format('{{:,}}', ((abs(volume_today - volume_last) * 2000 + volume_last) // (volume_last * 2)) // 10) || '.' ||
+      CAST(((abs(volume_today - volume_last) * 2000 + volume_last) // (volume_last * 2)) % 10 AS VARCHAR) ||
+      CASE WHEN volume_today > volume_last THEN '% above last week ' ELSE '% below last week ' END || format('{{:,}}', volume_last) || ')' ||
+      CASE WHEN coalesce({decided_s}) = 0 THEN ', within ' || coalesce({decided_t}) ELSE '' END AS message
+  FROM pf LEFT JOIN decided x ON x.snapshot_day = pf.snapshot_day AND x.source_id = pf.source_id AND x.entity = pf.entity
+  LEFT JOIN decided y ON y.snapshot_day = pf.snapshot_day AND y.source_id = pf.source_id AND y.entity IS NULL {join}
+  WHERE ok_today > 0 AND ok_last > 0 AND volume_last > 0 AND abs((volume_today - volume_last) * 100.0 / volume_last) > 50
+),
+"""
+
+
 FACTS = rf"""
 st AS (
   SELECT snapshot_day, source_id, pattern,
@@ -177,10 +202,11 @@ pf AS (
   SELECT st.*,
     coalesce(known.v, nullif(regexp_extract('_' || st.pattern, '_([A-Za-z0-9]+)_(?:payments|report|accounting)', 1), '')) AS entity,
     coalesce(lag_t.lag_days, 0) AS lag_days,
-    off.source_id IS NULL AS is_scheduled
+    off.source_id IS NULL AND coalesce((q.due_mask >> (isodow(snapshot_day) - 1)) & 1 = 1, true) AS is_scheduled, q.due_mask
   FROM st LEFT JOIN known USING (snapshot_day, source_id, pattern)
   LEFT JOIN (SELECT source_id, lag_days FROM cex WHERE kind = 'coverage_lag') lag_t USING (source_id)
   LEFT JOIN off USING (snapshot_day, source_id)
+  LEFT JOIN cpat q USING (source_id, pattern)
 ),
 stated AS (
   SELECT source_id, entity, start_min, end_min FROM windows
@@ -224,22 +250,7 @@ js AS (
 decided AS (
   SELECT snapshot_day, source_id, entity, max(struct_pack(s := severity, t := range_text)) AS d FROM js GROUP BY ALL
 ),
-fv AS (
-  SELECT pf.snapshot_day, pf.source_id, 'volume' AS detector, CASE WHEN volume_today > volume_last THEN 'volume_up' ELSE 'volume_down' END AS kind,
-    NULL AS filename, pattern, pf.entity, CAST(volume_today AS DOUBLE) AS metric, CAST(volume_last AS DOUBLE) AS baseline,
-    least(CASE WHEN (volume_today - volume_last) * 100.0 / volume_last > 100 OR (volume_today - volume_last) * 100.0 / volume_last < -80 THEN 2 ELSE 1 END,
-      coalesce(x.d.s, y.d.s, 2)) AS severity,
-    NULL AS error_text,
-    coalesce(pf.entity, pattern) || ' volume ' || format('{{:,}}', volume_today) || ' (' ||
-      format('{{:,}}', ((abs(volume_today - volume_last) * 2000 + volume_last) // (volume_last * 2)) // 10) || '.' ||
-      CAST(((abs(volume_today - volume_last) * 2000 + volume_last) // (volume_last * 2)) % 10 AS VARCHAR) ||
-      CASE WHEN volume_today > volume_last THEN '% above last week ' ELSE '% below last week ' END || format('{{:,}}', volume_last) || ')' ||
-      CASE WHEN coalesce(x.d.s, y.d.s) = 0 THEN ', within ' || coalesce(x.d.t, y.d.t) ELSE '' END AS message
-  FROM pf LEFT JOIN decided x ON x.snapshot_day = pf.snapshot_day AND x.source_id = pf.source_id AND x.entity = pf.entity
-  LEFT JOIN decided y ON y.snapshot_day = pf.snapshot_day AND y.source_id = pf.source_id AND y.entity IS NULL
-  WHERE ok_today > 0 AND ok_last > 0 AND volume_last > 0 AND abs((volume_today - volume_last) * 100.0 / volume_last) > 50
-),
-fr AS (
+{_weekly("fv")}fr AS (
   SELECT snapshot_day, source_id, 'volume' AS detector, 'outside_' || kind AS kind, NULL AS filename, '*' AS pattern, entity,
     CAST(volume AS DOUBLE) AS metric, CAST(CASE WHEN is_above THEN hi ELSE lo END AS DOUBLE) AS baseline, severity, NULL AS error_text,
     coalesce(entity, 'Source') || ' volume ' || format('{{:,}}', volume) || ' (' ||
@@ -425,6 +436,27 @@ RATES = """count(*) FILTER (status = 'processed') * 100.0 / count(*) AS success_
   count(*) FILTER (rows = 0) * 100.0 / count(*) AS empty_file_rate"""
 
 
+BANDS = """v AS (
+        SELECT snapshot_day AS day, source_id, pattern, CAST(sum(rows) AS BIGINT) AS volume FROM t WHERE status IN ('processed', 'empty') GROUP BY ALL
+      ), h0 AS (
+        SELECT *, count(*) OVER w AS n_days, sum(volume) OVER w AS s0, sum(CAST(volume AS HUGEINT) * volume) OVER w AS q, min(volume) OVER w AS lowest, max(volume) OVER w AS highest
+        FROM v WINDOW w AS (PARTITION BY source_id, pattern, dayofweek(day) ORDER BY day ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING)
+      ), b0 AS (
+        SELECT *, CASE WHEN n_days >= 3 THEN CAST(s0 AS DOUBLE) / n_days END AS mean_volume,
+          CASE WHEN n_days >= 3 THEN sqrt(CAST(n_days * q - s0 * s0 AS DOUBLE) / (n_days * (n_days - 1))) END AS sd FROM h0
+      ), bands AS (
+        SELECT day, source_id, pattern, volume, n_days, lowest, highest, mean_volume, mean_volume - 1.96::DOUBLE * sd AS lower, mean_volume + 1.96::DOUBLE * sd AS upper FROM b0
+      )"""
+CADENCE = """came AS (
+        SELECT *, snapshot_day - lag(snapshot_day) OVER (PARTITION BY source_id, pattern ORDER BY snapshot_day) AS gap FROM (SELECT DISTINCT source_id, pattern, snapshot_day FROM t)
+      ), often AS (
+        SELECT source_id, pattern, count(*) AS n_days, CAST(max(gap) AS INTEGER) AS longest_gap, coalesce(bool_and(gap % 7 = 0), false) AS whole,
+          CAST(bit_or(1 << (CAST(isodow(snapshot_day) AS INTEGER) - 1)) AS INTEGER) AS mask FROM came GROUP BY ALL
+      ), cadence0 AS (
+        SELECT *, CASE WHEN n_days < 3 THEN 'irregular' WHEN whole THEN 'weekly' WHEN longest_gap <= 3 AND mask & 96 = 0 THEN 'weekdays' WHEN longest_gap <= 2 THEN 'daily' ELSE 'irregular' END AS cadence FROM often
+      ), cadence AS (SELECT source_id, pattern, n_days, longest_gap, cadence, CASE cadence WHEN 'daily' THEN 127 WHEN 'weekdays' THEN 31 ELSE mask END AS due_mask FROM cadence0)"""
+
+
 def _timing(shift: int, where: str = "true", select: str = "*") -> str:
     return f"""{WITH_FILES}, pairs AS (
       SELECT t.e, t.snapshot_day, t.source_id, t.filename, t.literal_pattern, t.uploaded_at AS today_time, l.uploaded_at AS lastweek_time,
@@ -548,16 +580,36 @@ ORACLES: dict[str, str] = {
       FROM pf WHERE ok_today > 0 AND ok_last > 0 AND volume_last > 0""",
     "volume_detector": _detector("volume"),
     "volume_vs_range": f"{WITH_FACTS} SELECT {DAY}, source_id, entity, volume, kind, dow, lo, hi, is_above, severity FROM js WHERE severity > 0",
-    "volume_band": f"""{WITH_FILES}, v AS (
-        SELECT snapshot_day AS day, source_id, pattern, CAST(sum(rows) AS BIGINT) AS volume FROM t WHERE status IN ('processed', 'empty') GROUP BY ALL
-      ), h AS (
-        SELECT *, count(*) OVER w AS n_days, sum(volume) OVER w AS s, sum(CAST(volume AS HUGEINT) * volume) OVER w AS q, min(volume) OVER w AS lowest, max(volume) OVER w AS highest
-        FROM v WINDOW w AS (PARTITION BY source_id, pattern, dayofweek(day) ORDER BY day ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING)
-      ), b AS (
+    "volume_band": f"""{WITH_FILES}, {BANDS} SELECT CAST(day AS VARCHAR) AS day, source_id, pattern, volume, n_days, lowest, highest, mean_volume, lower, upper,
+        volume < lower OR volume > upper AS outside FROM bands""",
+    "volume_with_history": f"""{WITH_FACTS}, {BANDS}, hb AS (
+        SELECT *, CASE WHEN volume BETWEEN lower AND upper THEN 0 END AS s, '95% bounds ' || format('{{:,}}', CAST(floor(lower) AS BIGINT)) || '–' ||
+          format('{{:,}}', CAST(floor(upper) AS BIGINT)) || ' of ' || CAST(n_days AS VARCHAR) || ' earlier ' || dayname(day) || 's' AS t FROM bands WHERE upper IS NOT NULL
+      ), {_weekly("hv", history=True)} ho AS (
+        SELECT pf.snapshot_day, pf.source_id, 'volume' AS detector, 'outside_history' AS kind, NULL AS filename, pf.pattern, pf.entity, CAST(volume_today AS DOUBLE) AS metric,
+          CASE WHEN volume_today > upper THEN upper ELSE lower END AS baseline, 1 AS severity, NULL AS error_text,
+          coalesce(pf.entity, pf.pattern) || ' volume ' || format('{{:,}}', volume_today) || CASE WHEN volume_today > upper THEN ' (>95% bound ' ELSE ' (<95% bound ' END ||
+            format('{{:,}}', CAST(floor(CASE WHEN volume_today > upper THEN upper ELSE lower END) AS BIGINT)) || ')' AS message
+        FROM pf JOIN hb h ON h.day = pf.snapshot_day AND h.source_id = pf.source_id AND h.pattern = pf.pattern
+        WHERE ok_today > 0 AND (volume_today > upper OR volume_today < lower) AND NOT coalesce(ok_last > 0 AND abs(volume_today - volume_last) * 100 > volume_last * 50, false)
+          AND NOT EXISTS (SELECT 1 FROM decided d WHERE d.snapshot_day = pf.snapshot_day AND d.source_id = pf.source_id AND (d.entity IS NULL OR d.entity = pf.entity))
+      ) SELECT {DAY}, source_id, {FINDING_COLUMNS} FROM (SELECT * FROM hv UNION ALL SELECT * FROM ho UNION ALL SELECT * FROM fr)""",
+    "volume_state_bands": f"""{WITH_FILES}, {BANDS}, last_day AS (SELECT max(snapshot_day) AS d FROM f), keys AS (
+        SELECT DISTINCT d AS day, source_id, pattern FROM bands, last_day WHERE day < d AND isodow(day) = isodow(d)
+      ), v2 AS (SELECT day, source_id, pattern, volume, n FROM (
+        SELECT b.day, b.source_id, b.pattern, b.volume, row_number() OVER (PARTITION BY b.source_id, b.pattern ORDER BY b.day DESC) AS n
+        FROM bands b JOIN keys k ON k.source_id = b.source_id AND k.pattern = b.pattern AND b.day < k.day AND isodow(b.day) = isodow(k.day)) WHERE n <= 8
+      ), g AS (
+        SELECT source_id, pattern, count(*) AS n_days, min(volume) AS lowest, max(volume) AS highest, sum(volume) AS s, sum(CAST(volume AS HUGEINT) * volume) AS q FROM v2 GROUP BY ALL
+      ), r AS (
         SELECT *, CASE WHEN n_days >= 3 THEN CAST(s AS DOUBLE) / n_days END AS mean_volume,
-          CASE WHEN n_days >= 3 THEN sqrt(CAST(n_days * q - s * s AS DOUBLE) / (n_days * (n_days - 1))) END AS sd FROM h
-      ) SELECT CAST(day AS VARCHAR) AS day, source_id, pattern, volume, n_days, lowest, highest, mean_volume, mean_volume - 1.96::DOUBLE * sd AS lower, mean_volume + 1.96::DOUBLE * sd AS upper,
-          volume < mean_volume - 1.96::DOUBLE * sd OR volume > mean_volume + 1.96::DOUBLE * sd AS outside FROM b""",
+          CASE WHEN n_days >= 3 THEN sqrt(CAST(n_days * q - s * s AS DOUBLE) / (n_days * (n_days - 1))) END AS sd FROM g
+      ) SELECT CAST(d AS VARCHAR) AS day, source_id, pattern, n_days, lowest, highest, mean_volume, mean_volume - 1.96::DOUBLE * sd AS lower, mean_volume + 1.96::DOUBLE * sd AS upper
+      FROM r, last_day""",
+    "learnt_cadence": f"""{WITH_FILES}, {CADENCE} SELECT source_id, pattern, n_days, longest_gap, cadence, due_mask FROM cadence""",
+    "missing_with_cadence": f"""{WITH_FACTS}, {CADENCE} SELECT CAST(fm.snapshot_day AS VARCHAR) AS snapshot_day, source_id, {FINDING_COLUMNS}
+      FROM fm LEFT JOIN cadence c USING (source_id, pattern) LEFT JOIN cpat q USING (source_id, pattern)
+      WHERE q.due_mask IS NOT NULL OR coalesce(cadence, 'irregular') = 'irregular' OR (c.due_mask >> (isodow(fm.snapshot_day) - 1)) & 1 = 1""",
     "timing_raw": _timing(0),
     "timing_shifted": _timing(7),
     "late_files": _timing(7, "hour_difference_max > 4"),
@@ -643,8 +695,10 @@ ORACLES: dict[str, str] = {
     "cv_usual_times": f"{WITH_DOCS} SELECT source_id, entity, minute FROM usual",
     "cv_volume_ranges": f"{WITH_DOCS} SELECT source_id, entity, kind, dow, lo, hi FROM ranges",
     "cv_entities": f"{WITH_DOCS} SELECT source_id, entity FROM cent",
-    "cv_file_patterns": f"{WITH_DOCS} SELECT source_id, expected_name, pattern FROM cpat",
-    "cv_schedule": f"{WITH_DOCS} SELECT source_id, not_expected_on FROM csched",
+    "cv_file_patterns": f"{WITH_DOCS} SELECT source_id, expected_name, pattern, due_mask FROM cpat",
+    "cv_schedule": f"""{WITH_DOCS} SELECT source_id, NULL AS pattern, not_expected_on FROM csched UNION ALL
+      SELECT source_id, pattern, day FROM cpat, (SELECT unnest(['Monday', 'Tuesday', 'Wednesday', 'Thursday', 'Friday', 'Saturday', 'Sunday']) AS day, unnest(range(7)) AS i)
+      WHERE (due_mask >> CAST(i AS INTEGER)) & 1 = 0""",
     "cv_exemptions": f"{WITH_DOCS} SELECT source_id, kind, entity, lag_days FROM cex",
     "cv_unparsed": f"{WITH_DOCS} SELECT source_id, 'Contact: provider desk' AS line FROM docs",
     "missing_cvs": f"{WITH_FILES}, {DOCS} SELECT DISTINCT source_id FROM m ANTI JOIN docs USING (source_id)",

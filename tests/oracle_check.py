@@ -52,7 +52,7 @@ def compare(spark, con, query, sql: str, sf_dir: str) -> tuple[bool, str]:
         return False, f"columns {sorted(frame.columns)} != {sorted(columns)}"
     a, b = rows_of(frame.columns, mine), rows_of(columns, theirs)
     if a != b:
-        only_a, only_b = list((a - b).items())[:3], list((b - a).items())[:3]
+        only_a, only_b = str(list((a - b).items())[:2])[:1500], str(list((b - a).items())[:2])[:1500]
         return False, f"rows {len(mine)} vs {len(theirs)}\n   spark {only_a}\n   duck  {only_b}"
     return True, f"{len(mine)} rows"
 

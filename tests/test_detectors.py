@@ -5,7 +5,9 @@ from __future__ import annotations
 from datetime import date, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
+from dqwatch.operators.listings import in_scope, outside_scope
 from dqwatch.operators.detectors import Limits
 from dqwatch.plans.findings import all_findings, detector_findings, detector_records
 from tests.conftest import DAY, file, rows
@@ -184,6 +186,85 @@ def test_documented_ranges(manifest_of, facts_of):
     assert got == {str(i): [(t,) for t in texts] for i, (_, _, texts) in enumerate(RANGE_CASES) if texts}
 
 
+NAMES = {e: f"h_{e}_report_2025_09_08.csv" for e in ("Shop", "Google")}
+
+
+def test_deliveries_take_the_nearest_slot(manifest_of, facts_of):
+    facts = facts_of(
+        s1="# x\nusual ~08:00 UTC, usual ~20:00 UTC",
+        s2="# x\nArrives 06:00-06:30 UTC or 19:00-19:30 UTC",
+        s3="# x\nEntities: Shop, Google\nShop arrives 06:00-07:00 UTC; Google arrives 13:00-14:00 UTC\nArrives 01:00-02:00 UTC",
+        s4="# x\nArrives 23:30-00:30 UTC",
+    )
+    m = manifest_of(
+        *[file(NAMES["Shop"], hour=h, source="1") for h in (8.1, 19 + 59 / 60, 14.5)],
+        *[file(NAMES["Shop"], hour=h, source="2") for h in (6.2, 19.2, 12.0, 14.0)],
+        file(NAMES["Shop"], hour=13.5, source="3"),
+        file(NAMES["Google"], hour=13.5, source="3"),
+        file("h_Market_report_2025_09_08.csv", hour=6.5, source="3"),
+        *[file(NAMES["Shop"], hour=h, source="4") for h in (0.2, -0.4, 5.0)],
+    )
+    assert found(m, facts, "late", "source_id", "kind", "message") == [
+        ("1", "early", "Shop file delivered early at 14:30 UTC (usual ~20:00)"),
+        ("2", "early", "Shop file delivered early at 14:00 UTC (usual ~19:00)"),
+        ("2", "late", "Shop file arrived 5.5 hours late at 12:00 UTC (expected 06:30 UTC)"),
+        ("3", "late", "Market file arrived 4.5 hours late at 06:30 UTC (expected 02:00 UTC)"),
+        ("3", "late", "Shop file arrived 6.5 hours late at 13:30 UTC (expected 07:00 UTC)"),
+        ("4", "late", "Shop file arrived 4.5 hours late at 05:00 UTC (expected 00:30 UTC)"),
+    ]
+
+
+def test_ranges_of_entities_and_weekdays_come_first(manifest_of, facts_of):
+    by_entity = "Entities: Shop, Google\nShop usual Monday 1k-2k; Google usual Monday 5k-9k"
+    facts = facts_of(
+        s1=f"# x\n{by_entity}",
+        s2=f"# x\n{by_entity}",
+        s3="# x\nEntities: Shop\nShop usual Monday 1k-2k\nShop typical range 10k-20k\ntypical range 100k-200k",
+        s4="# x\nEntities: Shop\nShop typical range 10k-20k\nusual Monday 100k-200k and typical range 1-2",
+    )
+    m = manifest_of(
+        *[file(NAMES[e], n, source="1") for e, n in (("Shop", 1500), ("Google", 7000))],
+        *[file(NAMES[e], n, source="2") for e, n in (("Shop", 2500), ("Google", 700))],
+        file(NAMES["Shop"], 1500, source="3"),
+        file(NAMES["Shop"], 15000, source="4"),
+    )
+    assert found(m, facts, "volume", "source_id", "message", "severity") == [
+        ("2", "Google volume 700 (< usual Monday 5,000–9,000)", 2),
+        ("2", "Shop volume 2,500 (> usual Monday 1,000–2,000)", 1),
+        ("3", "Source volume 1,500 (< typical range 100,000–200,000)", 2),
+        ("4", "Source volume 15,000 (< usual Monday 100,000–200,000)", 2),
+    ]
+
+
+def test_documented_ranges_decide_over_the_weekly_comparison(manifest_of, facts_of):
+    before = {"1": 20_000, "2": 20_000, "3": 10_000, "4": 20_000}
+    now = {"1": 50_000, "2": 60_000, "3": 50_000, "4": 50_000}
+    text = "# x\nEntities: Shop\n"
+    facts = facts_of(s1=f"{text}usual Monday 40k-55k", s2=f"{text}usual Monday 40k-55k", s3=f"{text}Shop typical range 40k-55k\ntypical range 1-2", s4=f"{text}usual Friday 40k-55k")
+    m = manifest_of(
+        *[file(NAMES["Shop"], n, source=s) for s, n in now.items()],
+        *[file("g_Shop_report_2025_09_01.csv", n, source=s, period="last_weekday") for s, n in before.items()],
+    )
+    assert found(m, facts, "volume", "source_id", "kind", "severity", "message") == [
+        ("1", "volume_up", 0, "Shop volume 50,000 (150.0% above last week 20,000), within usual Monday 40,000–55,000"),
+        ("2", "outside_weekday", 1, "Source volume 60,000 (> usual Monday 40,000–55,000)"),
+        ("2", "volume_up", 1, "Shop volume 60,000 (200.0% above last week 20,000)"),
+        ("3", "outside_typical", 2, "Source volume 50,000 (> typical range 1–2)"),
+        ("3", "volume_up", 0, "Shop volume 50,000 (400.0% above last week 10,000), within typical range 40,000–55,000"),
+        ("4", "volume_up", 2, "Shop volume 50,000 (150.0% above last week 20,000)"),
+    ]
+
+
+def test_snapshot_brings_its_own_clock(manifest_of, facts_of):
+    m = manifest_of(file("a_Shop_report_2025_09_08.csv", hour=21), file("a_Shop_report_2025_09_01.csv", hour=21, period="last_weekday"))
+    late = m.withColumn("snapshot_at", F.col("snapshot_day").cast("timestamp") + F.make_dt_interval(hours=F.lit(22)))
+    assert found(m, facts_of(s1=NO_CV), "missing", "pattern") == [] and in_scope(m).count() == 0
+    assert found(late, facts_of(s1=NO_CV), "missing", "pattern") == [] and in_scope(late).count() == 2
+    gone = late.filter("from_period = 'last_weekday'")
+    assert found(gone.unionByName(late.withColumn("uploaded_at", F.col("uploaded_at") + F.make_dt_interval(hours=F.lit(2))).filter("from_period = 'today'")), facts_of(s1=NO_CV), "missing", "pattern") == [("Shop_report.csv",)]
+    assert rows(outside_scope(m), "from_period") == [("last_weekday",), ("today",)]
+
+
 def test_scope_decides_which_rows_are_judged(manifest_of, facts_of):
     old = file("a.csv", status="failure")
     old = (old[0], *old[1:8], old[8] - timedelta(days=30), old[9])
