@@ -322,6 +322,8 @@ def _queries() -> dict[str, Query]:
         "volume_records": _record("volume"),
         "late_records": _record("late"),
         "previous_records": _record("previous"),
+        "timing_runs": lambda s, d: _analysis(s, d).timing_runs,
+        "entity_issues": lambda s, d: synthesis.entity_issues(_analysis(s, d).findings),
         "detector_severities": lambda s, d: synthesis.detector_severities(_analysis(s, d).issues),
         "source_criticality": lambda s, d: synthesis.source_criticality(_analysis(s, d).issues),
         "source_lines": lambda s, d: _analysis(s, d).lines,

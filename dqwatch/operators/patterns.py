@@ -50,6 +50,7 @@ def pattern_stats(manifest: DataFrame, mode: str = "normalized") -> DataFrame:
             F.sum(F.when(is_today & ok, rows)).alias("volume_today"),
             F.sum(F.when(is_last & ok, rows)).alias("volume_last"),
             F.max(F.when(is_last, rows)).alias("max_rows_last"),
+            F.min(F.when(is_today, F.col("uploaded_at"))).alias("first_upload_today"),
             F.min(F.when(is_last, F.col("uploaded_at"))).alias("first_upload_last"),
             F.max(F.when(is_last, F.col("uploaded_at"))).alias("last_upload_last"),
         )

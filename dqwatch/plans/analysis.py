@@ -6,9 +6,10 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, functions as F
 
-from dqwatch.operators.detectors import DEFAULT_LIMITS, Limits, pattern_findings, range_findings, with_decisions
+from dqwatch.operators.detectors import DEFAULT_LIMITS, Limits, file_findings, pattern_findings, range_findings, with_decisions
 from dqwatch.operators.expectations import delivery_days, pattern_facts
 from dqwatch.operators.listings import in_scope
+from dqwatch.operators.timing_runs import source_shifts, timing_runs
 from dqwatch.plans.findings import all_findings
 from dqwatch.plans.report import executive_report, ordered_report
 from dqwatch.plans.synthesis import source_issues, source_lines, source_report
@@ -76,7 +77,13 @@ class Analysis:
     @cached_property
     def lines(self) -> DataFrame:
         missing = pattern_findings(self.by_pattern, ("missing",), self._limits)
-        return source_lines(self.issues, missing, self._facts, **self._options)
+        return source_lines(self.issues, missing, self._facts, source_shifts(self.timing_runs), **self._options)
+
+    @cached_property
+    def timing_runs(self) -> DataFrame:
+        """Runs of late and early days over the days of the manifest."""
+        late = file_findings(self._manifest, self.by_pattern, ("late",), self._limits, **self._options)
+        return timing_runs(late, self.by_pattern)
 
     def report(self, clock: str = "00:00") -> DataFrame:
         return executive_report(self.lines, clock)

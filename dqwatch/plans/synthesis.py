@@ -35,6 +35,7 @@ DETAILS = {
 
 COUNTS = [
     "n_missing",
+    "n_missing_files",
     "n_blocked",
     "n_failure",
     "n_stopped",
@@ -87,6 +88,10 @@ def issue_counts(findings: DataFrame, limits: Limits = DEFAULT_LIMITS) -> DataFr
     flags = _flags(limits)
     per_key = findings.groupBy(*HEAD, key.alias("issue_key")).agg(
         *[F.count_if(flag).alias(name) for name, flag in flags.items()],
+        # of a pattern that came last week as many files are missing as came, of another one
+        F.sum(F.when(F.col("detector") == "missing", F.greatest(F.coalesce("baseline", F.lit(1.0)), F.lit(1.0))).otherwise(0.0))
+        .cast("bigint")
+        .alias("n_missing_files"),
         F.max(F.when(F.col("detector") == "empty", F.col("baseline"))).alias("most_rows_before"),
         F.max(F.when(F.col("kind") == "late", F.col("metric"))).alias("most_hours_late"),
         F.max(F.when(F.col("kind") == "early", F.col("metric"))).alias("most_hours_early"),
@@ -188,6 +193,53 @@ def source_criticality(issues: DataFrame) -> DataFrame:
     )
 
 
+# Kinds of findings of one entity, the dominant one first: what is missing can be neither late nor early, and so on.
+DOMINANCE = ["missing", "failed", "empty", "volume", "late", "early", "previous", "duplicate"]
+
+
+def entity_issues(findings: DataFrame) -> DataFrame:
+    """Findings of all detectors per source-day and entity: counts, the dominant kind, severity and one clause.
+
+    Late and early findings of an entity that misses files of the same pattern don't count, as in :func:`issue_counts`.
+    Findings without an entity stand under their pattern. ``clause`` names every kind once, the dominant one first.
+    """
+    detector, kind = F.col("detector"), F.col("kind")
+    issue = (
+        F.when(kind == "duplicate", "duplicate")
+        .when(detector == "duplicated_failed", "failed")
+        .when(kind == "early", "early")
+        .otherwise(detector)
+    )
+    named = findings.select(
+        *HEAD,
+        F.coalesce("entity", "pattern", F.lit("unnamed")).alias("entity"),
+        F.coalesce("pattern", F.lit("")).alias("pattern"),
+        issue.alias("issue"),
+        "severity",
+    )
+    counts = [F.count_if(F.col("issue") == i).alias(f"n_{i}") for i in DOMINANCE]
+    severities = [F.max(F.when(F.col("issue") == i, F.col("severity"))).alias(f"s_{i}") for i in DOMINANCE]
+    per_pattern = named.groupBy(*HEAD, "entity", "pattern").agg(*counts, *severities)
+    for i in ("late", "early"):
+        kept = F.col("n_missing") == 0
+        per_pattern = per_pattern.withColumns(
+            {f"n_{i}": F.when(kept, F.col(f"n_{i}")).otherwise(0), f"s_{i}": F.when(kept, F.col(f"s_{i}"))}
+        )
+    folded = per_pattern.groupBy(*HEAD, "entity").agg(
+        *[F.sum(f"n_{i}").alias(f"n_{i}") for i in DOMINANCE], *[F.max(f"s_{i}").alias(f"s_{i}") for i in DOMINANCE]
+    )
+    parts = [F.when(F.col(f"n_{i}") > 0, F.concat(F.col(f"n_{i}").cast("string"), F.lit(f" {i}"))) for i in DOMINANCE]
+    leading = F.coalesce(*[F.when(F.col(f"n_{i}") > 0, F.lit(i)) for i in DOMINANCE])
+    return folded.select(
+        *HEAD,
+        "entity",
+        leading.alias("leading"),
+        F.greatest(*[F.col(f"s_{i}") for i in DOMINANCE]).alias("severity"),
+        *[f"n_{i}" for i in DOMINANCE],
+        F.concat(F.col("entity"), F.lit(": "), F.concat_ws(", ", *parts)).alias("clause"),
+    )
+
+
 def ranked_findings(findings: DataFrame, k: int | None = None) -> DataFrame:
     """All findings of every source-day and detector with their rank by severity, then size, then text.
 
@@ -204,16 +256,26 @@ def ranked_findings(findings: DataFrame, k: int | None = None) -> DataFrame:
     return ranked if k is None else ranked.filter(F.col("rank") <= k)
 
 
-def missing_entities_text(findings: DataFrame) -> DataFrame:
-    """All entities with missing files per source-day."""
-    first = (
-        findings.filter((F.col("detector") == "missing") & F.col("entity").isNotNull())
-        .select(*HEAD, "entity")
-        .distinct()
-        .groupBy(*HEAD)
-        .agg(F.sort_array(F.collect_list("entity")).alias("entities"))
+def missing_names_text(findings: DataFrame) -> DataFrame:
+    """What is missing per source-day: the expected files of one or two patterns, or the entities of more.
+
+    Patterns without an entity are named by their expected file.
+    """
+    expected = F.regexp_extract("message", r"expected: (.*)$", 1)
+    found = findings.filter(F.col("detector") == "missing").select(*HEAD, "entity", expected.alias("expected")).distinct()
+    listed = found.groupBy(*HEAD).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.array_sort(F.collect_set("entity")).alias("entities"),
+        F.array_sort(F.collect_set(F.when(F.col("entity").isNull(), F.col("expected")))).alias("others"),
+        F.array_sort(F.array(F.min("expected"), F.max("expected"))).alias("ends"),
     )
-    return first.select(*HEAD, F.array_join("entities", ", ").alias("missing_entities"))
+
+    def named(label: str, items: Column, separator: str) -> Column:
+        return F.when(F.size(items) > 0, F.concat(F.lit(label), F.array_join(items, separator)))
+
+    many = F.concat_ws("; ", named("entities: ", F.col("entities"), ", "), named("expected: ", F.col("others"), "; "))
+    few = named("expected: ", F.array_distinct("ends"), "; ")
+    return listed.select(*HEAD, F.when(F.col("n") <= 2, few).otherwise(many).alias("missing_names"))
 
 
 def _counted(n: Column, one: str, many: str | None = None) -> Column:
@@ -242,9 +304,9 @@ def _clauses() -> dict[str, Column]:
     )
     return {
         "missing": F.concat(
-            _counted(c("n_missing"), " file missing", " files missing"),
+            _counted(c("n_missing_files"), " file missing", " files missing"),
             past,
-            F.coalesce(F.concat(F.lit(" — entities: "), c("missing_entities")), F.lit("")),
+            F.coalesce(F.concat(F.lit(" — "), c("missing_names")), F.lit("")),
         ),
         "duplicated_failed": parts,
         "volume": F.concat(
@@ -263,6 +325,15 @@ def _clauses() -> dict[str, Column]:
             ", ",
             _hours(c("n_late"), " uploaded >4 hours late", c("most_hours_late")),
             _hours(c("n_schedule_change"), " delivered early", c("most_hours_early")),
+            F.when(
+                c("n_shifted") > 0,
+                F.concat(
+                    F.lit("upload time shifted by "),
+                    F.format_string("%+d", c("shift_minutes")),
+                    F.lit(" minutes since "),
+                    F.date_format("shifted_since", "yyyy-MM-dd"),
+                ),
+            ),
         ),
     }
 
@@ -279,12 +350,14 @@ def source_lines(
     issues: DataFrame,
     missing: DataFrame,
     facts: DataFrame,
+    shifts: DataFrame | None = None,
     **options: int,
 ) -> DataFrame:
     """Name, criticality, summary line and action of every source-day.
 
     The most severe issue leads, ties go by detector priority; further issues follow after a dash.
-    ``missing`` may be all findings or only those of the missing detector.
+    ``missing`` may be all findings or only those of the missing detector. ``shifts``
+    (:func:`~dqwatch.operators.timing_runs.source_shifts`) tells whose upload time has shifted.
     """
     of_source = F.filter("windows", lambda w: w["entity"].isNull())
     windows = F.when(F.size(of_source) > 0, of_source).otherwise(F.col("windows"))
@@ -292,9 +365,14 @@ def source_lines(
     slots = F.array_sort(F.transform(windows, lambda w: F.struct(w["start_min"], w["end_min"])))
     described = facts.select("source_id", "source_name", windows_text(slots).alias("windows_text"))
     rows = lookup(issues, described, ["source_id"], **options)
-    rows = rows.join(missing_entities_text(missing), HEAD, "left")
+    rows = rows.join(missing_names_text(missing), HEAD, "left")
+    if shifts is not None:
+        rows = rows.join(shifts, HEAD, "left")
+    else:
+        rows = rows.withColumns({"n_shifted": F.lit(0), "shift_minutes": F.lit(0).cast("bigint"), "shifted_since": F.col("snapshot_day")})
     clauses = _clauses()
-    action_key = {"late": F.when(F.col("n_late") > 0, F.lit(ACTIONS["late"])).otherwise(F.lit(ACTIONS["early"]))}
+    timing = F.when(F.col("n_shifted") > 0, LAG_CHANGE_ACTION).when(F.col("n_late") > 0, ACTIONS["late"]).otherwise(ACTIONS["early"])
+    action_key = {"late": timing}
     issue_list = F.array_compact(
         F.array(
             *[

@@ -333,6 +333,7 @@ ISSUES = r"""
 per_source AS (
   SELECT snapshot_day, source_id,
     count(*) FILTER (detector = 'missing') AS n_missing,
+    CAST(coalesce(sum(greatest(baseline, 1)) FILTER (detector = 'missing'), 0) AS BIGINT) AS n_missing_files,
     count(*) FILTER (kind = 'blocked_duplicate') AS n_blocked,
     count(*) FILTER (kind = 'failure') AS n_failure,
     count(*) FILTER (kind = 'stopped') AS n_stopped,
@@ -373,9 +374,39 @@ crit AS (
   SELECT *, greatest(missing_severity, duplicated_failed_severity, volume_severity, empty_severity, late_severity, 0) AS severity FROM issues
 ),
 ment AS (
-  SELECT snapshot_day, source_id,
-    array_to_string(list_sort(list(entity)), ', ') AS entities
-  FROM (SELECT DISTINCT snapshot_day, source_id, entity FROM findings WHERE detector = 'missing' AND entity IS NOT NULL) GROUP BY ALL
+  SELECT snapshot_day, source_id, CASE WHEN count(*) <= 2 THEN 'expected: ' || array_to_string(list_sort(list(expected)), '; ')
+    ELSE concat_ws('; ', 'entities: ' || array_to_string(list_sort(list(DISTINCT entity) FILTER (entity IS NOT NULL)), ', '),
+      'expected: ' || array_to_string(list_sort(list(expected) FILTER (entity IS NULL)), '; ')) END AS names
+  FROM (SELECT DISTINCT snapshot_day, source_id, entity, regexp_extract(message, 'expected: (.*)$', 1) AS expected FROM findings WHERE detector = 'missing') GROUP BY ALL
+),
+ldays AS (
+  SELECT snapshot_day, source_id, pattern, CASE WHEN bool_or(kind = 'late') THEN 'late' ELSE 'early' END AS direction
+  FROM (SELECT * FROM fl UNION ALL SELECT * FROM fy) GROUP BY ALL
+),
+lv AS (
+  SELECT snapshot_day, source_id, pattern, level, coalesce(direction, 'on time') AS direction
+  FROM (SELECT snapshot_day, source_id, pattern, min(epoch_us(uploaded_at)) - epoch_us(CAST(snapshot_day AS TIMESTAMP)) AS level FROM t GROUP BY snapshot_day, source_id, pattern)
+  LEFT JOIN ldays USING (snapshot_day, source_id, pattern)
+),
+lb1 AS (
+  SELECT *, direction IS DISTINCT FROM lag(direction) OVER w AS begins, avg(level) OVER b AS mean_before, min(level) OVER b AS low_before, max(level) OVER b AS high_before
+  FROM lv WINDOW w AS (PARTITION BY source_id, pattern ORDER BY snapshot_day), b AS (PARTITION BY source_id, pattern ORDER BY snapshot_day ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING)
+),
+lb2 AS (SELECT *, sum(CASE WHEN begins THEN 1 ELSE 0 END) OVER (PARTITION BY source_id, pattern ORDER BY snapshot_day) AS run FROM lb1),
+lb3 AS (
+  SELECT *, row_number() OVER r AS run_length, first(snapshot_day) OVER r AS run_start, avg(level) OVER r - first(mean_before) OVER r AS shift,
+    min(level) OVER r > first(high_before) OVER r AS above, max(level) OVER r < first(low_before) OVER r AS below
+  FROM lb2 WINDOW r AS (PARTITION BY source_id, pattern, run ORDER BY snapshot_day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+),
+truns AS (
+  SELECT snapshot_day, source_id, pattern, direction, run_start, CAST(run_length AS INTEGER) AS run_length, CAST(floor(shift / 60000000) AS BIGINT) AS shift_minutes,
+    CASE WHEN run_length >= 3 AND coalesce((shift > 3600000000 AND above) OR (shift < -3600000000 AND below), false) THEN 'shifted'
+         WHEN run_length >= 3 THEN 'persistent' WHEN run_length > 1 THEN 'repeated' ELSE 'once' END AS course
+  FROM lb3 WHERE direction <> 'on time'
+),
+shifts AS (
+  SELECT snapshot_day, source_id, count(*) AS n_shifted, max(struct_pack(a := abs(shift_minutes), b := shift_minutes, c := run_start, d := pattern)) AS top
+  FROM truns WHERE course = 'shifted' GROUP BY ALL
 ),
 sw AS (
   SELECT source_id, string_agg(strftime(TIMESTAMP '2000-01-01' + to_minutes(start_min), '%H:%M') || '–' || strftime(TIMESTAMP '2000-01-01' + to_minutes(end_min), '%H:%M'), ', ' ORDER BY start_min, end_min) || ' UTC' AS windows_text
@@ -384,8 +415,8 @@ sw AS (
 clauses AS (
   SELECT c.*, coalesce(n.source_name, 'Source_' || c.source_id) AS source_name,
     CASE severity WHEN 2 THEN 'URGENT ACTION REQUIRED' WHEN 1 THEN 'NEEDS ATTENTION' ELSE 'NO ACTION NEEDED' END AS criticality_level,
-    CAST(n_missing AS VARCHAR) || CASE WHEN n_missing = 1 THEN ' file missing' ELSE ' files missing' END ||
-      coalesce(' past ' || sw.windows_text || ' window', '') || coalesce(' — entities: ' || e.entities, '') AS c_missing,
+    CAST(n_missing_files AS VARCHAR) || CASE WHEN n_missing_files = 1 THEN ' file missing' ELSE ' files missing' END ||
+      coalesce(' past ' || sw.windows_text || ' window', '') || coalesce(' — ' || e.names, '') AS c_missing,
     concat_ws(', ',
       CASE WHEN n_blocked > 0 THEN CAST(n_blocked AS VARCHAR) || CASE WHEN n_blocked = 1 THEN ' file blocked as duplicate' ELSE ' files blocked as duplicates' END END,
       CASE WHEN n_failure > 0 THEN CAST(n_failure AS VARCHAR) || ' failed (' || same_text || ')' END,
@@ -395,15 +426,16 @@ clauses AS (
     CAST(n_empty AS VARCHAR) || CASE WHEN n_empty = 1 THEN ' file' ELSE ' files' END || ' unexpectedly empty (last week up to ' || format('{:,}', CAST(most_before AS BIGINT)) || ' records)' AS c_empty,
     concat_ws(', ',
       CASE WHEN n_late > 0 THEN CAST(n_late AS VARCHAR) || CASE WHEN n_late = 1 THEN ' file' ELSE ' files' END || ' uploaded >4 hours late (up to ' || CAST(CAST(floor(most_late) AS BIGINT) AS VARCHAR) || ' hours)' END,
-      CASE WHEN n_change > 0 THEN CAST(n_change AS VARCHAR) || CASE WHEN n_change = 1 THEN ' file' ELSE ' files' END || ' delivered early (up to ' || CAST(CAST(floor(most_early) AS BIGINT) AS VARCHAR) || ' hours)' END) AS c_late
-  FROM crit c LEFT JOIN cvn n USING (source_id) LEFT JOIN sw USING (source_id) LEFT JOIN ment e USING (snapshot_day, source_id)
+      CASE WHEN n_change > 0 THEN CAST(n_change AS VARCHAR) || CASE WHEN n_change = 1 THEN ' file' ELSE ' files' END || ' delivered early (up to ' || CAST(CAST(floor(most_early) AS BIGINT) AS VARCHAR) || ' hours)' END,
+      'upload time shifted by ' || CASE WHEN z.top.b >= 0 THEN '+' ELSE '' END || CAST(z.top.b AS VARCHAR) || ' minutes since ' || strftime(z.top.c, '%Y-%m-%d')) AS c_late, z.n_shifted
+  FROM crit c LEFT JOIN shifts z USING (snapshot_day, source_id) LEFT JOIN cvn n USING (source_id) LEFT JOIN sw USING (source_id) LEFT JOIN ment e USING (snapshot_day, source_id)
 ),
 parts AS (
   SELECT snapshot_day, source_id, missing_severity AS s, 0 AS p, c_missing AS text, 'Notify provider to generate/re-send; re-run ingestion and verify completeness' AS action FROM clauses WHERE missing_severity > 0
   UNION ALL SELECT snapshot_day, source_id, duplicated_failed_severity, 1, c_dup, 'Notify provider to resolve duplicate and failed files; re-run ingestion and verify completeness' FROM clauses WHERE duplicated_failed_severity > 0
   UNION ALL SELECT snapshot_day, source_id, volume_severity, 2, c_volume, 'Confirm coverage/window; monitor next run' FROM clauses WHERE volume_severity > 0
   UNION ALL SELECT snapshot_day, source_id, empty_severity, 3, c_empty, 'Notify provider to generate/re-send; re-run ingestion and verify completeness' FROM clauses WHERE empty_severity > 0
-  UNION ALL SELECT snapshot_day, source_id, late_severity, 4, c_late, CASE WHEN n_late > 0 THEN 'Validate downstream completed; track if persists' ELSE 'Confirm schedule change; adjust downstream triggers if needed' END FROM clauses WHERE late_severity > 0
+  UNION ALL SELECT snapshot_day, source_id, late_severity, 4, c_late, CASE WHEN n_shifted > 0 THEN 'Confirm intentional lag change; keep a short-term volume watch' WHEN n_late > 0 THEN 'Validate downstream completed; track if persists' ELSE 'Confirm schedule change; adjust downstream triggers if needed' END FROM clauses WHERE late_severity > 0
 ),
 joined AS (
   SELECT snapshot_day, source_id, string_agg(text, ' — ' ORDER BY s DESC, p) AS text, arg_min(action, -s * 10 + p) AS action FROM parts GROUP BY ALL
@@ -645,6 +677,16 @@ ORACLES: dict[str, str] = {
     "volume_records": _record("SELECT * FROM fv UNION ALL SELECT * FROM fr", "unexpected_volume_files", "total_unexpected_volume_files", "pattern"),
     "late_records": _record("SELECT * FROM fl", "files_uploaded_after_schedule", "total_files_uploaded_after_schedule", "filename"),
     "previous_records": _record("SELECT * FROM fp", "previous_period_files", "total_previous_period_files", "filename"),
+    "timing_runs": f"{WITH_ISSUES} SELECT {DAY}, source_id, pattern, direction, CAST(run_start AS VARCHAR) AS run_start, run_length, shift_minutes, course FROM truns",
+    "entity_issues": f"""{WITH_FACTS}, gone AS (SELECT DISTINCT snapshot_day, source_id, pattern FROM fm), named AS (
+        SELECT x.snapshot_day, x.source_id, coalesce(entity, pattern, 'unnamed') AS entity, severity,
+          CASE WHEN kind = 'duplicate' THEN 'duplicate' WHEN detector = 'duplicated_failed' THEN 'failed' WHEN kind = 'early' THEN 'early' ELSE detector END AS issue
+        FROM findings x WHERE NOT (detector = 'late' AND EXISTS (SELECT 1 FROM gone g WHERE g.snapshot_day = x.snapshot_day AND g.source_id = x.source_id AND g.pattern = x.pattern))
+      ), ranks AS (SELECT unnest(['missing', 'failed', 'empty', 'volume', 'late', 'early', 'previous', 'duplicate']) AS issue, unnest(range(8)) AS r),
+      kinds AS (SELECT snapshot_day, source_id, entity, issue, r, count(*) AS n, max(severity) AS severity FROM named JOIN ranks USING (issue) GROUP BY ALL)
+      SELECT {DAY}, source_id, entity, arg_min(issue, r) AS leading, max(severity) AS severity,
+        {", ".join(f"CAST(coalesce(sum(n) FILTER (issue = '{i}'), 0) AS BIGINT) AS n_{i}" for i in ("missing", "failed", "empty", "volume", "late", "early", "previous", "duplicate"))},
+        entity || ': ' || string_agg(CAST(n AS VARCHAR) || ' ' || issue, ', ' ORDER BY r) AS clause FROM kinds GROUP BY snapshot_day, source_id, entity""",
     "detector_severities": f"""{WITH_ISSUES} SELECT {DAY}, source_id, detector, severity FROM (
         SELECT snapshot_day, source_id, unnest(['missing', 'duplicated_failed', 'volume', 'empty', 'late', 'previous']) AS detector,
           unnest([missing_severity, duplicated_failed_severity, volume_severity, empty_severity, late_severity, previous_severity]) AS severity FROM crit)""",
