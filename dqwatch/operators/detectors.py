@@ -233,19 +233,27 @@ def with_timing(files: DataFrame) -> DataFrame:
         return day + F.make_dt_interval(mins=F.col(minutes))
 
     opens = on_day("slot.start_min")
+    closes = F.coalesce(on_day("slot.end_min"), F.col("last_upload_last") + week)
     return (
-        files.withColumn("days_old", naming.days_old(F.to_date(at), naming.file_date(F.col("filename"))))
-        .withColumn("slot", nearest_slot(F.col("slots"), minute_of(F.col("snapshot_day"), at)))
-        .withColumn("has_schedule", opens.isNotNull())
-        .withColumn("due_from", F.coalesce(opens, F.col("first_upload_last") + week))
-        .withColumn(
-            "due_to",
-            F.coalesce(on_day("slot.end_min"), F.col("last_upload_last") + week),
+        files.withColumns(
+            {
+                "days_old": naming.days_old(F.to_date(at), naming.file_date(F.col("filename"))),
+                "slot": nearest_slot("slots", minute_of(F.col("snapshot_day"), at)),
+            }
         )
-        .withColumn("late_by", F.unix_micros(at) - F.unix_micros("due_to"))
-        .withColumn("early_by", F.unix_micros("due_from") - F.unix_micros(at))
-        .withColumn(
-            "early_by_last", F.unix_micros("due_from") - F.unix_micros(F.col("first_upload_last") + week)
+        .withColumns(
+            {
+                "has_schedule": opens.isNotNull(),
+                "due_from": F.coalesce(opens, F.col("first_upload_last") + week),
+                "due_to": closes,
+            }
+        )
+        .withColumns(
+            {
+                "late_by": F.unix_micros(at) - F.unix_micros("due_to"),
+                "early_by": F.unix_micros("due_from") - F.unix_micros(at),
+                "early_by_last": F.unix_micros("due_from") - F.unix_micros(F.col("first_upload_last") + week),
+            }
         )
     )
 
@@ -411,10 +419,8 @@ def volume_ranges(facts_by_pattern: DataFrame, facts: DataFrame, limits: Limits
     )
 
 
-def range_findings(
-    facts_by_pattern: DataFrame, facts: DataFrame, limits: Limits = DEFAULT_LIMITS, **options: int
-) -> DataFrame:
-    """Volumes of source-days and entities outside a documented range, as volume findings."""
+def range_findings(ranges: DataFrame) -> DataFrame:
+    """Volumes of source-days and entities outside a documented range (:func:`volume_ranges`), as volume findings."""
     bound = F.when(F.col("is_above"), F.col("hi")).otherwise(F.col("lo"))
     sign = F.when(F.col("is_above"), ">").otherwise("<")
     context = (
@@ -433,16 +439,11 @@ def range_findings(
         metric=F.col("volume"),
         baseline=bound,
     )
-    out = volume_ranges(facts_by_pattern, facts, limits, **options).filter(F.col("severity") > 0)
-    return out.select(*HEAD, F.inline(F.array(found)))
+    return ranges.filter(F.col("severity") > 0).select(*HEAD, F.inline(F.array(found)))
 
 
 def with_decisions(
-    facts_by_pattern: DataFrame,
-    facts: DataFrame,
-    limits: Limits = DEFAULT_LIMITS,
-    bands: DataFrame | None = None,
-    **options: int,
+    facts_by_pattern: DataFrame, ranges: DataFrame, bands: DataFrame | None = None, **options: int
 ) -> DataFrame:
     """The pattern table with ``decided``: severity and text of the most specific documented range over a pattern.
 
@@ -451,19 +452,19 @@ def with_decisions(
     source_id, pattern, n_days, lower, upper) decide, as :func:`~dqwatch.operators.history.volume_bands` or
     :func:`~dqwatch.operators.volume_state.bands_on` make them; else ``decided`` is NULL.
     """
-    each = volume_ranges(facts_by_pattern, facts, limits, **options)
     decided = F.max(F.struct("severity", _range_text().alias("text"))).alias("decided")
-    by_entity = each.groupBy(*HEAD, "entity").agg(decided)
+    by_entity = ranges.groupBy(*HEAD, "entity").agg(decided)
     of_source = F.max(F.when(F.col("entity").isNull(), F.col("decided"))).alias("of_source")
     entries = F.collect_list(F.when(F.col("entity").isNotNull(), F.struct("entity", "decided")))
     by_day = by_entity.groupBy(*HEAD).agg(of_source, F.map_from_entries(entries).alias("of_entity"))
     per_day = facts_by_pattern.groupBy(*HEAD).agg(F.count(F.lit(1)).alias("n"))
     joined = lookup(facts_by_pattern, by_day, HEAD, key_counts=per_day, salt_on=["pattern"], **options)
     own = F.when(F.col("entity").isNotNull(), F.try_element_at("of_entity", F.col("entity")))
-    joined = joined.withColumn("decided", F.coalesce(own, "of_source")).drop("of_source", "of_entity")
-    joined = joined.withColumn("is_documented", F.col("decided").isNotNull())
+    decided = F.coalesce(own, "of_source")
+    columns = [*facts_by_pattern.columns, decided.alias("decided"), decided.isNotNull().alias("is_documented")]
     if bands is None:
-        return joined.withColumn("bounds", F.lit(None).cast("struct<lower: double, upper: double, n_days: bigint>"))
+        return joined.select(*columns, F.lit(None).cast("struct<lower: double, upper: double, n_days: bigint>").alias("bounds"))
+    joined = joined.select(*columns)
     # both sides have one row per pattern and day
     known = bands.filter(F.col("upper").isNotNull()).select(
         F.col("day").alias("snapshot_day"), "source_id", "pattern", F.struct("lower", "upper", "n_days").alias("bounds")

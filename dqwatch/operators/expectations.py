@@ -98,20 +98,21 @@ def pattern_facts(
     def listed(column: str) -> Column:
         return F.coalesce(F.array_contains(F.col(column), F.col("entity")), F.lit(False))
 
+    dropped = ["entities", "expected_files", "windows", "usual_times", "not_expected_on", "regularly_empty", "variable_arrival"]
+    day = F.col("snapshot_day")
     return (
         joined.withColumn("entity", entity)
-        .withColumn(
-            "expected_name", F.when(F.col("n_today") == 0, F.get(documented_as, F.lit(0))["expected_name"])
+        .withColumns(
+            {
+                "expected_name": F.when(F.col("n_today") == 0, F.get(documented_as, F.lit(0))["expected_name"]),
+                "is_scheduled": scheduled(day, F.col("not_expected_on")) & due_on(day, mask),
+                "slots": arrival_slots(),
+                "may_be_empty": listed("regularly_empty"),
+                "may_arrive_anytime": listed("variable_arrival"),
+                "lag_days": F.coalesce("lag_days", F.lit(0)),
+            }
         )
-        .withColumn(
-            "is_scheduled",
-            scheduled(F.col("snapshot_day"), F.col("not_expected_on")) & due_on(F.col("snapshot_day"), mask),
-        )
-        .withColumn("slots", arrival_slots(F.col("entity")))
-        .withColumn("may_be_empty", listed("regularly_empty"))
-        .withColumn("may_arrive_anytime", listed("variable_arrival"))
-        .withColumn("lag_days", F.coalesce("lag_days", F.lit(0)))
-        .drop("entities", "expected_files", "windows", "usual_times", "not_expected_on", "regularly_empty", "variable_arrival")
+        .drop(*dropped, "learnt_mask")
     )
 
 
@@ -152,24 +153,23 @@ def learnt_cadence(manifest: DataFrame, min_days: int = 3) -> DataFrame:
     return folded.select("source_id", "pattern", "n_days", "longest_gap", cadence.alias("cadence"), mask.cast("int").alias("due_mask"))
 
 
-def arrival_slots(entity: Column) -> Column:
+def arrival_slots(entity: str = "entity") -> Column:
     """When files of an entity are due: (start_min, end_min) in order, from the columns ``windows`` and ``usual_times``.
 
     The entity's own windows, else its usual times (a slot without length), else those of the whole source; NULL if
     nothing is documented.
     """
 
-    def stated(of: Column) -> Column:
-        own = lambda column: F.filter(column, lambda x: x["entity"].eqNullSafe(of))
-        windows = F.transform(own("windows"), lambda w: F.struct(w["start_min"], w["end_min"]))
-        times = F.transform(own("usual_times"), lambda t: F.struct(t["minute"].alias("start_min"), t["minute"].alias("end_min")))
-        found = F.when(F.size(windows) > 0, windows).otherwise(times)
-        return F.when(F.size(found) > 0, F.array_sort(found))
+    def stated(of: str) -> str:
+        windows = f"filter(windows, w -> w.entity <=> {of})"
+        times = f"filter(usual_times, t -> t.entity <=> {of})"
+        return f"""CASE WHEN size({windows}) > 0 THEN array_sort(transform({windows}, w -> struct(w.start_min, w.end_min)))
+            WHEN size({times}) > 0 THEN array_sort(transform({times}, t -> struct(t.minute AS start_min, t.minute AS end_min))) END"""
 
-    return F.coalesce(F.when(entity.isNotNull(), stated(entity)), stated(F.lit(None).cast("string")))
+    return F.expr(f"coalesce(CASE WHEN {entity} IS NOT NULL THEN {stated(entity)} END, {stated('CAST(NULL AS string)')})")
 
 
-def nearest_slot(slots: Column, minute: Column) -> Column:
+def nearest_slot(slots: str, minute: Column) -> Column:
     """The slot with the least distance to ``minute``, the earlier of two equally near; NULL without slots."""
     away = lambda s: F.greatest(s["start_min"] - minute, minute - s["end_min"], F.lit(0))
     return F.array_min(F.transform(slots, lambda s: F.struct(away(s).alias("away"), s["start_min"], s["end_min"])))
@@ -199,7 +199,7 @@ def judged_ranges(
     the weekday take the place of those for any day. ``severity`` is 0 inside, 1 outside and 2 far outside: more than
     ``far_above_pct`` above the upper or ``far_below_pct`` below the lower bound.
     """
-    stated = facts.filter(F.size("ranges") > 0).select("source_id", "ranges")
+    stated = facts.select("source_id", "ranges")
     ranged = lookup(volumes, stated, ["source_id"], "inner", **options)
     own = F.filter("ranges", lambda r: r["entity"].eqNullSafe(F.col("entity")))
     of_day = F.filter(own, lambda r: r["dow"] == F.date_format("snapshot_day", "EEEE"))
@@ -223,12 +223,10 @@ def outside_ranges(volumes: DataFrame, facts: DataFrame, **options: float) -> Da
 def late_against_window(manifest: DataFrame, facts: DataFrame, hours: int = 4, **options: int) -> DataFrame:
     """Today's files uploaded more than ``hours`` after the documented slot they are nearest to."""
     stated = facts.select("source_id", "entities", "windows", "usual_times")
-    stated = stated.filter((F.size("windows") > 0) | (F.size("usual_times") > 0))
     joined = lookup(with_pattern(manifest.filter(F.col("from_period") == "today")), stated, ["source_id"], "inner", **options)
     minute = minute_of(F.col("snapshot_day"), F.col("uploaded_at"))
-    slot = joined.withColumn("entity", entity_of(F.col("pattern"), F.col("entities"))).withColumn(
-        "slot", nearest_slot(arrival_slots(F.col("entity")), minute)
-    )
+    placed = joined.withColumn("entity", entity_of(F.col("pattern"), F.col("entities"))).withColumn("slots", arrival_slots())
+    slot = placed.withColumn("slot", nearest_slot("slots", minute))
     due = F.col("snapshot_day").cast("timestamp") + F.make_dt_interval(mins=F.col("slot.end_min"))
     hours_late = (F.unix_micros("uploaded_at") - F.unix_micros(due)) / F.lit(3.6e9)
     return (

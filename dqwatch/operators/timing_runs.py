@@ -53,17 +53,22 @@ def timing_runs(findings: DataFrame, by_pattern: DataFrame, rules: ShiftRules =
     def at_start(column: str) -> Column:
         return F.first(column).over(so_far)
 
-    rows = (
-        days.withColumn("begins", begins)
-        .withColumn("mean_before", F.avg("level").over(before))
-        .withColumn("low_before", F.min("level").over(before))
-        .withColumn("high_before", F.max("level").over(before))
-        .withColumn("run", F.sum(F.col("begins").cast("int")).over(of_pattern))
-        .withColumn("run_length", F.row_number().over(run))
-        .withColumn("run_start", at_start("snapshot_day"))
-        .withColumn("shift", F.avg("level").over(so_far) - at_start("mean_before"))
-        .withColumn("apart_above", F.min("level").over(so_far) > at_start("high_before"))
-        .withColumn("apart_below", F.max("level").over(so_far) < at_start("low_before"))
+    marked = days.withColumns(
+        {
+            "begins": begins,
+            "mean_before": F.avg("level").over(before),
+            "low_before": F.min("level").over(before),
+            "high_before": F.max("level").over(before),
+        }
+    )
+    rows = marked.withColumn("run", F.sum(F.col("begins").cast("int")).over(of_pattern)).withColumns(
+        {
+            "run_length": F.row_number().over(run),
+            "run_start": at_start("snapshot_day"),
+            "shift": F.avg("level").over(so_far) - at_start("mean_before"),
+            "apart_above": F.min("level").over(so_far) > at_start("high_before"),
+            "apart_below": F.max("level").over(so_far) < at_start("low_before"),
+        }
     )
     least = rules.min_shift_minutes * 60_000_000
     shifted = ((F.col("shift") > least) & F.col("apart_above")) | ((F.col("shift") < -least) & F.col("apart_below"))

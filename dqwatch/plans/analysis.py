@@ -6,7 +6,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, functions as F
 
-from dqwatch.operators.detectors import DEFAULT_LIMITS, Limits, file_findings, pattern_findings, range_findings, with_decisions
+from dqwatch.operators.detectors import DEFAULT_LIMITS, Limits
 from dqwatch.operators.expectations import delivery_days, pattern_facts
 from dqwatch.operators.listings import in_scope
 from dqwatch.operators.timing_runs import source_shifts, timing_runs
@@ -19,8 +19,7 @@ from dqwatch.sources.cv_files import cv_facts, first_sources
 class Analysis:
     """The tables of one analysis, each built when it is asked for.
 
-    ``keep`` persists what several outputs read: the pattern table, the one row per source-day and, for
-    the source reports, the findings. Blocks lost with an executor are recomputed from their lineage; ``release``,
+    ``keep`` persists what several outputs read: the pattern table, the findings and the one row per source-day. Blocks lost with an executor are recomputed from their lineage; ``release``,
     or leaving a ``with`` block, drops them.
     """
 
@@ -52,16 +51,14 @@ class Analysis:
 
     @cached_property
     def findings(self) -> DataFrame:
-        return all_findings(
-            self._manifest, self._facts, "all", self._limits, self.by_pattern, self._bands, **self._options
+        return self._shared(
+            all_findings(
+                self._manifest, self._facts, "all", self._limits, self.by_pattern, self._bands, **self._options
+            )
         )
 
     @cached_property
     def issues(self) -> DataFrame:
-        decided = with_decisions(self.by_pattern, self._facts, self._limits, self._bands, **self._options)
-        volumes = pattern_findings(decided, ("volume",), self._limits).unionByName(
-            range_findings(self.by_pattern, self._facts, self._limits, **self._options)
-        )
         return self._shared(
             source_issues(
                 self._manifest,
@@ -70,28 +67,23 @@ class Analysis:
                 delivery_days(self.by_pattern if self._keep else self._manifest),
                 self._limits,
                 self.by_pattern if self._keep else None,
-                volumes,
             )
         )
 
-    @cached_property
-    def lines(self) -> DataFrame:
-        missing = pattern_findings(self.by_pattern, ("missing",), self._limits)
-        return source_lines(self.issues, missing, self._facts, source_shifts(self.timing_runs), **self._options)
-
     @cached_property
     def timing_runs(self) -> DataFrame:
         """Runs of late and early days over the days of the manifest."""
-        late = file_findings(self._manifest, self.by_pattern, ("late",), self._limits, **self._options)
-        return timing_runs(late, self.by_pattern)
+        return timing_runs(self.findings, self.by_pattern)
+
+    @cached_property
+    def lines(self) -> DataFrame:
+        return source_lines(self.issues, self.findings, self._facts, source_shifts(self.timing_runs), **self._options)
 
     def report(self, clock: str = "00:00") -> DataFrame:
         return executive_report(self.lines, clock)
 
     def source_reports(self) -> DataFrame:
-        # kept before the lines are planned, so that the issues below these read them too
-        kept = self._shared(self.findings)
-        return source_report(self.lines, kept)
+        return source_report(self.lines, self.findings)
 
     def release(self) -> None:
         while self._kept:

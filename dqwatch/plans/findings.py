@@ -13,6 +13,7 @@ from dqwatch.operators.detectors import (
     file_findings,
     pattern_findings,
     range_findings,
+    volume_ranges,
     with_decisions,
 )
 from dqwatch.operators.expectations import pattern_facts
@@ -34,9 +35,10 @@ def all_findings(
     from history, see :func:`~dqwatch.operators.detectors.with_decisions`."""
     manifest = in_scope(manifest, scope)
     by_pattern = by_pattern if by_pattern is not None else pattern_facts(manifest, facts, **options)
+    ranges = volume_ranges(by_pattern, facts, limits, **options)
     return (
-        pattern_findings(with_decisions(by_pattern, facts, limits, bands, **options), limits=limits)
-        .unionByName(range_findings(by_pattern, facts, limits, **options))
+        pattern_findings(with_decisions(by_pattern, ranges, bands, **options), limits=limits)
+        .unionByName(range_findings(ranges))
         .unionByName(file_findings(manifest, by_pattern, limits=limits, **options))
     )
 
@@ -56,8 +58,9 @@ def detector_findings(
     manifest = in_scope(manifest, scope)
     by_pattern = pattern_facts(manifest, facts, **options)
     if detector == "volume":
-        found = pattern_findings(with_decisions(by_pattern, facts, limits, bands, **options), (detector,), limits)
-        return found.unionByName(range_findings(by_pattern, facts, limits, **options))
+        ranges = volume_ranges(by_pattern, facts, limits, **options)
+        found = pattern_findings(with_decisions(by_pattern, ranges, bands, **options), (detector,), limits)
+        return found.unionByName(range_findings(ranges))
     if detector in PATTERN_DETECTORS:
         return pattern_findings(by_pattern, (detector,), limits)
     return file_findings(manifest, by_pattern, (detector,), limits, **options)

@@ -6,9 +6,6 @@ what no expression recognises is kept and can be listed with :func:`cv_unparsed`
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from dqwatch.functions.naming import expected_pattern
@@ -102,16 +99,6 @@ def require_cvs(manifest: DataFrame, cv_docs: DataFrame) -> None:
         raise FileNotFoundError(f"{lacking.n} sources have no CV file, such as {lacking.one}; missing_cvs lists them all")
 
 
-def _minutes(hhmm: Column) -> Column:
-    return (F.substring(hhmm, 1, 2).cast("int") * 60 + F.substring(hhmm, 4, 2).cast("int")).cast("int")
-
-
-def _numeral(text: Column) -> Column:
-    """``40k`` → 40000, ``50,211`` → 50211."""
-    digits = F.regexp_replace(text, "[,k]", "").try_cast("decimal(18,3)")
-    return (digits * F.when(text.endswith("k"), F.lit(1000)).otherwise(F.lit(1))).cast("bigint")
-
-
 def _all(rx: str, group: int) -> Column:
     return F.regexp_extract_all("text", F.lit(rx), F.lit(group))
 
@@ -122,98 +109,82 @@ def _list_items(rx: str, separator: str = ", *") -> Column:
     return F.array_distinct(F.filter(F.transform(items, lambda item: F.trim(item)), lambda item: item != ""))
 
 
-def _last_named(text: Column, entities: Column) -> Column:
-    """The documented entity that is named last in ``text``, as a word of its own; the longer of two that end together."""
+# SQL text rather than Column calls: these trees are large, and each call is a round trip to the JVM.
+def _minutes(hhmm: str) -> str:
+    return f"(int(substring({hhmm}, 1, 2)) * 60 + int(substring({hhmm}, 4, 2)))"
 
-    def end(entity: Column) -> Column:
-        return F.length(text) - F.call_function("locate", F.reverse(entity), F.reverse(text))
 
-    def word(entity: Column) -> Column:
-        quoted = F.concat(F.lit(r"(?<![A-Za-z0-9])\Q"), F.replace(entity, F.lit(r"\E"), F.lit("")), F.lit(r"\E(?![A-Za-z0-9])"))
-        return F.regexp_like(text, quoted)
+def _numeral(text: str) -> str:
+    """``40k`` → 40000, ``50,211`` → 50211."""
+    return f"bigint(try_cast(regexp_replace({text}, '[,k]', '') AS decimal(18,3)) * if(endswith({text}, 'k'), 1000, 1))"
+
 
-    named = F.transform(F.filter(entities, word), lambda e: F.struct(end(e).alias("at"), F.length(e).alias("n"), e.alias("e")))
-    return F.array_max(named)["e"]
+def _last_named(text: str) -> str:
+    """The entity of the column ``entities`` that is named last in ``text``, as a word of its own; the longer of two that end together."""
+    word = r"concat(r'(?<![A-Za-z0-9])\Q', replace(e, r'\E', ''), r'\E(?![A-Za-z0-9])')"
+    named = f"filter(entities, e -> regexp_like({text}, {word}))"
+    end = f"length({text}) - locate(reverse(e), reverse({text}))"
+    return f"array_max(transform({named}, e -> struct({end} AS at, length(e) AS n, e AS e))).e"
 
 
-def _stated(rx: str, *columns: tuple[str, Callable[[Column], Column]]) -> Column:
+def _stated(rx: str, *fields: str) -> str:
     """Facts of one form with the ``entity`` they belong to: the last one named before the fact in its line or ``;`` clause.
 
-    NULL stands for the whole source. ``columns`` name the groups of ``rx`` and convert them.
+    NULL stands for the whole source. ``fields`` make struct fields of ``{1}``, ``{2}``, …, the groups of ``rx``.
     """
-    entities, placed = _list_items(ENTITIES), "(.*?)" + rx
-
-    def group(clause: Column, at: Column, number: int) -> Column:
-        return F.get(F.regexp_extract_all(clause, F.lit(placed), F.lit(number + 1)), at)
-
-    def of_clause(clause: Column) -> Column:
-        before = F.regexp_extract_all(clause, F.lit(placed), F.lit(1))
-        return F.transform(
-            before,
-            lambda _, i: F.struct(
-                _last_named(F.array_join(F.slice(before, F.lit(1), i + 1), " "), entities).alias("entity"),
-                *[convert(group(clause, i, n)).alias(name) for n, (name, convert) in enumerate(columns, 1)],
-            ),
-        )
-
-    return F.flatten(F.transform(F.split("text", "[;\n]"), of_clause))
+    groups = [f"get(regexp_extract_all(c, r'(.*?){rx}', {n + 1}), i)" for n in range(1, 4)]
+    before = f"regexp_extract_all(c, r'(.*?){rx}', 1)"
+    entity = _last_named(f"array_join(slice({before}, 1, i + 1), ' ')")
+    made = ", ".join([f"{entity} AS entity", *(f.format(None, *groups) for f in fields)])
+    return f"flatten(transform(split(text, r'[;\n]'), c -> transform({before}, (_, i) -> struct({made}))))"
 
 
 def _ranges() -> Column:
-    def rows(kind: str, rx: str, dow: bool, hi: bool) -> Column:
-        found = _stated(
-            rx,
-            *([("dow", lambda x: x)] if dow else []),
-            ("lo", _numeral),
-            *([("hi", _numeral)] if hi else []),
-        )
-        return F.transform(
-            found,
-            lambda r: F.struct(
-                F.lit(kind).alias("kind"),
-                r["entity"].alias("entity"),
-                (r["dow"] if dow else F.lit(None).cast("string")).alias("dow"),
-                r["lo"].alias("lo"),
-                (r["hi"] if hi else F.lit(None).cast("bigint")).alias("hi"),
-            ),
+    lo, no_dow, no_hi = _numeral("{1}") + " AS lo", "CAST(NULL AS string) AS dow", "CAST(NULL AS bigint) AS hi"
+    hi = _numeral("{2}") + " AS hi"
+    weekday = ("'weekday' AS kind", "{1} AS dow", _numeral("{2}") + " AS lo", _numeral("{3}") + " AS hi")
+    return F.expr(
+        "concat("
+        + ", ".join(
+            [
+                _stated(WEEKDAY_RANGE, *weekday),
+                _stated(TYPICAL_RANGE, "'typical' AS kind", no_dow, lo, hi),
+                _stated(CONFIDENCE_BAND, "'band' AS kind", no_dow, lo, hi),
+                _stated(MINIMUM, "'minimum' AS kind", no_dow, lo, no_hi),
+            ]
         )
-
-    return F.concat(
-        rows("weekday", WEEKDAY_RANGE, True, True),
-        rows("typical", TYPICAL_RANGE, False, True),
-        rows("band", CONFIDENCE_BAND, False, True),
-        rows("minimum", MINIMUM, False, False),
+        + ")"
     )
 
 
-def schedule_mask(text: Column) -> Column:
+def schedule_mask(text: str) -> str:
     """The days that a schedule such as ``weekdays`` or ``Mondays, Thursdays`` names, as bits from Monday on; 0 for none."""
-    words = [F.when(F.regexp_like(F.lower(text), F.lit(rf"\b{word}s?\b")), mask).otherwise(0) for word, mask in SCHEDULE_MASKS.items()]
-    return reduce(lambda a, b: a.bitwiseOR(b), words)
+    return "(" + " | ".join(rf"if(regexp_like(lower({text}), r'\b{word}s?\b'), {mask}, 0)" for word, mask in SCHEDULE_MASKS.items()) + ")"
 
 
 def cv_facts(cv_docs: DataFrame) -> DataFrame:
     """Every documented fact, one row per source."""
     # a window that ends before it starts begins on the evening before
-    windows = F.transform(
-        _stated(WINDOW, ("start_min", _minutes), ("end_min", _minutes)),
-        lambda w: w.withField(
-            "start_min", w["start_min"] - F.when(w["start_min"] > w["end_min"], MINUTES_PER_DAY).otherwise(0)
-        ),
-    )
+    start, end = _minutes("{1}"), _minutes("{2}")
+    windows = _stated(WINDOW, f"{start} - if({start} > {end}, {MINUTES_PER_DAY}, 0) AS start_min", f"{end} AS end_min")
+    mask = schedule_mask(f"regexp_extract(item, r'{FILE_SCHEDULE}', 1)")
+
     def expected_file(item: Column) -> Column:
-        mask = schedule_mask(F.regexp_extract(item, FILE_SCHEDULE, 1))
-        name = F.when(mask > 0, F.regexp_replace(item, FILE_SCHEDULE, "")).otherwise(item)
-        return F.struct(name.alias("expected_name"), expected_pattern(name).alias("pattern"), F.nullif(mask, F.lit(0)).alias("due_mask"))
+        return F.struct(item["name"].alias("expected_name"), expected_pattern(item["name"]).alias("pattern"), item["due_mask"])
 
-    expected = F.transform(_list_items(EXPECTED_FILES, "; *"), expected_file)
+    items = F.expr(
+        f"transform(items, item -> struct(if({mask} > 0, regexp_replace(item, r'{FILE_SCHEDULE}', ''), item) AS name, nullif({mask}, 0) AS due_mask))"
+    )
+    cv_docs = cv_docs.select(
+        "source_id", "source_name", "text", _list_items(ENTITIES).alias("entities"), _list_items(EXPECTED_FILES, "; *").alias("items")
+    )
     return cv_docs.select(
         "source_id",
         "source_name",
-        _list_items(ENTITIES).alias("entities"),
-        expected.alias("expected_files"),
-        windows.alias("windows"),
-        _stated(USUAL_TIME, ("minute", _minutes)).alias("usual_times"),
+        "entities",
+        F.transform(items, expected_file).alias("expected_files"),
+        F.expr(windows).alias("windows"),
+        F.expr(_stated(USUAL_TIME, _minutes("{1}") + " AS minute")).alias("usual_times"),
         _ranges().alias("ranges"),
         _list_items(NOT_EXPECTED).alias("not_expected_on"),
         _list_items(REGULARLY_EMPTY).alias("regularly_empty"),
