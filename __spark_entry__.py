@@ -24,6 +24,7 @@ from dqwatch.operators import (
     history,
     issues,
     listings,
+    near_names,
     patterns,
     summary,
     volume_state,
@@ -35,12 +36,10 @@ from dqwatch.sources import cv_files, derived, manifest_json
 from dqwatch.sqlview import ManifestTools
 from oracle_queries import ORACLES
 
-try:  # the subpackage and the pipeline over it may be absent
+try:  # the subpackage, the pipeline over it or a package that only they need may be absent
     import corpus_pipeline
     from dqwatch.llm.queries import ORACLES as LLM_ORACLES, QUERIES as LLM_QUERIES
-except ModuleNotFoundError as missing:
-    if missing.name not in ("corpus_pipeline", "dqwatch.llm"):
-        raise
+except ImportError:
     LLM_QUERIES, LLM_ORACLES = {}, {}
 else:
     LLM_QUERIES = {**LLM_QUERIES, "pipeline": corpus_pipeline.run}
@@ -180,9 +179,12 @@ def _state_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _record(detector: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        found = _detector(detector)(spark, sf_dir)
-        names = plan_findings.RECORDS[detector][0]
-        return plan_findings.detector_records(found, detector).withColumn(names, F.array_join(names, ", "))
+        manifest, facts = derived.derive_manifest(spark, sf_dir), _facts(spark, sf_dir)
+        found = plan_findings.detector_findings(manifest, facts, detector)
+        if detector == "missing":
+            found = found.unionByName(plan_findings.detector_findings(manifest, facts, "late"))
+        lists = {c: F.array_join(c, ", ") for c in plan_findings.RECORDS[detector]}
+        return plan_findings.detector_records(found, detector, facts).withColumns(lists)
 
     return run
 
@@ -266,6 +268,8 @@ def _queries() -> dict[str, Query]:
         ),
         "naming_duplicates": lambda s, d: issues.naming_duplicates(_today(s, d)),
         "near_identical": lambda s, d: issues.near_identical(_today(s, d)),
+        "near_names": lambda s, d: near_names.near_names(patterns.with_pattern(_today(s, d))),
+        "near_name_findings": lambda s, d: near_names.near_name_findings(patterns.pattern_stats(_manifest(s, d))),
         "error_patterns": lambda s, d: issues.error_patterns(_today(s, d)),
         "error_indicators": lambda s, d: _today(s, d)
         .filter(naming.has_error_indicator(F.col("status_message")))

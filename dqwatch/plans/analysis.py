@@ -83,7 +83,7 @@ class Analysis:
         return executive_report(self.lines, clock)
 
     def source_reports(self) -> DataFrame:
-        return source_report(self.lines, self.findings)
+        return source_report(self.lines, self.findings, **self._options)
 
     def release(self) -> None:
         while self._kept:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from dqwatch.operators.detectors import (
     DEFAULT_LIMITS,
@@ -18,8 +18,10 @@ from dqwatch.operators.detectors import (
 )
 from dqwatch.operators.expectations import pattern_facts
 from dqwatch.operators.listings import in_scope
+from dqwatch.operators.lookup import lookup
 from dqwatch.operators.name_lists import name_parts
 from dqwatch.schema import DETECTORS
+from dqwatch.sources.cv_files import generic_name
 
 
 def all_findings(
@@ -66,39 +68,58 @@ def detector_findings(
     return file_findings(manifest, by_pattern, (detector,), limits, **options)
 
 
-# List column and total column of each detector's result record.
+# List columns of each detector's result record, with the column of their number.
 RECORDS = {
-    "missing": ("missing_files", "missing_files_number"),
-    "duplicated_failed": ("files", "total_files"),
-    "empty": ("empty_files", "total_empty_files"),
-    "volume": ("unexpected_volume_files", "total_unexpected_volume_files"),
-    "late": ("files_uploaded_after_schedule", "total_files_uploaded_after_schedule"),
-    "previous": ("previous_period_files", "total_previous_period_files"),
+    "missing": {"missing_files": "missing_files_number", "late_files": "late_files_number"},
+    "duplicated_failed": {"duplicated_files": None, "failed_files": None},
+    "empty": {"empty_files": "total_empty_files"},
+    "volume": {"unexpected_volume_files": "total_unexpected_volume_files"},
+    "late": {"files_uploaded_after_schedule": "total_files_uploaded_after_schedule"},
+    "previous": {"previous_period_files": "total_previous_period_files"},
 }
 
 
-def detector_records(findings: DataFrame, detector: str, **options: int) -> DataFrame:
-    """The detector's result record per source-day: the list of files and their number.
+def _lists(detector: str) -> Column:
+    """The lists of a detector's record that a finding belongs to."""
+    kind, of = F.col("kind"), F.col("detector") == detector
+    late = (F.col("detector") == "late") & (kind == "late")
+    if detector == "missing":
+        return F.array_compact(F.array(F.when(of, "missing_files"), F.when(late, "late_files")))
+    if detector == "duplicated_failed":
+        duplicate = of & kind.isin("blocked_duplicate", "duplicate")
+        failed = of & kind.isin("blocked_duplicate", "failure", "stopped", "deleted")
+        return F.array_compact(F.array(F.when(duplicate, "duplicated_files"), F.when(failed, "failed_files")))
+    (only,) = RECORDS[detector]
+    return F.array_compact(F.array(F.when(late if detector == "late" else of, only)))
+
+
+def detector_records(findings: DataFrame, detector: str, facts: DataFrame | None = None, **options: int) -> DataFrame:
+    """The detector's result record per source-day: its lists of files, their numbers, details and the source's name.
 
-    Missing and volume findings list patterns, the others filenames. A list longer than a part's
-    length comes as several numbered parts that together hold every name. Duplicated and failed files
-    are two lists, told apart by ``issue``; a blocked duplicate is in both.
+    Missing and volume findings list patterns, the others filenames. Missing files come with the late ones, duplicated
+    with failed ones; a blocked duplicate is in both, and ``total_issues`` counts it once. Records with very many
+    names come as several numbered parts, which together hold every name and its details once; the numbers are the
+    whole record's in each.
     """
-    names, total = RECORDS[detector]
-    flagged = findings.filter(F.col("detector") == detector)
-    keys = list(HEAD)
+    name = F.coalesce("filename", "pattern", F.lit("unnamed"))
+    flagged = findings.select(*HEAD, _lists(detector).alias("lists"), name.alias("name"), "message").filter(F.size("lists") > 0)
+    counts = [F.count_if(F.array_contains("lists", c)).alias(n) for c, n in RECORDS[detector].items() if n]
     if detector == "duplicated_failed":
-        kind = F.col("kind")
-        issues = (
-            F.when(kind == "blocked_duplicate", F.array(F.lit("duplicated_files"), F.lit("failed_files")))
-            .when(kind == "duplicate", F.array(F.lit("duplicated_files")))
-            .otherwise(F.array(F.lit("failed_files")))
-        )
-        flagged = flagged.withColumn("issue", F.explode(issues))
-        keys.append("issue")
-    if detector == "late":
-        flagged = flagged.filter(F.col("kind") == "late")
-    listed = flagged.withColumn("name", F.coalesce("filename", "pattern"))
-    return name_parts(listed, keys, "name", **options).select(
-        *keys, "part", F.col("items.name").alias(names), F.col("total").alias(total)
+        counts = [F.count(F.lit(1)).alias("total_issues")]
+    numbers = flagged.groupBy(*HEAD).agg(*counts)
+    entries = flagged.select(*HEAD, F.explode("lists").alias("list"), "name", "message").select(
+        *HEAD, F.struct("list", "name", "message").alias("entry")
     )
+    parts = name_parts(entries, HEAD, "entry", **options)
+    listed = {
+        column: F.array_distinct(
+            F.transform(F.filter("items", lambda i: i["name"]["list"] == column), lambda i: i["name"]["name"])
+        )
+        for column in RECORDS[detector]
+    }
+    details = F.array_join(F.array_distinct(F.transform("items", lambda i: i["name"]["message"])), "; ")
+    records = parts.select(*HEAD, "part", *[c.alias(n) for n, c in listed.items()], details.alias("details")).join(numbers, HEAD)
+    if facts is not None:
+        records = lookup(records, facts.select("source_id", "source_name"), ["source_id"], **options)
+        records = records.withColumn("source_name", F.coalesce("source_name", generic_name(F.col("source_id"))))
+    return records

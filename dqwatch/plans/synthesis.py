@@ -240,19 +240,22 @@ def entity_issues(findings: DataFrame) -> DataFrame:
     )
 
 
+def finding_size() -> Column:
+    """What findings of one severity are ordered by: hours or days, else the distance from the baseline."""
+    gap = F.abs(F.coalesce(F.col("metric"), F.lit(0.0)) - F.coalesce(F.col("baseline"), F.lit(0.0)))
+    return F.when(F.col("detector").isin("late", "previous"), F.col("metric")).otherwise(gap)
+
+
 def ranked_findings(findings: DataFrame, k: int | None = None) -> DataFrame:
     """All findings of every source-day and detector with their rank by severity, then size, then text.
 
     ``k`` asks for a short form: the leading ones. That limit is applied before the shuffle as well, so a source with
     very many findings sends at most ``k`` rows per task.
     """
-    size = F.when(F.col("detector").isin("late", "previous"), F.col("metric")).otherwise(
-        F.abs(F.coalesce(F.col("metric"), F.lit(0.0)) - F.coalesce(F.col("baseline"), F.lit(0.0)))
-    )
     order = Window.partitionBy(*HEAD, "detector").orderBy(
         F.desc("severity"), F.desc("score"), "message", "filename"
     )
-    ranked = findings.withColumn("score", size).withColumn("rank", F.row_number().over(order))
+    ranked = findings.withColumn("score", finding_size()).withColumn("rank", F.row_number().over(order))
     return ranked if k is None else ranked.filter(F.col("rank") <= k)
 
 
@@ -413,23 +416,53 @@ def source_lines(
     )
 
 
-def detail_texts(findings: DataFrame) -> DataFrame:
-    """Six text columns: all findings of each detector, the leading ones first."""
+#: Findings of one detector that a part of a report holds, about.
+FINDINGS_PER_PART = 1000
+
+
+def in_parts(findings: DataFrame, per_part: int = FINDINGS_PER_PART, **options: int) -> DataFrame:
+    """Findings with ``score`` and the ``part`` of their report: the leading ones in part 0, and so on.
+
+    Findings are counted by grade (severity and the score's order of magnitude). Parts follow from the counts of the grades
+    above, as prefix sums over some thousand grades at most; a grade that fills several parts is dealt over them by hash.
+    So no task sees all findings of a source-day, and up to ``per_part`` of them are one part.
+    """
+    group = [*HEAD, "detector"]
+    scored = findings.withColumn("score", finding_size())
+    magnitude = F.floor(F.log2(F.greatest(F.coalesce("score", F.lit(0.0)), F.lit(0.0)) + 1) * 8).cast("int")
+    graded = scored.withColumn("grade", F.coalesce("severity", F.lit(0)) * 16384 + magnitude)
+    counts = graded.groupBy(*group, "grade").agg(F.count(F.lit(1)).alias("n"))
+    above = Window.partitionBy(*group).orderBy(F.desc("grade")).rowsBetween(Window.unboundedPreceding, -1)
+    whole = F.sum("n").over(Window.partitionBy(*group))
+    before = counts.withColumns({"n_above": F.coalesce(F.sum("n").over(above), F.lit(0)), "n_all": whole})
+    placed = lookup(graded, before, [*group, "grade"], "inner", key_counts=counts, **options)
+    slices = F.ceil(F.col("n") / F.lit(per_part))
+    slice_ = F.pmod(F.xxhash64("message", "filename", "pattern"), slices)
+    part = F.when(F.col("n_all") > per_part, F.floor((F.col("n_above") + slice_ * per_part) / F.lit(per_part))).otherwise(0)
+    return placed.withColumn("part", part.cast("int")).drop("grade", "n", "n_above", "n_all")
+
+
+def detail_texts(findings: DataFrame, per_part: int = FINDINGS_PER_PART, **options: int) -> DataFrame:
+    """Six text columns per source-day and part: the findings of each detector, the leading ones first."""
+    order = F.struct((-F.col("severity")).alias("a"), (-F.col("score")).alias("b"), "message", "filename")
     listed = (
-        ranked_findings(findings)
-        .groupBy(*HEAD, "detector")
-        .agg(F.sort_array(F.collect_list(F.struct("rank", "message"))).alias("leading"))
+        in_parts(findings, per_part, **options)
+        .groupBy(*HEAD, "part", "detector")
+        .agg(F.sort_array(F.collect_list(order)).alias("leading"))
     )
     text = F.array_join(F.transform("leading", lambda x: x["message"]), "; ")
-    return listed.groupBy(*HEAD).agg(
+    return listed.groupBy(*HEAD, "part").agg(
         *[F.max(F.when(F.col("detector") == d, text)).alias(DETAILS[d][0]) for d in DETAILS]
     )
 
 
-def source_report(lines: DataFrame, findings: DataFrame) -> DataFrame:
-    """The full report record of every source-day, with its Markdown text."""
+def source_report(lines: DataFrame, findings: DataFrame, **options: int) -> DataFrame:
+    """The full report record of every source-day, with its Markdown text.
+
+    There is one row per part (:func:`in_parts`), usually part 0 alone; each repeats the head and the summary.
+    """
     details = [column for column, _ in DETAILS.values()]
-    rows = lines.join(detail_texts(findings), HEAD, "left").fillna("", details)
+    rows = lines.join(detail_texts(findings, **options), HEAD, "left").fillna("", details).fillna(0, ["part"])
     date = F.date_format("snapshot_day", "yyyy-MM-dd")
     records = records_text(F.col("total_rows"))
     normal = F.col("severity") == 0
@@ -440,7 +473,10 @@ def source_report(lines: DataFrame, findings: DataFrame) -> DataFrame:
     body = F.concat_ws("\n", *sections)
     text = F.concat_ws(
         "\n",
-        F.concat(F.lit("## Source: "), "source_name", F.lit(" (id: "), "source_id", F.lit(")")),
+        F.concat(
+            F.lit("## Source: "), "source_name", F.lit(" (id: "), "source_id", F.lit(")"),
+            F.when(F.col("part") > 0, F.concat(F.lit(", part "), (F.col("part") + 1).cast("string"))).otherwise(""),
+        ),
         F.concat(F.lit("**Date**: "), date),
         F.concat(F.lit("**Criticality Level**: "), "criticality_level"),
         F.lit(""),
@@ -454,6 +490,7 @@ def source_report(lines: DataFrame, findings: DataFrame) -> DataFrame:
     )
     return rows.select(
         *HEAD,
+        "part",
         "source_name",
         date.alias("processing_date"),
         "criticality_level",

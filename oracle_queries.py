@@ -489,6 +489,12 @@ CADENCE = """came AS (
       ), cadence AS (SELECT source_id, pattern, n_days, longest_gap, cadence, CASE cadence WHEN 'daily' THEN 127 WHEN 'weekdays' THEN 31 ELSE mask END AS due_mask FROM cadence0)"""
 
 
+NEAR = f"""{WITH_FILES}, shapes AS (SELECT DISTINCT snapshot_day, source_id, pattern FROM t), near AS (
+        SELECT a.snapshot_day, a.source_id, a.pattern, count(*) AS n_near, min(b.pattern) AS nearest
+        FROM shapes a JOIN shapes b ON a.snapshot_day = b.snapshot_day AND a.source_id = b.source_id AND a.pattern <> b.pattern AND levenshtein(a.pattern, b.pattern) = 1 GROUP BY ALL
+      )"""
+
+
 def _timing(shift: int, where: str = "true", select: str = "*") -> str:
     return f"""{WITH_FILES}, pairs AS (
       SELECT t.e, t.snapshot_day, t.source_id, t.filename, t.literal_pattern, t.uploaded_at AS today_time, l.uploaded_at AS lastweek_time,
@@ -520,10 +526,19 @@ def _detector(name: str, columns: str = FINDING_COLUMNS) -> str:
     return f"{WITH_FACTS} SELECT {DAY}, source_id, {columns} FROM findings WHERE detector = '{name}'"
 
 
-def _record(where: str, names: str, total: str, name: str, keys: str = "") -> str:
-    return f"""{WITH_FACTS} SELECT {DAY}, source_id, {keys} 0 AS part,
-      array_to_string(list_sort(list(DISTINCT {name})), ', ') AS {names}, count(*) AS {total}
-      FROM ({where}) GROUP BY ALL"""
+def _record(rows: str, lists: dict[str, str | None], total: str = "") -> str:
+    """``rows`` yields snapshot_day, source_id, names (its lists), name and message of every finding of a record."""
+    listed = ", ".join(f"coalesce(array_to_string(list_sort(list(DISTINCT name) FILTER (l = '{c}')), ', '), '') AS {c}" for c in lists)
+    numbers = total or ", ".join(f"count(*) FILTER (list_contains(names, '{c}')) AS {n}" for c, n in lists.items() if n)
+    return f"""{WITH_FACTS}, flagged AS (SELECT * FROM ({rows}) WHERE len(names) > 0),
+      each AS (SELECT DISTINCT snapshot_day, source_id, l, name, message FROM (SELECT *, unnest(names) AS l FROM flagged)),
+      said AS (SELECT snapshot_day, source_id, message, min(struct_pack(a := l, b := name, c := message)) AS first FROM each GROUP BY ALL)
+      SELECT CAST(a.snapshot_day AS VARCHAR) AS snapshot_day, source_id, coalesce(source_name, 'Source_' || source_id) AS source_name, 0 AS part,
+        a.* EXCLUDE (snapshot_day, source_id), b.* EXCLUDE (snapshot_day, source_id), c.details
+      FROM (SELECT snapshot_day, source_id, {listed} FROM each GROUP BY ALL) a
+      JOIN (SELECT snapshot_day, source_id, {numbers} FROM flagged GROUP BY ALL) b USING (snapshot_day, source_id)
+      JOIN (SELECT snapshot_day, source_id, string_agg(message, '; ' ORDER BY first) AS details FROM said GROUP BY ALL) c USING (snapshot_day, source_id)
+      LEFT JOIN cvn USING (source_id)"""
 
 
 ORACLES: dict[str, str] = {
@@ -669,14 +684,20 @@ ORACLES: dict[str, str] = {
         SELECT *, row_number() OVER (PARTITION BY snapshot_day, source_id, detector ORDER BY severity DESC,
           CASE WHEN detector IN ('late', 'previous') THEN metric ELSE abs(coalesce(metric, 0) - coalesce(baseline, 0)) END DESC, message, filename NULLS FIRST) AS rank
         FROM findings)""",
-    "missing_records": _record("SELECT * FROM fm", "missing_files", "missing_files_number", "pattern"),
+    "missing_records": _record(
+        "SELECT snapshot_day, source_id, ['missing_files'] AS names, pattern AS name, message FROM fm UNION ALL SELECT snapshot_day, source_id, ['late_files'], filename, message FROM fl",
+        {"missing_files": "missing_files_number", "late_files": "late_files_number"}),
     "duplicated_failed_records": _record(
-        "SELECT *, unnest(CASE kind WHEN 'blocked_duplicate' THEN ['duplicated_files', 'failed_files'] WHEN 'duplicate' THEN ['duplicated_files'] ELSE ['failed_files'] END) AS issue FROM fd",
-        "files", "total_files", "filename", "issue,"),
-    "empty_records": _record("SELECT * FROM fe", "empty_files", "total_empty_files", "filename"),
-    "volume_records": _record("SELECT * FROM fv UNION ALL SELECT * FROM fr", "unexpected_volume_files", "total_unexpected_volume_files", "pattern"),
-    "late_records": _record("SELECT * FROM fl", "files_uploaded_after_schedule", "total_files_uploaded_after_schedule", "filename"),
-    "previous_records": _record("SELECT * FROM fp", "previous_period_files", "total_previous_period_files", "filename"),
+        "SELECT *, filename AS name, CASE kind WHEN 'blocked_duplicate' THEN ['duplicated_files', 'failed_files'] WHEN 'duplicate' THEN ['duplicated_files'] ELSE ['failed_files'] END AS names FROM fd",
+        {"duplicated_files": None, "failed_files": None}, "count(*) AS total_issues"),
+    "empty_records": _record("SELECT *, filename AS name, ['empty_files'] AS names FROM fe", {"empty_files": "total_empty_files"}),
+    "volume_records": _record("SELECT *, pattern AS name, ['unexpected_volume_files'] AS names FROM (SELECT * FROM fv UNION ALL SELECT * FROM fr)", {"unexpected_volume_files": "total_unexpected_volume_files"}),
+    "late_records": _record("SELECT *, filename AS name, ['files_uploaded_after_schedule'] AS names FROM fl", {"files_uploaded_after_schedule": "total_files_uploaded_after_schedule"}),
+    "previous_records": _record("SELECT *, filename AS name, ['previous_period_files'] AS names FROM fp", {"previous_period_files": "total_previous_period_files"}),
+    "near_names": f"""{NEAR} SELECT {DAY}, source_id, pattern, n_near, nearest FROM near""",
+    "near_name_findings": f"""{NEAR} SELECT {DAY}, source_id, 'duplicated_failed' AS detector, 'near_identical_name' AS kind, NULL AS filename, pattern, NULL AS entity,
+        CAST(n_near AS DOUBLE) AS metric, CAST(NULL AS DOUBLE) AS baseline, 0 AS severity, NULL AS error_text,
+        pattern || ' differs by one character from ' || CAST(n_near AS VARCHAR) || CASE WHEN n_near = 1 THEN ' other name, ' ELSE ' other names, the first being ' END || nearest AS message FROM near""",
     "timing_runs": f"{WITH_ISSUES} SELECT {DAY}, source_id, pattern, direction, CAST(run_start AS VARCHAR) AS run_start, run_length, shift_minutes, course FROM truns",
     "entity_issues": f"""{WITH_FACTS}, gone AS (SELECT DISTINCT snapshot_day, source_id, pattern FROM fm), named AS (
         SELECT x.snapshot_day, x.source_id, coalesce(entity, pattern, 'unnamed') AS entity, severity,
@@ -722,7 +743,7 @@ ORACLES: dict[str, str] = {
           concat_ws(chr(10), '**Missing Files**: ' || a, '**Failed/Duplicate Files**: ' || b, '**Volume Variations**: ' || c, '**Late/Early Uploads**: ' || d,
             '**Empty Files**: ' || e, '**Previous Period Files**: ' || f) AS body
         FROM lines x LEFT JOIN wide USING (snapshot_day, source_id)
-      ) SELECT {DAY}, source_id, source_name, processing_date, criticality_level, summary_line,
+      ) SELECT {DAY}, source_id, 0 AS part, source_name, processing_date, criticality_level, summary_line,
           coalesce(a, '') AS missing_files_details, coalesce(b, '') AS failed_duplicate_details, coalesce(c, '') AS volume_variation_details,
           coalesce(d, '') AS late_early_upload_details, coalesce(e, '') AS empty_file_details, coalesce(f, '') AS previous_period_details,
           CASE WHEN severity = 0 THEN records ELSE '' END AS total_records, recommended_action,

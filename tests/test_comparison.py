@@ -7,7 +7,7 @@ from datetime import timedelta
 
 import pytest
 
-from dqwatch.operators import comparison, history, issues, patterns
+from dqwatch.operators import near_names, comparison, history, issues, patterns
 from dqwatch.schema import FINDINGS
 from tests.conftest import DAY, file, rows
 from tests.test_synthesis import finding
@@ -142,3 +142,29 @@ def test_recurrence_looks_seven_days_back(stored):
     found = [(DAY + timedelta(days=d), *finding("a", "late", "late")[1:]) for d in days]
     got = rows(history.recurrence(stored(found * 2, FINDINGS)), "snapshot_day", "n_findings", "earlier_days", "is_recurring")
     assert [r[1:] for r in got] == [(2, 0, False), (2, 1, True), (2, 2, True), (2, 2, True), (2, 0, False)]
+
+
+def test_names_one_edit_apart_equal_brute_force(spark):
+    import random
+
+    rng = random.Random(5)
+    names = {"", "a", "aa", "ab", "ba", "aab", "aéb", None} | {"".join(rng.choices("abé", k=rng.randrange(1, 7))) for _ in range(250)}
+    table = [(DAY, s, n) for s in "12" for n in names if s == "1" or rng.random() < 0.3] + [(DAY, "1", "aa")] * 3
+
+    def apart(a, b):
+        if abs(len(a) - len(b)) > 1 or a == b:
+            return False
+        if len(a) == len(b):
+            return sum(x != y for x, y in zip(a, b, strict=True)) == 1
+        short, long = sorted((a, b), key=len)
+        return any(long[:i] + long[i + 1 :] == short for i in range(len(long)))
+
+    want = []
+    for s in "12":
+        mine = {n for _, x, n in table if x == s and n is not None}
+        for n in mine:
+            near = [o for o in mine if apart(n, o)]
+            if near:
+                want.append((s, n, len(near), min(near, key=lambda x: x.encode())))
+    got = near_names.near_names(spark.createDataFrame(table, "snapshot_day date, source_id string, pattern string"))
+    assert rows(got, "source_id", "pattern", "n_near", "nearest") == sorted(want) and len(want) > 100

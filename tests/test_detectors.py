@@ -146,9 +146,22 @@ def test_duplicated_and_failed_kinds(manifest_of, facts_of):
         ("d.csv", "duplicate", 0, "d.csv — processed, duplicate"),
         ("e.csv", "stopped", 1, "e.csv — stopped"),
     ]
-    records = {r.issue: r for r in detector_records(detector_findings(m, facts_of(s1=NO_CV), "duplicated_failed"), "duplicated_failed").collect()}
-    assert records["duplicated_files"].files == ["a.csv", "d.csv"]
-    assert records["failed_files"].files == ["a.csv", "b.csv", "c.csv", "e.csv"]
+    facts = facts_of(s2=NO_CV)
+    both = detector_findings(m, facts, "duplicated_failed")
+    record = detector_records(both, "duplicated_failed", facts).first()
+    assert record.duplicated_files == ["a.csv", "d.csv"] and record.failed_files == ["a.csv", "b.csv", "c.csv", "e.csv"]
+    assert (record.total_issues, record.source_name, record.part) == (5, "Source_1", 0) and record.details.startswith("a.csv — stopped (File duplicated), duplicate; d.csv")
+    parts = detector_records(both, "duplicated_failed", facts, per_part=2).collect()
+    assert len(parts) > 1 and sorted(n for p in parts for n in p.failed_files) == record.failed_files and {p.total_issues for p in parts} == {5}
+
+
+def test_missing_record_has_the_late_files_too(manifest_of, facts_of):
+    facts = facts_of(s1="# x\nExpected files: [hash]_Shop_report_YYYY_MM_DD.csv\nArrives 06:00-07:00 UTC")
+    m = manifest_of(file("a_Google_report_2025_09_08.csv", hour=12), file("b_Google_report_2025_09_08.csv", hour=6.5))
+    record = detector_records(all_findings(m, facts), "missing", facts).first()
+    assert (record.missing_files, record.missing_files_number) == (["Shop_report.csv"], 1)
+    assert (record.late_files, record.late_files_number, record.source_name) == (["a_Google_report_2025_09_08.csv"], 1, "Name_1")
+    assert "5.0 hours late" in record.details and "expected: *_Shop_report_2025_09_08.csv" in record.details
 
 
 def test_previous_period_respects_the_lag(manifest_of, facts_of):

@@ -8,6 +8,7 @@ from datetime import date, datetime
 
 import pytest
 from pyspark.errors import ParseException
+from pyspark.sql import functions as F
 
 from dqwatch.operators.listings import today, with_status
 from dqwatch.operators.summary import quality_rates, quality_summary, source_summary
@@ -222,12 +223,20 @@ def test_written_tables_and_report(spark, manifest_of, docs_of, tmp_path):
     analysis = analyze(again, docs_of(s1="# x"))
     sinks.write_findings(analysis.findings, str(tmp_path / "findings"))
     report = analysis.report("20:00")
-    path = sinks.write_report(report, str(tmp_path), "s1")
-    assert path.endswith("/data_quality_report_s1.md")
-    day = tmp_path / "data_quality_report_s1.md" / "snapshot_day=2025-09-08"
-    lines = "".join(p.read_text() for p in sorted(day.glob("part-*"))).splitlines()
+    folder = tmp_path / "reports"
+    paths = sinks.write_report(report, str(folder), "20_00_UTC")
+    assert sorted(p.name for p in folder.iterdir() if not p.name.startswith(".")) == [f"data_quality_report_2025-09-0{d}_20_00_UTC.md" for d in (8, 9)]
+    lines = (folder / "data_quality_report_2025-09-08_20_00_UTC.md").read_text(encoding="utf-8").splitlines()
     want = report.filter("snapshot_day = DATE'2025-09-08'").orderBy("section", "position", "source_id")
-    assert lines == [r.line for r in want.collect()] and len(lines) == 46
+    assert lines == [r.line for r in want.collect()] and len(lines) == 46 and len(paths) == 2
+    with pytest.raises(FileExistsError, match="2 reports"):
+        sinks.write_report(report, str(folder), "20_00_UTC")
+    assert sinks.write_report(report.filter("section = 0"), str(folder), "20_00_UTC", overwrite=True) == paths
+    assert (folder / "data_quality_report_2025-09-08_20_00_UTC.md").read_text(encoding="utf-8").count("\n") == 1
+    failing = report.withColumn("line", F.when(F.col("source_id") == "7", F.raise_error(F.lit("lost"))).otherwise(F.col("line")))
+    with pytest.raises(Exception, match="lost"):
+        sinks.write_report(failing, str(tmp_path / "none"), "x")
+    assert not [p for p in (tmp_path / "none").rglob("*") if p.is_file() and not p.name.startswith(".")]
 
 
 def test_summaries_of_an_empty_day(manifest_of):

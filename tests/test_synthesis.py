@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import random
 from datetime import timedelta
 
 import pytest
@@ -11,7 +13,8 @@ from dqwatch.plans.synthesis import (
     detail_texts,
     detector_severities,
     issue_counts,
-    missing_entities_text,
+    entity_issues,
+    missing_names_text,
     ranked_findings,
     source_issues,
 )
@@ -80,10 +83,80 @@ def test_ranking_has_an_optional_limit_and_details_are_whole(stored):
     assert text.missing_files_details is None
 
 
-def test_all_missing_entities_are_named(stored):
+def gone(source, pattern, entity=None):
+    return finding(source, "missing", "missing", pattern=pattern, entity=entity, message=f"missing — expected: *_{pattern}")
+
+
+def test_missing_files_are_named(stored):
     names = [f"e{i:02d}" for i in range(40)]
-    found = stored([finding("a", "missing", "missing", pattern=e, entity=e) for e in [*reversed(names), "e00"]], FINDINGS)
-    assert rows(missing_entities_text(found), "missing_entities") == [(", ".join(names),)]
+    found = [gone("a", e, e) for e in [*reversed(names), "e00"]] + [gone("b", "x", "X"), gone("c", "y", "Y"), gone("c", "x")]
+    found += [gone("d", p, p.upper() if p < "q" else None) for p in "pzoq"]
+    assert rows(missing_names_text(stored(found, FINDINGS)), "source_id", "missing_names") == [
+        ("a", "entities: " + ", ".join(names)),
+        ("b", "expected: *_x"),
+        ("c", "expected: *_x; *_y"),
+        ("d", "entities: O, P; expected: *_q; *_z"),
+    ]
+
+
+def test_details_come_in_parts(stored):
+    rng = random.Random(1)
+    many = [finding("a", "volume", "volume_up", rng.choice([1, 2]), pattern=str(i), metric=rng.choice([5.0, 1e9, rng.random() * 100]), baseline=0.0, message=f"m{i}") for i in range(400)]
+    many += [finding("b", "late", "late", metric=9.0, message=f"l{i}") for i in range(3)] + [finding("a", "empty", "unexpected_empty", message="e")]
+    found = stored(many, FINDINGS)
+    assert rows(detail_texts(found), "source_id", "part") == [("a", 0), ("b", 0)]
+    for options in ({}, {"broadcast_bytes": -1, "hot_rows": 10}):
+        parts = detail_texts(found, per_part=20, **options).filter("source_id = 'a'").orderBy("part").collect()
+        listed = [p.volume_variation_details.split("; ") for p in parts]
+        assert sorted(m for part in listed for m in part) == sorted(f"m{i}" for i in range(400)) and max(map(len, listed)) < 80
+        assert parts[0].empty_file_details == "e" and parts[1].empty_file_details is None
+        order = {m[11]: (m[9], int(math.log2(m[7] + 1) * 8)) for m in many if m[2] == "volume"}
+        worst, best = [min(order[x] for x in part) for part in listed], [max(order[x] for x in part) for part in listed]
+        assert all(w >= b for w, b in zip(worst, best[1:], strict=False)) and [p.part for p in parts] == list(range(len(parts)))
+
+
+def test_findings_are_grouped_by_entity(stored):
+    found = [
+        gone("a", "p", "Shop"),
+        finding("a", "late", "late", 1, name="f", pattern="p", entity="Shop", metric=9.0),
+        finding("a", "late", "early", 0, name="g", pattern="q", entity="Shop", metric=9.0),
+        finding("a", "volume", "volume_up", 2, pattern="q", entity="Shop", metric=2.0, baseline=1.0),
+        finding("a", "duplicated_failed", "failure", 1, name="h", pattern="r"),
+        finding("a", "duplicated_failed", "duplicate", 0, name="i", pattern="r"),
+    ]
+    got = rows(entity_issues(stored(found, FINDINGS)), "entity", "leading", "severity", "n_late", "clause")
+    assert got == [("Shop", "missing", 2, 0, "Shop: 1 missing, 1 volume, 1 early"), ("r", "failed", 1, 0, "r: 1 failed, 1 duplicate")]
+
+
+def delivered(hours, source="1", pattern="Shop"):
+    return [file(f"h_{pattern}_report.csv", hour=h, source=source, day=DAY + timedelta(days=i)) for i, h in enumerate(hours) if h is not None]
+
+
+def test_runs_and_shifts_of_upload_times(manifest_of, docs_of):
+    m = manifest_of(
+        *delivered([8.1, 8.2, 8.1, 13.0, 8.1, 13.0, 13.1, None, 13.2, 13.1]),
+        *delivered([13.0, 13.0, 13.0, 13.1], source="2"),
+        *delivered([8.0, 8.1, 8.1, 8.0, 1.0, 1.1, 1.0, 8.0], source="3"),
+        *delivered([8.0, 12.5, 8.0, 8.0, 13.0, 12.6, 12.9], source="4"),
+    )
+    text = "# x\nArrives 08:00-08:20 UTC"
+    with analyze(m, docs_of(s1=text, s2=text, s3=text, s4=text)) as a:
+        runs = {(r.source_id, (r.snapshot_day - DAY).days): (r.direction, r.run_length, r.course) for r in a.timing_runs.collect()}
+        lines = {(r.source_id, (r.snapshot_day - DAY).days): r for r in a.lines.collect()}
+    assert {k: v for k, v in runs.items() if k[0] == "1"} == {
+        ("1", 3): ("late", 1, "once"),
+        ("1", 5): ("late", 1, "once"),
+        ("1", 6): ("late", 2, "repeated"),
+        ("1", 8): ("late", 3, "persistent"),  # day 3 was as late as these
+        ("1", 9): ("late", 4, "persistent"),
+    }
+    assert [runs["2", i][2] for i in range(4)] == ["once", "repeated", "persistent", "persistent"]
+    assert [runs["3", i] for i in (4, 5, 6)] == [("early", 1, "once"), ("early", 2, "repeated"), ("early", 3, "shifted")]
+    assert runs["4", 1] == ("late", 1, "once") and runs["4", 6] == ("late", 3, "shifted")
+    shifted = lines["3", 6]
+    assert "upload time shifted by -421 minutes since 2025-09-12" in shifted.summary_line
+    assert shifted.recommended_action == "Confirm intentional lag change; keep a short-term volume watch"
+    assert lines["2", 3].recommended_action == "Validate downstream completed; track if persists"
 
 
 @pytest.fixture(scope="module")
@@ -109,7 +182,7 @@ def day(manifest_of, docs_of):
 EXPECTED_REPORT = [
     "*Report generated at UTC HOUR*: 14:30 UTC",
     "* Urgent Action Required*",
-    "• *Name_30 (id: 30)* – 2025-09-08: 2 files missing past 08:08–08:18 UTC window — entities: Google, Shop → *Action:* Notify provider to generate/re-send; re-run ingestion and verify completeness",
+    "• *Name_30 (id: 30)* – 2025-09-08: 2 files missing past 08:08–08:18 UTC window — expected: *_Google_report.csv; *_Shop_report.csv → *Action:* Notify provider to generate/re-send; re-run ingestion and verify completeness",
     "* Needs Attention*",
     "• *Name_20 (id: 20)* – 2025-09-08: Source volume 61,639 (> usual Monday 40,000–55,000) → *Action:* Confirm coverage/window; monitor next run",
     "* No Action Needed*",
