@@ -1,14 +1,13 @@
 """Training-order materialisation: token sequences in a keyed random order, in binary shards of fixed stride.
 
-Texts are encoded and cut into sequences of fixed length. Sequences are numbered 0 to N - 1 (rows of lower
-partitions come first), and a keyed Feistel permutation over the least even number of bits that holds N, walked on
-until it falls below N, gives each a global slot: a bijection that needs no sort and no table. Slots are cut into
-ranges, a range is a shard, and a record's place follows from its slot alone, so a reader may start anywhere and go
-on after a stop. A shard is written under a temporary name and then renamed: a task that runs again repeats the same
-bytes, and a finished shard is recognised by its size.
-
-Encoding happens twice, first to count and then to write, since the permutation needs N; storing the tokens between
-would take more disk than the shards. The second pass checks each partition's count against the first.
+Texts are encoded and cut into sequences of fixed length. A text of b bytes has at most b div length + 1 of them, so
+every text gets as many numbers from running sums of its size alone. A keyed Feistel permutation over the least even
+number of bits that holds all numbers, walked on until it falls below their count, scatters them. Ranges of the
+scattered numbers are the shards: each is sorted and written by one task, at a fixed stride. A sequence's global slot is
+its rank: what the shards before hold, as prefix sums, and its place in its own. Slots have no gaps, though numbers have.
+
+Texts are encoded once. A shard is written under a temporary name and then renamed: a task that runs again repeats the
+same bytes. ``index`` beside the shards has the first slot of each, so a reader may start at any slot and go on after a stop.
 """
 
 from __future__ import annotations
@@ -18,18 +17,21 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyarrow import fs
+from pyarrow import fs, parquet
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from dqwatch.llm.common import new_path, read
+from dqwatch.llm.common import new_path, read, written
+from dqwatch.operators.lookup import lookup
 
 LENGTH = 256
-SHARD_ROWS = 8192
+#: A shard takes so many numbers. About a quarter of them have a sequence, since tokens have some four bytes.
+SHARD_NUMBERS = 32_768
 KEY = 0x5EED
 END_OF_TEXT = 50_256
 _ROUNDS = 4
@@ -73,51 +75,46 @@ def sequences(text: str | None, length: int, path: str = "") -> list[np.ndarray]
     return list(filled.reshape(-1, length))
 
 
-def sequence_count(text: str | None, length: int, path: str = "") -> int:
-    """How many sequences ``sequences`` gives."""
-    return len(_encoding(path).encode_ordinary(text or "")) // length + 1
-
-
-def materialise(docs: DataFrame, folder: str, length: int = LENGTH, shard_rows: int = SHARD_ROWS, key: int = KEY, path: str = "") -> DataFrame:
+def materialise(docs: DataFrame, folder: str, length: int = LENGTH, shard_numbers: int = SHARD_NUMBERS, key: int = KEY, path: str = "") -> DataFrame:
     """Write shards to ``folder`` (a URI that pyarrow opens); one row per sequence of (doc_id, text).
 
     Returns doc_id, part (number within the document), slot, shard, byte_offset, crc32 of the record. Every row,
-    empty and repeated ones too, has at least one sequence. No rows write no shards.
+    empty and repeated ones and those with a null too, has at least one sequence. Other columns are neither read nor
+    returned. No rows write no shards.
     """
-    docs = docs.select("doc_id", "text")
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = sum(sequence_count(t, length, path) for b in batches for t in b.column(1).to_pylist())
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([n])], names=["part", "n"])
-
+    spark, docs = docs.sparkSession, docs.select("doc_id", "text")
+    kind = "doc_id long, part int, slot long, shard int, byte_offset long, crc32 long"
+    bound = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    bounds = docs.select(F.spark_partition_id().alias("part"), (F.floor(bound / length) + 1).alias("n"))
     # one small row per task
-    counted = {r.part: r.n for r in docs.mapInArrow(count, "part long, n long").collect()}
-    total, first, at = sum(counted.values()), {}, 0
-    for part in sorted(counted):
-        first[part] = at
-        at += counted[part]
-    shards = -(-total // shard_rows)
+    counted = {r.part: r.n for r in bounds.groupBy("part").agg(F.sum("n").alias("n")).collect()}
+    parts = sorted(counted)
+    total, first = sum(counted.values()), dict(zip(parts, accumulate((counted[p] for p in parts), initial=0)))
+    if not total:
+        return spark.createDataFrame([], kind)
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, packer = TaskContext.get().partitionId(), zstandard.ZstdCompressor(level=1)
-        now, end = first[part], first[part] + counted[part]
+        now = first.get(part, 0)
         for batch in batches:
-            ids, parts, records = [], [], []
+            ids, parts, numbers, records = [], [], [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for k, record in enumerate(sequences(text, length, path)):
+                made = sequences(text, length, path)
+                for k, record in enumerate(made):
                     ids.append(doc_id)
                     parts.append(k)
+                    numbers.append(now + k)
                     records.append(packer.compress(record.tobytes()))
-            slots = permuted(np.arange(now, now + len(ids)), total, key) if ids else np.empty(0, dtype=np.int64)
-            now += len(ids)
-            columns = [pa.array(ids, pa.int64()), pa.array(parts, pa.int32()), pa.array(slots), pa.array(records, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "part", "slot", "record"])
-        if now != end:
-            raise RuntimeError(f"partition {part} held {counted[part]} sequences when they were counted, now {now - first[part]}")
+                now += len((text or "").encode()) // length + 1
+            values = permuted(np.array(numbers, dtype=np.int64), total, key) if ids else np.empty(0, dtype=np.int64)
+            columns = [pa.array(ids, pa.int64()), pa.array(parts, pa.int32()), pa.array(values), pa.array(records, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "part", "value", "record"])
+        if now != first.get(part, 0) + counted.get(part, 0):
+            raise RuntimeError(f"partition {part} held texts of other sizes when they were counted")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(folder)
-        stride, shard, sink, temporary = 2 * length, -1, None, ""
+        shard, rank, sink, temporary = -1, 0, None, ""
         unpacker = zstandard.ZstdDecompressor()
 
         def finish() -> None:
@@ -126,32 +123,48 @@ def materialise(docs: DataFrame, folder: str, length: int = LENGTH, shard_rows:
                 store.move(temporary, f"{root}/shard-{shard:06d}.bin")
 
         for batch in batches:
-            slots = batch.column(2).to_numpy()
-            crcs = []
-            for slot, record in zip(slots.tolist(), batch.column(3).to_pylist(), strict=True):
-                if slot // shard_rows != shard:
+            shards, ranks, crcs = [], [], []
+            for value, record in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                if value // shard_numbers != shard:
                     finish()
-                    shard = slot // shard_rows
+                    shard, rank = value // shard_numbers, 0
                     temporary = f"{root}/.{shard:06d}-{uuid.uuid4().hex}"
                     sink = store.open_output_stream(temporary)
                 data = unpacker.decompress(record)
                 crcs.append(zlib.crc32(data))
                 sink.write(data)
-            columns = [batch.column(0), batch.column(1), pa.array(slots), pa.array(slots // shard_rows, pa.int32()),
-                       pa.array(slots % shard_rows * stride), pa.array(crcs, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "part", "slot", "shard", "byte_offset", "crc32"])
+                shards.append(shard)
+                ranks.append(rank)
+                rank += 1
+            columns = [batch.column(0), batch.column(1), pa.array(shards, pa.int32()), pa.array(ranks, pa.int64()), pa.array(crcs, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "part", "shard", "rank", "crc32"])
         finish()
 
-    spark = docs.sparkSession
-    kind = "doc_id long, part int, slot long, shard int, byte_offset long, crc32 long"
-    if not total:
-        return spark.createDataFrame([], kind)
     store, root = fs.FileSystem.from_uri(folder)
     store.create_dir(root)
-    numbered = docs.mapInArrow(number, "doc_id long, part int, slot long, record binary")
-    shard = F.expr(f"cast(slot div {shard_rows} as int)")
-    # the shard number is the partition: a range of slots each, without sampling the sequences for bounds
-    return numbered.repartitionById(shards, shard).sortWithinPartitions("slot").mapInArrow(write, kind)
+    numbered = docs.mapInArrow(number, "doc_id long, part int, value long, record binary")
+    shard = F.expr(f"cast(value div {shard_numbers} as int)")
+    # the shard is the partition: a range of values each, without sampling the sequences for bounds
+    ranged = numbered.repartitionById(-(-total // shard_numbers), shard).sortWithinPartitions("value")
+    rows = written(ranged.mapInArrow(write, "doc_id long, part int, shard int, rank long, crc32 long"), "sequences")
+    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row per shard
+    counts = rows.groupBy("shard").agg(F.count(F.lit(1)).alias("n"))
+    index = counts.withColumn("first_slot", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    index.coalesce(1).write.mode("overwrite").parquet(f"{folder}/index")
+    index = spark.read.schema("shard int, n long, first_slot long").parquet(f"{folder}/index")
+    placed = lookup(rows, index, ["shard"], "inner", key_counts=index.select("shard", "n"))
+    return placed.select(
+        "doc_id", "part", (F.col("first_slot") + F.col("rank")).alias("slot"), "shard", (F.col("rank") * 2 * length).alias("byte_offset"), "crc32"
+    )
+
+
+def read_from(folder: str, slot: int = 0, length: int = LENGTH) -> Iterator[np.ndarray]:
+    """Records in training order from a global slot on, over all shards."""
+    store, root = fs.FileSystem.from_uri(folder)
+    index = parquet.read_table(f"{root}/index", filesystem=store).sort_by("first_slot").to_pylist()
+    for entry in index:
+        if slot < entry["first_slot"] + entry["n"]:
+            yield from read_shard(folder, entry["shard"], max(0, slot - entry["first_slot"]), length)
 
 
 def read_shard(folder: str, shard: int, start: int = 0, length: int = LENGTH) -> Iterator[np.ndarray]:

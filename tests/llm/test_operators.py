@@ -109,14 +109,32 @@ def test_feistel_is_a_permutation(n):
 
 
 def test_shards_hold_every_sequence(docs, tmp_path):
-    rows = training_order.materialise(docs, f"file://{tmp_path}/s", length=16, shard_rows=64).collect()
+    folder = f"file://{tmp_path}/s"
+    rows = training_order.materialise(docs, folder, length=16, shard_numbers=128).collect()
     assert sorted(r.slot for r in rows) == list(range(len(rows)))
-    at = {r.slot: r for r in rows}
-    for shard in range(-(-len(rows) // 64)):
-        for k, record in enumerate(training_order.read_shard(f"file://{tmp_path}/s", shard, 0, 16)):
-            assert zlib.crc32(record.tobytes()) == at[64 * shard + k].crc32
+    by_slot = [r.crc32 for r in sorted(rows, key=lambda r: r.slot)]
+    for start in (0, 1, 77, len(rows) - 1, len(rows)):
+        assert [zlib.crc32(record.tobytes()) for record in training_order.read_from(folder, start, 16)] == by_slot[start:]
+    for r in rows[::7]:
+        record = next(training_order.read_shard(folder, r.shard, r.byte_offset // 32, 16))
+        assert zlib.crc32(record.tobytes()) == r.crc32
     plain = Counter((d.doc_id, k, zlib.crc32(s.tobytes())) for d in docs.collect() for k, s in enumerate(training_order.sequences(d.text, 16)))
     assert plain == Counter((r.doc_id, r.part, r.crc32) for r in rows)
+    # the order is the permutation's: numbers follow from the sizes of the texts, row by row
+    numbers, now = {}, 0
+    for part in docs.rdd.glom().collect():
+        for d in part:
+            for k, s in enumerate(training_order.sequences(d.text, 16)):
+                numbers[now + k] = (d.doc_id, k, zlib.crc32(s.tobytes()))
+            now += len((d.text or "").encode()) // 16 + 1
+    order = np.argsort(training_order.permuted(np.array(list(numbers)), now))
+    made = list(numbers.values())
+    assert [(r.doc_id, r.part, r.crc32) for r in sorted(rows, key=lambda r: r.slot)] == [made[i] for i in order]
+    assert len({r.shard for r in rows}) == -(-now // 128)
+    before = {p.name: p.read_bytes() for p in (tmp_path / "s").glob("*.bin")}
+    again = training_order.materialise(docs, folder, length=16, shard_numbers=128).collect()  # a run that is repeated
+    assert sorted(again, key=str) == sorted(rows, key=str)
+    assert {p.name: p.read_bytes() for p in (tmp_path / "s").iterdir() if p.is_file()} == before
     assert training_order.materialise(docs.limit(0), f"file://{tmp_path}/none").count() == 0
 
 
