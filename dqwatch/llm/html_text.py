@@ -9,6 +9,7 @@ notices, adverts, reader comments and the like) goes before.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html import unescape
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +20,7 @@ from dqwatch.llm.common import map_columns, read
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 DROPPED = frozenset(
-    "script style textarea title iframe noembed noframes head nav footer aside form noscript template svg math canvas "
+    "script style textarea title iframe noembed noframes head nav footer aside noscript template svg math canvas "
     "button select option datalist input label fieldset menu dialog object embed audio video map".split()
 )
 INLINE = frozenset(
@@ -43,7 +44,7 @@ CLOSES = {
 }
 #: Words in class, id or role that mark what is no part of an article.
 _UNLIKELY = re.compile(
-    r"(?:ads?|advert\w*|banner|breadcrumbs?|comments?|respond|replies|disqus|cookies?|consent|gdpr|notice|"
+    r"(?:ads?|advert\w*|banner|breadcrumbs?|comments?(?:list|form|area)?|respond|replies|disqus|cookies?|consent|gdpr|notice|"
     r"alert|footer|header|masthead|menu|nav\w*|newsletter|subscribe|subscription|paywall|pager|pagination|popup|modal|"
     r"overlay|promo\w*|related|recommend\w*|share|sharing|sidebar|side|skip|social|sponsor\w*|toolbar|widget|login|"
     r"signup|search|complementary|contentinfo|navigation|dialog|hidden|sr-only)",
@@ -51,14 +52,15 @@ _UNLIKELY = re.compile(
 )
 #: Parts of a class that say no more than where or what kind of box it is, as in site-footer or comment-list.
 _PLAIN_PART = re.compile(
-    r"\d+(?:x\d+)?|slot|unit|site|page|global|top|bottom|left|right|primary|secondary|main|inner|outer|post|entry|article|blog|list|item|items|box|"
+    r"\d+(?:x\d+)?|slot|unit|site|page|global|top|bottom|left|right|primary|secondary|main|inner|outer|posts?|entry|article|blog|users?|readers?|list|item|items|box|"
     r"area|section|container|wrapper|wrap|block|bar|links?|buttons?|icons?|form|menu|thread|reply|body|content|panel|row|group|text",
     re.I,
 )
 _LIKELY = re.compile(r"(?:^|[\s_-])(?:article|body|content|entry|main|post|story|text)(?=$|[\s_-])", re.I)
 _TOKEN = re.compile(
     r"<!--.*?(?:--!?>|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)"
-    r"""|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*(?:"|$)|'[^']*(?:'|$))*)(?:>|$)""",
+    # a quotation mark quotes behind an equals sign only
+    r"""|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*"[^"]*(?:"|$)|=\s*'[^']*(?:'|$)|[^>])*)(?:>|$)""",
     re.S,
 )
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+)))?""")
@@ -109,6 +111,16 @@ def parse(html: str) -> Node:
     """The element tree; end tags that HTML lets out are put in, unknown ends are skipped."""
     root = Node("#root", {}, None)
     at, now = 0, root
+    opened: Counter[str] = Counter()  # elements around ``now`` by their tag
+
+    def leave(node: Node) -> Node:
+        """Closes all elements within ``node``'s children up to it."""
+        up = now
+        while up is not node:
+            opened[up.tag] -= 1
+            up = up.parent
+        return node
+
     for m in iter(lambda: _TOKEN.search(html, at), None):
         if m.start() > at:
             now.inside.append(unescape(html[at : m.start()]))
@@ -119,16 +131,16 @@ def parse(html: str) -> Node:
             continue
         tag = m[2].lower()
         if m[1]:
-            up: Node | None = now
-            while up is not None and up.tag != tag:
-                up = up.parent
-            if up is not None and up.parent is not None:
-                now = up.parent
+            if opened[tag]:
+                up = now
+                while up.tag != tag:
+                    up = up.parent
+                now = leave(up.parent)
             continue
-        if tag in CLOSES_P:
-            now = _closed(now, {"p"}, {"button", "td", "th", "li", "div", "section", "article", "blockquote"})
-        if tag in CLOSES:
-            now = _closed(now, *CLOSES[tag])
+        if tag in CLOSES_P and opened["p"]:
+            now = leave(_closed(now, {"p"}, {"button", "td", "th", "li", "div", "section", "article", "blockquote"}))
+        if tag in CLOSES and any(opened[t] for t in CLOSES[tag][0]):
+            now = leave(_closed(now, *CLOSES[tag]))
         marks = {a[1].lower(): unescape(a[2] or a[3] or a[4] or "") for a in _ATTRIBUTE.finditer(m[3])} if m[3] else {}
         node = Node(tag, marks, now)
         now.inside.append(node)
@@ -139,6 +151,7 @@ def parse(html: str) -> Node:
             at = end.end()
         elif tag not in VOID and not m[0].endswith("/>") or tag not in VOID and tag in CLOSES_P | INLINE:
             now = node
+            opened[tag] += 1
     if at < len(html):
         now.inside.append(unescape(html[at:]))
     return root
@@ -181,15 +194,36 @@ def _text(node: Node) -> str:
     return "".join(parts)
 
 
-def _sizes(nodes: list[Node]) -> tuple[dict[int, int], dict[int, int]]:
-    """Characters of text, and those within links, under each node."""
+def _sizes(nodes: list[Node]) -> tuple[dict[int, int], dict[int, int], dict[int, int]]:
+    """Characters of text, those within links, and commas under each node; ``nodes`` has parents first."""
     size: dict[int, int] = {}
     linked: dict[int, int] = {}
+    commas: dict[int, int] = {}
     for node in reversed(nodes):
-        own = sum(len(x.strip()) if isinstance(x, str) else size.get(id(x), 0) for x in node.inside)
-        size[id(node)] = own
-        linked[id(node)] = own if node.tag == "a" else sum(linked.get(id(x), 0) for x in node.inside if isinstance(x, Node))
-    return size, linked
+        own = found = within = 0
+        for x in node.inside:
+            if isinstance(x, str):
+                own += len(x.strip())
+                found += x.count(",") + x.count("、") + x.count("，")
+            else:
+                own += size.get(id(x), 0)
+                found += commas.get(id(x), 0)
+                within += linked.get(id(x), 0)
+        size[id(node)], commas[id(node)] = own, found
+        linked[id(node)] = own if node.tag == "a" else within
+    return size, linked, commas
+
+
+def _drop_forms(root: Node) -> list[Node]:
+    """Nodes without forms; a form around half of the page's text or more is its frame and stays, without its controls."""
+    nodes = _kept(root)
+    forms = [n for n in nodes if n.tag == "form"]
+    if not forms:
+        return nodes
+    size, _, _ = _sizes(nodes)
+    for form in forms:
+        form.dropped = 2 * size[id(form)] < size[id(root)]
+    return _kept(root)
 
 
 def _is_paragraph(node: Node) -> bool:
@@ -205,21 +239,22 @@ def _is_paragraph(node: Node) -> bool:
 def main_text(html: str | None) -> str:
     """The article's text: blocks in page order, white space as single spaces; empty if there is none. Null is empty."""
     root = parse(html or "")
-    nodes = _kept(root)
-    size, linked = _sizes(nodes)
+    nodes = _drop_forms(root)
+    size, linked, commas = _sizes(nodes)
     density = lambda n: linked[id(n)] / size[id(n)] if size[id(n)] else 0.0
-    scored: list[Node] = []
+    given: dict[int, float] = {}  # what a paragraph gives its container
     for node in nodes:
-        if not _is_paragraph(node) or not size[id(node)]:
-            continue
-        text = _text(node)
-        points = (1 + text.count(",") + text.count("、") + text.count("，") + min(len(text) / 100, 3)) * (1 - density(node))
-        up, level = (node.parent if node.tag in PARAGRAPHS else node), 0
-        while up is not None and up.tag not in ("#root", "html"):
-            up.score += points if level == 0 else points / 2 if level == 1 else points / (3 * level)
-            scored.append(up)
-            up, level = up.parent, level + 1
-    candidates = list({id(n): n for n in scored}.values())
+        if _is_paragraph(node) and size[id(node)]:
+            to = node.parent if node.tag in PARAGRAPHS else node
+            points = (1 + commas[id(node)] + min(size[id(node)] / 100, 3)) * (1 - density(node))
+            given[id(to)] = given.get(id(to), 0.0) + points
+    candidates = []
+    for node in reversed(nodes):  # a container passes half of its points on
+        node.score += given.get(id(node), 0.0)
+        if node.score > 0 and node.tag not in ("#root", "html"):
+            candidates.append(node)
+            node.parent.score += node.score / 2
+    candidates.reverse()
     for node in candidates:
         if node.tag in ("article", "main") or node.marks.get("role") in ("article", "main"):
             node.score += 25  # the page says itself where its article is
@@ -250,7 +285,11 @@ def main_text(html: str | None) -> str:
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """(page_id, url, text, n_chars) of every row of (page_id, url, html); null ids and urls stay null, repeated rows repeat."""
+    """(page_id, url, text, n_chars) of every row of (page_id, url, html); null ids and urls stay null, repeated rows repeat.
+
+    A null or empty page has an empty text, an empty table gives an empty one, other columns are neither read nor returned.
+    A page of n tags takes time in proportion to n, however deep they are nested.
+    """
 
     def run(ids: list, urls: list, htmls: list) -> tuple[list, ...]:
         texts = [main_text(h) for h in htmls]

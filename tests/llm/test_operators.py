@@ -8,6 +8,7 @@ import json
 import random
 import re
 import struct
+import time
 import zlib
 from collections import Counter
 
@@ -299,6 +300,31 @@ def test_main_text_without_article_elements():
         assert html_text.main_text(f'<body><div><h1>T</h1><p>{long}</div><div class="{name}"><p>{long}</div></body>') == f"T {long}".strip()
 
 
+def test_attributes_forms_and_reader_comments():
+    long = "Words, of, an, article, that, go, on, and, on. " * 5
+    assert html_text.main_text(f"<body><div><p data-x=it's>{long}</p><p title=\"a>b\" 'odd>Second's end.</p></div></body>") == f"{long}Second's end."
+    page = f"<body><form action=/x><div id=main><h1>T</h1><p>{long}</p><input value=v><select><option>o</select></div></form></body>"
+    assert html_text.main_text(page) == f"T {long}".strip()
+    small = f"<body><div><h1>T</h1><p>{long}</p><form><p>Your, mail, please, now</p><button>Go</button></form></div></body>"
+    assert html_text.main_text(small) == f"T {long}".strip()
+    for name in ("user-comments", "commentlist", "related-posts", "reader_comments"):
+        assert html_text.main_text(f'<body><div><h1>T</h1><p>{long}</div><div class="{name}"><p>{long}</div></body>') == f"T {long}".strip()
+
+
+@pytest.mark.parametrize("html", ["<div><p>" * 50_000, "<ul><li>" * 50_000, "<b>" * 100_000, "<p>" * 50_000 + "</i>" * 50_000, "<div><p>a, b</p>" * 50_000])
+def test_deep_pages_take_linear_time(html):
+    start = time.process_time()
+    assert html_text.main_text(html + "end").endswith("end")
+    assert time.process_time() - start < 15
+
+
+def test_page_rows(spark):
+    pages = spark.createDataFrame([(1, "u", "<p>a</p>", 5), (1, "u", "<p>a</p>", 5), (None, None, None, 0), (2, "v", "", 1)], "page_id long, url string, html string, text long")
+    out = html_text.extract(pages)
+    assert sorted(map(tuple, out.collect()), key=str) == sorted([(1, "u", "a", 1)] * 2 + [(None, None, "", 0), (2, "v", "", 0)], key=str)
+    assert html_text.extract(pages.limit(0)).count() == 0
+
+
 def test_chain_learns_and_bounds(spark):
     rng = random.Random(6)
     rows = []
