@@ -4,7 +4,7 @@ from dqwatch.plans.findings import all_findings
 from dqwatch.plans.analysis import run_report, single_source_report
 from dqwatch.operators.summary import quality_rates, quality_summary, source_summary
 from dqwatch.sources.cv_files import cv_facts, read_cvs
-from dqwatch.sources.manifest_json import read_manifest
+from dqwatch.sources.manifest_json import read_manifest, unread_elements
 from dqwatch.sqlview import ManifestTools
 
 __all__ = [
@@ -18,4 +18,5 @@ __all__ = [
     "run_report",
     "single_source_report",
     "source_summary",
+    "unread_elements",
 ]

@@ -10,7 +10,7 @@ from dqwatch.operators.detectors import DEFAULT_LIMITS, Limits
 from dqwatch.operators.expectations import delivery_days, pattern_facts
 from dqwatch.operators.listings import in_scope
 from dqwatch.operators.timing_runs import source_shifts, timing_runs
-from dqwatch.plans.findings import all_findings
+from dqwatch.plans.findings import all_findings, unread_findings
 from dqwatch.plans.report import executive_report, ordered_report
 from dqwatch.plans.synthesis import source_issues, source_lines, source_report
 from dqwatch.sources.cv_files import cv_facts, first_sources
@@ -31,6 +31,7 @@ class Analysis:
         keep: bool,
         options: dict[str, int],
         bands: DataFrame | None = None,
+        unread: DataFrame | None = None,
     ):
         self._manifest = manifest
         self._facts = cv_facts(cv_docs)
@@ -38,6 +39,7 @@ class Analysis:
         self._keep = keep
         self._options = options
         self._bands = bands
+        self._unread = unread
         self._kept: list[DataFrame] = []
 
     def _shared(self, table: DataFrame) -> DataFrame:
@@ -51,11 +53,10 @@ class Analysis:
 
     @cached_property
     def findings(self) -> DataFrame:
-        return self._shared(
-            all_findings(
-                self._manifest, self._facts, "all", self._limits, self.by_pattern, self._bands, **self._options
-            )
+        found = all_findings(
+            self._manifest, self._facts, "all", self._limits, self.by_pattern, self._bands, **self._options
         )
+        return self._shared(found if self._unread is None else found.unionByName(unread_findings(self._unread)))
 
     @cached_property
     def issues(self) -> DataFrame:
@@ -104,13 +105,17 @@ def analyze(
     max_sources: int | None = None,
     keep: bool = True,
     bands: DataFrame | None = None,
+    unread: DataFrame | None = None,
     **options: int,
 ) -> Analysis:
-    """Detect, roll up and describe; ``max_sources`` restricts the run to the first profiles, ``bands`` brings volume history."""
+    """Detect, roll up and describe; ``max_sources`` restricts the run to the first profiles, ``bands`` brings volume history.
+
+    ``unread`` takes what the reader left out (``unread_elements``), so that the report tells of it.
+    """
     if max_sources is not None:
         cv_docs = first_sources(cv_docs, max_sources)
         manifest = manifest.join(cv_docs.select("source_id"), "source_id", "left_semi")
-    return Analysis(in_scope(manifest, scope), cv_docs, limits, keep, options, bands)
+    return Analysis(in_scope(manifest, scope), cv_docs, limits, keep, options, bands, unread)
 
 
 def run_report(
@@ -120,12 +125,13 @@ def run_report(
     max_sources: int | None = None,
     scope: str = "current",
     keep: bool = True,
+    unread: DataFrame | None = None,
 ) -> DataFrame:
     """Ordered report lines for every day and source of the manifest; ``as_of`` is the header's UTC clock.
 
     The kept tables live as long as the session; ``with analyze(...) as a`` and ``a.report(...)`` drop them after use.
     """
-    return ordered_report(analyze(manifest, cv_docs, scope, max_sources=max_sources, keep=keep).report(as_of))
+    return ordered_report(analyze(manifest, cv_docs, scope, max_sources=max_sources, keep=keep, unread=unread).report(as_of))
 
 
 def single_source_report(

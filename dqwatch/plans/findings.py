@@ -19,8 +19,8 @@ from dqwatch.operators.detectors import (
 from dqwatch.operators.expectations import pattern_facts
 from dqwatch.operators.listings import in_scope
 from dqwatch.operators.lookup import lookup
-from dqwatch.operators.name_lists import name_parts
-from dqwatch.schema import DETECTORS
+from dqwatch.operators.name_lists import NAMES_PER_PART, name_parts
+from dqwatch.schema import DETECTORS, FINDING
 from dqwatch.sources.cv_files import generic_name
 
 
@@ -68,6 +68,20 @@ def detector_findings(
     return file_findings(manifest, by_pattern, (detector,), limits, **options)
 
 
+def unread_findings(unread: DataFrame) -> DataFrame:
+    """Findings of the missing detector about elements that the manifest reader could not read (``unread_elements``)."""
+    found = unread.filter((F.col("from_period") == "today") & F.col("snapshot_day").isNotNull())
+    values = {
+        "detector": F.lit("missing"),
+        "kind": F.lit("unread"),
+        "metric": F.lit(0),
+        "severity": F.lit(1),
+        "message": F.concat(F.lit("unread manifest element ("), "problem", F.lit("): "), F.coalesce("text", F.lit(""))),
+    }
+    columns = [values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in FINDING.fields]
+    return found.select("snapshot_day", F.coalesce("source_id", F.lit("unknown")).alias("source_id"), *columns)
+
+
 # List columns of each detector's result record, with the column of their number.
 RECORDS = {
     "missing": {"missing_files": "missing_files_number", "late_files": "late_files_number"},
@@ -93,7 +107,9 @@ def _lists(detector: str) -> Column:
     return F.array_compact(F.array(F.when(late if detector == "late" else of, only)))
 
 
-def detector_records(findings: DataFrame, detector: str, facts: DataFrame | None = None, **options: int) -> DataFrame:
+def detector_records(
+    findings: DataFrame, detector: str, facts: DataFrame | None = None, per_part: int = NAMES_PER_PART, **options: int
+) -> DataFrame:
     """The detector's result record per source-day: its lists of files, their numbers, details and the source's name.
 
     Missing and volume findings list patterns, the others filenames. Missing files come with the late ones, duplicated
@@ -110,7 +126,7 @@ def detector_records(findings: DataFrame, detector: str, facts: DataFrame | None
     entries = flagged.select(*HEAD, F.explode("lists").alias("list"), "name", "message").select(
         *HEAD, F.struct("list", "name", "message").alias("entry")
     )
-    parts = name_parts(entries, HEAD, "entry", **options)
+    parts = name_parts(entries, HEAD, "entry", per_part, **options)
     listed = {
         column: F.array_distinct(
             F.transform(F.filter("items", lambda i: i["name"]["list"] == column), lambda i: i["name"]["name"])

@@ -265,7 +265,7 @@ def missing_names_text(findings: DataFrame) -> DataFrame:
     Patterns without an entity are named by their expected file.
     """
     expected = F.regexp_extract("message", r"expected: (.*)$", 1)
-    found = findings.filter(F.col("detector") == "missing").select(*HEAD, "entity", expected.alias("expected")).distinct()
+    found = findings.filter(F.col("kind") == "missing").select(*HEAD, "entity", expected.alias("expected")).distinct()
     listed = found.groupBy(*HEAD).agg(
         F.count(F.lit(1)).alias("n"),
         F.array_sort(F.collect_set("entity")).alias("entities"),

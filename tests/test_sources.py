@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from dqwatch.operators.listings import today, with_status
 from dqwatch.operators.summary import quality_rates, quality_summary, source_summary
-from dqwatch.plans.analysis import analyze
+from dqwatch.plans.analysis import analyze, run_report
 from dqwatch.sources import cv_files, manifest_json, sinks
 from dqwatch.sqlview import NO_ROWS, ManifestTools, preview
 from tests.conftest import DAY, file, rows
@@ -154,6 +154,17 @@ def test_a_bad_element_costs_one_row(spark, tmp_path, bad, block):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
+def test_the_report_tells_of_unread_elements(spark, docs_of, tmp_path):
+    folder = tmp_path / "2025-09-08_20_00_UTC"
+    folder.mkdir()
+    (folder / "files.json").write_text('{"1": [{"filename": "h_a.csv", "rows": 5, "status": "processed"}, {"filename": "b}], "2": 7}')
+    (folder / "files_last_weekday.json").write_text('{"1": [3]}')
+    manifest, unread = manifest_json.read_manifest(spark, str(folder)), manifest_json.unread_elements(spark, str(folder))
+    lines = [r.line for r in run_report(manifest, docs_of(s1="# x"), unread=unread).collect()]
+    assert [x.partition(":")[2].partition(" →")[0].strip() for x in lines if "(id:" in x][0].endswith("1 file missing")
+    assert sum("1 file missing" in x for x in lines) == 2 and not [x for x in lines if "[5] records" in x]
+
+
 def test_combine_periods_fills_missing_columns(spark):
     a, b = spark.createDataFrame([("x", 1)], "filename string, rows long"), spark.createDataFrame([("y",)], "filename string")
     assert rows(manifest_json.combine_periods(a, b).fillna(0), "filename", "rows", "from_period") == [("x", 1, "today"), ("y", 0, "last_weekday")]
@@ -186,7 +197,7 @@ def test_profiles(spark, cv_folder):
     assert rows(cv_files.cv_windows(facts), "source_id", "start_min", "end_min") == [("195385", 488, 498), ("195385", 550, 570)]
     assert rows(cv_files.cv_usual_times(facts), "minute") == [(1040,)]
     assert rows(cv_files.cv_entities(facts), "entity") == [("Clien_CBK",), ("WhiteLabel",)]
-    ranges = cv_files.cv_volume_ranges(facts).orderBy("kind").collect()
+    ranges = cv_files.cv_volume_ranges(facts).orderBy("kind").select("source_id", "kind", "dow", "lo", "hi").collect()
     assert [tuple(r) for r in ranges] == [
         ("8", "band", None, 50211, 869600),
         ("8", "minimum", None, 1000, None),
