@@ -1,12 +1,16 @@
 """Benchmark decontamination by template: questions are found again with other numbers, names or units.
 
-Texts become templates: a number turns into one placeholder, a capitalised word inside a sentence (a name) into
-another, a unit behind a number into a third; case and punctuation go. Windows of template words are hashed and
-joined with the windows of all benchmark items. A window counts at one alignment of item and document if there each
+Texts become templates: a number turns into one placeholder, a capitalised word (a name, or what starts a sentence)
+into another, a unit behind a number into a third; punctuation goes. Windows of template words are hashed and joined
+with the windows of all benchmark items. Windows whose names stay as lower-case words are joined beside them, so a copy
+is found in any letter case.
+
+Windows at one alignment of item and document count in stretches of ``hits`` in order: a stretch counts if in it each
 value of the item always maps to one value of the document (slot consistency); else the slots are filled at random
-and the resemblance is a matter of form.
+and the resemblance is a matter of form. A value that is changed at one place only does not discredit the stretches
+without it.
 
-A document is contaminated by an item if ``hits`` windows of it (all, if it has fewer) are found at one alignment:
+A document is contaminated by an item if ``hits`` windows of it (all, if it has fewer) form such a stretch:
 6 windows of 8 words, that is 13 words in a row. Items below 8 words are one window of their own length; below 5
 literal words they can't be told from ordinary prose and are ignored. Windows with fewer than 5 literal words are
 ignored for the same reason.
@@ -33,11 +37,11 @@ BROADCAST_WINDOWS = 500_000
 
 
 def template_words(text: Column) -> Column:
-    """Words of the template; word i stems from word i of ``plain_words``."""
+    """Words of the template, names marked but still there; word i stems from word i of ``plain_words``."""
     clean = F.regexp_replace(F.coalesce(text, F.lit("")), "[\x01-\x03]", "")
-    named = F.regexp_replace(clean, r"(?<=[^.!?:\s][\x20\x09-\x0D])\p{Lu}[\p{L}\p{M}'’-]*", NAME)
+    named = F.regexp_replace(clean, r"(?<![^\x20\x09-\x0D])(?=\p{Lu})", NAME)
     numbered = F.regexp_replace(F.lower(named), r"\p{Nd}+(?:[.,:/]\p{Nd}+)*", NUMBER)
-    measured = F.regexp_replace(numbered, rf"(?<=\x01[\x20\x09-\x0D]?)(?:{UNITS})(?![\p{{L}}\p{{N}}])", UNIT)
+    measured = F.regexp_replace(numbered, rf"(?<=\x01[\x20\x09-\x0D]?)\x02?(?:{UNITS})(?![\p{{L}}\p{{N}}])", UNIT)
     return _words(measured, r"[^\p{L}\p{N}\x01-\x03\x20\x09-\x0D]+")
 
 
@@ -50,40 +54,75 @@ def _words(text: Column, other: str) -> Column:
     return F.split(F.btrim(F.regexp_replace(F.regexp_replace(text, other, ""), SPACES, " ")), " ")
 
 
-def _with_windows(df: DataFrame, length: int, kept: list[str]) -> DataFrame:
-    """``hashes``: of all windows of ``words``, hashed by doubling where the length allows. Selects apart keep each step computed once."""
-    df = df.select(*kept, "words", F.transform("words", lambda w: F.xxhash64(w)).alias("h"))
+def _form(words: Column, kind: Column) -> Column:
+    """Kind 0: a name is its placeholder; kind 1: it is the word itself."""
+    return F.transform(words, lambda w: F.when((kind == 0) & w.startswith(NAME), NAME).otherwise(F.translate(w, NAME, "")))
+
+
+def _windows(df: DataFrame, length: int, kept: list[str]) -> DataFrame:
+    """One row (kept, words, pos, kind, window) per window of ``words``; kind 1 only where a name makes it another.
+
+    Hashes grow by doubling where the length allows. Selects apart keep each step computed once.
+    """
+    hashes = {
+        "named": lambda w: F.when(w.startswith(NAME), F.xxhash64(F.lit(NAME))).otherwise(F.xxhash64(w)),
+        "whole": lambda w: F.xxhash64(F.translate(w, NAME, "")),
+    }
+    df = df.select(*kept, "words", *[F.transform("words", fn).alias(name) for name, fn in hashes.items()])
 
     def pairs(left: str, right: str, shift: int) -> Column:
         return F.zip_with(F.col(left), F.slice(F.col(right), shift + 1, F.greatest(F.size(right), F.lit(1))), lambda a, b: F.xxhash64(a, b))
 
     if length == 8:
         for shift in (1, 2, 4):
-            df = df.withColumn("h", pairs("h", "h", shift))
+            df = df.withColumns({name: pairs(name, name, shift) for name in hashes})
     else:
-        df = df.withColumn("first", F.col("h"))
+        df = df.withColumns({f"{name}_1": F.col(name) for name in hashes})
         for shift in range(1, length):
-            df = df.withColumn("h", pairs("h", "first", shift))
-    return df.select(*kept, "words", F.slice("h", 1, F.greatest(F.size("words") - (length - 1), F.lit(0))).alias("hashes"))
+            df = df.withColumns({name: pairs(name, f"{name}_1", shift) for name in hashes})
+    n = F.greatest(F.size("words") - (length - 1), F.lit(0))
+    df = df.select(*kept, "words", n.alias("n"), *[F.slice(name, 1, n).alias(name) for name in hashes])
+    other = F.zip_with("whole", "named", lambda w, n: F.when(w != n, w))
+    # outer: an inner explode would make Spark evaluate the hashes a second time in a filter below it
+    rows = df.select(*kept, "words", "n", F.posexplode_outer(F.concat("named", other)).alias("place", "window"))
+    return rows.filter(F.col("window").isNotNull()).select(
+        *kept, "words", (F.col("place") % F.col("n")).alias("pos"), F.floor(F.col("place") / F.col("n")).cast("int").alias("kind"), "window"
+    )
 
 
 def _item_windows(items: DataFrame, length: int) -> DataFrame:
-    """One row per usable window of an item: hash, position, words, and its slots as (place, value)."""
-    kept = ["item_id", "plain"]
-    exploded = _with_windows(items.select("item_id", "plain", "words"), length, kept).select(
-        *kept, "words", F.posexplode_outer("hashes").alias("item_pos", "window")
-    )
-    cut = exploded.filter(F.col("window").isNotNull()).select(
+    """One row per usable window of an item: hash, position, kind, words, and their plain values."""
+    cut = _windows(items.select("item_id", "plain", "words"), length, ["item_id", "plain"]).select(
         "item_id",
-        "item_pos",
+        F.col("pos").alias("item_pos"),
+        F.col("kind").alias("item_kind"),
         "window",
-        F.slice("words", F.col("item_pos") + 1, length).alias("item_words"),
-        F.slice("plain", F.col("item_pos") + 1, length).alias("item_plain"),
+        _form(F.slice("words", F.col("pos") + 1, length), F.col("kind")).alias("item_words"),
+        F.slice("plain", F.col("pos") + 1, length).alias("item_plain"),
     )
     literal = F.size(F.filter("item_words", lambda w: ~F.translate(w, NUMBER + NAME + UNIT, "").eqNullSafe("")))
     return cut.filter(literal >= MIN_LITERALS)
 
 
+def _shuffled_matches(docs: DataFrame, words: DataFrame, windows: DataFrame, size: int) -> DataFrame:
+    """Windows of documents that occur among many item windows, as rows of ``_windows``.
+
+    Only keys, places and hashes of all windows are shuffled; texts follow once per document with a match.
+    """
+    key = F.xxhash64("text").alias("text_hash")
+    stream = _windows(words, size, ["doc_id", "text"]).select("doc_id", key, "pos", "kind", "window")
+    places = (
+        stream.join(windows.select("window").distinct(), "window", "left_semi")
+        .groupBy("doc_id", "text_hash")
+        .agg(F.collect_set(F.struct("pos", "kind", "window")).alias("places"))  # at most the windows of one text
+        .withColumnRenamed("doc_id", "found_id")
+    )
+    texts = docs.select("doc_id", "text", key)
+    same = texts["doc_id"].eqNullSafe(places["found_id"]) & (texts["text_hash"] == places["text_hash"])
+    matched = texts.join(places, same).select("doc_id", "text", template_words(F.col("text")).alias("words"), "places")
+    return matched.select("doc_id", "text", "words", F.inline("places"))
+
+
 def contaminated(
     docs: DataFrame, items: DataFrame, length: int = WINDOW, hits: int = HITS
 ) -> DataFrame:
@@ -91,7 +130,8 @@ def contaminated(
 
     ``docs``: doc_id, text; ``items``: item_id, text. Null and empty texts have no windows. Repeated rows (same
     doc_id and text) give one row; rows with the same doc_id and another text one of their own; a null doc_id stays
-    null. Equal windows within or across items all count for their item.
+    null. Equal windows within or across items all count for their item. Empty tables give no rows. Of alignments with
+    equally many windows an unchanged one decides ``reparameterised``.
     """
     items = items.select("item_id", plain_words(F.col("text")).alias("plain"), template_words(F.col("text")).alias("words"))
     items = items.withColumn("item_len", F.size("words"))
@@ -104,18 +144,16 @@ def contaminated(
         counts = windows.groupBy("item_id").agg(F.countDistinct("item_pos").alias("item_windows"))
         windows = windows.join(counts, "item_id")
         if windows.count() <= BROADCAST_WINDOWS:
-            windows = F.broadcast(windows)
-        # outer: an inner explode would make Spark evaluate the hashes a second time in a filter below it
-        stream = _with_windows(words, size, ["doc_id", "text"]).select(
-            "doc_id", "text", "words", F.posexplode_outer("hashes").alias("pos", "window")
-        )
-        stream = stream.filter(F.col("window").isNotNull())
-        here = F.slice("words", F.col("pos") + 1, size)
+            stream, windows = _windows(words, size, ["doc_id", "text"]), F.broadcast(windows)
+        else:
+            stream = _shuffled_matches(docs, words, windows, size)
+        here = _form(F.slice("words", F.col("pos") + 1, size), F.col("kind"))
         hit = stream.join(windows, "window").filter(here == F.col("item_words")).select(
             "doc_id",
             F.xxhash64("text").alias("text_hash"),
             "item_id",
             "item_pos",
+            "item_kind",
             "item_windows",
             (F.col("pos") - F.col("item_pos")).alias("alignment"),
             F.arrays_zip(
@@ -127,19 +165,38 @@ def contaminated(
         found = hit if found is None else found.unionByName(hit)
     slots = F.filter("slots", lambda s: F.translate(s["mark"], NUMBER + NAME + UNIT, "") != s["mark"])
     pairs = F.transform(slots, lambda s: F.struct(s["was"].alias("was"), s["is"].alias("is")))
+    key = ["doc_id", "text_hash", "item_id", "item_windows"]
     # at one alignment an item's positions meet the document once, so a group has at most its windows
     aligned = (
-        found.select("doc_id", "text_hash", "item_id", "item_pos", "item_windows", "alignment", pairs.alias("pairs"))
-        .groupBy("doc_id", "text_hash", "item_id", "item_windows", "alignment")
-        .agg(F.countDistinct("item_pos").alias("windows"), F.flatten(F.collect_set("pairs")).alias("pairs"))
-        .withColumn("pairs", F.array_distinct("pairs"))
-        .filter(F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["was"]))))
-        .withColumn("changed", F.exists("pairs", lambda p: p["was"] != p["is"]))
-    )
-    best = aligned.groupBy("doc_id", "text_hash", "item_id", "item_windows").agg(
-        F.max("windows").alias("windows"), F.max_by("changed", "windows").alias("reparameterised")
+        found.select(*key, "alignment", F.struct("item_pos", "item_kind", pairs.alias("pairs")).alias("step"))
+        .groupBy(*key, "alignment")
+        .agg(F.array_sort(F.collect_set("step")).alias("steps"))
+        .withColumn("steps", F.filter("steps", lambda s, i: (i == 0) | (s["item_pos"] != F.get("steps", i - 1)["item_pos"])))
+        .withColumn("need", F.least(F.lit(hits), F.col("item_windows")).cast("int"))
+        .filter(F.size("steps") >= F.col("need"))
+        .withColumn("starts", F.transform("steps", lambda s, i: _consistent(F.slice("steps", i + 1, F.col("need")), F.col("need"))))
+        .withColumn("steps", F.filter("steps", lambda s, i: _inside(i)))
+        .select(
+            *key,
+            F.size("steps").cast("long").alias("windows"),
+            F.exists("steps", lambda s: F.exists(s["pairs"], lambda p: p["was"] != p["is"])).alias("changed"),
+        )
+        .filter(F.col("windows") > 0)
     )
-    return best.filter(F.col("windows") >= F.least(F.lit(hits), F.col("item_windows")))
+    best = aligned.groupBy(*key).agg(F.max(F.struct("windows", (~F.col("changed")).alias("same"))).alias("best"))
+    return best.select(*key, F.col("best.windows").alias("windows"), (~F.col("best.same")).alias("reparameterised"))
+
+
+def _consistent(steps: Column, need: Column) -> Column:
+    """Whether ``need`` windows follow, and none of their values of the item maps to two of the document."""
+    pairs = F.array_distinct(F.flatten(F.transform(steps, lambda s: s["pairs"])))
+    return (F.size(steps) == need) & (F.size(pairs) == F.size(F.array_distinct(F.transform(pairs, lambda p: p["was"]))))
+
+
+def _inside(i: Column) -> Column:
+    """Whether window ``i`` lies in a consistent stretch, which starts at most ``need - 1`` windows before."""
+    first = F.greatest(i - F.col("need") + 1, F.lit(0))
+    return F.exists(F.slice("starts", first + 1, i - first + 1), lambda ok: ok)
 
 
 def clean_documents(docs: DataFrame, items: DataFrame) -> DataFrame:
