@@ -18,6 +18,8 @@ ignored for the same reason.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from dqwatch.llm.common import SPACES, read
@@ -83,8 +85,10 @@ def _windows(df: DataFrame, length: int, kept: list[str]) -> DataFrame:
     n = F.greatest(F.size("words") - (length - 1), F.lit(0))
     df = df.select(*kept, "words", n.alias("n"), *[F.slice(name, 1, n).alias(name) for name in hashes])
     other = F.zip_with("whole", "named", lambda w, n: F.when(w != n, w))
+    df = df.select(*kept, "words", "n", F.concat("named", other).alias("hashes"))
+    # no lambda here or up to the join: outside generated code every window would copy its text
     # outer: an inner explode would make Spark evaluate the hashes a second time in a filter below it
-    rows = df.select(*kept, "words", "n", F.posexplode_outer(F.concat("named", other)).alias("place", "window"))
+    rows = df.select(*kept, "words", "n", F.posexplode_outer("hashes").alias("place", "window"))
     return rows.filter(F.col("window").isNotNull()).select(
         *kept, "words", (F.col("place") % F.col("n")).alias("pos"), F.floor(F.col("place") / F.col("n")).cast("int").alias("kind"), "window"
     )
@@ -147,8 +151,9 @@ def contaminated(
             stream, windows = _windows(words, size, ["doc_id", "text"]), F.broadcast(windows)
         else:
             stream = _shuffled_matches(docs, words, windows, size)
-        here = _form(F.slice("words", F.col("pos") + 1, size), F.col("kind"))
-        hit = stream.join(windows, "window").filter(here == F.col("item_words")).select(
+        here = F.array_join(F.slice("words", F.col("pos") + 1, size), " ")
+        form = F.when(F.col("kind") == 0, F.regexp_replace(here, f"{NAME}[^ ]+", NAME)).otherwise(F.translate(here, NAME, ""))
+        hit = stream.join(windows, "window").filter(form == F.array_join("item_words", " ")).select(
             "doc_id",
             F.xxhash64("text").alias("text_hash"),
             "item_id",
@@ -171,11 +176,8 @@ def contaminated(
         found.select(*key, "alignment", F.struct("item_pos", "item_kind", pairs.alias("pairs")).alias("step"))
         .groupBy(*key, "alignment")
         .agg(F.array_sort(F.collect_set("step")).alias("steps"))
-        .withColumn("steps", F.filter("steps", lambda s, i: (i == 0) | (s["item_pos"] != F.get("steps", i - 1)["item_pos"])))
-        .withColumn("need", F.least(F.lit(hits), F.col("item_windows")).cast("int"))
-        .filter(F.size("steps") >= F.col("need"))
-        .withColumn("starts", F.transform("steps", lambda s, i: _consistent(F.slice("steps", i + 1, F.col("need")), F.col("need"))))
-        .withColumn("steps", F.filter("steps", lambda s, i: _inside(i)))
+        .withColumn("steps", _let(F.col("steps"), _one_each))
+        .withColumn("steps", _let(F.col("steps"), lambda steps: _covered(steps, F.least(F.lit(hits), F.col("item_windows")).cast("int"))))
         .select(
             *key,
             F.size("steps").cast("long").alias("windows"),
@@ -193,10 +195,25 @@ def _consistent(steps: Column, need: Column) -> Column:
     return (F.size(steps) == need) & (F.size(pairs) == F.size(F.array_distinct(F.transform(pairs, lambda p: p["was"]))))
 
 
-def _inside(i: Column) -> Column:
-    """Whether window ``i`` lies in a consistent stretch, which starts at most ``need - 1`` windows before."""
-    first = F.greatest(i - F.col("need") + 1, F.lit(0))
-    return F.exists(F.slice("starts", first + 1, i - first + 1), lambda ok: ok)
+def _covered(steps: Column, need: Column) -> Column:
+    """The windows in consistent stretches of ``need``; such a stretch starts at most ``need - 1`` windows before."""
+
+    def inside(starts: Column, i: Column) -> Column:
+        first = F.greatest(i - need + 1, F.lit(0))
+        return F.exists(F.slice(starts, first + 1, i - first + 1), lambda ok: ok)
+
+    starts = F.transform(steps, lambda s, i: _consistent(F.slice(steps, i + 1, need), need))
+    return _let(starts, lambda known: F.filter(steps, lambda s, i: inside(known, i)))
+
+
+def _one_each(steps: Column) -> Column:
+    """One window per position, with names as placeholders where both kinds match."""
+    return F.filter(steps, lambda s, i: (i == 0) | (s["item_pos"] != F.get(steps, i - 1)["item_pos"]))
+
+
+def _let(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """``fn`` of a value computed once; a column inside a lambda may be computed for every element."""
+    return F.get(F.transform(F.array(value), fn), 0)
 
 
 def clean_documents(docs: DataFrame, items: DataFrame) -> DataFrame:
