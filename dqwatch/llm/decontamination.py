@@ -34,6 +34,8 @@ UNITS = (
 WINDOW = 8
 MIN_LITERALS = 5
 HITS = 6
+#: Words by which a window shorter than ``WINDOW`` is looked up before it is compared whole.
+ANCHOR = 4
 #: Windows of the benchmark that are sent to every executor; beyond it both sides are shuffled.
 BROADCAST_WINDOWS = 500_000
 
@@ -56,15 +58,22 @@ def _words(text: Column, other: str) -> Column:
     return F.split(F.btrim(F.regexp_replace(F.regexp_replace(text, other, ""), SPACES, " ")), " ")
 
 
-def _form(words: Column, kind: Column) -> Column:
-    """Kind 0: a name is its placeholder; kind 1: it is the word itself."""
-    return F.transform(words, lambda w: F.when((kind == 0) & w.startswith(NAME), NAME).otherwise(F.translate(w, NAME, "")))
+def _form(words: Column, kind: int) -> Column:
+    """Kind 0: a name is its placeholder; kind 1: it is the word itself. Words are joined by spaces."""
+    text = F.array_join(words, " ")
+    return F.translate(text, NAME, "") if kind else F.regexp_replace(text, f"{NAME}[^ ]+", NAME)
 
 
-def _windows(df: DataFrame, length: int, kept: list[str]) -> DataFrame:
-    """One row (kept, words, pos, kind, window) per window of ``words``; kind 1 only where a name makes it another.
+def _forms(words: Column) -> Column:
+    """Both forms, the second only where a name makes it another."""
+    return F.array_distinct(F.array(_form(words, 0), _form(words, 1)))
 
-    Hashes grow by doubling where the length allows. Selects apart keep each step computed once.
+
+def _hashes(df: DataFrame, length: int, anchors: bool, kept: list[str]) -> DataFrame:
+    """One row (kept, words, pos, kind, short, window) per window of ``words``; kind 1 only where a name makes it another.
+
+    ``anchors`` adds the windows of ``ANCHOR`` words (``short``), where shorter windows start. Hashes grow by doubling,
+    the last step overlaps. Selects apart keep each step computed once.
     """
     hashes = {
         "named": lambda w: F.when(w.startswith(NAME), F.xxhash64(F.lit(NAME))).otherwise(F.xxhash64(w)),
@@ -72,53 +81,77 @@ def _windows(df: DataFrame, length: int, kept: list[str]) -> DataFrame:
     }
     df = df.select(*kept, "words", *[F.transform("words", fn).alias(name) for name, fn in hashes.items()])
 
-    def pairs(left: str, right: str, shift: int) -> Column:
-        return F.zip_with(F.col(left), F.slice(F.col(right), shift + 1, F.greatest(F.size(right), F.lit(1))), lambda a, b: F.xxhash64(a, b))
-
-    if length == 8:
-        for shift in (1, 2, 4):
-            df = df.withColumns({name: pairs(name, name, shift) for name in hashes})
-    else:
-        df = df.withColumns({f"{name}_1": F.col(name) for name in hashes})
-        for shift in range(1, length):
-            df = df.withColumns({name: pairs(name, f"{name}_1", shift) for name in hashes})
-    n = F.greatest(F.size("words") - (length - 1), F.lit(0))
-    df = df.select(*kept, "words", n.alias("n"), *[F.slice(name, 1, n).alias(name) for name in hashes])
-    other = F.zip_with("whole", "named", lambda w, n: F.when(w != n, w))
-    df = df.select(*kept, "words", "n", F.concat("named", other).alias("hashes"))
+    def grown(array: str, shift: int) -> Column:
+        later = F.slice(array, shift + 1, F.greatest(F.size(array) - shift, F.lit(0)))
+        return F.zip_with(F.slice(array, 1, F.size(later)), later, lambda a, b: F.xxhash64(a, b))
+
+    parts, size = [("named", "whole")], 1
+    while size < length:
+        shift = min(size, length - size)
+        df = df.withColumns({name: grown(name, shift) for name in hashes})
+        size += shift
+        if size == ANCHOR and anchors:
+            parts.append(("named_anchor", "whole_anchor"))
+            df = df.withColumns({f"{name}_anchor": F.col(name) for name in hashes})
+    counts = [F.size(named).alias(f"n{i}") for i, (named, _) in enumerate(parts)]
+    other = [F.zip_with(whole, named, lambda w, n: F.when(w != n, w)) for named, whole in parts]
+    both = F.concat(*[column for (named, _), whole in zip(parts, other, strict=True) for column in (F.col(named), whole)])
+    df = df.select(*kept, "words", *counts, both.alias("hashes"))
     # no lambda here or up to the join: outside generated code every window would copy its text
     # outer: an inner explode would make Spark evaluate the hashes a second time in a filter below it
-    rows = df.select(*kept, "words", "n", F.posexplode_outer("hashes").alias("place", "window"))
-    return rows.filter(F.col("window").isNotNull()).select(
-        *kept, "words", (F.col("place") % F.col("n")).alias("pos"), F.floor(F.col("place") / F.col("n")).cast("int").alias("kind"), "window"
-    )
+    rows = df.select(*kept, "words", *[f"n{i}" for i in range(len(parts))], F.posexplode_outer("hashes").alias("place", "window"))
+    rows = rows.filter(F.col("window").isNotNull())
+    short = F.col("place") >= 2 * F.col("n0")
+    n, place = F.col("n0"), F.col("place")
+    if anchors:
+        n, place = F.when(short, F.col("n1")).otherwise(n), F.when(short, place - 2 * F.col("n0")).otherwise(place)
+    kind = F.when(place >= n, 1).otherwise(0)
+    return rows.select(*kept, "words", F.when(place >= n, place - n).otherwise(place).alias("pos"), kind.alias("kind"), short.alias("short"), "window")
 
 
 def _item_windows(items: DataFrame, length: int) -> DataFrame:
-    """One row per usable window of an item: hash, position, kind, words, and their plain values."""
-    cut = _windows(items.select("item_id", "plain", "words"), length, ["item_id", "plain"]).select(
-        "item_id",
-        F.col("pos").alias("item_pos"),
-        F.col("kind").alias("item_kind"),
-        "window",
-        _form(F.slice("words", F.col("pos") + 1, length), F.col("kind")).alias("item_words"),
-        F.slice("plain", F.col("pos") + 1, length).alias("item_plain"),
+    """One row per usable window of an item: its form as text and as words, and their plain values."""
+    size = F.least(F.lit(length), F.size("words"))
+    places = items.filter(size >= MIN_LITERALS).select(
+        "item_id", "plain", "words", size.alias("size"), F.explode(F.sequence(F.lit(0), F.size("words") - size)).alias("item_pos")
     )
+    here = F.slice("words", F.col("item_pos") + 1, F.col("size"))
+    cut = places.select(
+        "item_id",
+        "item_pos",
+        "size",
+        F.slice("plain", F.col("item_pos") + 1, F.col("size")).alias("item_plain"),
+        F.posexplode(_forms(here)).alias("item_kind", "form"),
+    ).withColumn("item_words", F.split("form", " "))
     literal = F.size(F.filter("item_words", lambda w: ~F.translate(w, NUMBER + NAME + UNIT, "").eqNullSafe("")))
     return cut.filter(literal >= MIN_LITERALS)
 
 
-def _shuffled_matches(docs: DataFrame, words: DataFrame, windows: DataFrame, size: int) -> DataFrame:
-    """Windows of documents that occur among many item windows, as rows of ``_windows``.
+def _wanted(items: DataFrame, windows: DataFrame, length: int) -> DataFrame:
+    """(window, size): hashes to look for in documents, and how many words from there on may be an item's window."""
+    used = windows.select(F.col("item_id").alias("id"), F.col("item_pos").alias("at"), F.col("item_kind").alias("form_kind"), "size")
+    rows = _hashes(items.select("item_id", "words"), length, True, ["item_id"]).drop("words")
+    # a name behind the anchor makes two forms of one anchor
+    whole = ~F.col("short") & (F.col("size") == length) & (F.col("kind") == F.col("form_kind"))
+    same = F.col("item_id").eqNullSafe(F.col("id")) & (F.col("pos") == F.col("at")) & (whole | (F.col("short") & (F.col("size") < length)))
+    return rows.join(used, same).select("window", "size").distinct()
+
 
-    Only keys, places and hashes of all windows are shuffled; texts follow once per document with a match.
+def _places(docs: DataFrame, wanted: DataFrame, length: int, anchors: bool, broadcast: bool) -> DataFrame:
+    """(doc_id, text, words, pos, size) where a document may hold an item's window.
+
+    Beyond the broadcast only keys, places and hashes of all windows are shuffled; texts follow once per document with a match.
     """
+    words = docs.select("doc_id", "text", template_words(F.col("text")).alias("words"))
+    stream = _hashes(words, length, anchors, ["doc_id", "text"])
+    if broadcast:
+        return stream.join(F.broadcast(wanted), "window").select("doc_id", "text", "words", "pos", "size")
     key = F.xxhash64("text").alias("text_hash")
-    stream = _windows(words, size, ["doc_id", "text"]).select("doc_id", key, "pos", "kind", "window")
     places = (
-        stream.join(windows.select("window").distinct(), "window", "left_semi")
+        stream.select("doc_id", key, "pos", "window")
+        .join(wanted, "window")
         .groupBy("doc_id", "text_hash")
-        .agg(F.collect_set(F.struct("pos", "kind", "window")).alias("places"))  # at most the windows of one text
+        .agg(F.collect_set(F.struct("pos", "size")).alias("places"))  # at most the windows of one text
         .withColumnRenamed("doc_id", "found_id")
     )
     texts = docs.select("doc_id", "text", key)
@@ -134,40 +167,32 @@ def contaminated(
 
     ``docs``: doc_id, text; ``items``: item_id, text. Null and empty texts have no windows. Repeated rows (same
     doc_id and text) give one row; rows with the same doc_id and another text one of their own; a null doc_id stays
-    null. Equal windows within or across items all count for their item. Empty tables give no rows. Of alignments with
-    equally many windows an unchanged one decides ``reparameterised``.
+    null, as does a null item_id; items of one id count as one. Equal windows within or across items all count for their
+    item. Empty tables give no rows. Of alignments with equally many windows an unchanged one decides ``reparameterised``.
     """
     items = items.select("item_id", plain_words(F.col("text")).alias("plain"), template_words(F.col("text")).alias("words"))
-    items = items.withColumn("item_len", F.size("words"))
-    short = [r[0] for r in items.filter(F.col("item_len").between(MIN_LITERALS, length - 1)).select("item_len").distinct().collect()]
-    found = None
-    words = docs.select("doc_id", "text", template_words(F.col("text")).alias("words"))
-    for size in [length, *sorted(short)]:  # at most length - MIN_LITERALS short ones
-        wanted = items if size == length else items.filter(F.col("item_len") == size)
-        windows = _item_windows(wanted, size)
-        counts = windows.groupBy("item_id").agg(F.countDistinct("item_pos").alias("item_windows"))
-        windows = windows.join(counts, "item_id")
-        if windows.count() <= BROADCAST_WINDOWS:
-            stream, windows = _windows(words, size, ["doc_id", "text"]), F.broadcast(windows)
-        else:
-            stream = _shuffled_matches(docs, words, windows, size)
-        here = F.array_join(F.slice("words", F.col("pos") + 1, size), " ")
-        form = F.when(F.col("kind") == 0, F.regexp_replace(here, f"{NAME}[^ ]+", NAME)).otherwise(F.translate(here, NAME, ""))
-        hit = stream.join(windows, "window").filter(form == F.array_join("item_words", " ")).select(
-            "doc_id",
-            F.xxhash64("text").alias("text_hash"),
-            "item_id",
-            "item_pos",
-            "item_kind",
-            "item_windows",
-            (F.col("pos") - F.col("item_pos")).alias("alignment"),
-            F.arrays_zip(
-                F.col("item_words").alias("mark"),
-                F.col("item_plain").alias("was"),
-                F.slice(plain_words(F.col("text")), F.col("pos") + 1, size).alias("is"),
-            ).alias("slots"),
-        )
-        found = hit if found is None else found.unionByName(hit)
+    windows = _item_windows(items, length)
+    counts = windows.groupBy(F.col("item_id").alias("id")).agg(F.countDistinct("item_pos").alias("item_windows"))
+    n, shortest = windows.agg(F.count(F.lit(1)), F.min("size")).first()
+    broadcast, anchors = n <= BROADCAST_WINDOWS, n > 0 and shortest < length
+    places = _places(docs, _wanted(items, windows, length), length, anchors, broadcast)
+    windows = windows.join(counts, F.col("item_id").eqNullSafe(F.col("id"))).drop("id", "size")
+    here = F.slice("words", F.col("pos") + 1, F.col("size"))
+    formed = places.select("doc_id", "text", "pos", "size", F.explode(_forms(here)).alias("form"))
+    found = formed.join(F.broadcast(windows) if broadcast else windows, "form").select(
+        "doc_id",
+        F.xxhash64("text").alias("text_hash"),
+        "item_id",
+        "item_pos",
+        "item_kind",
+        "item_windows",
+        (F.col("pos") - F.col("item_pos")).alias("alignment"),
+        F.arrays_zip(
+            F.col("item_words").alias("mark"),
+            F.col("item_plain").alias("was"),
+            F.slice(plain_words(F.col("text")), F.col("pos") + 1, F.col("size")).alias("is"),
+        ).alias("slots"),
+    )
     slots = F.filter("slots", lambda s: F.translate(s["mark"], NUMBER + NAME + UNIT, "") != s["mark"])
     pairs = F.transform(slots, lambda s: F.struct(s["was"].alias("was"), s["is"].alias("is")))
     key = ["doc_id", "text_hash", "item_id", "item_windows"]
