@@ -41,27 +41,28 @@ BROADCAST_WINDOWS = 500_000
 
 
 def template_words(text: Column) -> Column:
-    """Words of the template, names marked but still there; word i stems from word i of ``plain_words``."""
+    """Words of the template, with marks for what is a placeholder and the words still there: before names, behind numbers and units."""
     clean = F.regexp_replace(F.coalesce(text, F.lit("")), "[\x01-\x03]", "")
     named = F.regexp_replace(clean, r"(?<![^\x20\x09-\x0D])(?=\p{Lu})", NAME)
-    numbered = F.regexp_replace(F.lower(named), r"\p{Nd}+(?:[.,:/]\p{Nd}+)*", NUMBER)
-    measured = F.regexp_replace(numbered, rf"(?<=\x01[\x20\x09-\x0D]?)\x02?(?:{UNITS})(?![\p{{L}}\p{{N}}])", UNIT)
-    return _words(measured, r"[^\p{L}\p{N}\x01-\x03\x20\x09-\x0D]+")
+    numbered = F.regexp_replace(F.lower(named), r"\p{Nd}+(?:[.,:/]\p{Nd}+)*", f"$0{NUMBER}")
+    measured = F.regexp_replace(numbered, rf"(?<=\x01[\x20\x09-\x0D]?)\x02?({UNITS})(?![\p{{L}}\p{{N}}])", f"$1{UNIT}")
+    words = F.regexp_replace(measured, r"[^\p{L}\p{N}\x01-\x03\x20\x09-\x0D]+", "")
+    return F.split(F.btrim(F.regexp_replace(words, SPACES, " ")), " ")
 
 
-def plain_words(text: Column) -> Column:
-    clean = F.regexp_replace(F.coalesce(text, F.lit("")), "[\x01-\x03]", "")
-    return _words(F.lower(clean), r"[^\p{L}\p{N}\x20\x09-\x0D]+")
+def _bare(words: Column) -> Column:
+    """A word, or words joined by spaces, with the marks of numbers and units only."""
+    return F.regexp_replace(F.regexp_replace(words, rf"\p{{Nd}}+{NUMBER}", NUMBER), f"[^ {NUMBER}]*{UNIT}", UNIT)
 
 
-def _words(text: Column, other: str) -> Column:
-    return F.split(F.btrim(F.regexp_replace(F.regexp_replace(text, other, ""), SPACES, " ")), " ")
+def _plain(words: Column) -> Column:
+    return F.transform(words, lambda w: F.translate(w, NUMBER + NAME + UNIT, ""))
 
 
 def _form(words: Column, kind: int) -> Column:
     """Kind 0: a name is its placeholder; kind 1: it is the word itself. Words are joined by spaces."""
     text = F.array_join(words, " ")
-    return F.translate(text, NAME, "") if kind else F.regexp_replace(text, f"{NAME}[^ ]+", NAME)
+    return _bare(F.translate(text, NAME, "") if kind else F.regexp_replace(text, f"{NAME}[^ ]+", NAME))
 
 
 def _forms(words: Column) -> Column:
@@ -75,10 +76,12 @@ def _hashes(df: DataFrame, length: int, anchors: bool, kept: list[str]) -> DataF
     ``anchors`` adds the windows of ``ANCHOR`` words (``short``), where shorter windows start. Hashes grow by doubling,
     the last step overlaps. Selects apart keep each step computed once.
     """
-    hashes = {
-        "named": lambda w: F.when(w.startswith(NAME), F.xxhash64(F.lit(NAME))).otherwise(F.xxhash64(w)),
-        "whole": lambda w: F.xxhash64(F.translate(w, NAME, "")),
-    }
+
+    def whole(w: Column) -> Column:
+        word = F.translate(w, NAME, "")
+        return F.when(w.contains(NUMBER) | w.contains(UNIT), F.xxhash64(_bare(word))).otherwise(F.xxhash64(word))
+
+    hashes = {"named": lambda w: F.when(w.startswith(NAME), F.xxhash64(F.lit(NAME))).otherwise(whole(w)), "whole": whole}
     df = df.select(*kept, "words", *[F.transform("words", fn).alias(name) for name, fn in hashes.items()])
 
     def grown(array: str, shift: int) -> Column:
@@ -113,14 +116,14 @@ def _item_windows(items: DataFrame, length: int) -> DataFrame:
     """One row per usable window of an item: its form as text and as words, and their plain values."""
     size = F.least(F.lit(length), F.size("words"))
     places = items.filter(size >= MIN_LITERALS).select(
-        "item_id", "plain", "words", size.alias("size"), F.explode(F.sequence(F.lit(0), F.size("words") - size)).alias("item_pos")
+        "item_id", "words", size.alias("size"), F.explode(F.sequence(F.lit(0), F.size("words") - size)).alias("item_pos")
     )
     here = F.slice("words", F.col("item_pos") + 1, F.col("size"))
     cut = places.select(
         "item_id",
         "item_pos",
         "size",
-        F.slice("plain", F.col("item_pos") + 1, F.col("size")).alias("item_plain"),
+        _plain(here).alias("item_plain"),
         F.posexplode(_forms(here)).alias("item_kind", "form"),
     ).withColumn("item_words", F.split("form", " "))
     literal = F.size(F.filter("item_words", lambda w: ~F.translate(w, NUMBER + NAME + UNIT, "").eqNullSafe("")))
@@ -170,7 +173,7 @@ def contaminated(
     null, as does a null item_id; items of one id count as one. Equal windows within or across items all count for their
     item. Empty tables give no rows. Of alignments with equally many windows an unchanged one decides ``reparameterised``.
     """
-    items = items.select("item_id", plain_words(F.col("text")).alias("plain"), template_words(F.col("text")).alias("words"))
+    items = items.select("item_id", template_words(F.col("text")).alias("words"))
     windows = _item_windows(items, length)
     counts = windows.groupBy(F.col("item_id").alias("id")).agg(F.countDistinct("item_pos").alias("item_windows"))
     n, shortest = windows.agg(F.count(F.lit(1)), F.min("size")).first()
@@ -178,10 +181,10 @@ def contaminated(
     places = _places(docs, _wanted(items, windows, length), length, anchors, broadcast)
     windows = windows.join(counts, F.col("item_id").eqNullSafe(F.col("id"))).drop("id", "size")
     here = F.slice("words", F.col("pos") + 1, F.col("size"))
-    formed = places.select("doc_id", "text", "pos", "size", F.explode(_forms(here)).alias("form"))
+    formed = places.select("doc_id", F.xxhash64("text").alias("text_hash"), "pos", _plain(here).alias("plain"), F.explode(_forms(here)).alias("form"))
     found = formed.join(F.broadcast(windows) if broadcast else windows, "form").select(
         "doc_id",
-        F.xxhash64("text").alias("text_hash"),
+        "text_hash",
         "item_id",
         "item_pos",
         "item_kind",
@@ -190,7 +193,7 @@ def contaminated(
         F.arrays_zip(
             F.col("item_words").alias("mark"),
             F.col("item_plain").alias("was"),
-            F.slice(plain_words(F.col("text")), F.col("pos") + 1, F.col("size")).alias("is"),
+            F.col("plain").alias("is"),
         ).alias("slots"),
     )
     slots = F.filter("slots", lambda s: F.translate(s["mark"], NUMBER + NAME + UNIT, "") != s["mark"])
