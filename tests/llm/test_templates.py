@@ -124,3 +124,10 @@ def test_clean_documents_keep_clashing_columns(spark):
     bad = {d for d, *_ in _brute(_docs(), [(1, ITEM)])}
     assert {r.doc_id for r in kept.collect()} == {i for i, _ in _docs()} - bad | {None}
     assert [r.text for r in kept.collect() if r.doc_id is None] == ["kept"]
+
+
+def test_items_without_id_and_names_behind_the_anchor(spark):
+    docs = spark.createDataFrame([(1, "so the old bridge near Paris was closed"), (2, "the old bridge near paris was closed"), (3, ITEM)], "doc_id long, text string")
+    items = spark.createDataFrame([(None, ITEM), (5, "The old bridge near Paris was closed")], "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontamination.contaminated(docs, items).collect()}
+    assert found == {(1, 5), (2, 5), (3, None)}
