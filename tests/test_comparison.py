@@ -168,3 +168,22 @@ def test_names_one_edit_apart_equal_brute_force(spark):
                 want.append((s, n, len(near), min(near, key=lambda x: x.encode())))
     got = near_names.near_names(spark.createDataFrame(table, "snapshot_day date, source_id string, pattern string"))
     assert rows(got, "source_id", "pattern", "n_near", "nearest") == sorted(want) and len(want) > 100
+
+
+def test_near_names_are_not_broadcast(spark, stored):
+    """Rows of patterns without a character are many times the stored names that Spark sizes them by."""
+    names = ["aab", "ab", "aabb", "xab", "b", "", "é😀b", "é😀"]
+    table = [(DAY, s, n) for s in ("1", None) for n in names]
+    got = near_names.near_names(stored(table, "snapshot_day date, source_id string, pattern string"))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" not in plan and plan.count("Generate inline") == 1
+
+    def one_edit(a, b):
+        cut = lambda x: {x[:i] + x[i + 1 :] for i in range(len(x))}
+        changed = len(a) == len(b) and sum(x != y for x, y in zip(a, b)) == 1
+        return changed or a in cut(b) or b in cut(a)
+
+    near = {n: sorted(m for m in names if one_edit(n, m)) for n in names}
+    assert {(r.source_id, r.pattern, r.n_near, r.nearest) for r in got.collect()} == {
+        ("1", n, len(m), m[0]) for n, m in near.items() if m
+    }
