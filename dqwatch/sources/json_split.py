@@ -183,6 +183,8 @@ def _unescaped(quoted: str) -> str:
         return quoted[1:-1]
 
 
+#: Elements of a batch of output; a batch of input may hold many times as many.
+BATCH = 2000
 ELEMENT = "source_key string, n long, element string, problem string"
 PART = "lead string, left_open string, last_source string"
 
@@ -193,12 +195,12 @@ def split_texts(docs: DataFrame, *keep: str) -> DataFrame:
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = _Rows(batch.schema.names[1:])
-            for row, text in enumerate(batch.column(0).to_pylist()):
-                splitter = DocumentSplitter()
-                pieces = (text or "").split("}")
-                found = [e for piece in pieces[: -1 if pieces[-1] == "" else None] for e in splitter.piece(piece)]
-                for n, element in enumerate([*found, *splitter.end()]):
+            for row, text in enumerate(batch.column(0)):
+                for n, element in enumerate(_elements_of(text.as_py() or "")):
                     out.add(row, n, element)
+                    if len(out) == BATCH:
+                        yield out.batch(batch, arrow)
+                        out = _Rows(batch.schema.names[1:])
             yield out.batch(batch, arrow)
 
     chosen = docs.select("value", *keep)
@@ -207,6 +209,16 @@ def split_texts(docs: DataFrame, *keep: str) -> DataFrame:
     return chosen.mapInArrow(split, schema)
 
 
+def _elements_of(text: str) -> Iterator[Element]:
+    splitter, at = DocumentSplitter(), 0
+    while (end := text.find("}", at)) >= 0:
+        yield from splitter.piece(text[at:end])
+        at = end + 1
+    if at < len(text):
+        yield from splitter.piece(text[at:])
+    yield from splitter.end()
+
+
 def split_files(pieces: DataFrame, *keep: str) -> DataFrame:
     """Elements of documents that are read in parts, with ``keep`` columns, and one row for each part.
 
@@ -228,9 +240,9 @@ def split_files(pieces: DataFrame, *keep: str) -> DataFrame:
             out.part(0, n, "}".join(splitter.lead) if splitter.lead else None, left, splitter.source)
 
         for batch in batches:
-            values, paths, blocks, lasts = (batch.column(i).to_pylist() for i in range(4))
             out = _Rows(names)
-            for row, (value, *mine) in enumerate(zip(values, paths, blocks, lasts, strict=True)):
+            for row, columns in enumerate(zip(*batch.columns[:4], strict=True)):
+                value, *mine = (c.as_py() for c in columns)
                 if mine != part:
                     if part is not None:
                         closing = _Rows(names)
@@ -240,6 +252,9 @@ def split_files(pieces: DataFrame, *keep: str) -> DataFrame:
                 for element in splitter.piece(value):
                     out.add(row, n, element)
                     n += 1
+                    if len(out) == BATCH:
+                        yield out.batch(batch, arrow)
+                        out = _Rows(names)
             yield out.batch(batch, arrow)
         if part is not None:
             closing = _Rows(names)
@@ -260,6 +275,9 @@ class _Rows:
         self._rows: list[int] = []
         self._new: list[tuple] = []
 
+    def __len__(self) -> int:
+        return len(self._rows)
+
     def add(self, row: int, n: int, element: Element) -> None:
         self._rows.append(row)
         self._new.append((element.source, n, element.text, element.problem, None, None, None))

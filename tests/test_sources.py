@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from dqwatch.operators.listings import today, with_status
 from dqwatch.operators.summary import quality_rates, quality_summary, source_summary
 from dqwatch.plans.analysis import analyze, run_report
-from dqwatch.sources import cv_files, manifest_json, sinks
+from dqwatch.sources import cv_files, json_split, manifest_json, sinks
 from dqwatch.sqlview import NO_ROWS, ManifestTools, preview
 from tests.conftest import DAY, file, rows
 
@@ -302,3 +302,14 @@ def test_preview(spark):
 
 def test_upload_times_are_utc(spark):
     assert spark.conf.get("spark.sql.session.timeZone") == "UTC" and datetime(2025, 9, 8).weekday() == 0
+
+
+def test_elements_leave_in_bounded_batches(spark, monkeypatch):
+    """Documents of one batch used to leave as one batch, however many elements they hold."""
+    monkeypatch.setattr(json_split, "BATCH", 3)
+    texts = ['{"1": [{"filename": "a"}, {"filename": "b"}], "2": [' + ", ".join(["{}"] * 7) + "]}", "", None, '{"3": [{"filename": "c"']
+    docs = spark.createDataFrame([(t,) for t in texts], "value string").coalesce(1)
+    made = [list(json_split._elements_of(t or "")) for t in texts]
+    assert [len(m) for m in made] == [9, 0, 0, 1]
+    got = json_split.split_texts(docs).collect()
+    assert sorted((r.source_key, r.n, r.element) for r in got) == sorted((e.source, n, e.text) for m in made for n, e in enumerate(m))
