@@ -41,13 +41,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def map_columns(df: DataFrame, schema: str | StructType, fn: Callable[..., Sequence]) -> DataFrame:
-    """``fn`` gets the columns of a batch as Python lists and returns the columns of the result, row by row in place."""
+def map_columns(df: DataFrame, schema: str | StructType, fn: Callable[..., Sequence], at_once: int | None = None) -> DataFrame:
+    """``fn`` gets the columns of a batch as Python lists and returns the columns of the result, row by row in place.
+
+    ``at_once`` bounds the rows that it gets, where their objects take far more room than the batch.
+    """
     kind = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow = to_arrow_schema(kind)
-        for batch in batches:
+        for batch in (b.slice(at, at_once) for b in batches for at in range(0, b.num_rows, at_once or max(b.num_rows, 1))):
             columns = fn(*[c.to_pylist() for c in batch.columns])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, type=f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow

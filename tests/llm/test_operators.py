@@ -339,3 +339,13 @@ def test_chain_learns_and_bounds(spark):
     assert toxicity.without_toxic(docs, chain).count() == 301
     empty = toxicity.train_chain(docs, labels.limit(0), ["junk", "toxic"])
     assert toxicity.without_toxic(docs, empty).count() == docs.count()
+
+
+def test_near_copies_hold_few_rows_as_objects(spark):
+    """A whole batch of texts with its shingles used to be held at once."""
+    from dqwatch.llm.common import map_columns
+
+    rows = spark.range(0, 11, numPartitions=1)
+    got = map_columns(rows, "id long, n long", lambda ids: [ids, [len(ids)] * len(ids)], 4).collect()
+    assert [(r.id, r.n) for r in got] == [(i, 4 if i < 8 else 3) for i in range(11)]
+    assert {r.n for r in map_columns(rows, "id long, n long", lambda ids: [ids, [len(ids)] * len(ids)]).collect()} == {11}
