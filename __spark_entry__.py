@@ -180,9 +180,10 @@ def _state_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _record(detector: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         manifest, facts = derived.derive_manifest(spark, sf_dir), _facts(spark, sf_dir)
-        found = plan_findings.detector_findings(manifest, facts, detector)
+        by_pattern = expectations.pattern_facts(listings.in_scope(manifest), facts)
+        found = plan_findings.detector_findings(manifest, facts, detector, by_pattern=by_pattern)
         if detector == "missing":
-            found = found.unionByName(plan_findings.detector_findings(manifest, facts, "late"))
+            found = found.unionByName(plan_findings.detector_findings(manifest, facts, "late", by_pattern=by_pattern))
         lists = {c: F.array_join(c, ", ") for c in plan_findings.RECORDS[detector]}
         return plan_findings.detector_records(found, detector, facts).withColumns(lists)
 

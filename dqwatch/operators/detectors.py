@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from dqwatch.functions import naming
 from dqwatch.functions.numbers import MICROS_PER_HOUR, clock, tenths_text, thousands
 from dqwatch.operators.expectations import judged_ranges, minute_of, nearest_slot, volumes_by_entity
-from dqwatch.operators.lookup import lookup
+from dqwatch.operators.lookup import lookup, shuffled
 from dqwatch.operators.patterns import FILE_IDENTITY, KEYS, with_pattern
 from dqwatch.schema import FINDING, PROBLEM_STATUSES
 
@@ -396,7 +396,8 @@ def file_findings(
         "may_be_empty",
         "may_arrive_anytime",
     )
-    counts = delivered.select(*KEYS, F.col("n_today").alias("n"))
+    # of the files alone: the pattern table would be made once more
+    counts = files.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"))
     known = with_timing(lookup(files, facts, KEYS, "inner", counts, FILE_IDENTITY, **options))
     return _emit(known.withColumn("pattern", F.nullif("pattern", F.lit(UNNAMED))), detectors, limits)
 
@@ -457,8 +458,7 @@ def with_decisions(
     of_source = F.max(F.when(F.col("entity").isNull(), F.col("decided"))).alias("of_source")
     entries = F.collect_list(F.when(F.col("entity").isNotNull(), F.struct("entity", "decided")))
     by_day = by_entity.groupBy(*HEAD).agg(of_source, F.map_from_entries(entries).alias("of_entity"))
-    per_day = facts_by_pattern.groupBy(*HEAD).agg(F.count(F.lit(1)).alias("n"))
-    joined = lookup(facts_by_pattern, by_day, HEAD, key_counts=per_day, salt_on=["pattern"], **options)
+    joined = lookup(facts_by_pattern, by_day, HEAD, can_be_hot=False, **options)
     own = F.when(F.col("entity").isNotNull(), F.try_element_at("of_entity", F.col("entity")))
     decided = F.coalesce(own, "of_source")
     columns = [*facts_by_pattern.columns, decided.alias("decided"), decided.isNotNull().alias("is_documented")]
@@ -475,7 +475,7 @@ def with_decisions(
         F.lit(" of "), F.col("bounds.n_days").cast("string"), F.lit(" earlier "), F.date_format("snapshot_day", "EEEE"), F.lit("s"),
     )
     inside = F.when((now >= lower) & (now <= upper), F.struct(F.lit(0).alias("severity"), text.alias("text")))
-    return joined.join(known, KEYS, "left").withColumn("decided", F.coalesce("decided", inside))
+    return joined.join(shuffled(known), KEYS, "left").withColumn("decided", F.coalesce("decided", inside))
 
 
 def recent_severity(limits: Limits = DEFAULT_LIMITS) -> Column:

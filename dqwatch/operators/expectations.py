@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from dqwatch.functions.naming import entity_of
-from dqwatch.operators.lookup import lookup
+from dqwatch.operators.lookup import lookup, shuffled
 from dqwatch.operators.patterns import KEYS, pattern_stats, with_pattern
 
 
@@ -88,7 +88,7 @@ def pattern_facts(
     joined = lookup(stats, documented, ["source_id"], key_counts=per_source, salt_on=["pattern"], **options)
     if cadence is not None:
         learnt = cadence.filter(F.col("cadence") != "irregular").select("source_id", "pattern", F.col("due_mask").alias("learnt_mask"))
-        joined = joined.join(learnt, ["source_id", "pattern"], "left")
+        joined = joined.join(shuffled(learnt), ["source_id", "pattern"], "left")
     entity = entity_of(F.col("pattern"), F.col("entities"))
     documented_as = F.filter("expected_files", lambda f: f["pattern"] == F.col("pattern"))
     mask = F.get(documented_as, F.lit(0))["due_mask"]
@@ -200,7 +200,7 @@ def judged_ranges(
     ``far_above_pct`` above the upper or ``far_below_pct`` below the lower bound.
     """
     stated = facts.select("source_id", "ranges")
-    ranged = lookup(volumes, stated, ["source_id"], "inner", **options)
+    ranged = lookup(volumes, stated, ["source_id"], "inner", can_be_hot=False, **options)
     own = F.filter("ranges", lambda r: r["entity"].eqNullSafe(F.col("entity")))
     of_day = F.filter(own, lambda r: r["dow"] == F.date_format("snapshot_day", "EEEE"))
     of_any = F.filter(own, lambda r: r["dow"].isNull())

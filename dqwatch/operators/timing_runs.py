@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from dqwatch.operators.lookup import shuffled
 from dqwatch.operators.patterns import KEYS
 
 #: The day's level of a pattern is its first upload, in microseconds from the start of the day.
@@ -41,7 +42,7 @@ def timing_runs(findings: DataFrame, by_pattern: DataFrame, rules: ShiftRules =
     )
     level = F.unix_micros("first_upload_today") - F.unix_micros(F.expr(DAY_START))
     delivered = by_pattern.filter((F.col("n_today") > 0) & F.col("pattern").isNotNull()).select(*KEYS, level.alias("level"))
-    days = delivered.join(judged, KEYS, "left").withColumn(
+    days = delivered.join(shuffled(judged), KEYS, "left").withColumn(
         "direction", F.when(F.col("n_late") > 0, "late").when(F.col("n_early") > 0, "early").otherwise("on time")
     )
     of_pattern = Window.partitionBy("source_id", "pattern").orderBy("snapshot_day")

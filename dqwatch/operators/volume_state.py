@@ -12,6 +12,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from dqwatch.operators.history import Z_95, band_bounds
+from dqwatch.operators.lookup import shuffled
 
 KEYS = ["source_id", "pattern", "weekday"]
 ENTRY = "struct<day: date, volume: bigint>"
@@ -37,7 +38,7 @@ def state_of(volumes: DataFrame, n_days: int = 8) -> DataFrame:
 def merged(state: DataFrame, volumes: DataFrame, n_days: int = 8) -> DataFrame:
     """``state`` with the volumes of one more day; a day that is there already is replaced."""
     new = _keyed(volumes).select(*KEYS, F.col("day").alias("_day"), F.struct("day", "volume").cast(ENTRY).alias("_new"))
-    both = state.join(new, KEYS, "full")
+    both = state.join(shuffled(new), KEYS, "full")
     others = F.filter(F.coalesce("recent", F.array().cast(f"array<{ENTRY}>")), lambda e: F.col("_day").isNull() | (e["day"] != F.col("_day")))
     entries = F.concat(others, F.array_compact(F.array("_new")))
     return both.select(*KEYS, _latest(entries, n_days).alias("recent"))

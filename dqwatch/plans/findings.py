@@ -18,7 +18,7 @@ from dqwatch.operators.detectors import (
 )
 from dqwatch.operators.expectations import pattern_facts
 from dqwatch.operators.listings import in_scope
-from dqwatch.operators.lookup import lookup
+from dqwatch.operators.lookup import lookup, shuffled
 from dqwatch.operators.name_lists import NAMES_PER_PART, name_parts
 from dqwatch.schema import DETECTORS, FINDING
 from dqwatch.sources.cv_files import generic_name
@@ -52,13 +52,14 @@ def detector_findings(
     scope: str = "current",
     limits: Limits = DEFAULT_LIMITS,
     bands: DataFrame | None = None,
+    by_pattern: DataFrame | None = None,
     **options: int,
 ) -> DataFrame:
-    """Findings of one detector."""
+    """Findings of one detector; ``by_pattern`` takes a stored ``pattern_facts`` table, as in :func:`all_findings`."""
     if detector not in DETECTORS:
         raise ValueError(f"unknown detector {detector!r}, expected one of {', '.join(DETECTORS)}")
     manifest = in_scope(manifest, scope)
-    by_pattern = pattern_facts(manifest, facts, **options)
+    by_pattern = by_pattern if by_pattern is not None else pattern_facts(manifest, facts, **options)
     if detector == "volume":
         ranges = volume_ranges(by_pattern, facts, limits, **options)
         found = pattern_findings(with_decisions(by_pattern, ranges, bands, **options), (detector,), limits)
@@ -134,8 +135,9 @@ def detector_records(
         for column in RECORDS[detector]
     }
     details = F.array_join(F.array_distinct(F.transform("items", lambda i: i["name"]["message"])), "; ")
-    records = parts.select(*HEAD, "part", *[c.alias(n) for n, c in listed.items()], details.alias("details")).join(numbers, HEAD)
+    records = parts.select(*HEAD, "part", *[c.alias(n) for n, c in listed.items()], details.alias("details")).join(shuffled(numbers), HEAD)
     if facts is not None:
-        records = lookup(records, facts.select("source_id", "source_name"), ["source_id"], **options)
+        # one row per source, day and part
+        records = lookup(records, facts.select("source_id", "source_name"), ["source_id"], can_be_hot=False, **options)
         records = records.withColumn("source_name", F.coalesce("source_name", generic_name(F.col("source_id"))))
     return records

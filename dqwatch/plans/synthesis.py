@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from dqwatch.functions.numbers import records_text, thousands
 from dqwatch.operators.detectors import DEFAULT_LIMITS, HEAD, Limits, windows_text
 from dqwatch.operators.expectations import source_calendar
-from dqwatch.operators.lookup import lookup
+from dqwatch.operators.lookup import lookup, shuffled
 from dqwatch.schema import ATTENTION, DETECTORS, NORMAL, URGENT
 from dqwatch.sources.cv_files import generic_name
 
@@ -367,10 +367,10 @@ def source_lines(
     # by time, whatever entity they belong to
     slots = F.array_sort(F.transform(windows, lambda w: F.struct(w["start_min"], w["end_min"])))
     described = facts.select("source_id", "source_name", windows_text(slots).alias("windows_text"))
-    rows = lookup(issues, described, ["source_id"], **options)
-    rows = rows.join(missing_names_text(missing), HEAD, "left")
+    rows = lookup(issues, described, ["source_id"], can_be_hot=False, **options)
+    rows = rows.join(shuffled(missing_names_text(missing)), HEAD, "left")
     if shifts is not None:
-        rows = rows.join(shifts, HEAD, "left")
+        rows = rows.join(shuffled(shifts), HEAD, "left")
     else:
         rows = rows.withColumns({"n_shifted": F.lit(0), "shift_minutes": F.lit(0).cast("bigint"), "shifted_since": F.col("snapshot_day")})
     clauses = _clauses()
@@ -462,7 +462,7 @@ def source_report(lines: DataFrame, findings: DataFrame, **options: int) -> Data
     There is one row per part (:func:`in_parts`), usually part 0 alone; each repeats the head and the summary.
     """
     details = [column for column, _ in DETAILS.values()]
-    rows = lines.join(detail_texts(findings, **options), HEAD, "left").fillna("", details).fillna(0, ["part"])
+    rows = lines.join(shuffled(detail_texts(findings, **options)), HEAD, "left").fillna("", details).fillna(0, ["part"])
     date = F.date_format("snapshot_day", "yyyy-MM-dd")
     records = records_text(F.col("total_rows"))
     normal = F.col("severity") == 0

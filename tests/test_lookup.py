@@ -63,6 +63,17 @@ def test_only_inputs_of_known_small_size_are_broadcast(spark, skewed, facts):
     assert "_salt" in plan(facts)
 
 
+def test_lookups_upon_lookups_repeat_no_inputs(spark):
+    """Each lookup used to stand in the plan of the next one several times over, which filled the driver."""
+    rows = spark.range(40).select((F.col("id") % 5).cast("string").alias("k"), F.col("id").alias("v"))
+    facts = spark.range(5).select(F.col("id").cast("string").alias("k"))
+    for i in range(4):
+        rows = lookup(rows, facts.withColumn(f"x{i}", F.lit(i)), ["k"], broadcast_bytes=-1)
+    assert rows._jdf.queryExecution().analyzed().collectLeaves().size() == 5
+    assert "BroadcastHashJoin" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert rows.count() == 40
+
+
 @pytest.mark.parametrize("per_part", [1, 7, 1000])
 def test_name_parts_hold_every_name_once(skewed, per_part):
     parts = name_parts(skewed.withColumn("g", F.lit(1)), ["g"], "k", per_part=per_part).collect()
