@@ -34,9 +34,11 @@ NO_RANK = 1 << 40
 #: Words merged side by side, and their longest in bytes; longer ones are merged one by one.
 MANY_WORDS, MANY_LENGTH = 8192, 48
 #: Characters of text whose runs are encoded together.
-CHUNK_CHARS = 2_000_000
+CHUNK_CHARS = 1_000_000
+#: Rows whose texts, ids and decoded texts Python holds at a time.
+AT_ONCE = 500
 #: Encoded runs that a worker keeps in each of its two tables, and the longest of them.
-KEPT_RUNS, KEPT_LENGTH = 300_000, 64
+KEPT_RUNS, KEPT_LENGTH = 100_000, 64
 
 
 class Merges:
@@ -323,7 +325,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, with_ids: bool =
         return out
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return map_columns(docs.select("doc_id", "text"), schema + (", ids binary, decoded string" if with_ids else ""), encode)
+    return map_columns(docs.select("doc_id", "text"), schema + (", ids binary, decoded string" if with_ids else ""), encode, AT_ONCE)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

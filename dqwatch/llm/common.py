@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
@@ -41,6 +42,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Hand freed memory back to the system: a worker lives on through later stages, and its allocators keep what a task freed."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc only
+        trim(0)
+
+
 def map_columns(df: DataFrame, schema: str | StructType, fn: Callable[..., Sequence], at_once: int | None = None) -> DataFrame:
     """``fn`` gets the columns of a batch as Python lists and returns the columns of the result, row by row in place.
 
@@ -55,6 +63,8 @@ def map_columns(df: DataFrame, schema: str | StructType, fn: Callable[..., Seque
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, type=f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow
             )
+            del columns
+        give_back()
 
     return df.mapInArrow(run, kind)
 
