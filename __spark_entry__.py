@@ -136,8 +136,18 @@ def _named(**functions: Callable[[Column], Column]) -> Query:
     )
 
 
+def _kept_patterns(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Manifest, facts and pattern table; the last two are kept, as several steps of a detector read them."""
+    manifest, facts = derived.derive_manifest(spark, sf_dir), _facts(spark, sf_dir).persist()
+    return manifest, facts, expectations.pattern_facts(listings.in_scope(manifest), facts).persist()
+
+
 def _detector(name: str) -> Query:
-    return lambda s, d: plan_findings.detector_findings(derived.derive_manifest(s, d), _facts(s, d), name)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        manifest, facts, by_pattern = _kept_patterns(spark, sf_dir)
+        return plan_findings.detector_findings(manifest, facts, name, by_pattern=by_pattern)
+
+    return run
 
 
 def _missing_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,13 +189,13 @@ def _state_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _record(detector: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        manifest, facts = derived.derive_manifest(spark, sf_dir), _facts(spark, sf_dir)
-        by_pattern = expectations.pattern_facts(listings.in_scope(manifest), facts)
+        manifest, facts, by_pattern = _kept_patterns(spark, sf_dir)
         found = plan_findings.detector_findings(manifest, facts, detector, by_pattern=by_pattern)
         if detector == "missing":
             found = found.unionByName(plan_findings.detector_findings(manifest, facts, "late", by_pattern=by_pattern))
         lists = {c: F.array_join(c, ", ") for c in plan_findings.RECORDS[detector]}
-        return plan_findings.detector_records(found, detector, facts).withColumns(lists)
+        # counted, listed and listed in parts
+        return plan_findings.detector_records(found.persist(), detector, facts).withColumns(lists)
 
     return run
 

@@ -380,7 +380,8 @@ def file_findings(
     """One pass over today's files for all file-level detectors.
 
     Files that no asked detector concerns go before the join. Files without a name share the pattern of
-    those: they have no expected name or age, but can fail, be empty or be late.
+    those: they have no expected name or age, but can fail, be empty or be late. A pattern table that is kept
+    tells which patterns are hot; else the files are counted for it.
     """
     concerned = reduce(or_, [F.coalesce(CONCERNS[d](), F.lit(False)) for d in detectors])
     files = with_pattern(manifest.filter((F.col("from_period") == "today") & concerned)).fillna(UNNAMED, ["pattern"])
@@ -396,8 +397,10 @@ def file_findings(
         "may_be_empty",
         "may_arrive_anytime",
     )
-    # of the files alone: the pattern table would be made once more
-    counts = files.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"))
+    if facts_by_pattern.is_cached:  # the files of a pattern, concerned or not
+        counts = delivered.select(*KEYS, F.col("n_today").alias("n"))
+    else:  # of the files alone: the pattern table would be made once more
+        counts = files.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"))
     known = with_timing(lookup(files, facts, KEYS, "inner", counts, FILE_IDENTITY, **options))
     return _emit(known.withColumn("pattern", F.nullif("pattern", F.lit(UNNAMED))), detectors, limits)
 

@@ -83,9 +83,8 @@ def pattern_facts(
         "variable_arrival",
         "lag_days",
     )
-    # a source has at most as many patterns as files, and its files are counted without their names
-    per_source = manifest.groupBy("source_id").agg(F.count(F.lit(1)).alias("n"))
-    joined = lookup(stats, documented, ["source_id"], key_counts=per_source, salt_on=["pattern"], **options)
+    # one row per day and pattern: counting a source's files first would read the manifest once more
+    joined = lookup(stats, documented, ["source_id"], can_be_hot=False, **options)
     if cadence is not None:
         learnt = cadence.filter(F.col("cadence") != "irregular").select("source_id", "pattern", F.col("due_mask").alias("learnt_mask"))
         joined = joined.join(shuffled(learnt), ["source_id", "pattern"], "left")

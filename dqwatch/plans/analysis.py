@@ -19,7 +19,7 @@ from dqwatch.sources.cv_files import cv_facts, first_sources
 class Analysis:
     """The tables of one analysis, each built when it is asked for.
 
-    ``keep`` persists what several outputs read: the pattern table, the findings and the one row per source-day. Blocks lost with an executor are recomputed from their lineage; ``release``,
+    ``keep`` persists what several outputs read: the profiles' facts, the pattern table, the findings and the one row per source-day. Blocks lost with an executor are recomputed from their lineage; ``release``,
     or leaving a ``with`` block, drops them.
     """
 
@@ -34,13 +34,13 @@ class Analysis:
         unread: DataFrame | None = None,
     ):
         self._manifest = manifest
-        self._facts = cv_facts(cv_docs)
         self._limits = limits
         self._keep = keep
         self._options = options
         self._bands = bands
         self._unread = unread
         self._kept: list[DataFrame] = []
+        self._facts = self._shared(cv_facts(cv_docs))
 
     def _shared(self, table: DataFrame) -> DataFrame:
         if self._keep:

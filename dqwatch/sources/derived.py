@@ -32,12 +32,13 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _dealt_out(rows: DataFrame, key: str) -> DataFrame:
-    """Rows of a table stored as fewer splits than there are cores, dealt out by key.
+    """Rows of a table stored as less than two full splits per core, dealt out by key.
 
+    Spark cuts a smaller file into a split per core, but a row group is read by one task, and there may be a single one.
     A large table has many splits and is left as it is.
     """
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores, key) if rows.rdd.getNumPartitions() < cores else rows
+    return rows.repartition(cores, key) if rows.rdd.getNumPartitions() <= 2 * cores else rows
 
 
 def _group() -> Column:
