@@ -349,3 +349,20 @@ def test_near_copies_hold_few_rows_as_objects(spark):
     got = map_columns(rows, "id long, n long", lambda ids: [ids, [len(ids)] * len(ids)], 4).collect()
     assert [(r.id, r.n) for r in got] == [(i, 4 if i < 8 else 3) for i in range(11)]
     assert {r.n for r in map_columns(rows, "id long, n long", lambda ids: [ids, [len(ids)] * len(ids)]).collect()} == {11}
+
+
+def test_bpe_tables_and_batches_stay_small(monkeypatch):
+    """Six workers of an executor hold such tables side by side."""
+    model = bpe.WordBpe(bpe.default_path())
+    monkeypatch.setattr(model, "_learn", lambda runs: {r: b"1234" for r in runs})
+    for at in range(0, 400_000, 40_000):
+        model._encoded({f"run{i}" for i in range(at, at + 40_000)})
+    assert len(model.young) + len(model.old) <= 200_000
+    sizes: list = []
+    monkeypatch.setattr(bpe, "map_columns", lambda df, schema, fn, at_once=None: sizes.append(at_once))
+
+    class Docs:
+        def select(self, *_: str) -> None: ...
+
+    bpe.encode_documents(Docs())
+    assert sizes[0] is not None and sizes[0] <= 1000
