@@ -177,6 +177,87 @@ def test_class_model_scores(docs):
     assert len(class_lm.score(docs.limit(0)).collect()) == 0
 
 
+def test_best_classes_maximise_the_likelihood():
+    rng = np.random.default_rng(4)
+    units, classes = 40, 5
+    n = rng.integers(0, 4, (units, units)) * (rng.random((units, units)) < 0.3) + np.diag(rng.integers(0, 3, units))
+    of = rng.integers(0, classes, units)
+
+    def table(of):
+        member = np.eye(classes)[of]
+        return member.T @ n @ member
+
+    def likelihood(of):  # sizes as the table has them when a text returns to where it began
+        log = lambda x: x * np.log(np.maximum(x, 1))
+        return log(table(of)).sum() - 2 * log(np.eye(classes)[of].T @ n.sum(axis=0)).sum()
+
+    member, apart = np.eye(classes)[of], n - np.diag(np.diag(n))
+    sums = np.column_stack([apart.T @ member, apart @ member, np.diag(n)]).astype(float)
+    moved = class_lm.best_classes(of, sums, table(of))
+    assert (moved != of).sum() > 10
+    for u in range(units):
+        tried = [likelihood(np.where(np.arange(units) == u, c, of)) for c in range(classes)]
+        assert np.isclose(tried[moved[u]], max(tried))
+
+
+@pytest.fixture()
+def usage(spark, monkeypatch):
+    """Far words with the same last two letters, half of them used like names, half like verbs, and some beside each other."""
+    monkeypatch.setattr(class_lm, "KNOWN_SHARE", 0.02)
+    rng = random.Random(8)
+    names, verbs = [f"n{i}aa" for i in range(40)], [f"v{i}aa" for i in range(40)]
+    some = lambda near, far: rng.choice(near) if rng.random() < 0.5 else rng.choice(far)
+    clause = lambda: f"the {some(['bob', 'tim'], names)} will {some(['run', 'eat'], verbs)} {some(['bob', 'tim'], names)} now"
+    rows = [(i, " ".join(clause() for _ in range(4))) for i in range(300)]
+    rows += [(7, "the n1aa Will"), (None, "now v3aa v4aa n5aa n5aa"), (3, None), (4, " ")]
+    held = [i for i, _ in rows if class_lm.is_held_out(i)]
+    rows += [(held[0], "new1aa the zz new1aa v1aa"), (held[1], "\ufffd x")]
+    counts = Counter(w for i, t in rows if not class_lm.is_held_out(i) for w in [*class_lm.words_of(t), b"\n"])
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    return docs, [(i, [b"\n", *class_lm.words_of(t), b"\n"]) for i, t in rows], counts, names, verbs
+
+
+def test_far_words_are_clustered_by_their_own_bigrams(spark, usage):
+    docs, lines, counts, names, verbs = usage
+    lexicon = class_lm.lexicon_of(class_lm.word_counts(docs))
+    assert set(lexicon.units) == {b"\n", b"the", b"will", b"now", b"bob", b"tim", b"run", b"eat"}
+    class_of = np.zeros(lexicon.n_units, dtype=np.int64)
+    for c, words in enumerate([[b"bob", b"tim"], [b"run", b"eat"], [b"the", b"will"]], 1):
+        class_of[[lexicon.units[w] for w in words]] = c
+    table = np.zeros((4, 4))
+    for i, line in lines:
+        for a, b in zip(line, line[1:]):
+            if not class_lm.is_held_out(i) and a in lexicon.units and b in lexicon.units:
+                table[class_of[lexicon.units[a]], class_of[lexicon.units[b]]] += 1
+    shared = spark.sparkContext.broadcast(lexicon)
+    rows = class_lm.encoded(docs, shared, class_of).filter(~class_lm.held_out())
+    far, all_words = class_lm.settle(rows, shared, class_of, table)
+    found = {r.word: (r.n, r["class"]) for r in far.collect()}
+    # words that differ in use only no longer share a class
+    assert found == {w: (counts[w.encode()], 1 if w in names else 2) for w in names + verbs}
+    assert all_words.sum() == counts.total()
+
+
+def test_class_score_is_the_sum_over_class_bigrams_of_all_words(usage):
+    docs, lines, counts, _, _ = usage
+    model, far, _ = class_lm.train(docs)
+    class_of = {r.word.encode(): r["class"] for r in far.collect()}
+    assert len(class_of) == 80
+    own = lambda w: class_of[w] if w in class_of else int(model.class_of[model.lexicon.unit(w)])
+    table = np.full((class_lm.CLASSES,) * 2, 0.5)
+    for i, line in lines:
+        if not class_lm.is_held_out(i):
+            np.add.at(table, ([own(w) for w in line[:-1]], [own(w) for w in line[1:]]), 1)
+    size = Counter()
+    for w, n in counts.items():
+        size[own(w)] += n + 0.5
+    wanted = []
+    for _, line in lines:
+        steps = [table[own(a), own(b)] / table[own(a)].sum() * (counts[b] + 0.5) / (size[own(b)] + 0.5) for a, b in zip(line, line[1:])]
+        wanted.append((len(steps), sum(w in counts for w in line[1:]), round(float(np.log10(steps).sum()), 6)))
+    assert sorted((r.n_tokens, r.n_known, round(r.score, 6)) for r in class_lm.score(docs).collect()) == sorted(wanted)
+
+
 def test_masks_cover_every_pair_within_the_radius():
     masks = [m & (1 << 64) - 1 for m in simhash.masks(3)]
     rng = random.Random(1)
