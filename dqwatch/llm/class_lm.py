@@ -350,7 +350,15 @@ def settle(
     begun = written(beside.mapInArrow(start, types), "far")
     state = [begun.filter(in_half("word", half)) for half in (0, 1)]
     ends = found.filter("next is not null").select(F.col("word").alias("a"), F.col("next").alias("b"))
-    edges = written(ends.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")), "far-bigrams")
+
+    def start_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            unit = Units(lexicon.value).__getitem__
+            first = [pa.array(class_of[[unit(w.encode()) for w in batch.column(c).to_pylist()]]) for c in ("a", "b")]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *first], names=["a", "b", "n", "ca", "cb"])
+
+    edges = ends.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).mapInArrow(start_pairs, "a string, b string, n long, ca long, cb long")
+    pairs = edges = written(edges, "far-bigrams")
 
     def near_cells(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
         """Unit and slot of the near neighbours of far words."""
@@ -371,16 +379,11 @@ def settle(
         cells = np.flatnonzero(table)
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in (cells // classes, cells % classes, table[cells])], names=["ca", "cb", "n"])
 
-    def now() -> tuple[DataFrame, np.ndarray]:
-        words = state[0].unionByName(state[1])
-        own = words.select("word", "class")
-        pairs = edges.join(own.withColumnsRenamed({"word": "a", "class": "ca"}), "a")
-        pairs = pairs.join(own.withColumnsRenamed({"word": "b", "class": "cb"}), "b")
-        pairs = written(pairs.select("a", "b", "ca", "cb", "n"), "far-pairs")
-        near = words.select("beside", "class").mapInArrow(beside_near, "ca long, cb long, n long")
-        return pairs, near_table + table_from(near, classes) + table_from(pairs, classes)
+    def table_of(pairs: DataFrame) -> np.ndarray:
+        near = state[0].unionByName(state[1]).select("beside", "class").mapInArrow(beside_near, "ca long, cb long, n long")
+        return near_table + table_from(near, classes) + table_from(pairs, classes)
 
-    pairs, table = now()
+    table = table_of(pairs)
     for sweep in range(sweeps):
 
         def judge(batches: Iterator[pa.RecordBatch], table: np.ndarray = table) -> Iterator[pa.RecordBatch]:
@@ -394,7 +397,12 @@ def settle(
         half = sweep % 2
         sums = slot_sums(pairs, half, classes).withColumnRenamed("unit", "word")
         state[half] = written(state[half].join(sums, "word", "left").mapInArrow(judge, types), "far")
-        pairs, table = now()
+        own = state[0].unionByName(state[1]).select("word", "class")
+        pairs = edges.select("a", "b", "n").join(own.withColumnsRenamed({"word": "a", "class": "ca"}), "a")
+        pairs = pairs.join(own.withColumnsRenamed({"word": "b", "class": "cb"}), "b")
+        if sweep + 1 < sweeps:
+            pairs = written(pairs, "far-pairs")
+        table = table_of(pairs)
     return state[0].unionByName(state[1]).select("word", F.size("beside").cast("long").alias("n"), "class"), table
 
 
@@ -471,12 +479,14 @@ def score(docs: DataFrame) -> DataFrame:
         m: ClassModel = shared.value
         for batch in batches:
             doc, cells = listed(batch.column("cells"))
-            at, before, after = (cells.field(c).to_numpy(zero_copy_only=False) for c in ("at", "before", "after"))
-            own = cells.field("class").fill_null(-1).to_numpy(zero_copy_only=False).copy()
-            unseen = np.flatnonzero(own < 0)
-            own[unseen] = [m.class_of[m.lexicon.unit(w.encode())] for w in cells.field("unseen").take(pa.array(unseen)).to_pylist()]
-            order = np.lexsort((at, doc))
-            doc, before, after, own = doc[order], before[order], after[order], own[order]
+            cells = cells.to_numpy(zero_copy_only=False)
+            order = np.lexsort((cells, doc))
+            doc, cells = doc[order], cells[order]
+            before, after, own = cells >> 16 & 255, cells >> 8 & 255, cells & 255
+            # both by row and place, so they fit each other
+            unseen_doc, unseen = listed(batch.column("unseen"))
+            words = unseen.field("word").take(pa.array(np.lexsort((unseen.field("at").to_numpy(zero_copy_only=False), unseen_doc))))
+            own[own == FAR] = [m.class_of[m.lexicon.unit(w.encode())] for w in words.to_pylist()]
             before = np.where(before == FAR, np.append(0, own[:-1]), before)
             values = m.log_next[before, own] - m.log_spread[own]
             values += np.where(after == FAR, 0.0, m.log_next[own, np.where(after == FAR, 0, after)])
@@ -487,9 +497,14 @@ def score(docs: DataFrame) -> DataFrame:
     near = rows.select("row", "doc_id", "n_tokens", "n_known", "logs", "near").mapInArrow(
         near_chain, "row long, doc_id long, n_tokens long, n_known long, logs double, chain double"
     )
-    cell = F.struct("at", "before", "after", "class", F.when(F.col("class").isNull(), F.col("word")).alias("unseen"))
+    # place, class before, class after and own class of a far word in one number
+    place = F.col("at").cast("long") * (1 << 24) + F.col("before") * (1 << 16) + F.col("after") * (1 << 8)
+    unseen = F.when(F.col("class").isNull(), F.struct("at", "word"))  # a list leaves nulls out
     beside = occurrences(rows).drop("next").join(far, "word", "left").groupBy("row").agg(
-        F.count("n").alias("far_known"), F.sum(F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("far_logs"), F.collect_list(cell).alias("cells")
+        F.count("n").alias("far_known"),
+        F.sum(F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("far_logs"),
+        F.collect_list(place + F.coalesce("class", F.lit(FAR))).alias("cells"),
+        F.collect_list(unseen).alias("unseen"),
     )
     sums = near.join(beside.mapInArrow(far_chain, "row long, far_known long, far_logs double, far_chain double"), "row", "left")
     total, distinct = model.lexicon.tokens, model.lexicon.distinct
