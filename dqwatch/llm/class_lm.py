@@ -18,13 +18,15 @@ Smoothing: half a count for each word of a class and for one unseen word; half a
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -34,6 +36,8 @@ CLASSES = 64
 #: Half sweeps over the near words, and over the far ones.
 SWEEPS, FAR_SWEEPS = 6, 2
 KNOWN_SHARE = 2e-6
+#: Tokens of a chunk, and rows that are cut into words at once.
+CHUNK, ROWS = 1 << 20, 2000
 #: Stands for a far word where a byte is a class.
 FAR = 255
 #: The end of a text as a word: no word holds a line feed.
@@ -50,18 +54,59 @@ def is_held_out(doc_id: int | None) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % 5 == 1
 
 
+def listed(column: pa.ListArray) -> tuple[np.ndarray, pa.Array]:
+    """The elements of all lists, and for each the number of its list."""
+    lengths = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    return np.repeat(np.arange(len(column)), lengths), column.flatten()
+
+
+def joined_bytes(column: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all values, and where each value starts, with the end of the last."""
+    if not len(column):
+        return np.zeros(0, dtype=np.uint8), np.zeros(1, dtype=np.int64)
+    _, offsets, data = column.buffers()
+    starts = np.frombuffer(offsets, dtype=np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    values = np.frombuffer(data or b"", dtype=np.uint8)
+    return values[starts[0] : starts[-1]], starts - starts[0]
+
+
+def split_words(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """``words_of`` of all texts, one after the other, and how many each has."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
+    doc, words = listed(lists)
+    kept = pc.binary_length(words).to_numpy(zero_copy_only=False) > 0
+    return np.bincount(doc[kept], minlength=len(texts)), words.filter(pa.array(kept))
+
+
+def coded(words: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """For each word its place among the different ones, and these."""
+    found = words.dictionary_encode()
+    return found.indices.to_numpy(zero_copy_only=False), found.dictionary
+
+
+def pieces(batches: Iterator[pa.RecordBatch], training: bool) -> Iterator[pa.RecordBatch]:
+    """Batches of a few rows of (doc_id, text), or of the training rows among them."""
+    for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
+        if training:
+            batch = batch.filter(pa.array([not is_held_out(d) for d in batch.column(0).to_pylist()], type=pa.bool_()))
+        yield batch
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """(word, n) over the training rows of (doc_id, text); each text adds one end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            counts: Counter = Counter()
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if not is_held_out(doc_id):
-                    counts.update(words_of(text))
-                    counts[END.encode()] += 1
-            words = pa.array([w.decode("utf-8", "replace") for w in counts], type=pa.string())
-            yield pa.RecordBatch.from_arrays([words, pa.array(list(counts.values()), type=pa.int64())], names=["word", "n"])
+        for whole in batches:
+            parts = [split_words(b.column(1))[1].dictionary_encode() for b in pieces(iter([whole]), training=True)]
+            words = pa.chunked_array(parts, type=pa.dictionary(pa.int32(), pa.string())).unify_dictionaries()
+            names = words.chunk(0).dictionary if words.num_chunks else pa.array([], type=pa.string())
+            counts = np.zeros(len(names), dtype=np.int64)
+            for part in words.chunks:
+                counts += np.bincount(part.indices.to_numpy(zero_copy_only=False), minlength=len(names))
+            ends = sum(not is_held_out(d) for d in whole.column(0).to_pylist())
+            names, counts = pa.concat_arrays([names, pa.array([END])]), np.append(counts, ends)
+            yield pa.RecordBatch.from_arrays([names, pa.array(counts)], names=["word", "n"]).filter(pa.array(counts > 0))
+        give_back()
 
     partial = docs.select("doc_id", "text").mapInArrow(run, "word string, n long")
     return partial.groupBy("word").agg(F.sum("n").alias("n"))
@@ -90,6 +135,27 @@ class Lexicon:
     def n_units(self) -> int:
         return len(self.units) + (1 << 16)
 
+    @cached_property
+    def _near(self) -> pa.Array:
+        return pa.array(list(self.units), type=pa.binary())
+
+    def places(self, words: pa.Array) -> np.ndarray:
+        """The units of near words, -1 for the others."""
+        found = pc.index_in(words.cast(pa.binary()), self._near)
+        return found.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+
+    def units_of(self, words: pa.Array) -> np.ndarray:
+        """``unit`` of each word, none of which is empty."""
+        places = self.places(words)
+        return np.where(places < 0, len(self.units) + endings(words), places)
+
+
+def endings(words: pa.Array) -> np.ndarray:
+    """``ending`` of each word."""
+    data, starts = joined_bytes(words.cast(pa.binary()))
+    last, several = starts[1:] - 1, np.diff(starts) > 1
+    return data[last].astype(np.int64) | np.where(several, data[last - several].astype(np.int64) << 8, 0)
+
 
 def lexicon_of(counts: DataFrame) -> Lexicon:
     tokens, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
@@ -100,37 +166,92 @@ def lexicon_of(counts: DataFrame) -> Lexicon:
     return Lexicon(n, {w: i for i, w in enumerate(words)}, int(tokens), int(distinct))
 
 
-class Units(dict):
-    """Units of the words asked for."""
+def mixed(keys: np.ndarray, parts: int) -> np.ndarray:
+    """A part for each number, all alike in size."""
+    part = (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(parts)
+    return part.astype(np.min_scalar_type(parts))
 
-    def __init__(self, lexicon: Lexicon):
-        self.lexicon = lexicon
 
-    def __missing__(self, word: bytes) -> int:
-        self[word] = unit = self.lexicon.unit(word)
-        return unit
+def dealt(key: np.ndarray, name: str, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
+    """A row for each key, with the values that have it as lists."""
+    order = np.argsort(key, kind="stable")
+    keys, starts = np.unique(key[order], return_index=True)
+    offsets = pa.array(np.append(starts, len(key)).astype(np.int32))
+    lists = [pa.ListArray.from_arrays(offsets, pa.array(x[order])) for x in columns.values()]
+    return pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), *lists], names=[name, *columns])
 
 
-def unit_bigrams(docs: DataFrame, lexicon: Broadcast) -> DataFrame:
-    """(a, b, n): how often unit b follows unit a in training texts; a text stands between two ends."""
+def gathered(batches: Iterator[pa.RecordBatch], **kinds: type) -> list[np.ndarray]:
+    """The elements of list columns over all batches."""
+    held = list(batches)
+    return [np.concatenate([np.zeros(0, kind), *[b.column(c).flatten().to_numpy() for b in held]]).astype(kind) for c, kind in kinds.items()]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def parts_of(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def neighbours(docs: DataFrame, lexicon: Broadcast) -> DataFrame:
+    """(unit, size, before, before_n, after, after_n, half): which units stand beside each one in training texts, and how often.
+
+    A text stands between two ends. A unit beside itself is listed before it only. Bigrams travel as lists per part of
+    their hash, where they are summed; then both of their units get them. A unit has at most ``n_units`` neighbours.
+    """
+    partitions = parts_of(docs.sparkSession)
+    parts = 4 * partitions
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex: Lexicon = lexicon.value
         end, n_units = lex.unit(END.encode()), lex.n_units
-        for batch in batches:
-            row: list[int] = [end]
-            unit = Units(lex).__getitem__
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if not is_held_out(doc_id):
-                    row += map(unit, words_of(text))
-                    row.append(end)
-            units = np.array(row, dtype=np.int64)
+        for whole in batches:
+            row = [np.array([end])]
+            for batch in pieces(iter([whole]), training=True):
+                lengths, words = split_words(batch.column(1))
+                codes, different = coded(words)
+                row.append(np.insert(lex.units_of(different)[codes], np.cumsum(lengths), end))
+            units = np.concatenate(row)
             pairs, n = np.unique(units[:-1] * n_units + units[1:], return_counts=True)
-            columns = [pa.array(x.astype(np.int64)) for x in (pairs // n_units, pairs % n_units, n)]
-            yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "n"])
+            a, b = np.divmod(pairs, n_units)
+            yield dealt(mixed(pairs, parts), "part", {"a": a.astype(np.int32), "b": b.astype(np.int32), "n": n})
+        give_back()
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n_units = lexicon.value.n_units
+        a, b, n = gathered(batches, a=np.int64, b=np.int64, n=np.int64)
+        if len(n):
+            pairs = a * n_units + b
+            order = np.argsort(pairs)
+            pairs = pairs[order]
+            first = np.flatnonzero(np.r_[True, pairs[1:] != pairs[:-1]])
+            a, b = np.divmod(pairs[first], n_units)
+            n, apart = np.add.reduceat(n[order], first), a != b
+            unit, other = np.concatenate([b, a[apart]]), np.concatenate([a, b[apart]])
+            after = np.arange(len(unit)) >= len(b)
+            columns = {"unit": unit.astype(np.int32), "other": other.astype(np.int32), "after": after.astype(np.int8), "n": np.append(n, n[apart])}
+            yield dealt(mixed(unit, parts), "part", columns)
+        give_back()
 
-    partial = docs.select("doc_id", "text").mapInArrow(run, "a long, b long, n long")
-    return partial.groupBy("a", "b").agg(F.sum("n").alias("n"))
+    def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, other, after, n = gathered(batches, unit=np.int32, other=np.int32, after=np.int8, n=np.int64)
+        if len(n):
+            units, columns = np.unique(unit).astype(np.int64), []
+            for side in (0, 1):
+                at = np.flatnonzero(after == side)
+                at = at[np.argsort(unit[at], kind="stable")]
+                starts = np.searchsorted(unit[at], np.append(units, units[-1] + 1))
+                columns += [pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(x[at])) for x in (other, n)]
+                if not side:  # each unit stands behind another or itself
+                    size = pa.array(np.add.reduceat(n[at], starts[:-1]))
+            names = ["unit", "size", "before", "before_n", "after", "after_n"]
+            yield pa.RecordBatch.from_arrays([pa.array(units), size, *columns], names=names)
+        give_back()
+
+    pairs = docs.select("doc_id", "text").mapInArrow(counted, "part long, a array<int>, b array<int>, n array<long>")
+    sides = pairs.repartition(partitions, "part").mapInArrow(merged, "part long, unit array<int>, other array<int>, after array<byte>, n array<long>")
+    beside = sides.repartition(partitions, "part").mapInArrow(
+        grouped, "unit long, size long, before array<int>, before_n array<long>, after array<int>, after_n array<long>"
+    )
+    return written(beside.withColumn("half", F.pmod(F.xxhash64("unit"), F.lit(2)).cast("int")), "neighbours", "half", compression="zstd")
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
@@ -192,35 +313,6 @@ def judged(own: np.ndarray, unit: np.ndarray, slot: np.ndarray, n: np.ndarray, t
     return out
 
 
-def listed(column: pa.ListArray) -> tuple[np.ndarray, pa.Array]:
-    """The elements of all lists, and for each the number of its list."""
-    lengths = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-    return np.repeat(np.arange(len(column)), lengths), column.flatten()
-
-
-def slots_of(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Unit, column of the sums and count of each element of lists of (slot, n)."""
-    unit, cells = listed(column)
-    return unit, cells.field("slot").to_numpy(zero_copy_only=False), cells.field("n").to_numpy(zero_copy_only=False)
-
-
-def slot_sums(pairs: DataFrame, half: int, classes: int) -> DataFrame:
-    """(unit, near): per unit of a half the counts of the classes beside it; ``pairs``: (a, b, ca, cb, n)."""
-    same, apart = pairs.filter("a = b"), pairs.filter("a <> b")
-    sides = (
-        apart.select(F.col("b").alias("unit"), F.col("ca").cast("int").alias("slot"), "n")
-        .unionByName(apart.select(F.col("a").alias("unit"), (F.col("cb") + classes).cast("int").alias("slot"), "n"))
-        .unionByName(same.select(F.col("a").alias("unit"), F.lit(2 * classes).alias("slot"), "n"))
-    )
-    sums = sides.filter(in_half("unit", half)).groupBy("unit", "slot").agg(F.sum("n").alias("n"))
-    # at most two counts per class and one more
-    return sums.groupBy("unit").agg(F.collect_list(F.struct("slot", "n")).alias("near"))
-
-
-def in_half(name: str, half: int) -> Column:
-    return F.pmod(F.xxhash64(name), F.lit(2)) == half
-
-
 def table_from(rows: DataFrame, classes: int) -> np.ndarray:
     """The class bigram table of rows (ca, cb, n)."""
     table = np.zeros((classes, classes))
@@ -229,103 +321,292 @@ def table_from(rows: DataFrame, classes: int) -> np.ndarray:
     return table
 
 
-def exchange(bigrams: DataFrame, n_units: int, n_near: int, classes: int = CLASSES, sweeps: int = SWEEPS) -> tuple[np.ndarray, np.ndarray]:
-    """Class of each unit, and the class bigrams of near words. Units start dealt out by their frequency."""
-    spark = bigrams.sparkSession
-    sizes = bigrams.groupBy("b").agg(F.sum("n").alias("n")).toPandas().sort_values(["n", "b"], ascending=[False, True])
-    seen = sizes.b.to_numpy(dtype=np.int64)
-    of = np.zeros(n_units, dtype=np.int64)
-    of[seen] = np.arange(len(sizes)) % classes
+def table_rows(table: np.ndarray) -> pa.RecordBatch:
+    """(ca, cb, n) of a table."""
+    ca, cb = np.nonzero(table)
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (ca, cb, table[ca, cb].astype(np.int64))], names=["ca", "cb", "n"])
+
+
+def exchange(beside: DataFrame, n_units: int, n_near: int, classes: int = CLASSES, sweeps: int = SWEEPS) -> tuple[np.ndarray, np.ndarray]:
+    """Class of each unit, and the class bigrams of near words, from ``neighbours``. Units start dealt out by their frequency."""
+    # bounded by the number of units, which the share bounds
+    sizes = beside.select("unit", "size").toPandas().sort_values(["size", "unit"], ascending=[False, True])
+    of = np.zeros(n_units, dtype=np.uint8)
+    of[sizes.unit.to_numpy(dtype=np.int64)] = np.arange(len(sizes)) % classes
     if not len(sizes):
-        return of, np.zeros((classes, classes))
+        return of.astype(np.int64), np.zeros((classes, classes))
+
+    def table_of(now: np.ndarray, limit: int) -> np.ndarray:
+        """Class bigrams of the units below ``limit``."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            table = np.zeros(classes * classes)
+            for batch in batches:
+                row, before = listed(batch.column("before"))
+                unit, before, n = batch.column("unit").to_numpy()[row], before.to_numpy(), batch.column("before_n").flatten().to_numpy()
+                n = np.where((unit < limit) & (before < limit), n, 0)
+                table += np.bincount(now[before].astype(np.int64) * classes + now[unit], n, classes * classes)
+            yield table_rows(table.reshape(classes, classes))
 
-    def classed() -> DataFrame:
-        # bounded by the number of units, which the share bounds
-        mapped = F.broadcast(spark.createDataFrame(pd.DataFrame({"unit": seen, "class": of[seen]})))
-        left = bigrams.join(mapped.withColumnsRenamed({"unit": "a", "class": "ca"}), "a")
-        return left.join(mapped.withColumnsRenamed({"unit": "b", "class": "cb"}), "b")
+        return table_from(beside.select("unit", "before", "before_n").mapInArrow(run, "ca long, cb long, n long"), classes)
 
     for sweep in range(sweeps):
-        pairs = classed()
-        table, now = table_from(pairs, classes), of.copy()
+        table, now = table_of(of.copy(), n_units), of.copy()
 
         def judge(batches: Iterator[pa.RecordBatch], now: np.ndarray = now, table: np.ndarray = table) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 units = batch.column("unit").to_numpy()
-                moved = judged(now[units], *slots_of(batch.column("near")), table)
+                (row, before), (next_row, after) = listed(batch.column("before")), listed(batch.column("after"))
+                before, after = before.to_numpy(), after.to_numpy()
+                slot = np.concatenate([np.where(before == units[row], 2 * classes, now[before].astype(np.int64)), now[after].astype(np.int64) + classes])
+                n = np.concatenate([batch.column(c).flatten().to_numpy() for c in ("before_n", "after_n")])
+                row = np.concatenate([row, next_row])
+                order = np.argsort(row, kind="stable")
+                moved = judged(now[units].astype(np.int64), row[order], slot[order], n[order], table)
                 yield pa.RecordBatch.from_arrays([batch.column("unit"), pa.array(moved)], names=["unit", "class"])
 
-        moves = slot_sums(pairs, sweep % 2, classes).mapInArrow(judge, "unit long, class long").toPandas()
-        of[moves.unit.to_numpy(dtype=np.int64)] = moves["class"].to_numpy(dtype=np.int64)
-    return of, table_from(classed().filter((F.col("a") < n_near) & (F.col("b") < n_near)), classes)
+        half = beside.filter(F.col("half") == sweep % 2).select("unit", "before", "before_n", "after", "after_n")
+        moves = half.mapInArrow(judge, "unit long, class long").toPandas()
+        of[moves.unit.to_numpy(dtype=np.int64)] = moves["class"].to_numpy(dtype=np.uint8)
+    return of.astype(np.int64), table_of(of.copy(), n_near)
+
+
+def encode(batches: Iterator[pa.RecordBatch], lex: Lexicon, class_of: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """``encoded`` of batches of (doc_id, text)."""
+    end = lex.units[END.encode()]
+    classes, logs = np.append(class_of[: len(lex.units)], FAR).astype(np.uint8), np.append(np.log10(lex.counts + 0.5), 0.0)
+    # without training rows the end is a unit, but not known
+    counted = np.append(lex.counts > 0, False)
+    for batch in pieces(batches, training=False):
+        lengths, words = split_words(batch.column(1))
+        codes, different = coded(words)
+        places, rows = lex.places(different)[codes], batch.num_rows
+        doc = np.repeat(np.arange(rows), lengths)
+        near = np.full(len(doc) + 2 * rows, classes[end], dtype=np.uint8)
+        near[np.arange(len(doc)) + 2 * doc + 1] = classes[places]
+        starts = np.append(0, np.cumsum(lengths + 2)).astype(np.int32)
+        known = np.bincount(doc, counted[places], rows).astype(np.int64) + int(counted[end])
+        far = np.append(0, np.cumsum(np.bincount(doc[places < 0], minlength=rows))).astype(np.int32)
+        columns = [
+            batch.column(0).cast(pa.int64()),
+            pa.array(lengths + 1),
+            pa.array(known),
+            pa.array(np.bincount(doc, logs[places], rows) + logs[end]),
+            pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer(starts), pa.py_buffer(near)]),
+            pc.binary_join(pa.ListArray.from_arrays(pa.array(far), words.filter(pa.array(places < 0))), " "),
+        ]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "n_known", "logs", "near", "far"])
+
+
+def encoded(docs: DataFrame, lexicon: Broadcast, class_of: np.ndarray) -> DataFrame:
+    """Per row of (doc_id, text) its tokens as classes of near words, after an end, and its far words in order.
 
+    Columns: doc_id, n_tokens, n_known and logs (log10 of counts) of the near words, near (a byte per token), far (words
+    with a space between them).
+    """
 
-class Places(dict):
-    """Places of near words; all others have none."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from encode(batches, lexicon.value, class_of)
+        give_back()
 
-    def __missing__(self, word: bytes) -> int:
-        return -1
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, n_known long, logs double, near binary, far string")
 
 
-def encoded(docs: DataFrame, lexicon: Broadcast, class_of: np.ndarray) -> DataFrame:
-    """Per row of (doc_id, text) its tokens as classes of near words, after an end, and its far words in order.
+def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of ``encoded`` in batches of about ``CHUNK`` tokens, where the input has as many."""
+    held: list[pa.RecordBatch] = []
+    tokens = 0
+    for batch in batches:
+        held.append(batch)
+        tokens += pc.sum(batch.column("n_tokens")).as_py() or 0
+        if tokens >= CHUNK:
+            yield pa.concat_batches(held)
+            held, tokens = [], 0
+    if tokens:
+        yield pa.concat_batches(held)
 
-    Columns: row, doc_id, n_tokens, n_known and logs (log10 of counts) of the near words, near (a byte per token), far.
+
+def chunked(rows: DataFrame, lexicon: Broadcast, class_of: np.ndarray) -> DataFrame:
+    """Rows of (doc_id, text) or of ``encoded``, many in one: lists of their columns, and far words by their places among the different ones.
+
+    ``words`` are these; ``own`` has their classes (a byte each), first those of their last two bytes; ``half`` says in
+    which half sweep a word is judged, ``n`` how often training texts hold it, ``first`` marks one chunk of each word.
     """
+    texts = "text" in rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex: Lexicon = lexicon.value
-        end = END.encode()
-        place = Places(lex.units).__getitem__
-        classes, logs = np.append(class_of[: len(lex.units)], FAR).astype(np.uint8), np.append(np.log10(lex.counts + 0.5), 0.0)
-        # without training rows the end is a unit, but not known
-        counted = np.append(lex.counts > 0, False)
-        row = TaskContext.get().partitionId() << 36
-        for batch in (b.slice(at, 2000) for b in batches for at in range(0, b.num_rows, 2000)):
-            out: list[list] = [[] for _ in range(6)]
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = [end, *words_of(text), end]
-                places = np.fromiter(map(place, words), dtype=np.int64, count=len(words))
-                far = [words[i].decode("utf-8", "replace") for i in np.flatnonzero(places < 0)]
-                own = places[1:]
-                values = (doc_id, len(own), int(counted[own].sum()), float(logs[own].sum()), classes[places].tobytes(), far)
-                for column, value in zip(out, values, strict=True):
-                    column.append(value)
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.list_(pa.string())]
-            rows = pa.array(np.arange(row, row + batch.num_rows))
-            row += batch.num_rows
-            columns = [rows, *[pa.array(c, type=t) for c, t in zip(out, types, strict=True)]]
-            yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "n_tokens", "n_known", "logs", "near", "far"])
+        number = TaskContext.get().partitionId() << 32
+        classes = class_of.astype(np.uint8)
+        for batch in together(encode(batches, lex, class_of) if texts else batches):
+            _, words = split_words(batch.column("far"))
+            codes, different = coded(words)
+            lists = [batch.column(c) for c in ("doc_id", "n_tokens", "n_known", "logs")]
+            lists += [pa.array(codes.astype(np.int32)), different, pa.array(np.zeros(len(different), dtype=np.int64)), pa.array(np.zeros(len(different), dtype=bool))]
+            near, own = joined_bytes(batch.column("near"))[0].tobytes(), classes[lex.units_of(different)].tobytes()
+            columns = [pa.ListArray.from_arrays(pa.array([0, len(x)], type=pa.int32()), x) for x in lists]
+            columns = [pa.array([number]), pa.array([near], type=pa.binary()), pa.array([own], type=pa.binary()), *columns]
+            yield pa.RecordBatch.from_arrays(columns, names=["chunk", "near", "own", "doc_id", "n_tokens", "n_known", "logs", "far", "words", "n", "first"])
+            number += 1
         give_back()
 
-    types = "row long, doc_id long, n_tokens long, n_known long, logs double, near binary, far array<string>"
-    return written(docs.select("doc_id", "text").mapInArrow(run, types), "encoded")
+    types = "chunk long, near binary, own binary, doc_id array<long>, n_tokens array<long>, n_known array<long>, logs array<double>"
+    rows = rows.select("doc_id", "text") if texts else rows
+    chunks = rows.mapInArrow(run, f"{types}, far array<int>, words array<string>, n array<long>, first array<boolean>")
+    half = F.transform("words", lambda w: F.pmod(F.xxhash64(w), F.lit(2)).cast("byte"))
+    return written(chunks.withColumn("half", half), "chunks", compression="zstd")
 
 
-def near_bytes(column: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of all values, and where each value starts, with the end of the last."""
-    values = column.to_pylist()
-    starts = np.append(0, np.cumsum(np.array([len(v) for v in values], dtype=np.int64)))
-    return np.frombuffer(b"".join(values), dtype=np.uint8), starts
+@dataclass
+class Chunk:
+    """A row of ``chunked``: the class of each token, which tokens stand in training texts, and the far ones' places and words."""
+
+    row: dict[str, pa.Array]
+    own: np.ndarray
+    seq: np.ndarray
+    training: np.ndarray
+    at: np.ndarray
+    far: np.ndarray
+
+
+def chunks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
+    for batch in (b.slice(at, 1) for b in batches for at in range(b.num_rows)):
+        row = {c: batch.column(c).flatten() if pa.types.is_list(batch.column(c).type) else batch.column(c) for c in batch.schema.names}
+        own, near = (np.frombuffer(row[c][0].as_py(), dtype=np.uint8) for c in ("own", "near"))
+        at, far, seq = np.flatnonzero(near == FAR), row["far"].to_numpy(), near.copy()
+        seq[at] = own[far]
+        trained = np.array([not is_held_out(d) for d in row["doc_id"].to_pylist()], dtype=bool)
+        yield Chunk(row, own, seq, np.repeat(trained, row["n_tokens"].to_numpy() + 1), at, far)
 
 
-def occurrences(docs: DataFrame) -> DataFrame:
-    """(row, at, before, after, word, next) for each far word of ``encoded``: the classes beside it, and a far word after it."""
+def far_table(chunks: DataFrame, classes: int) -> np.ndarray:
+    """The class bigrams of training texts that hold a far word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            near, starts = near_bytes(batch.column("near"))
-            at = np.flatnonzero(near == FAR)  # never first or last: there stands the end
-            if not len(at):
+        table = np.zeros(classes * classes, dtype=np.int64)
+        for c in chunks_of(batches):
+            # a text begins and ends with near words
+            beside = np.zeros(len(c.seq), dtype=bool)
+            beside[c.at] = beside[c.at - 1] = True
+            i = np.flatnonzero(beside & c.training)
+            table += np.bincount(c.seq[i].astype(np.int64) * classes + c.seq[i + 1], minlength=classes * classes)
+        yield table_rows(table.reshape(classes, classes))
+
+    return table_from(chunks.select("near", "own", "doc_id", "n_tokens", "far").mapInArrow(run, "ca long, cb long, n long"), classes)
+
+
+def mentions(chunks: DataFrame, half: int, classes: int) -> DataFrame:
+    """(word, chunk, place, n, class, slots) for each far word of a half: its training tokens, and a byte for each class beside them.
+
+    The byte is the column of ``best_classes``'s sums; a word before itself has one for both.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for c in chunks_of(batches):
+            words = np.flatnonzero(c.row["half"].to_numpy() == half)
+            if not len(words):
                 continue
-            doc, words = listed(batch.column("far"))
-            after = near[at + 1]
-            following = words.take(pa.array(np.minimum(np.arange(len(at)) + 1, len(at) - 1), mask=after != FAR))
-            places = [pa.array(x.astype(np.int32)) for x in (at - starts[doc], near[at - 1], after)]
-            columns = [batch.column("row").take(pa.array(doc)), *places, words, following]
-            yield pa.RecordBatch.from_arrays(columns, names=["row", "at", "before", "after", "word", "next"])
+            again = np.zeros(len(c.at) + 1, dtype=bool)  # the word stands before itself
+            again[1:-1] = (np.diff(c.at) == 1) & (np.diff(c.far) == 0)
+            before, after = c.seq[c.at - 1], np.where(again[1:], 2 * classes, c.seq[c.at + 1].astype(np.int64) + classes)
+            kept = c.training[c.at]
+            key = c.far.astype(np.int64) << 8
+            keys = np.sort(np.concatenate([(key + before)[kept & ~again[:-1]], (key + after)[kept]]))
+            keys = keys[c.row["half"].to_numpy()[keys >> 8] == half]
+            starts = np.append(np.searchsorted(keys, words * 256), len(keys)).astype(np.int32)
+            slots = pa.Array.from_buffers(pa.binary(), len(words), [None, pa.py_buffer(starts), pa.py_buffer((keys & 255).astype(np.uint8))])
+            n = np.bincount(c.far[kept], minlength=len(c.own))[words]
+            columns = [c.row["words"].take(pa.array(words)), pa.array(np.full(len(words), c.row["chunk"][0].as_py()))]
+            columns += [pa.array(x.astype(np.int32)) for x in (words, n, c.own[words])]
+            yield pa.RecordBatch.from_arrays([*columns, slots], names=["word", "chunk", "place", "n", "class", "slots"])
+
+    needed = chunks.select("chunk", "near", "own", "doc_id", "n_tokens", "far", "words", "half")
+    return needed.mapInArrow(run, "word string, chunk long, place int, n int, class int, slots binary")
+
+
+def whole_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of rows that are sorted by word, cut between words only."""
+    rest: pa.RecordBatch | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        batch = batch if rest is None else pa.concat_batches([rest, batch])
+        codes, _ = coded(batch.column("word"))
+        cut = int(np.searchsorted(codes, codes[-1]))
+        if cut:
+            yield batch.slice(0, cut)
+        rest = batch.slice(cut)
+    if rest is not None:
+        yield rest
+
+
+def answers(asked: DataFrame, table: np.ndarray) -> DataFrame:
+    """(chunk, told): for the words of ``mentions`` their new classes and their counts in all training texts."""
+    partitions = parts_of(asked.sparkSession)
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        for batch in whole_words(batches):
+            word, different = coded(batch.column("word"))
+            chunk, place, n, own = (batch.column(c).to_numpy() for c in ("chunk", "place", "n", "class"))
+            slots, starts = joined_bytes(batch.column("slots"))
+            first = np.r_[True, word[1:] != word[:-1]]
+            unit = np.repeat(word, np.diff(starts)).astype(np.int64)
+            moved = judged(own[first].astype(np.int64), unit, slots.astype(np.int64), np.ones(len(unit)), table)
+            total = np.bincount(word, n, len(different)).astype(np.int64)
+            out.append((chunk, place, moved[word].astype(np.int8), total[word], first))
+        if out:
+            chunk, *columns = (np.concatenate(x) for x in zip(*out, strict=True))
+            yield dealt(chunk, "chunk", dict(zip(("place", "class", "n", "first"), columns, strict=True)))
+        give_back()
+
+    # a far word occurs in less than KNOWN_SHARE of the tokens
+    by_word = asked.repartition(partitions, "word").sortWithinPartitions("word")
+    told = by_word.mapInArrow(judge, "chunk long, place array<int>, class array<byte>, n array<long>, first array<boolean>")
+    return told.groupBy("chunk").agg(F.collect_list(F.struct("place", "class", "n", "first")).alias("told"))
+
 
-    return docs.select("row", "near", "far").mapInArrow(run, "row long, at int, before int, after int, word string, next string")
+def answered(chunks: DataFrame, told: DataFrame) -> DataFrame:
+    """``chunked`` with what ``answers`` says."""
+    names = chunks.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(at, 1) for b in batches for at in range(b.num_rows)):
+            own = np.frombuffer(batch.column("own")[0].as_py(), dtype=np.uint8).copy()
+            n, first = (batch.column(c).flatten().to_numpy(zero_copy_only=False).copy() for c in ("n", "first"))
+            said = batch.column("told").flatten()
+            place, *values = (said.field(c).flatten().to_numpy(zero_copy_only=False) for c in ("place", "class", "n", "first"))
+            for column, value in zip((own, n, first), values, strict=True):
+                column[place] = value
+            put = {"own": pa.array([own.tobytes()], type=pa.binary())}
+            put |= {c: pa.ListArray.from_arrays(pa.array([0, len(x)], type=pa.int32()), pa.array(x)) for c, x in (("n", n), ("first", first))}
+            yield pa.RecordBatch.from_arrays([put.get(c, batch.column(c)) for c in names], names=names)
+        give_back()
+
+    return written(chunks.join(told, "chunk", "left").mapInArrow(run, chunks.schema), "chunks", compression="zstd")
+
+
+def settled(chunks: DataFrame, near_table: np.ndarray, sweeps: int = FAR_SWEEPS) -> tuple[DataFrame, np.ndarray]:
+    """``chunked`` with classes and counts of far words, and the class bigrams of all words. Each half needs a sweep."""
+    classes = len(near_table)
+    table = near_table + far_table(chunks, classes)
+    for sweep in range(sweeps):
+        chunks = answered(chunks, answers(mentions(chunks, sweep % 2, classes), table))
+        table = near_table + far_table(chunks, classes)
+    return chunks, table
+
+
+def far_words(chunks: DataFrame) -> DataFrame:
+    """(word, n, class) of all far words in training texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(at, 1) for b in batches for at in range(b.num_rows)):
+            words, n, first = (batch.column(c).flatten() for c in ("words", "n", "first"))
+            own = pa.array(np.frombuffer(batch.column("own")[0].as_py(), dtype=np.uint8).astype(np.int64))
+            kept = pc.and_(first, pc.greater(n, 0))
+            yield pa.RecordBatch.from_arrays([x.filter(kept) for x in (words, n, own)], names=["word", "n", "class"])
+
+    return written(chunks.select("words", "n", "first", "own").mapInArrow(run, "word string, n long, class long"), "far")
 
 
 def settle(
@@ -335,75 +616,8 @@ def settle(
 
     Far words start in the class of their last two bytes and are exchanged by the same rule as near words.
     """
-    classes = len(near_table)
-    found = occurrences(rows)
-    # a far word occurs in less than KNOWN_SHARE of the tokens
-    beside = found.groupBy("word").agg(F.collect_list(F.col("before") + F.col("after") * 256).alias("beside"))
-
-    def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unit = lexicon.value.unit
-        for batch in batches:
-            first = class_of[[unit(w.encode()) for w in batch.column("word").to_pylist()]]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(first)], names=["word", "beside", "class"])
-
-    types = "word string, beside array<int>, class long"
-    begun = written(beside.mapInArrow(start, types), "far")
-    state = [begun.filter(in_half("word", half)) for half in (0, 1)]
-    ends = found.filter("next is not null").select(F.col("word").alias("a"), F.col("next").alias("b"))
-
-    def start_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            unit = Units(lexicon.value).__getitem__
-            first = [pa.array(class_of[[unit(w.encode()) for w in batch.column(c).to_pylist()]]) for c in ("a", "b")]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *first], names=["a", "b", "n", "ca", "cb"])
-
-    edges = ends.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).mapInArrow(start_pairs, "a string, b string, n long, ca long, cb long")
-    pairs = edges = written(edges, "far-bigrams")
-
-    def near_cells(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
-        """Unit and slot of the near neighbours of far words."""
-        unit, packed = listed(column)
-        packed = packed.to_numpy(zero_copy_only=False)
-        slots = np.column_stack([packed % 256, packed // 256])
-        known = slots != FAR
-        slots[:, 1] += classes
-        return np.repeat(unit, 2).reshape(-1, 2)[known], slots[known]
-
-    def beside_near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(classes * classes, dtype=np.int64)
-        for batch in batches:
-            unit, slot = near_cells(batch.column("beside"))
-            own = batch.column("class").to_numpy()[unit]
-            cells = np.where(slot < classes, slot * classes + own, own * classes + slot - classes)
-            table += np.bincount(cells, minlength=classes * classes)
-        cells = np.flatnonzero(table)
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (cells // classes, cells % classes, table[cells])], names=["ca", "cb", "n"])
-
-    def table_of(pairs: DataFrame) -> np.ndarray:
-        near = state[0].unionByName(state[1]).select("beside", "class").mapInArrow(beside_near, "ca long, cb long, n long")
-        return near_table + table_from(near, classes) + table_from(pairs, classes)
-
-    table = table_of(pairs)
-    for sweep in range(sweeps):
-
-        def judge(batches: Iterator[pa.RecordBatch], table: np.ndarray = table) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                (unit, slot), far = near_cells(batch.column("beside")), slots_of(batch.column("near"))
-                unit, slot, n = (np.concatenate(x) for x in zip((unit, slot, np.ones(len(unit))), far, strict=True))
-                order = np.argsort(unit, kind="stable")
-                moved = judged(batch.column("class").to_numpy(), unit[order], slot[order], n[order], table)
-                yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("beside"), pa.array(moved)], names=["word", "beside", "class"])
-
-        half = sweep % 2
-        sums = slot_sums(pairs, half, classes).withColumnRenamed("unit", "word")
-        state[half] = written(state[half].join(sums, "word", "left").mapInArrow(judge, types), "far")
-        own = state[0].unionByName(state[1]).select("word", "class")
-        pairs = edges.select("a", "b", "n").join(own.withColumnsRenamed({"word": "a", "class": "ca"}), "a")
-        pairs = pairs.join(own.withColumnsRenamed({"word": "b", "class": "cb"}), "b")
-        if sweep + 1 < sweeps:
-            pairs = written(pairs, "far-pairs")
-        table = table_of(pairs)
-    return state[0].unionByName(state[1]).select("word", F.size("beside").cast("long").alias("n"), "class"), table
+    chunks, table = settled(chunked(rows, lexicon, class_of), near_table, sweeps)
+    return far_words(chunks), table
 
 
 @dataclass
@@ -415,22 +629,21 @@ class ClassModel:
 
 
 def train(docs: DataFrame) -> tuple[ClassModel, DataFrame, DataFrame]:
-    """The model of the training rows, the table of far words with their counts and classes, and all rows ``encoded``."""
+    """The model of the training rows, the table of far words with their counts and classes, and all rows as chunks."""
     spark = docs.sparkSession
     lexicon = lexicon_of(written(word_counts(docs), "words"))
     shared = spark.sparkContext.broadcast(lexicon)
-    bigrams = written(unit_bigrams(docs, shared), "bigrams")
     n_near = len(lexicon.units)
-    class_of, near_table = exchange(bigrams, lexicon.n_units, n_near)
-    rows = encoded(docs, shared, class_of)
-    far, table = settle(rows.filter(~held_out()), shared, class_of, near_table)
+    class_of, near_table = exchange(neighbours(docs, shared), lexicon.n_units, n_near)
+    chunks, table = settled(chunked(docs, shared, class_of), near_table)
+    far = far_words(chunks)
     own, counted = class_of[:n_near], lexicon.counts > 0
     spread = 0.5 + np.bincount(own, lexicon.counts, CLASSES) + 0.5 * np.bincount(own[counted], minlength=CLASSES)
     for r in far.groupBy("class").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("words")).collect():
         spread[r["class"]] += r.n + 0.5 * r.words
     unseen = ending_classes(far, lexicon, own)
     smooth = table + 0.5
-    return ClassModel(lexicon, np.append(own, unseen), np.log10(smooth / smooth.sum(axis=1, keepdims=True)), np.log10(spread)), far, rows
+    return ClassModel(lexicon, np.append(own, unseen), np.log10(smooth / smooth.sum(axis=1, keepdims=True)), np.log10(spread)), far, chunks
 
 
 def ending_classes(far: DataFrame, lexicon: Lexicon, class_of: np.ndarray) -> np.ndarray:
@@ -453,71 +666,63 @@ def held_out() -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 1
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files go as soon as their query has ended, not when the driver happens to collect its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def score(docs: DataFrame) -> DataFrame:
     """Scores of every row of (doc_id, text): see ``query``. Null and empty texts hold their end only.
 
     Repeated rows are scored each, null ids too; without training rows every word has the unseen word's share.
     """
-    model, far, rows = train(docs)
+    with shuffles_removed(docs.sparkSession):
+        model, _, chunks = train(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def near_chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """What near words beside near words add to a row's logarithm, less the denominators of near words."""
-        m: ClassModel = shared.value
-        steps = np.pad(m.log_next, (0, 1)) - np.append(m.log_spread, 0.0)[None, :]
-        for batch in batches:
-            near, starts = near_bytes(batch.column("near"))
-            near = np.minimum(near, len(m.log_spread)).astype(np.int64)
-            values = np.append(0.0, steps[near[:-1], near[1:]])
-            values[starts[:-1]] = 0.0
-            chain = np.add.reduceat(values, starts[:-1])
-            kept = [batch.column(c) for c in ("row", "doc_id", "n_tokens", "n_known", "logs")]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(chain)], names=["row", "doc_id", "n_tokens", "n_known", "logs", "chain"])
-
-    def far_chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """What far words add: the steps to them and from them to near words, less their denominators."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: ClassModel = shared.value
-        for batch in batches:
-            doc, cells = listed(batch.column("cells"))
-            cells = cells.to_numpy(zero_copy_only=False)
-            order = np.lexsort((cells, doc))
-            doc, cells = doc[order], cells[order]
-            before, after, own = cells >> 16 & 255, cells >> 8 & 255, cells & 255
-            # both by row and place, so they fit each other
-            unseen_doc, unseen = listed(batch.column("unseen"))
-            words = unseen.field("word").take(pa.array(np.lexsort((unseen.field("at").to_numpy(zero_copy_only=False), unseen_doc))))
-            own[own == FAR] = [m.class_of[m.lexicon.unit(w.encode())] for w in words.to_pylist()]
-            before = np.where(before == FAR, np.append(0, own[:-1]), before)
-            values = m.log_next[before, own] - m.log_spread[own]
-            values += np.where(after == FAR, 0.0, m.log_next[own, np.where(after == FAR, 0, after)])
-            chain = np.bincount(doc, values, batch.num_rows)
-            kept = [batch.column(c) for c in ("row", "far_known", "far_logs")]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(chain)], names=["row", "far_known", "far_logs", "far_chain"])
-
-    near = rows.select("row", "doc_id", "n_tokens", "n_known", "logs", "near").mapInArrow(
-        near_chain, "row long, doc_id long, n_tokens long, n_known long, logs double, chain double"
-    )
-    # place, class before, class after and own class of a far word in one number
-    place = F.col("at").cast("long") * (1 << 24) + F.col("before") * (1 << 16) + F.col("after") * (1 << 8)
-    unseen = F.when(F.col("class").isNull(), F.struct("at", "word"))  # a list leaves nulls out
-    beside = occurrences(rows).drop("next").join(far, "word", "left").groupBy("row").agg(
-        F.count("n").alias("far_known"),
-        F.sum(F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("far_logs"),
-        F.collect_list(place + F.coalesce("class", F.lit(FAR))).alias("cells"),
-        F.collect_list(unseen).alias("unseen"),
-    )
-    sums = near.join(beside.mapInArrow(far_chain, "row long, far_known long, far_logs double, far_chain double"), "row", "left")
+        steps = m.log_next - m.log_spread[None, :]
+        for c in chunks_of(batches):
+            n, words = c.row["n"].to_numpy(), c.row["words"]
+            own, unseen = c.own.copy(), np.flatnonzero(n == 0)
+            own[unseen] = m.class_of[m.lexicon.units_of(words.take(pa.array(unseen)))]
+            c.seq[c.at] = own[c.far]
+            n_tokens = c.row["n_tokens"].to_numpy()
+            starts = np.append(0, np.cumsum(n_tokens + 1)[:-1])
+            values = np.append(0.0, steps[c.seq[:-1], c.seq[1:]])
+            values[c.at] += np.log10(n + 0.5)[c.far]
+            values[starts] = 0.0
+            doc = np.searchsorted(starts, c.at, "right") - 1
+            far_logs = np.bincount(doc, np.log10(n + 0.5)[c.far], len(starts))
+            known = c.row["n_known"].to_numpy() + np.bincount(doc, (n > 0)[c.far], len(starts)).astype(np.int64)
+            near_logs = c.row["logs"].to_numpy()
+            columns = [c.row["doc_id"], pa.array(n_tokens), pa.array(known), pa.array(near_logs + far_logs)]
+            columns.append(pa.array(np.add.reduceat(values, starts) + near_logs))
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "n_known", "logs", "score"])
+        give_back()
+
+    needed = chunks.select("near", "own", "doc_id", "n_tokens", "n_known", "logs", "far", "words", "n")
+    sums = needed.mapInArrow(run, "doc_id long, n_tokens long, n_known long, logs double, score double")
     total, distinct = model.lexicon.tokens, model.lexicon.distinct
-    logs = F.col("logs") + F.coalesce("far_logs", F.lit(0.0))
-    base = logs - F.col("n_tokens") * float(np.log10(total + 0.5 * (distinct + 1)))
     return sums.select(
         "doc_id",
         held_out().alias("held_out"),
         "n_tokens",
-        (F.col("n_known") + F.coalesce("far_known", F.lit(0))).alias("n_known"),
+        "n_known",
         F.lit(total).cast("long").alias("train_tokens"),
-        base.alias("base_score"),
-        (logs + F.col("chain") + F.coalesce("far_chain", F.lit(0.0))).alias("score"),
+        (F.col("logs") - F.col("n_tokens") * float(np.log10(total + 0.5 * (distinct + 1)))).alias("base_score"),
+        "score",
     )
 
 

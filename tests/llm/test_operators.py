@@ -13,6 +13,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from dqwatch.llm import bpe, class_lm, components, decontamination, html_text, near_copies, secrets, sharding, simhash, topk, toxicity, training_order
@@ -258,6 +259,46 @@ def test_class_score_is_the_sum_over_class_bigrams_of_all_words(usage):
     assert sorted((r.n_tokens, r.n_known, round(r.score, 6)) for r in class_lm.score(docs).collect()) == sorted(wanted)
 
 
+def test_words_are_split_and_ended_as_one_by_one():
+    rng = random.Random(3)
+    texts = [None, "", " \t", "É x", *("".join(rng.choices(" \t\n\x0b\x0c\r\x1c\x1f\x85\xa0aBZé\x00", k=rng.randrange(12))) for _ in range(500))]
+    lengths, words = class_lm.split_words(pa.array(texts, type=pa.string()))
+    wanted = [class_lm.words_of(t) for t in texts]
+    assert words.cast(pa.binary()).to_pylist() == [w for x in wanted for w in x] and list(lengths) == [len(x) for x in wanted]
+    assert list(class_lm.endings(words[7:])) == [class_lm.ending(w) for x in wanted for w in x][7:]
+
+
+def test_bigrams_travel_as_lists_and_are_counted_whole(spark, usage):
+    docs, lines, _, _, _ = usage
+    lexicon = class_lm.lexicon_of(class_lm.word_counts(docs))
+    found = class_lm.neighbours(docs, spark.sparkContext.broadcast(lexicon)).collect()
+    plain = Counter(
+        (lexicon.unit(a), lexicon.unit(b)) for i, line in lines if not class_lm.is_held_out(i) for a, b in zip([b"\n", *line[1:]], line[1:])
+    )
+    assert {(a, r.unit): n for r in found for a, n in zip(r.before, r.before_n)} == plain
+    assert {(r.unit, b): n for r in found for b, n in zip(r.after, r.after_n)} == {k: n for k, n in plain.items() if k[0] != k[1]}
+    assert len(found) == len({r.unit for r in found}) and all(r["size"] == sum(r.before_n) for r in found)
+
+
+def test_a_far_word_is_asked_for_once_per_chunk(spark, usage):
+    docs, lines, counts, names, verbs = usage
+    lexicon = class_lm.lexicon_of(class_lm.word_counts(docs))
+    shared, class_of = spark.sparkContext.broadcast(lexicon), np.zeros(lexicon.n_units, dtype=np.int64)
+    chunks = class_lm.chunked(docs, shared, class_of)
+    asked = [r for half in (0, 1) for r in class_lm.mentions(chunks, half, 4).collect()]
+    assert chunks.count() == 5 and len(asked) == len({(r.chunk, r.word) for r in asked}) < sum(counts[w.encode()] for w in names + verbs) / 2
+    totals = Counter()
+    for r in asked:
+        totals[r.word] += r.n
+    assert all(totals[w] == counts[w.encode()] for w in names + verbs)
+    # two neighbours each, but one where a word stands before itself
+    twice = sum(a == b for i, x in lines if not class_lm.is_held_out(i) for a, b in zip(x, x[1:]) if a not in lexicon.units)
+    assert sum(len(r.slots) for r in asked) == 2 * sum(r.n for r in asked) - twice
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(setting, None)
+    assert class_lm.score(docs).count() == docs.count() and spark.conf.get(setting, None) == before
+
+
 def test_masks_cover_every_pair_within_the_radius():
     masks = [m & (1 << 64) - 1 for m in simhash.masks(3)]
     rng = random.Random(1)
