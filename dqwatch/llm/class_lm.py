@@ -70,6 +70,18 @@ def joined_bytes(column: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
     return values[starts[0] : starts[-1]], starts - starts[0]
 
 
+def packed(values: np.ndarray, starts: np.ndarray) -> pa.BinaryArray:
+    """A row for each start with the bytes of its numbers; ``starts`` has the end of the last too."""
+    offsets = (np.asarray(starts) * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def unpacked(column: pa.BinaryArray, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all rows of ``packed``, and for each the number of its row."""
+    data, starts = joined_bytes(column)
+    return np.repeat(np.arange(len(column)), np.diff(starts) // np.dtype(kind).itemsize), data.view(kind)
+
+
 def split_words(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
     """``words_of`` of all texts, one after the other, and how many each has."""
     lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
@@ -173,18 +185,18 @@ def mixed(keys: np.ndarray, parts: int) -> np.ndarray:
 
 
 def dealt(key: np.ndarray, name: str, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
-    """A row for each key, with the values that have it as lists."""
+    """A row for each key, with the values that have it ``packed``."""
     order = np.argsort(key, kind="stable")
     keys, starts = np.unique(key[order], return_index=True)
-    offsets = pa.array(np.append(starts, len(key)).astype(np.int32))
-    lists = [pa.ListArray.from_arrays(offsets, pa.array(x[order])) for x in columns.values()]
+    starts = np.append(starts, len(key))
+    lists = [packed(x[order], starts) for x in columns.values()]
     return pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), *lists], names=[name, *columns])
 
 
 def gathered(batches: Iterator[pa.RecordBatch], **kinds: type) -> list[np.ndarray]:
-    """The elements of list columns over all batches."""
+    """The numbers of ``packed`` columns over all batches."""
     held = list(batches)
-    return [np.concatenate([np.zeros(0, kind), *[b.column(c).flatten().to_numpy() for b in held]]).astype(kind) for c, kind in kinds.items()]
+    return [np.concatenate([np.zeros(0, kind), *[unpacked(b.column(c), kind)[1] for b in held]]) for c, kind in kinds.items()]
 
 
 def parts_of(spark: SparkSession) -> int:
@@ -194,8 +206,9 @@ def parts_of(spark: SparkSession) -> int:
 def neighbours(docs: DataFrame, lexicon: Broadcast) -> DataFrame:
     """(unit, size, before, before_n, after, after_n, half): which units stand beside each one in training texts, and how often.
 
-    A text stands between two ends. A unit beside itself is listed before it only. Bigrams travel as lists per part of
-    their hash, where they are summed; then both of their units get them. A unit has at most ``n_units`` neighbours.
+    A text stands between two ends. A unit beside itself is listed before it only. Units (4 bytes) and counts (8 bytes)
+    are ``packed``. Bigrams travel so per part of their hash, where they are summed; then both of their units get them. A
+    unit has at most ``n_units`` neighbours.
     """
     partitions = parts_of(docs.sparkSession)
     parts = 4 * partitions
@@ -217,9 +230,9 @@ def neighbours(docs: DataFrame, lexicon: Broadcast) -> DataFrame:
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n_units = lexicon.value.n_units
-        a, b, n = gathered(batches, a=np.int64, b=np.int64, n=np.int64)
+        a, b, n = gathered(batches, a=np.int32, b=np.int32, n=np.int64)
         if len(n):
-            pairs = a * n_units + b
+            pairs = a.astype(np.int64) * n_units + b
             order = np.argsort(pairs)
             pairs = pairs[order]
             first = np.flatnonzero(np.r_[True, pairs[1:] != pairs[:-1]])
@@ -239,18 +252,17 @@ def neighbours(docs: DataFrame, lexicon: Broadcast) -> DataFrame:
                 at = np.flatnonzero(after == side)
                 at = at[np.argsort(unit[at], kind="stable")]
                 starts = np.searchsorted(unit[at], np.append(units, units[-1] + 1))
-                columns += [pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(x[at])) for x in (other, n)]
+                columns += [packed(x[at], starts) for x in (other, n)]
                 if not side:  # each unit stands behind another or itself
                     size = pa.array(np.add.reduceat(n[at], starts[:-1]))
             names = ["unit", "size", "before", "before_n", "after", "after_n"]
             yield pa.RecordBatch.from_arrays([pa.array(units), size, *columns], names=names)
         give_back()
 
-    pairs = docs.select("doc_id", "text").mapInArrow(counted, "part long, a array<int>, b array<int>, n array<long>")
-    sides = pairs.repartition(partitions, "part").mapInArrow(merged, "part long, unit array<int>, other array<int>, after array<byte>, n array<long>")
-    beside = sides.repartition(partitions, "part").mapInArrow(
-        grouped, "unit long, size long, before array<int>, before_n array<long>, after array<int>, after_n array<long>"
-    )
+    pairs = docs.select("doc_id", "text").mapInArrow(counted, "part long, a binary, b binary, n binary")
+    sides = pairs.repartition(partitions, "part").mapInArrow(merged, "part long, unit binary, other binary, after binary, n binary")
+    types = "unit long, size long, before binary, before_n binary, after binary, after_n binary"
+    beside = sides.repartition(partitions, "part").mapInArrow(grouped, types)
     return written(beside.withColumn("half", F.pmod(F.xxhash64("unit"), F.lit(2)).cast("int")), "neighbours", "half", compression="zstd")
 
 
@@ -342,8 +354,8 @@ def exchange(beside: DataFrame, n_units: int, n_near: int, classes: int = CLASSE
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             table = np.zeros(classes * classes)
             for batch in batches:
-                row, before = listed(batch.column("before"))
-                unit, before, n = batch.column("unit").to_numpy()[row], before.to_numpy(), batch.column("before_n").flatten().to_numpy()
+                (row, before), (_, n) = unpacked(batch.column("before"), np.int32), unpacked(batch.column("before_n"), np.int64)
+                unit = batch.column("unit").to_numpy()[row]
                 n = np.where((unit < limit) & (before < limit), n, 0)
                 table += np.bincount(now[before].astype(np.int64) * classes + now[unit], n, classes * classes)
             yield table_rows(table.reshape(classes, classes))
@@ -356,10 +368,9 @@ def exchange(beside: DataFrame, n_units: int, n_near: int, classes: int = CLASSE
         def judge(batches: Iterator[pa.RecordBatch], now: np.ndarray = now, table: np.ndarray = table) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 units = batch.column("unit").to_numpy()
-                (row, before), (next_row, after) = listed(batch.column("before")), listed(batch.column("after"))
-                before, after = before.to_numpy(), after.to_numpy()
+                (row, before), (next_row, after) = (unpacked(batch.column(c), np.int32) for c in ("before", "after"))
                 slot = np.concatenate([np.where(before == units[row], 2 * classes, now[before].astype(np.int64)), now[after].astype(np.int64) + classes])
-                n = np.concatenate([batch.column(c).flatten().to_numpy() for c in ("before_n", "after_n")])
+                n = np.concatenate([unpacked(batch.column(c), np.int64)[1] for c in ("before_n", "after_n")])
                 row = np.concatenate([row, next_row])
                 order = np.argsort(row, kind="stable")
                 moved = judged(now[units].astype(np.int64), row[order], slot[order], n[order], table)
@@ -429,8 +440,9 @@ def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def chunked(rows: DataFrame, lexicon: Broadcast, class_of: np.ndarray) -> DataFrame:
     """Rows of (doc_id, text) or of ``encoded``, many in one: lists of their columns, and far words by their places among the different ones.
 
-    ``words`` are these; ``own`` has their classes (a byte each), first those of their last two bytes; ``half`` says in
-    which half sweep a word is judged, ``n`` how often training texts hold it, ``first`` marks one chunk of each word.
+    ``words`` are these, with a space between them; ``own`` has their classes (a byte each), first those of their last two
+    bytes; ``half`` says in which half sweep a word is judged (a digit each), ``n`` how often training texts hold it,
+    ``first`` marks one chunk of each word. These and the places (``far``) are ``packed``, as Spark copies bytes at once.
     """
     texts = "text" in rows.columns
 
@@ -441,27 +453,28 @@ def chunked(rows: DataFrame, lexicon: Broadcast, class_of: np.ndarray) -> DataFr
         for batch in together(encode(batches, lex, class_of) if texts else batches):
             _, words = split_words(batch.column("far"))
             codes, different = coded(words)
-            lists = [batch.column(c) for c in ("doc_id", "n_tokens", "n_known", "logs")]
-            lists += [pa.array(codes.astype(np.int32)), different, pa.array(np.zeros(len(different), dtype=np.int64)), pa.array(np.zeros(len(different), dtype=bool))]
-            near, own = joined_bytes(batch.column("near"))[0].tobytes(), classes[lex.units_of(different)].tobytes()
-            columns = [pa.ListArray.from_arrays(pa.array([0, len(x)], type=pa.int32()), x) for x in lists]
-            columns = [pa.array([number]), pa.array([near], type=pa.binary()), pa.array([own], type=pa.binary()), *columns]
+            lists = [pa.ListArray.from_arrays(pa.array([0, batch.num_rows], type=pa.int32()), batch.column(c)) for c in ("doc_id", "n_tokens", "n_known", "logs")]
+            near, own = joined_bytes(batch.column("near"))[0], classes[lex.units_of(different)]
+            values = [near, own, codes.astype(np.int32), np.zeros(len(own), dtype=np.int64), np.zeros(len(own), dtype=np.int8)]
+            near, own, far, n, first = (packed(x, [0, len(x)]) for x in values)
+            names = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(different)], type=pa.int32()), different), " ")
+            columns = [pa.array([number]), near, own, *lists, far, names, n, first]
             yield pa.RecordBatch.from_arrays(columns, names=["chunk", "near", "own", "doc_id", "n_tokens", "n_known", "logs", "far", "words", "n", "first"])
             number += 1
         give_back()
 
     types = "chunk long, near binary, own binary, doc_id array<long>, n_tokens array<long>, n_known array<long>, logs array<double>"
     rows = rows.select("doc_id", "text") if texts else rows
-    chunks = rows.mapInArrow(run, f"{types}, far array<int>, words array<string>, n array<long>, first array<boolean>")
-    half = F.transform("words", lambda w: F.pmod(F.xxhash64(w), F.lit(2)).cast("byte"))
-    return written(chunks.withColumn("half", half), "chunks", compression="zstd")
+    chunks = rows.mapInArrow(run, f"{types}, far binary, words string, n binary, first binary")
+    half = F.transform(F.split("words", " "), lambda w: F.pmod(F.xxhash64(w), F.lit(2)).cast("string"))
+    return written(chunks.withColumn("half", F.array_join(half, "").cast("binary")), "chunks", compression="zstd")
 
 
 @dataclass
 class Chunk:
     """A row of ``chunked``: the class of each token, which tokens stand in training texts, and the far ones' places and words."""
 
-    row: dict[str, pa.Array]
+    row: dict[str, pa.Array | np.ndarray]
     own: np.ndarray
     seq: np.ndarray
     training: np.ndarray
@@ -469,14 +482,21 @@ class Chunk:
     far: np.ndarray
 
 
+#: The kinds of the numbers that ``chunked`` packs.
+KINDS = {"near": np.uint8, "own": np.uint8, "far": np.int32, "n": np.int64, "first": np.int8, "half": np.uint8}
+
+
 def chunks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
     for batch in (b.slice(at, 1) for b in batches for at in range(b.num_rows)):
-        row = {c: batch.column(c).flatten() if pa.types.is_list(batch.column(c).type) else batch.column(c) for c in batch.schema.names}
-        own, near = (np.frombuffer(row[c][0].as_py(), dtype=np.uint8) for c in ("own", "near"))
-        at, far, seq = np.flatnonzero(near == FAR), row["far"].to_numpy(), near.copy()
-        seq[at] = own[far]
+        row = {c: batch.column(c) for c in batch.schema.names}
+        row |= {c: x.flatten() for c, x in row.items() if pa.types.is_list(x.type)}
+        row |= {c: unpacked(row[c], kind)[1] for c, kind in KINDS.items() if c in row}
+        at, seq = np.flatnonzero(row["near"] == FAR), row["near"].copy()
+        seq[at] = row["own"][row["far"]]
+        if "half" in row:  # without words there is one digit, for an empty one
+            row["half"] = row["half"][: len(row["own"])] - ord("0")
         trained = np.array([not is_held_out(d) for d in row["doc_id"].to_pylist()], dtype=bool)
-        yield Chunk(row, own, seq, np.repeat(trained, row["n_tokens"].to_numpy() + 1), at, far)
+        yield Chunk(row, row["own"], seq, np.repeat(trained, row["n_tokens"].to_numpy() + 1), at, row["far"])
 
 
 def far_table(chunks: DataFrame, classes: int) -> np.ndarray:
@@ -503,7 +523,7 @@ def mentions(chunks: DataFrame, half: int, classes: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c in chunks_of(batches):
-            words = np.flatnonzero(c.row["half"].to_numpy() == half)
+            words = np.flatnonzero(c.row["half"] == half)
             if not len(words):
                 continue
             again = np.zeros(len(c.at) + 1, dtype=bool)  # the word stands before itself
@@ -512,11 +532,11 @@ def mentions(chunks: DataFrame, half: int, classes: int) -> DataFrame:
             kept = c.training[c.at]
             key = c.far.astype(np.int64) << 8
             keys = np.sort(np.concatenate([(key + before)[kept & ~again[:-1]], (key + after)[kept]]))
-            keys = keys[c.row["half"].to_numpy()[keys >> 8] == half]
-            starts = np.append(np.searchsorted(keys, words * 256), len(keys)).astype(np.int32)
-            slots = pa.Array.from_buffers(pa.binary(), len(words), [None, pa.py_buffer(starts), pa.py_buffer((keys & 255).astype(np.uint8))])
+            keys = keys[c.row["half"][keys >> 8] == half]
+            starts = np.append(np.searchsorted(keys, words * 256), len(keys))
+            slots = packed((keys & 255).astype(np.uint8), starts)
             n = np.bincount(c.far[kept], minlength=len(c.own))[words]
-            columns = [c.row["words"].take(pa.array(words)), pa.array(np.full(len(words), c.row["chunk"][0].as_py()))]
+            columns = [split_words(c.row["words"])[1].take(pa.array(words)), pa.array(np.full(len(words), c.row["chunk"][0].as_py()))]
             columns += [pa.array(x.astype(np.int32)) for x in (words, n, c.own[words])]
             yield pa.RecordBatch.from_arrays([*columns, slots], names=["word", "chunk", "place", "n", "class", "slots"])
 
@@ -554,7 +574,7 @@ def answers(asked: DataFrame, table: np.ndarray) -> DataFrame:
             unit = np.repeat(word, np.diff(starts)).astype(np.int64)
             moved = judged(own[first].astype(np.int64), unit, slots.astype(np.int64), np.ones(len(unit)), table)
             total = np.bincount(word, n, len(different)).astype(np.int64)
-            out.append((chunk, place, moved[word].astype(np.int8), total[word], first))
+            out.append((chunk, place, moved[word].astype(np.uint8), total[word], first.astype(np.int8)))
         if out:
             chunk, *columns = (np.concatenate(x) for x in zip(*out, strict=True))
             yield dealt(chunk, "chunk", dict(zip(("place", "class", "n", "first"), columns, strict=True)))
@@ -562,7 +582,7 @@ def answers(asked: DataFrame, table: np.ndarray) -> DataFrame:
 
     # a far word occurs in less than KNOWN_SHARE of the tokens
     by_word = asked.repartition(partitions, "word").sortWithinPartitions("word")
-    told = by_word.mapInArrow(judge, "chunk long, place array<int>, class array<byte>, n array<long>, first array<boolean>")
+    told = by_word.mapInArrow(judge, "chunk long, place binary, class binary, n binary, first binary")
     return told.groupBy("chunk").agg(F.collect_list(F.struct("place", "class", "n", "first")).alias("told"))
 
 
@@ -572,14 +592,12 @@ def answered(chunks: DataFrame, told: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(at, 1) for b in batches for at in range(b.num_rows)):
-            own = np.frombuffer(batch.column("own")[0].as_py(), dtype=np.uint8).copy()
-            n, first = (batch.column(c).flatten().to_numpy(zero_copy_only=False).copy() for c in ("n", "first"))
             said = batch.column("told").flatten()
-            place, *values = (said.field(c).flatten().to_numpy(zero_copy_only=False) for c in ("place", "class", "n", "first"))
-            for column, value in zip((own, n, first), values, strict=True):
-                column[place] = value
-            put = {"own": pa.array([own.tobytes()], type=pa.binary())}
-            put |= {c: pa.ListArray.from_arrays(pa.array([0, len(x)], type=pa.int32()), pa.array(x)) for c, x in (("n", n), ("first", first))}
+            place, put = unpacked(said.field("place"), np.int32)[1], {}
+            for name, told_as in (("own", "class"), ("n", "n"), ("first", "first")):
+                values = unpacked(batch.column(name), KINDS[name])[1].copy()
+                values[place] = unpacked(said.field(told_as), KINDS[name])[1]
+                put[name] = packed(values, [0, len(values)])
             yield pa.RecordBatch.from_arrays([put.get(c, batch.column(c)) for c in names], names=names)
         give_back()
 
@@ -600,11 +618,10 @@ def far_words(chunks: DataFrame) -> DataFrame:
     """(word, n, class) of all far words in training texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b.slice(at, 1) for b in batches for at in range(b.num_rows)):
-            words, n, first = (batch.column(c).flatten() for c in ("words", "n", "first"))
-            own = pa.array(np.frombuffer(batch.column("own")[0].as_py(), dtype=np.uint8).astype(np.int64))
-            kept = pc.and_(first, pc.greater(n, 0))
-            yield pa.RecordBatch.from_arrays([x.filter(kept) for x in (words, n, own)], names=["word", "n", "class"])
+        for batch in batches:
+            n, first, own = (unpacked(batch.column(c), KINDS[c])[1] for c in ("n", "first", "own"))
+            columns = [split_words(batch.column("words"))[1], pa.array(n), pa.array(own.astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, names=["word", "n", "class"]).filter(pa.array((first > 0) & (n > 0)))
 
     return written(chunks.select("words", "n", "first", "own").mapInArrow(run, "word string, n long, class long"), "far")
 
@@ -694,7 +711,7 @@ def score(docs: DataFrame) -> DataFrame:
         m: ClassModel = shared.value
         steps = m.log_next - m.log_spread[None, :]
         for c in chunks_of(batches):
-            n, words = c.row["n"].to_numpy(), c.row["words"]
+            n, words = c.row["n"], split_words(c.row["words"])[1]
             own, unseen = c.own.copy(), np.flatnonzero(n == 0)
             own[unseen] = m.class_of[m.lexicon.units_of(words.take(pa.array(unseen)))]
             c.seq[c.at] = own[c.far]

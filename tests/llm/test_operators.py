@@ -275,9 +275,10 @@ def test_bigrams_travel_as_lists_and_are_counted_whole(spark, usage):
     plain = Counter(
         (lexicon.unit(a), lexicon.unit(b)) for i, line in lines if not class_lm.is_held_out(i) for a, b in zip([b"\n", *line[1:]], line[1:])
     )
-    assert {(a, r.unit): n for r in found for a, n in zip(r.before, r.before_n)} == plain
-    assert {(r.unit, b): n for r in found for b, n in zip(r.after, r.after_n)} == {k: n for k, n in plain.items() if k[0] != k[1]}
-    assert len(found) == len({r.unit for r in found}) and all(r["size"] == sum(r.before_n) for r in found)
+    units, sums = (lambda x: np.frombuffer(x, np.int32).tolist()), (lambda x: np.frombuffer(x, np.int64).tolist())
+    assert {(a, r.unit): n for r in found for a, n in zip(units(r.before), sums(r.before_n))} == plain
+    assert {(r.unit, b): n for r in found for b, n in zip(units(r.after), sums(r.after_n))} == {k: n for k, n in plain.items() if k[0] != k[1]}
+    assert len(found) == len({r.unit for r in found}) and all(r["size"] == sum(sums(r.before_n)) for r in found)
 
 
 def test_a_far_word_is_asked_for_once_per_chunk(spark, usage):
