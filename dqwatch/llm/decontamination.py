@@ -36,6 +36,8 @@ MIN_LITERALS = 5
 HITS = 6
 #: Words by which a window shorter than ``WINDOW`` is looked up before it is compared whole.
 ANCHOR = 4
+#: Places of a text in one row, where windows start; the words that the last of them need follow.
+PIECE = 256
 #: Windows of the benchmark that are sent to every executor; beyond it both sides are shuffled.
 BROADCAST_WINDOWS = 500_000
 
@@ -70,6 +72,16 @@ def _forms(words: Column) -> Column:
     return F.array_distinct(F.array(_form(words, 0), _form(words, 1)))
 
 
+def _pieces(df: DataFrame, length: int) -> DataFrame:
+    """``df`` with a row (``at``, ``words``) per ``PIECE`` places of ``words``: a window that starts at one of them is in its row.
+
+    What is made per window then holds the words of a piece, whatever the length of the text.
+    """
+    starts = F.sequence(F.lit(0), F.size("words") - 1, F.lit(PIECE))
+    cut = F.transform(starts, lambda at: F.struct(at.alias("at"), F.slice("words", at + 1, PIECE + length - 1).alias("words")))
+    return df.select(*[c for c in df.columns if c != "words"], F.inline(cut))
+
+
 def _hashes(df: DataFrame, length: int, anchors: bool, kept: list[str]) -> DataFrame:
     """One row (kept, words, pos, kind, short, window) per window of ``words``; kind 1 only where a name makes it another.
 
@@ -115,13 +127,14 @@ def _hashes(df: DataFrame, length: int, anchors: bool, kept: list[str]) -> DataF
 def _item_windows(items: DataFrame, length: int) -> DataFrame:
     """One row per usable window of an item: its form as text and as words, and their plain values."""
     size = F.least(F.lit(length), F.size("words"))
-    places = items.filter(size >= MIN_LITERALS).select(
-        "item_id", "words", size.alias("size"), F.explode(F.sequence(F.lit(0), F.size("words") - size)).alias("item_pos")
+    pieces = _pieces(items.filter(size >= MIN_LITERALS).select("item_id", size.alias("size"), "words"), length)
+    places = pieces.filter(F.size("words") >= F.col("size")).select(
+        "*", F.explode(F.sequence(F.lit(0), F.least(F.size("words") - F.col("size"), F.lit(PIECE - 1)))).alias("place")
     )
-    here = F.slice("words", F.col("item_pos") + 1, F.col("size"))
+    here = F.slice("words", F.col("place") + 1, F.col("size"))
     cut = places.select(
         "item_id",
-        "item_pos",
+        (F.col("at") + F.col("place")).alias("item_pos"),
         "size",
         _plain(here).alias("item_plain"),
         F.posexplode(_forms(here)).alias("item_kind", "form"),
@@ -141,26 +154,33 @@ def _wanted(items: DataFrame, windows: DataFrame, length: int) -> DataFrame:
 
 
 def _places(docs: DataFrame, wanted: DataFrame, length: int, anchors: bool, broadcast: bool) -> DataFrame:
-    """(doc_id, text, words, pos, size) where a document may hold an item's window.
+    """(doc_id, text_hash, at, words, pos, size) where a document may hold an item's window: ``pos`` in the words of its piece.
 
-    Beyond the broadcast only keys, places and hashes of all windows are shuffled; texts follow once per document with a match.
+    Beyond the broadcast only keys, places and hashes of all windows are shuffled; words follow once per piece with a match.
     """
-    words = docs.select("doc_id", "text", template_words(F.col("text")).alias("words"))
-    stream = _hashes(words, length, anchors, ["doc_id", "text"])
+    key = ["doc_id", "text_hash", "at"]
+
+    def pieces(texts: DataFrame) -> DataFrame:
+        return _pieces(texts.select("doc_id", F.xxhash64("text").alias("text_hash"), template_words(F.col("text")).alias("words")), length)
+
+    # anchors beyond the places of a piece are the next one's
+    stream = _hashes(pieces(docs), length, anchors, key).filter(F.col("pos") < PIECE)
     if broadcast:
-        return stream.join(F.broadcast(wanted), "window").select("doc_id", "text", "words", "pos", "size")
-    key = F.xxhash64("text").alias("text_hash")
+        return stream.join(F.broadcast(wanted), "window").select(*key, "words", "pos", "size")
     places = (
-        stream.select("doc_id", key, "pos", "window")
+        stream.select(*key, "pos", "window")
         .join(wanted, "window")
-        .groupBy("doc_id", "text_hash")
-        .agg(F.collect_set(F.struct("pos", "size")).alias("places"))  # at most the windows of one text
-        .withColumnRenamed("doc_id", "found_id")
+        .groupBy(*key)
+        .agg(F.collect_set(F.struct("pos", "size")).alias("places"))  # at most the windows of one piece
+        .withColumnsRenamed({"doc_id": "found_id", "text_hash": "found_hash", "at": "found_at"})
     )
-    texts = docs.select("doc_id", "text", key)
-    same = texts["doc_id"].eqNullSafe(places["found_id"]) & (texts["text_hash"] == places["text_hash"])
-    matched = texts.join(places, same).select("doc_id", "text", template_words(F.col("text")).alias("words"), "places")
-    return matched.select("doc_id", "text", "words", F.inline("places"))
+
+    def same(texts: DataFrame) -> Column:
+        return texts["doc_id"].eqNullSafe(places["found_id"]) & (texts["text_hash"] == places["found_hash"])
+
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    matched = pieces(texts.join(places, same(texts), "left_semi"))
+    return matched.join(places, same(matched) & (matched["at"] == places["found_at"])).select(*key, "words", F.inline("places"))
 
 
 def contaminated(
@@ -181,7 +201,8 @@ def contaminated(
     places = _places(docs, _wanted(items, windows, length), length, anchors, broadcast)
     windows = windows.join(counts, F.col("item_id").eqNullSafe(F.col("id"))).drop("id", "size")
     here = F.slice("words", F.col("pos") + 1, F.col("size"))
-    formed = places.select("doc_id", F.xxhash64("text").alias("text_hash"), "pos", _plain(here).alias("plain"), F.explode(_forms(here)).alias("form"))
+    place = F.col("at") + F.col("pos")
+    formed = places.select("doc_id", "text_hash", place.alias("pos"), _plain(here).alias("plain"), F.explode(_forms(here)).alias("form"))
     found = formed.join(F.broadcast(windows) if broadcast else windows, "form").select(
         "doc_id",
         "text_hash",

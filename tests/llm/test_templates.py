@@ -131,3 +131,33 @@ def test_items_without_id_and_names_behind_the_anchor(spark):
     items = spark.createDataFrame([(None, ITEM), (5, "The old bridge near Paris was closed")], "item_id long, text string")
     found = {(r.doc_id, r.item_id) for r in decontamination.contaminated(docs, items).collect()}
     assert found == {(1, 5), (2, 5), (3, None)}
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_matches_hold_a_piece_of_a_long_text(spark, monkeypatch, broadcast):
+    """Each match used to carry all words of its text, and all matches of a text were held at once."""
+    if not broadcast:
+        monkeypatch.setattr(decontamination, "BROADCAST_WINDOWS", 0)
+    items = [(1, ITEM), (2, "the moon has no air to breathe")]
+    # the items stand at all places of the borders between pieces
+    texts = [" ".join(["word"] * (225 + i) + [ITEM] + ["word"] * (215 + i) + [items[1][1]]) + " word" * 600 for i in range(0, 40, 3)]
+    texts.append(" ".join([ITEM + " " + items[1][1]] * 40))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    of = spark.createDataFrame(items, "item_id long, text string")
+    words = of.select("item_id", decontamination.template_words(of["text"]).alias("words"))
+    windows = decontamination._item_windows(words, decontamination.WINDOW)
+    places = decontamination._places(docs, decontamination._wanted(words, windows, decontamination.WINDOW), decontamination.WINDOW, True, broadcast)
+    sizes = [len(r.words) for r in places.select("words").collect()]
+    assert len(sizes) > 1000 and max(sizes) < 300
+    found = {(r.doc_id, r.item_id, r.windows, r.item_windows) for r in decontamination.contaminated(docs, of).collect()}
+    assert found == _brute(list(enumerate(texts)), items) and len(found) == 2 * len(texts)
+
+
+def test_windows_of_a_long_item(spark):
+    words = [f"w{i}" if i % 7 else f"Name{i}" for i in range(700)]
+    items = [(1, " ".join(words)), (2, " ".join(words[:256])), (3, " ".join(words[:263])), (4, "the moon has no air")]
+    of = spark.createDataFrame(items, "item_id long, text string")
+    of = of.select("item_id", decontamination.template_words(of["text"]).alias("words"))
+    rows = decontamination._item_windows(of, decontamination.WINDOW).filter("item_kind = 1 or item_id = 4").collect()
+    wanted = {(i, at, tuple(w[at : at + 8])) for i, t in items for w in [t.lower().split()] for at in range(max(1, len(w) - 7))}
+    assert {(r.item_id, r.item_pos, tuple(r.item_plain)) for r in rows} == wanted and len(rows) == len(wanted)
