@@ -474,6 +474,33 @@ def test_near_copies_hold_few_rows_as_objects(spark):
     assert {r.n for r in map_columns(rows, "id long, n long", lambda ids: [ids, [len(ids)] * len(ids)]).collect()} == {11}
 
 
+def test_near_copies_miss_no_pair(spark, monkeypatch):
+    """Jaccard 0.8 to the point; none of the 40 MinHash bands that chose candidates before was equal."""
+    base = " ".join(f"w{i}" for i in range(12))
+    rows = [(1, f"{base} x508"), (2, f"{base} x1787"), (3, f"{base} x508 more"), (4, "w1 w2 w3 w4 w5 other words"), (None, f"{base} x508")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in near_copies.keep_one(docs.filter("doc_id < 3")).collect()} == {1}
+    for sampled, large in ((10_000, 64), (0, 64), (10_000, 2)):  # common shingles known or not, pairs or slices
+        monkeypatch.setattr(near_copies, "SAMPLED", sampled)
+        assert {r.doc_id for r in near_copies.keep_one(docs, large=large).collect()} == {1, 4}
+
+
+def test_prefixes_of_near_sets_meet():
+    """Whatever the order, and for all sizes at which two sets just reach the similarity."""
+    rng = np.random.default_rng(5)
+    for _ in range(3000):
+        common, more = int(rng.integers(1, 60)), rng.integers(0, 9, 2)
+        grams = rng.integers(0, 1 << 63, common + int(more.sum()), dtype=np.uint64)
+        a, b = np.sort(grams[: common + more[0]]), np.sort(np.delete(grams, slice(common, common + more[0])))
+        known = np.sort(rng.choice(grams, size=int(rng.integers(0, len(grams))), replace=False))
+        counts = rng.integers(1, 4, len(known))
+        x, y = near_copies.prefix(a, known, counts), near_copies.prefix(b, known, counts)
+        if near_copies.are_near(common, len(a), len(b)):
+            met, longer = len(np.intersect1d(x, y)), max(len(a), len(b))
+            assert met and near_copies.are_near(met + -(-4 * longer // 5) - 1, len(a), len(b))
+    assert len(near_copies.prefix(np.empty(0, np.uint64), known, counts)) == 0
+
+
 def test_bpe_tables_and_batches_stay_small(monkeypatch):
     """Six workers of an executor hold such tables side by side."""
     model = bpe.WordBpe(bpe.default_path())
