@@ -161,3 +161,15 @@ def test_windows_of_a_long_item(spark):
     rows = decontamination._item_windows(of, decontamination.WINDOW).filter("item_kind = 1 or item_id = 4").collect()
     wanted = {(i, at, tuple(w[at : at + 8])) for i, t in items for w in [t.lower().split()] for at in range(max(1, len(w) - 7))}
     assert {(r.item_id, r.item_pos, tuple(r.item_plain)) for r in rows} == wanted and len(rows) == len(wanted)
+
+
+def test_stage_clears_long_texts(spark, tmp_path):
+    """Memory grew with the square of a text's length: 700 kB with 60 copies of an item ran out of 8 GB of heap."""
+    import corpus_pipeline
+
+    spark.createDataFrame([(1, ITEM)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    long = "word " * 2500
+    rows = [(1, (long + ITEM + " ") * 60), (2, long * 60), (None, long + ITEM), (None, long)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(1)
+    kept = corpus_pipeline.benchmark_decontamination(spark, docs, str(tmp_path)).collect()
+    assert sorted((r.doc_id or 0, len(r.text)) for r in kept) == [(0, len(long)), (2, 60 * len(long))]
